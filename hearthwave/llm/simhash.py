@@ -103,15 +103,20 @@ def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(index), np.concatenate(found)
 
 
-def forest(fps: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that join all that are joined by links among these fingerprints: at most one for each of them."""
-    links, rest, queue = [], fps[1:], list(fps[:1])
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of signatures: rows of one or more 64-bit numbers."""
+    return np.bitwise_count(a ^ b).sum(axis=-1)
+
+
+def forest(sigs: np.ndarray, threshold: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links (as places) that join all that are joined by links among these: at most one for each of them."""
+    links, rest, queue = [], np.arange(1, len(sigs)), [0]
     while len(rest):
         if not queue:
             queue, rest = [rest[0]], rest[1:]
             continue
         at = queue.pop()
-        near = np.bitwise_count(rest ^ at) <= threshold
+        near = _apart(sigs[rest], sigs[at]) <= threshold
         if near.any():
             reached = rest[near]
             links.append((np.full(len(reached), at), reached))
@@ -120,44 +125,51 @@ def forest(fps: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[np.ndarray
     return links
 
 
-def _compared(group: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the groups of equal, adjacent ``group``."""
+def _compared(group: np.ndarray, sigs: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (as places) within the groups of equal, adjacent ``group``."""
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     sizes = np.diff(np.append(first, len(group)))
     size = np.repeat(sizes, sizes)
     links = []
     few = np.flatnonzero((size > 1) & (size <= _SMALL))
-    g, f = group[few], fps[few]
-    for lag in range(1, min(_SMALL, len(f))):
-        same = g[lag:] == g[:-lag]
-        if not same.any():
+    g = group[few]
+    for lag in range(1, min(_SMALL, len(few))):
+        at = np.flatnonzero(g[lag:] == g[:-lag])
+        if not len(at):
             break
-        at = np.flatnonzero(same)
-        at = at[np.bitwise_count(f[at] ^ f[at + lag]) <= THRESHOLD]
-        links.append((f[at], f[at + lag]))
+        at = at[_apart(sigs[few[at]], sigs[few[at + lag]]) <= threshold]
+        links.append((few[at], few[at + lag]))
     for s, n in zip(first[sizes > _SMALL], sizes[sizes > _SMALL], strict=True):
-        links += forest(fps[s : s + n])
+        links += [(a + s, b + s) for a, b in forest(sigs[s : s + n], threshold)]
     if not links:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([x for x, _ in links]), np.concatenate([x for _, x in links])
 
 
-def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): links that connect all fingerprints of at most three differing bits. fps: distinct, column fp."""
+def _node(sigs: np.ndarray) -> np.ndarray:
+    """One number for a signature: itself if it is one number, else a hash of its numbers."""
+    out = sigs[:, 0]
+    for i in range(1, sigs.shape[1]):
+        out = text.mix(out * np.uint64(0x9E3779B97F4A7C15) + sigs[:, i])
+    return out
 
-    def replicate(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            own = b.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(own), 4096):
-                part = own[at : at + 4096]
-                index, found = anchors(part.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(part[index])], names=["anchor", "fp"])
+
+def met(placed: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): links between nodes that meet at an anchor and differ in at most ``threshold`` bits of their signatures.
+
+    placed: anchor, then the signature's numbers. An anchor of more than ``block`` members is cut into blocks by
+    the signature's hash, and every two blocks meet in a task of their own.
+    """
+    numbers = placed.columns[1:]
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def out(rows: np.ndarray) -> pa.RecordBatch:
-            a, b = _compared(rows[0], rows[1].view(np.uint64))
+            sigs = np.ascontiguousarray(rows[1:].T).view(np.uint64)
+            i, j = _compared(rows[0], sigs, threshold)
+            node = _node(sigs)
+            a, b = node[i], node[j]
             pairs = np.unique(np.column_stack([np.maximum(a, b), np.minimum(a, b)]), axis=0) if len(a) else np.zeros((0, 2), np.uint64)
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i]).view(np.int64)) for i in (0, 1)], names=["a", "b"])
 
@@ -175,18 +187,33 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
         if held:
             yield out(np.concatenate(held, axis=1))
 
-    placed = fps.mapInArrow(replicate, "anchor bigint, fp bigint")
     large = store.written(placed.groupBy("anchor").count().where(F.col("count") > block), "anchors")
-    parts = F.coalesce(F.ceil(F.col("count") / block), F.lit(1))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    parts = F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int")
+    mine = F.when(F.col("parts") == 1, 0).otherwise(F.pmod(F.xxhash64(*numbers), "parts")).cast("int")
+    one, other = F.least("mine", "other"), F.greatest("mine", "other")
+    place = F.when(F.col("parts") == 1, F.col("anchor")).otherwise(F.xxhash64("anchor", one, other))
     dealt = (
         placed.join(large, "anchor", "left")
-        .select("anchor", "fp", parts.cast("int").alias("parts"))
-        .select("anchor", "fp", F.when(F.col("parts") == 1, 0).otherwise(F.pmod(F.xxhash64("fp"), "parts")).cast("int").alias("mine"), other.alias("other"))
-        .select(F.when((F.col("mine") == 0) & (F.col("other") == 0), F.col("anchor")).otherwise(F.xxhash64("anchor", F.least("mine", "other"), F.greatest("mine", "other"))).alias("place"), "fp")
+        .withColumn("parts", parts)
+        .withColumn("mine", mine)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select(place.alias("place"), *numbers)
     )
-    met = dealt.repartition("place").sortWithinPartitions("place").mapInArrow(compare, "a bigint, b bigint")
-    return met.distinct()
+    return dealt.repartition("place").sortWithinPartitions("place").mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b): links that connect all fingerprints of at most three differing bits. fps: distinct, column fp."""
+
+    def replicate(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            own = b.column(0).to_numpy(zero_copy_only=False)
+            for at in range(0, len(own), 4096):
+                part = own[at : at + 4096]
+                index, found = anchors(part.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(part[index])], names=["anchor", "fp"])
+
+    return met(fps.mapInArrow(replicate, "anchor bigint, fp bigint"), THRESHOLD, block)
 
 
 def clusters(table: DataFrame) -> DataFrame:
@@ -205,12 +232,94 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return table.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, columns as they are, without all but the first (smallest doc_id) of each component."""
+# The corpus stage: five words, similarity 0.8. Copies of that similarity differ in far more than three bits.
+
+#: Words of a shingle, numbers of 64 bits in a signature, and the differing bits up to which it tells a copy.
+#: Texts that share 0.8 of their shingles differ in 15 % of the bits, 39 of 256, give or take 6.
+WIDE_SHINGLE, SIGNATURE, WIDE_THRESHOLD = 5, 4, 45
+#: Blocks of 31 bits of the bag-of-words fingerprint, and its numbers of 64 bits.
+BAG_BLOCKS, BAG = 24, 12
+_SALTS = text.mix(np.arange(1, 1 + SIGNATURE + BAG, dtype=np.uint64))
+
+
+def _majority(h: np.ndarray, row: np.ndarray, n: int, salts: np.ndarray) -> np.ndarray:
+    """A number for each salt: the bits set in over half of the hashes of a row (ascending); no hashes: zero."""
+    out = np.zeros((n, len(salts)), np.uint64)
+    if not len(h):
+        return out
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    sizes = np.diff(np.append(first, len(row)))
+    for i, salt in enumerate(salts):
+        bits = np.unpackbits(text.mix(h ^ salt).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+        out[row[first], i] = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
+def signatures(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row's text: the signature from its shingles, and its anchors from the words it has.
+
+    The bag of the distinct longer words hardly changes where a few words do, so that its blocks of 31 bits lead
+    copies to common anchors: the code word of the Hamming code that covers the block.
+    """
+    n = len(offs) - 1
+    data = text.LOWER[data]
+    starts, ends, row = text.spans(data, offs, text.NOT_SPACE)
+    h = text.word_hashes(data, starts, ends)
+    words = np.bincount(row, minlength=n)
+    g = text.grams(h, WIDE_SHINGLE)
+    whole = np.flatnonzero(row[: len(g)] == row[WIDE_SHINGLE - 1 :]) if len(g) else np.zeros(0, np.int64)
+    hashes, rows = [g[whole]], [row[whole]]
+    before = np.concatenate([[0], np.cumsum(words)])
+    for k in range(1, WIDE_SHINGLE):
+        short = np.flatnonzero(words == k)
+        hashes.append(text.grams(h, k)[before[short]])
+        rows.append(short)
+    at = np.argsort(np.concatenate(rows), kind="stable")
+    sig = _majority(np.concatenate(hashes)[at], np.concatenate(rows)[at], n, _SALTS[:SIGNATURE])
+    long = ends - starts >= 4
+    kept = long | (np.bincount(row[long], minlength=n) < 8)[row]
+    h, row = h[kept], row[kept]
+    at = np.lexsort((h, row))
+    h, row = h[at], row[at]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.zeros(0, bool)
+    bag = _majority(h[new], row[new], n, _SALTS[SIGNATURE:])
+    bits = np.unpackbits(bag.view(np.uint8), axis=1, bitorder="little")[:, : 31 * BAG_BLOCKS].reshape(n, BAG_BLOCKS, 31)
+    words31 = (bits.astype(np.uint64) << np.arange(31, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+    covering = words31.ravel() ^ _ERRORS[_syndromes(words31.ravel()), 0]
+    return sig, covering.reshape(n, BAG_BLOCKS) | (np.arange(BAG_BLOCKS, dtype=np.uint64) << np.uint64(32))
+
+
+_NUMBERS = [f"s{i}" for i in range(SIGNATURE)]
+
+
+def with_signature(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep``, the node, the signature's numbers and the anchors of each whole text."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for first, end, data, offs in text.chunks(b.column(len(keep))):
+                sig, found = signatures(data, offs)
+                kept = [b.column(i).slice(first, end - first) for i in range(len(keep))]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(end - first + 1) * BAG_BLOCKS, pa.int32()), pa.array(found.ravel().view(np.int64)))
+                numbers = [pa.array(np.ascontiguousarray(sig[:, i]).view(np.int64)) for i in range(SIGNATURE)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.ascontiguousarray(_node(sig)).view(np.int64)), *numbers, lists], names=[*keep, "node", *_NUMBERS, "anchors"])
+
+    chosen = docs.select(*keep, F.col("text").cast("string").alias("text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
+    return chosen.mapInArrow(batches, f"{kinds}, node bigint, {', '.join(f'{c} bigint' for c in _NUMBERS)}, anchors array<bigint>")
+
+
+def keep_one(docs: DataFrame, threshold: int = WIDE_THRESHOLD) -> DataFrame:
+    """The documents, columns as they are, one of each group of near copies: the one with the smallest doc_id.
+
+    Near copies share about 0.8 or more of their shingles of five words, as their signatures tell.
+    """
     keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text")))
-    table = store.written(with_fingerprint(keyed, ["doc_id", "_key"]), "fingerprints")
+    table = store.written(with_signature(keyed, ["doc_id", "_key"]), "signatures")
+    placed = table.select(F.explode("anchors").alias("anchor"), *_NUMBERS).distinct()
+    roots = store.written(graph.components(met(placed, threshold)), "roots")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("_key").alias("key"))
-    per = table.groupBy("fp").agg(F.min(order).alias("first"))
-    roots = store.written(clusters(per), "roots")
-    kept = per.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key"))
+    per = table.groupBy("node").agg(F.min(order).alias("first"))
+    kept = per.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key"))
     return keyed.join(kept, "_key").dropDuplicates(["_key"]).select(*docs.columns)
