@@ -67,7 +67,7 @@ def furniture_events(sweeps: DataFrame, k: float = 4.0, least: float = 0.2, min_
 
 def health(sweeps: DataFrame, worst: int = 8) -> DataFrame:
     """Per sensor: sweeps, span in seconds, usable share, and its ``worst`` least stable bins."""
-    span = F.unix_micros(F.max("ts")) / 1e6 - F.unix_micros(F.min("ts")) / 1e6
+    span = F.unix_micros(F.max("ts").cast("timestamp")) / 1e6 - F.unix_micros(F.min("ts").cast("timestamp")) / 1e6
     whole = sweeps.groupBy("sensor_id").agg(F.countDistinct("ts").alias("sweeps"), span.alias("span_s"), F.avg(F.col("usable").cast("double")).alias("usable_frac"))
     ratio = bin_stats(sweeps).withColumn("rel", F.col("sigma") / F.col("med"))
     place = F.row_number().over(W.partitionBy("sensor_id").orderBy(F.desc("rel"), "range_bin"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,6 +45,10 @@ def top_points(points: DataFrame, keys: list[str], k: int = 5, value: str = "z",
     return kept.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(value).alias("v"), F.col(order).alias("o")))).alias("top"))
 
 
+def _picker(i: int) -> Callable[[Column], Column]:
+    return lambda row: F.element_at(row, i + 1)
+
+
 def frame_windows(frames: DataFrame, keys: list[str], frame: str, features: list[str], size: int = 8, feature_major: bool = True) -> DataFrame:
     """``size`` consecutive frames as one vector; a gap in the frame numbers gives none.
 
@@ -53,7 +59,7 @@ def frame_windows(frames: DataFrame, keys: list[str], frame: str, features: list
     whole = frames.withColumns({"_rows": rows, "_first": F.min(frame).over(window)}).where((F.size("_rows") == size) & (F.col(frame) - F.col("_first") == size - 1))
     vector = F.flatten("_rows")
     if feature_major:
-        vector = F.flatten(F.array(*(F.transform("_rows", lambda r, i=i: F.element_at(r, i + 1)) for i in range(len(features)))))
+        vector = F.flatten(F.array(*(F.transform("_rows", _picker(i)) for i in range(len(features)))))
     return whole.select(*keys, frame, vector.alias("vector"))
 
 
