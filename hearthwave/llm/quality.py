@@ -30,7 +30,7 @@ STATISTICS = (
     "breaks", "wide_bytes", "repeats", "near_repeats",
 )
 N = len(STATISTICS)
-#: Rows of labelled documents from which the logistic line is fitted; the means and covariances use all rows.
+#: Rows of labelled documents from which the logistic line is fitted, about; the means and covariances use all rows.
 LINE_ROWS = 20_000
 
 _KIND = np.zeros(256, dtype=np.int64)
@@ -135,7 +135,7 @@ def fit(rows: DataFrame, pooled: float = 0.3, ridge: float = 0.05, line_rows: in
     """From rows (y 0/1, x statistics).
 
     pooled: weight of the pooled covariance in each class's own. ridge: weight of the mean variance times the
-    identity in that. line_rows: most rows from which the logistic line is fitted.
+    identity in that. line_rows: rows from which the logistic line is fitted, about, taken by their hash.
     """
     by = moments(rows)
     counts = {y: by[y][0] if y in by else 0.0 for y in (0, 1)}
@@ -152,7 +152,8 @@ def fit(rows: DataFrame, pooled: float = 0.3, ridge: float = 0.05, line_rows: in
         shrunk = (1 - ridge) * shrunk + ridge * (np.trace(shrunk) / N + 1e-9) * np.eye(N)
         factors.append(np.linalg.cholesky(shrunk))
     model = Discriminant(means, np.stack(factors), np.array([2 * np.log(np.diag(f)).sum() for f in factors]), math.log(counts[1] / counts[0]))
-    sample = rows.select("y", "x", F.xxhash64("x").alias("o")).orderBy("o").limit(line_rows).toPandas()
+    share = min(1.0, line_rows / sum(counts.values()))
+    sample = rows.where(F.pmod(F.xxhash64("x"), F.lit(1_000_000)) < math.ceil(1_000_000 * share)).toPandas()  # about line_rows rows
     z, y = np.clip(model.log_odds(np.stack(sample["x"].to_numpy())), -200, 200), sample["y"].to_numpy().astype(float)
     slope, shift = line(z, y)
     return Discriminant(model.means, model.factors, model.log_dets, model.odds, slope, shift)
