@@ -23,7 +23,7 @@ from . import store
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
 #: Rows of one source whose order one task decides, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 SEED = "mix"
 
 
