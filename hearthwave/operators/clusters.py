@@ -114,7 +114,7 @@ def hot_regions(ratio: DataFrame, keys: list[str], hot: Column, least: int = 3)
 def detect_objects(points: DataFrame, keys: list[str], cell: float = 0.1, dense: int = 10, floor: float = 0.0, floor_band: float = 0.15, eps: float = 0.35, least: int = 5) -> DataFrame:
     """The whole furniture pass: ghosts out, stable cells, the floor out, clusters, boxes, labels."""
     cells = v.stable_voxels(points, keys, cell, dense, floor).where(F.col("z") >= floor_band)
-    nodes = cells.withColumn("node", (F.col("ix") + 50_000) * 10_000_000_000 + (F.col("iy") + 50_000) * 100_000 + F.col("iz"))
+    nodes = cells.withColumn("node", ((F.col("ix") + 50_000).cast("long") * 100_000 + F.col("iy") + 50_000) * 100_000 + F.col("iz"))
     return v.boxes(dbscan(nodes.select(*keys, "node", "x", "y", "z"), keys, "node", eps, least), keys)
 
 

@@ -43,14 +43,14 @@ def bin_range(range_bin: Column, step: float = RANGE_STEP) -> Column:
     return range_bin * step
 
 
-def ground_range(slant: Column, height: float = 2.0) -> Column:
-    """Range on the floor under a slant range, 0.3 m at least."""
-    return F.sqrt(F.greatest(slant * slant - height * height, F.lit(0.09)))
+def ground_range(slant: Column, drop: float = 1.2) -> Column:
+    """Range on the floor under a slant range to something ``drop`` metres below the sensor, 0.3 m at least."""
+    return F.sqrt(F.greatest(slant * slant - drop * drop, F.lit(0.09)))
 
 
-def to_floor(slant: Column, az_deg: Column, scale: float = 1.0, offset_deg: float = 0.0, height: float = 2.0) -> dict[str, Column]:
+def to_floor(slant: Column, az_deg: Column, scale: float = 0.684, offset_deg: float = 9.21, drop: float = 1.2) -> dict[str, Column]:
     """x and y on the floor, after the azimuth's calibration."""
-    g, a = ground_range(slant, height), F.radians(az_deg * scale + offset_deg)
+    g, a = ground_range(slant, drop), F.radians(az_deg * scale + offset_deg)
     return {"x": g * F.sin(a), "y": g * F.cos(a)}
 
 

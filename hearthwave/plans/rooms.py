@@ -33,7 +33,7 @@ def spherical_points(spark: SparkSession, d: str) -> DataFrame:
     return p.select("capture_id", "frame", "k", *(e.alias(n) for n, e in g.spherical(F.col("y"), F.col("x"), F.col("z")).items()))
 
 
-@query(f"{POINTS} SELECT capture_id, frame, k, R(sqrt(greatest(y * y - 4.0, 0.09)) * sin(radians(x * 20))) AS x, R(sqrt(greatest(y * y - 4.0, 0.09)) * cos(radians(x * 20))) AS y, CASE WHEN x * 20 < -10 THEN 'LEFT' WHEN x * 20 > 10 THEN 'RIGHT' ELSE 'CENTER' END AS side FROM points")
+@query(f"{POINTS} SELECT capture_id, frame, k, R(sqrt(greatest(y * y - 1.44, 0.09)) * sin(radians(x * 20 * 0.684 + 9.21))) AS x, R(sqrt(greatest(y * y - 1.44, 0.09)) * cos(radians(x * 20 * 0.684 + 9.21))) AS y, CASE WHEN x * 20 < -10 THEN 'LEFT' WHEN x * 20 > 10 THEN 'RIGHT' ELSE 'CENTER' END AS side FROM points")
 def floor_positions(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
     return p.select("capture_id", "frame", "k", *(e.alias(n) for n, e in g.to_floor(F.col("y"), F.col("x") * 20).items()), g.side(F.col("x") * 20).alias("side"))
