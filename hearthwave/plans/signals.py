@@ -122,10 +122,11 @@ def fall_episodes(spark: SparkSession, d: str) -> DataFrame:
     return jobs.in_batch(rows, ["user_id"], ["t", "event_id"], step, "user_id long, t double, event_id long, phase string, red boolean, event boolean, ask long, events long")
 
 
-def _blob(frame: int, rows: pd.DataFrame) -> bytes:
-    body = rows[["x", "y", "z", "doppler"]].astype("<f4").to_numpy().tobytes()
+def blob(frame: int, points_: np.ndarray) -> bytes:
+    """One frame of detected points (n, 4) as it comes over the wire."""
+    body = points_.astype("<f4").tobytes()
     total = wire.HEADER + 8 + len(body)
-    return wire.MAGIC + struct.pack("<9I", 1, total, 0, frame, 0, len(rows), 0, 1, 0) + struct.pack("<2I", 1, len(body)) + body
+    return wire.MAGIC + struct.pack("<9I", 1, total, 0, frame, 0, len(points_), 0, 1, 0) + struct.pack("<2I", 1, len(body)) + body
 
 
 @query(f"{POINTS} SELECT capture_id::VARCHAR AS path, frame, R(x::FLOAT) AS x, R(y::FLOAT) AS y, R(z::FLOAT) AS z, R(doppler::FLOAT) AS doppler FROM points", 5)
@@ -134,8 +135,11 @@ def decoded_points(spark: SparkSession, d: str) -> DataFrame:
 
     def encode(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            out = [(str(c), _blob(int(f), own)) for (c, f), own in pdf.groupby(["capture_id", "frame"])]
-            yield pd.DataFrame(out, columns=["path", "content"])
+            ordered = pdf.sort_values(["capture_id", "frame"])
+            at, values = ordered[["capture_id", "frame"]].to_numpy(), ordered[["x", "y", "z", "doppler"]].to_numpy()
+            first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]).any(1)]) if len(at) else np.zeros(0, int)
+            ends = np.r_[first[1:], len(at)]
+            yield pd.DataFrame({"path": [str(at[s, 0]) for s in first], "content": [blob(int(at[s, 1]), values[s:e]) for s, e in zip(first, ends, strict=True)]})
 
     blobs = points(spark, d).mapInPandas(encode, "path string, content binary")
     return wire.table(wire.decode_blobs(blobs), "point", ["x", "y", "z", "doppler"])
