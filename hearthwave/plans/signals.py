@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import directions as dr
+from ..operators import features as ft
 from ..operators import mldata as ml
 from ..operators import moments as m
+from ..operators import scene as sc
 from ..operators import vitals as v
 from ..operators.evaluation import rate_vote, trimmed_mean
 from ..sources import frames as wire
 from ..streaming import jobs, steps
+from .arrays import COV
 from .motion import ON_EVENTS
 from .registry import query
 from .standins import EVENTS, POINTS, events, points, snapshots
@@ -164,3 +167,78 @@ def perceptron_chances(spark: SparkSession, d: str) -> DataFrame:
     rows = points(spark, d).select("capture_id", "frame", "k", F.array("x", "y", "z", "doppler").alias("vector"))
     found = ml.apply_perceptron(rows, weights, ["capture_id", "frame", "k"])
     return found.select("capture_id", "frame", "k", *(F.col("chances")[i].alias(f"p{i}") for i in range(3)))
+
+
+@query()
+def body_parts(spark: SparkSession, d: str) -> DataFrame:
+    return ft.per_bin(_slow_time(spark, d), ["capture_id"], ft.body_parts, ft.PARTS, 10.0, 10.0)
+
+
+@query()
+def bin_liveness(spark: SparkSession, d: str) -> DataFrame:
+    return ft.per_bin(_slow_time(spark, d), ["capture_id"], ft.liveness, ft.LIVE, 10.0, 10.0)
+
+
+@query()
+def burst_states(spark: SparkSession, d: str) -> DataFrame:
+    return ft.per_bin(_slow_time(spark, d), ["capture_id"], ft.burst_state, ft.BURST, 10.0, 10.0)
+
+
+@query()
+def spectrograms(spark: SparkSession, d: str) -> DataFrame:
+    return ft.spectrogram_table(_slow_time(spark, d), ["capture_id"], 64, 32)
+
+
+@query(f"""{POINTS}, p AS (SELECT capture_id % 20 AS label_id, frame % 7 AS frame, x, y AS wy, z AS wz, capture_id % 6 * 1.0::DOUBLE AS bin_m FROM points), m AS (SELECT *, abs(wy - bin_m) < 0.5 AS near FROM p),
+e AS (SELECT label_id, count(*) FILTER (near) >= 4 AS enough, count(*) AS n_all FROM m GROUP BY ALL), u AS (SELECT m.* FROM m JOIN e USING (label_id) WHERE (near OR NOT enough) AND n_all >= 4), c AS (SELECT label_id, stddev_pop(c) AS micro FROM (SELECT label_id, frame, count(*) AS c FROM u GROUP BY ALL) GROUP BY label_id)
+SELECT label_id, count(*) AS n, R(quantile_cont(wz, 0.9)) AS hi2, R(quantile_cont(wz, 0.5)) AS med, R(avg((wz < 0.4)::INT)) AS floor_frac, R(max(x) - min(x)) AS x_span, R(max(wy) - min(wy)) AS y_span, R((max(wz) - min(wz)) / greatest(max(x) - min(x), 0.1)) AS flat, R(any_value(micro)) AS micro FROM u JOIN c USING (label_id) GROUP BY label_id""")
+def label_cloud_features(spark: SparkSession, d: str) -> DataFrame:
+    p = points(spark, d).select((F.col("capture_id") % 20).alias("label_id"), (F.col("frame") % 7).alias("frame"), "x", F.col("y").alias("wy"), F.col("z").alias("wz"), ((F.col("capture_id") % 6) * 1.0).alias("bin_m"))
+    return ft.cloud_features(p, ["label_id"], "bin_m")
+
+
+@query(f"""{POINTS}, p AS (SELECT capture_id % 20 AS label_id, (frame % 50) * 0.1::DOUBLE AS ts, y AS wy, z AS wz FROM points), r AS (SELECT label_id, ts, median(wz) AS h FROM p WHERE abs(wy - 3.0) < 0.6 GROUP BY ALL HAVING count(*) >= 3), s AS (SELECT *, (h - lag(h) OVER w) / greatest(ts - lag(ts) OVER w, 0.05) AS s FROM r WINDOW w AS (PARTITION BY label_id ORDER BY ts))
+SELECT label_id, R(CASE WHEN count(*) >= 3 THEN min(s) END) AS drop_rate, R(CASE WHEN count(*) >= 3 THEN max(h) - min(h) END) AS h_range, count(*) AS n_traj FROM s GROUP BY label_id""")
+def label_height_features(spark: SparkSession, d: str) -> DataFrame:
+    p = points(spark, d).select((F.col("capture_id") % 20).alias("label_id"), ((F.col("frame") % 50) * 0.1).alias("ts"), F.col("y").alias("wy"), F.col("z").alias("wz"), F.lit(3.0).alias("bin_m"))
+    return ft.height_features(p, ["label_id"], "ts", "bin_m")
+
+
+def _covs(spark: SparkSession, d: str, **options) -> DataFrame:
+    return m.covariances(snapshots(spark, d), BIN, **options)
+
+
+@query(f"{COV}, ok AS (SELECT * FROM cov WHERE capture_id <> 2 OR abs(range_bin - 4) > 3) SELECT range_bin, i, j, R(avg(re)) AS re, R(avg(im)) AS im, count(DISTINCT capture_id) AS captures FROM ok GROUP BY range_bin, i, j")
+def accumulated_covariance(spark: SparkSession, d: str) -> DataFrame:
+    cells = _covs(spark, d).withColumn("sensor_id", F.lit(0))
+    persons = cells.where("capture_id = 2").select("sensor_id", "capture_id", F.lit(4).alias("person_bin")).distinct()
+    return sc.accumulated(cells, persons, ["sensor_id"]).drop("sensor_id")
+
+
+@query()
+def motion_source(spark: SparkSession, d: str) -> DataFrame:
+    cells = _covs(spark, d, fluctuation=True)
+    base = cells.where("capture_id = 3").drop("capture_id").withColumn("capture_id", F.lit(0).cast("long"))
+    return sc.motion_source(cells.where("capture_id = 0"), base, ["capture_id"])
+
+
+@query()
+def changed_points(spark: SparkSession, d: str) -> DataFrame:
+    cells = _covs(spark, d).withColumn("range_bin", F.col("range_bin") + 100)
+    base, event = (cells.where(F.col("capture_id") == c).drop("capture_id").withColumn("sensor_id", F.lit(0)) for c in (0, 1))
+    return sc.changed_points(base, event, ["sensor_id"])
+
+
+@query()
+def energy_boxes(spark: SparkSession, d: str) -> DataFrame:
+    grid = points(spark, d).groupBy((F.col("capture_id") % 5).alias("capture_id"), F.floor(F.col("x") / 0.1).cast("int").alias("ix"), F.floor(F.col("y") / 0.1).cast("int").alias("iy")).agg(F.sum("power").alias("power"))
+    return sc.merged(sc.energy_boxes(grid, ["capture_id"]), ["capture_id"], gap=0.0)
+
+
+@query()
+def posture_scores(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import baseline as b
+    from .drift import _mags
+
+    var = _mags(spark, d).groupBy("sensor_id", "range_bin").agg(F.var_pop(F.col("mag") * 70).alias("var")).withColumn("cal", F.lit(3500.0))
+    return ft.posture_score(b.presence_bands(var, ["sensor_id"], strong=24000.0, ratio=6.0), var.groupBy("sensor_id").agg(F.sum("var").alias("total")), ["sensor_id"])

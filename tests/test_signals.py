@@ -125,12 +125,16 @@ def test_pauses_and_segments(spark):
     assert [k for _, k in kinds] == ["still", "active", "still"]
 
 
+# Differences from the watch in 30 published validation windows, sitting and lying.
+SIT = [1.7, -4.6, -0.7, -2.3, -0.8, -3.8, -5.2, -1.8, -0.2, 0.4, -0.2, -1.6, -0.9, -2.2, -1.6, -10.6]
+LIE = [-0.9, -1.6, -1.3, 0.3, 0.5, 1.4, 0.1, 0.0, -0.1, -0.8, 0.0, 0.0, 0.1, 0.3]
+
+
 def test_published_errors(spark):
-    """30 validation windows: the published means of the differences."""
-    sit = [-4.4, -0.9, -3.3, -2.6, -1.8, -2.5, -1.9, -3.2]
-    df = spark.createDataFrame([("SIT", d) for d in sit] + [("LIE", 0.5), ("LIE", -0.5)], "segment string, d double")
-    got = {r["segment"]: r for r in evaluation.errors(df, "segment", "d", 3.0).collect()}
-    assert got["SIT"]["mae"] == pytest.approx(np.mean(np.abs(sit))) and got["LIE"]["bias"] == 0 and got["all"]["n"] == 10
+    df = spark.createDataFrame([("SIT", d) for d in SIT] + [("LIE", d) for d in LIE], "segment string, d double")
+    got = {r["segment"]: r for r in evaluation.errors(df, "segment", "d", 5.0).collect()}
+    assert round(got["SIT"]["mae"], 3) == 2.412 and round(got["LIE"]["mae"], 3) == 0.529
+    assert got["all"]["n"] == 30 and round(got["all"]["mae"], 3) == 1.533 and round(got["all"]["bias"], 3) == -1.213
 
 
 def test_models(spark):
