@@ -90,7 +90,7 @@ def cell_components(cells: DataFrame, keys: list[str], dims: list[str]) -> DataF
     return components(numbered, edges, keys, "_id").drop("_id")
 
 
-def change_events(change: DataFrame, keys: list[str], rel: float = 0.3, least: int = 2, fall_z: float = 0.6, cell: float = 0.3, origin: tuple = (-3.0, 0.0, -0.1)) -> DataFrame:
+def change_events(change: DataFrame, keys: list[str], rel: float = 0.3, least: int = 2, fall_z: float = 0.4, cell: float = 0.3, origin: tuple = (-3.0, 0.0, -0.1)) -> DataFrame:
     """Regions of gain (appeared) and loss (gone) above ``rel`` of the peak change: weighted centre, magnitude, cells.
 
     An appeared region whose centre is below ``fall_z`` is in the fall zone.

@@ -80,26 +80,48 @@ def height_trend(frames: DataFrame, keys: list[str], ts: str, h: str, min_dt: fl
     return frames.withColumn("_s", slope).groupBy(*keys).agg(F.min("_s").alias("min_slope"), (F.max(h) - F.min(h)).alias("h_range"))
 
 
-def auto_label(frames: DataFrame, keys: list[str], frame: str, h: str, size: int = 8, drop: float = 0.4, net: float = 0.25, low: float = 0.5) -> DataFrame:
-    """falling, lying or upright from the last ``size`` heights: the drop from their peak and from their first."""
+def auto_label(frames: DataFrame, keys: list[str], frame: str, h: str, v: str, size: int = 8, drop: float = -1.5, net: float = 0.30, stood: float = 0.60, sat: float = 0.15) -> DataFrame:
+    """falling, stood, sat or lying from the last ``size`` frames: the fastest descent (speed ``v``), the net one, the height."""
     window = W.partitionBy(*keys).orderBy(frame).rowsBetween(-(size - 1), 0)
-    rows = frames.withColumns({"_peak": F.max(h).over(window) - F.min(h).over(window), "_net": F.first(h).over(window) - F.last(h).over(window), "_n": F.count(h).over(window)}).where(F.col("_n") == size)
-    label = F.when((F.col("_peak") >= drop) & (F.col("_net") >= net), "falling").when(F.col(h) < low, "lying").otherwise("upright")
+    rows = frames.withColumns({"_peak": F.min(v).over(window), "_net": F.first(h).over(window) - F.last(h).over(window), "_n": F.count(h).over(window)}).where(F.col("_n") == size)
+    label = F.when((F.col("_peak") < drop) & (F.col("_net") > net), "falling").when(F.col(h) > stood, "stood").when(F.col(h) > sat, "sat").otherwise("lying")
     return rows.select(*keys, frame, label.alias("label"))
 
 
-def lie_chance(weights: dict[str, tuple[float, float, float]], bias: float, logged: tuple[str, ...] = ()) -> Column:
-    """Logistic score of lying: by feature its mean (which stands in for a null), scale and weight; some as log(1 + x)."""
+# Mean, scale, weight, what stands in for a null, and whether log(1 + x) is taken; then the bias.
+LIE = {
+    "hi2": (0.62, 0.7666800084090608, -0.9829643762248325, 2.0, False),
+    "floor_frac": (0.5624705882352941, 0.47229989446475495, 1.0161303869375549, 0.0, False),
+    "micro": (6.565294117647059, 5.018890336280765, 0.2009435855096036, 0.0, False),
+    "y_span": (0.497, 0.33467701726045207, 0.5890826781478072, 0.0, False),
+    "n": (6.103751424492684, 2.1752012345999066, -0.35882379443416196, 0.0, True),
+}
+LIE_BIAS = 0.5370608839809906
+
+
+def lie_chance(weights: dict[str, tuple[float, float, float, float, bool]] | None = None, bias: float = LIE_BIAS) -> Column:
+    """Logistic score of lying on the floor from a label window's features."""
     total = F.lit(bias)
-    for name, (mean, scale, weight) in weights.items():
-        value = F.log1p(F.greatest(F.col(name), F.lit(0.0))) if name in logged else F.col(name)
-        total = total + (F.coalesce(value, F.lit(mean)) - mean) / scale * weight
+    for name, (mean, scale, weight, instead, logged) in (weights or LIE).items():
+        value = F.coalesce(F.col(name).cast("double"), F.lit(instead))
+        total = total + ((F.log1p(value) if logged else value) - mean) / (scale or 1.0) * weight
     return 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), total))))
 
 
 def flatness(sx: Column, sy: Column, sz: Column) -> Column:
-    """How flat a cloud lies: 1 for no height against its larger side, 0 for as high as wide or higher."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - sz / F.greatest(sx, sy, F.lit(0.05))))
+    """How flat a cloud lies: 1 for no height against its larger side, 0 from 1.3 times as high as wide."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1.3 - sz / F.greatest(sx, sy, F.lit(0.05))) / 1.3))
+
+
+def fall_fusion(falling_p: Column, down: Column, cloud_z: Column, below: Column, breathing: Column, flat: Column, floor_fall: Column, floor_z: float = 0.4) -> Column:
+    """Fall probability from weighted evidence; the floor alone makes 0.6, and without breathing it counts 0.7."""
+
+    def unit(c: Column) -> Column:
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+
+    low = F.coalesce(unit((floor_z - cloud_z) / 0.7), F.lit(0.0))
+    total = 0.22 * F.coalesce(falling_p, F.lit(0.0)) + F.when(down, 0.20).otherwise(0.0) + 0.22 * low + 0.18 * unit(below / 0.8) + 0.18 * flat
+    return unit(F.when(floor_fall, F.greatest(total, F.lit(0.6))).otherwise(total)) * F.when(breathing, 1.0).otherwise(0.7)
 
 
 def cube_verdict(rr: Column, strength: Column, motion_frac: Column, ratio: Column, frac: Column) -> Column:
@@ -112,8 +134,9 @@ def cube_verdict(rr: Column, strength: Column, motion_frac: Column, ratio: Colum
 
 def heart_trust(hr: Column, strength: Column, rr: Column) -> Column:
     """none, weak, harmonic (within 5 beats of a multiple of the breathing rate) or ok."""
-    near = F.exists(F.sequence(F.lit(2), F.lit(8)), lambda k: F.abs(hr - k * rr) <= 5)
-    return F.when(hr.isNull(), "none").when(strength < 0.30, "weak").when(rr.isNotNull() & near, "harmonic").otherwise("ok")
+    k = F.rint(hr / F.when(rr > 0, rr))
+    near = F.coalesce((k >= 1) & (F.abs(hr - k * rr) <= 5), F.lit(False))
+    return F.when(hr.isNull(), "none").when(F.coalesce(strength, F.lit(0.0)) < 0.30, "weak").when(near, "harmonic").otherwise("ok")
 
 
 def label_class(text: Column) -> Column:
@@ -127,11 +150,16 @@ def label_class(text: Column) -> Column:
         return found
 
     return (
-        F.when(has("empty", "空"), "empty").when(has("half-kneel", "half kneel", "半跪"), "half_kneel").when(has("side", "侧"), "side_fall")
-        .when(has("lie", "lying", "躺"), "lie").when(has("stand", "sit", "walk", "站", "坐", "走"), "upright")
+        F.when(has("empty", "无人", "空"), "empty").when(has("half-kneel", "半跪", "kneel-halfside", "跪式半侧"), "boundary").when(has("curl-sidefall", "侧倒"), "collapse")
+        .when(has("lie", "躺"), "lie").when(has("stand", "站", "sit", "坐"), "upright").otherwise("unknown")
     )
 
 
+def label_target(name: Column) -> Column:
+    """1 for lying and collapsed, 0 for upright and empty, -1 for what is not to be learned from."""
+    return F.when(name.isin("lie", "collapse"), 1).when(name.isin("empty", "upright"), 0).otherwise(-1)
+
+
 def cleaned(frames: DataFrame, keys: list[str], order: str, persist: int = 10, floor_frac_min: float = 0.7, confirm: float = 0.45, require_cube: bool = False) -> DataFrame:
     """Fall, suspected or collapse from all evidence of a frame; only the trigger's run looks back.
 

@@ -85,7 +85,7 @@ def moving_covariances(z: np.ndarray, fps: float, lo: float = 0.1, hi: float = 3
     return np.einsum("cti,ctj->cij", moving, moving.conj()) / z.shape[1], (np.abs(moving) ** 2).mean(axis=(1, 2))
 
 
-def motion_pose(points: DataFrame, keys: list[str], floor_z: float = 0.4, fall: float = 0.7, stand: float = 1.2) -> DataFrame:
+def motion_pose(points: DataFrame, keys: list[str], floor_z: float = 0.4, fall: float = 0.7, stand: float = 2.6) -> DataFrame:
     """Posture from moving points (keys, z, power): fall by the share near the floor, stand or sit by the 90th percentile."""
     from .voxels import weighted_height
 
@@ -157,7 +157,7 @@ def _spectrogram(bins: np.ndarray, z: np.ndarray, fps: float, size: int, hop: in
     return out
 
 
-def posture_score(bands: DataFrame, totals: DataFrame, keys: list[str], absent: float = 500.0, standing: float = 20_000.0, lying: float = 8_000.0, wide: int = 12, narrow: int = 8) -> DataFrame:
+def posture_score(bands: DataFrame, totals: DataFrame, keys: list[str], absent: float = 3000.0, standing: float = 40_000.0, lying: float = 35_000.0, wide: int = 5, narrow: int = 4) -> DataFrame:
     """standing, lying, unknown or absent from the total variance (column total) and the bands' widths, with a score."""
     per = bands.groupBy(*keys).agg(F.sum(F.col("bin_end") - F.col("bin_start")).alias("_w"), F.sum(F.when(F.col("tier") == "weak", F.col("bin_end") - F.col("bin_start")).otherwise(0)).alias("_weak"))
     rows = totals.join(per, keys, "left").fillna(0, ["_w", "_weak"])

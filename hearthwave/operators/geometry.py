@@ -55,8 +55,8 @@ def to_floor(slant: Column, az_deg: Column, scale: float = 0.684, offset_deg: fl
 
 
 def range_height(rng: Column, height: float = 2.0, tilt_deg: float = 35.0) -> Column:
-    """Height of a point straight ahead at that slant range."""
-    return height - rng * math.sin(math.radians(tilt_deg))
+    """Height at that slant range along the sensor's axis, the tilt being measured from the vertical."""
+    return height - rng * math.cos(math.radians(tilt_deg))
 
 
 def voxel_index(x: Column, y: Column, z: Column, cell: float = CELL, x0: float = -2.0) -> dict[str, Column]:
@@ -107,7 +107,7 @@ def pose(length: Column, vertical: Column, energy_z: Column | None = None) -> Co
     return F.when(first == "LIE", "LIE").when(energy_z >= 0.85, "STAND").when(energy_z <= 0.55, "SIT").otherwise(first)
 
 
-def side(deg: Column, limit: float = 10.0) -> Column:
+def side(deg: Column, limit: float = 6.0) -> Column:
     return F.when(deg < -limit, "LEFT").when(deg > limit, "RIGHT").otherwise("CENTER")
 
 

@@ -21,7 +21,7 @@ def live_files(tracks: DataFrame, key: str = "file", least: float = 0.10) -> Dat
     return tracks.join(good, key, "left_semi")
 
 
-def sane_tracks(tracks: DataFrame, z: tuple[float, float] = (-3.0, 3.0), limit: float = 1e3) -> DataFrame:
+def sane_tracks(tracks: DataFrame, z: tuple[float, float] = (-4.0, 3.0), limit: float = 1e3) -> DataFrame:
     """Tracker rows with a possible height and possible speeds and accelerations."""
     ok = F.col("posz").between(*z)
     for c in ("velx", "vely", "velz", "accx", "accy", "accz"):
@@ -29,9 +29,9 @@ def sane_tracks(tracks: DataFrame, z: tuple[float, float] = (-3.0, 3.0), limit:
     return tracks.where(ok & ~F.isnan("posz"))
 
 
-def gated_points(points: DataFrame, tracks: DataFrame, keys: list[str], dy: float = 0.75, z: tuple[float, float] = (-2.0, 2.0), least: int = 5) -> DataFrame:
+def gated_points(points: DataFrame, tracks: DataFrame, keys: list[str], dy: tuple[float, float] = (-4.0, 5.0), z: tuple[float, float] = (-4.0, 3.0), least: int = 5) -> DataFrame:
     """Points near their track along y and within heights, of rows that keep ``least`` of them."""
-    near = points.join(tracks.select(*keys, "posy"), keys).where((F.abs(F.col("y") - F.col("posy")) <= dy) & F.col("z").between(*z)).drop("posy")
+    near = points.join(tracks.select(*keys, "posy"), keys).where((F.col("y") - F.col("posy")).between(*dy) & F.col("z").between(*z)).drop("posy")
     counts = near.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
     return near.join(counts, keys, "left_semi")
 

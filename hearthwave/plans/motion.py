@@ -94,9 +94,12 @@ def kinematics(spark: SparkSession, d: str) -> DataFrame:
     return f.kinematics(_centres(spark, d), ["capture_id"], "frame")
 
 
-@query(f"{CENTRES}, w AS (SELECT capture_id, frame, z, max(z) OVER w - min(z) OVER w AS pk, first(z) OVER w - last(z) OVER w AS net, count(z) OVER w AS n FROM c WINDOW w AS (PARTITION BY capture_id ORDER BY frame ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)) SELECT capture_id, frame, CASE WHEN pk >= 0.3 AND net >= 0.1 THEN 'falling' WHEN z < 1.15 THEN 'lying' ELSE 'upright' END AS label FROM w WHERE n = 8")
+@query(f"{CENTRES}, v AS (SELECT capture_id, frame, z, coalesce((z - lag(z) OVER (PARTITION BY capture_id ORDER BY frame)) * 10, 0) AS v FROM c), w AS (SELECT capture_id, frame, z, min(v) OVER w AS pk, first(z) OVER w - last(z) OVER w AS net, count(z) OVER w AS n FROM v WINDOW w AS (PARTITION BY capture_id ORDER BY frame ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)) SELECT capture_id, frame, CASE WHEN pk < -1.5 AND net > 0.05 THEN 'falling' WHEN z > 1.2 THEN 'stood' WHEN z > 1.1 THEN 'sat' ELSE 'lying' END AS label FROM w WHERE n = 8")
 def auto_label(spark: SparkSession, d: str) -> DataFrame:
-    return f.auto_label(_centres(spark, d), ["capture_id"], "frame", "z", drop=0.3, net=0.1, low=1.15)
+    from pyspark.sql import Window as W
+
+    moved = (F.col("z") - F.lag("z").over(W.partitionBy("capture_id").orderBy("frame"))) * 10
+    return f.auto_label(_centres(spark, d).withColumn("v", F.coalesce(moved, F.lit(0.0))), ["capture_id"], "frame", "z", "v", net=0.05, stood=1.2, sat=1.1)
 
 
 @query(f"{CENTRES}, s AS (SELECT capture_id, z, (z - lag(z) OVER w) / (frame - lag(frame) OVER w) AS s FROM c WINDOW w AS (PARTITION BY capture_id ORDER BY frame)) SELECT capture_id, R(min(s)) AS min_slope, R(max(z) - min(z)) AS h_range FROM s GROUP BY capture_id")
@@ -137,17 +140,22 @@ def floor_heights(spark: SparkSession, d: str) -> DataFrame:
     return f.above_floor(p, f.floor_map(p, ["capture_id"]), ["capture_id"]).select("capture_id", "frame", "k", "power", "h")
 
 
-#: mean, scale and weight of each feature: values for the stand-in, not a fitted model.
-WEIGHTS = {"n": (5.0, 2.0, 0.5), "z_med": (1.0, 0.5, -1.5), "floor_frac": (0.3, 0.2, 2.0)}
+LIE_SUM = " + ".join(f"({f'ln(1 + coalesce({n}, {i}))' if log else f'coalesce({n}, {i})'} - {m!r}::DOUBLE) / {sc!r}::DOUBLE * {w!r}::DOUBLE" for n, (m, sc, w, i, log) in f.LIE.items())
 
 
-@query(f"""{POINTS}, c AS (SELECT capture_id, k, count(*) AS n, quantile_cont(z, 0.5) AS z_med, avg(CASE WHEN k = 1 THEN NULL ELSE (z < 0.4)::INT END) AS floor_frac FROM points GROUP BY ALL),
-s AS (SELECT *, -0.2 + (coalesce(ln(1 + greatest(n, 0)), 5.0) - 5.0) / 2.0 * 0.5 + (coalesce(z_med, 1.0) - 1.0) / 0.5 * -1.5 + (coalesce(floor_frac, 0.3) - 0.3) / 0.2 * 2.0 AS s FROM c) SELECT capture_id, k, R(1 / (1 + exp(-greatest(-40, least(40, s))))) AS p_lie FROM s""")
+@query(f"""{POINTS}, c AS (SELECT capture_id, k, count(*) AS n, CASE WHEN k > 1 THEN quantile_cont(z, 0.9) END AS hi2, avg((z < 0.4)::INT) AS floor_frac, max(y) - min(y) AS y_span, stddev_pop(z) AS micro FROM points GROUP BY capture_id, k),
+s AS (SELECT *, {f.LIE_BIAS!r}::DOUBLE + {LIE_SUM} AS s FROM c) SELECT capture_id, k, R(1 / (1 + exp(-greatest(-40, least(40, s))))) AS p_lie FROM s""")
 def p_lie(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators.voxels import cluster_features
+    c = points(spark, d).groupBy("capture_id", "k").agg(F.count("*").alias("n"), F.percentile("z", 0.9).alias("hi2"), F.avg((F.col("z") < 0.4).cast("double")).alias("floor_frac"), (F.max("y") - F.min("y")).alias("y_span"), F.stddev_pop("z").alias("micro"))
+    return c.withColumn("hi2", F.when(F.col("k") > 1, F.col("hi2"))).select("capture_id", "k", f.lie_chance().alias("p_lie"))
+
 
-    c = cluster_features(points(spark, d), ["capture_id", "k"]).withColumn("floor_frac", F.when(F.col("k") != 1, F.col("floor_frac")))
-    return c.select("capture_id", "k", f.lie_chance(WEIGHTS, -0.2, ("n",)).alias("p_lie"))
+@query(f"""{EVENTS}, e AS (SELECT event_id, (k % 10) / 10.0 AS p, value < 80 AS down, CASE WHEN k % 6 > 0 THEN (k % 8) / 10.0 END AS cz, (k % 9) / 10.0 AS below, k % 3 = 0 AS rr, (k % 7) / 10.0 AS flat, k % 4 = 0 AS ff FROM ev),
+s AS (SELECT *, 0.22 * p + CASE WHEN down THEN 0.2 ELSE 0 END + 0.22 * coalesce(greatest(0, least(1, (0.4 - cz) / 0.7)), 0) + 0.18 * greatest(0, least(1, below / 0.8)) + 0.18 * flat AS s FROM e) SELECT event_id, R(greatest(0, least(1, CASE WHEN ff THEN greatest(s, 0.6) ELSE s END)) * CASE WHEN rr THEN 1.0 ELSE 0.7 END) AS p_fall FROM s""")
+def fall_fusion(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("k")
+    fused = f.fall_fusion((k % 10) / 10.0, F.col("value") < 80, F.when(k % 6 > 0, (k % 8) / 10.0), (k % 9) / 10.0, k % 3 == 0, (k % 7) / 10.0, k % 4 == 0)
+    return events(spark, d).select("event_id", fused.alias("p_fall"))
 
 
 EVIDENCE = {
@@ -170,12 +178,12 @@ def cleaner(spark: SparkSession, d: str) -> DataFrame:
     return f.cleaned(rows, USER, "event_id", persist=2).select("user_id", "event_id", "run", "fall", "collapse", "suspected", "confidence")
 
 
-@query("SELECT doc_id, CASE WHEN t LIKE '%empty%' OR t LIKE '%空%' THEN 'empty' WHEN t LIKE '%half-kneel%' OR t LIKE '%half kneel%' OR t LIKE '%半跪%' THEN 'half_kneel' WHEN t LIKE '%side%' OR t LIKE '%侧%' THEN 'side_fall' WHEN t LIKE '%lie%' OR t LIKE '%lying%' OR t LIKE '%躺%' THEN 'lie' WHEN t LIKE '%stand%' OR t LIKE '%sit%' OR t LIKE '%walk%' OR t LIKE '%站%' OR t LIKE '%坐%' OR t LIKE '%走%' THEN 'upright' END AS label FROM (SELECT doc_id, lower(text) AS t FROM documents)")
+@query("SELECT doc_id, CASE WHEN t LIKE '%empty%' OR t LIKE '%无人%' OR t LIKE '%空%' THEN 'empty' WHEN t LIKE '%half-kneel%' OR t LIKE '%半跪%' OR t LIKE '%kneel-halfside%' OR t LIKE '%跪式半侧%' THEN 'boundary' WHEN t LIKE '%curl-sidefall%' OR t LIKE '%侧倒%' THEN 'collapse' WHEN t LIKE '%lie%' OR t LIKE '%躺%' THEN 'lie' WHEN t LIKE '%stand%' OR t LIKE '%站%' OR t LIKE '%sit%' OR t LIKE '%坐%' THEN 'upright' ELSE 'unknown' END AS label FROM (SELECT doc_id, lower(text) AS t FROM documents)")
 def label_class(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", f.label_class(F.col("text")).alias("label"))
 
 
-@query(f"{EVENTS} SELECT event_id, CASE WHEN hr IS NULL THEN 'none' WHEN s < 0.3 THEN 'weak' WHEN rr IS NOT NULL AND len(list_filter(range(2, 9), lambda m: abs(hr - m * rr) <= 5)) > 0 THEN 'harmonic' ELSE 'ok' END AS trust FROM (SELECT event_id, CASE WHEN k > 5 THEN 40 + k END AS hr, value / 490 AS s, CASE WHEN k % 4 > 0 THEN 10 + k % 17 END AS rr FROM ev)")
+@query(f"{EVENTS} SELECT event_id, CASE WHEN hr IS NULL THEN 'none' WHEN s < 0.3 THEN 'weak' WHEN rr IS NOT NULL AND round_even(hr / rr, 0) >= 1 AND abs(hr - round_even(hr / rr, 0) * rr) <= 5 THEN 'harmonic' ELSE 'ok' END AS trust FROM (SELECT event_id, CASE WHEN k > 5 THEN 40 + k END AS hr, value / 490 AS s, CASE WHEN k % 4 > 0 THEN 10 + k % 17 END AS rr FROM ev)")
 def heart_trust(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("k")
     return events(spark, d).select("event_id", f.heart_trust(F.when(k > 5, 40 + k), F.col("value") / 490, F.when(k % 4 > 0, 10 + k % 17)).alias("trust"))

@@ -33,7 +33,7 @@ def spherical_points(spark: SparkSession, d: str) -> DataFrame:
     return p.select("capture_id", "frame", "k", *(e.alias(n) for n, e in g.spherical(F.col("y"), F.col("x"), F.col("z")).items()))
 
 
-@query(f"{POINTS} SELECT capture_id, frame, k, R(sqrt(greatest(y * y - 1.44, 0.09)) * sin(radians(x * 20 * 0.684 + 9.21))) AS x, R(sqrt(greatest(y * y - 1.44, 0.09)) * cos(radians(x * 20 * 0.684 + 9.21))) AS y, CASE WHEN x * 20 < -10 THEN 'LEFT' WHEN x * 20 > 10 THEN 'RIGHT' ELSE 'CENTER' END AS side FROM points")
+@query(f"{POINTS} SELECT capture_id, frame, k, R(sqrt(greatest(y * y - 1.44, 0.09)) * sin(radians(x * 20 * 0.684 + 9.21))) AS x, R(sqrt(greatest(y * y - 1.44, 0.09)) * cos(radians(x * 20 * 0.684 + 9.21))) AS y, CASE WHEN x * 20 < -6 THEN 'LEFT' WHEN x * 20 > 6 THEN 'RIGHT' ELSE 'CENTER' END AS side FROM points")
 def floor_positions(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
     return p.select("capture_id", "frame", "k", *(e.alias(n) for n, e in g.to_floor(F.col("y"), F.col("x") * 20).items()), g.side(F.col("x") * 20).alias("side"))
@@ -143,7 +143,7 @@ def boxes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{POINTS}, {BOX}, p AS (SELECT *, CASE WHEN greatest(sx, sy) >= 0.9 AND sz < 0.6 THEN 'LIE' WHEN sz >= 1.0 THEN 'STAND' WHEN sz / greatest(greatest(sx, sy), 0.05) > 1.5 THEN 'STAND' WHEN sz / greatest(greatest(sx, sy), 0.05) < 0.7 THEN 'LIE' ELSE 'SIT' END AS p FROM b)
-SELECT capture_id, cluster_id, CASE WHEN p = 'LIE' THEN 'LIE' WHEN cz >= 0.85 THEN 'STAND' WHEN cz <= 0.55 THEN 'SIT' ELSE p END AS pose, R(greatest(0.0, least(1.0, 1 - sz / greatest(sx, sy, 0.05)))) AS flatness FROM p""")
+SELECT capture_id, cluster_id, CASE WHEN p = 'LIE' THEN 'LIE' WHEN cz >= 0.85 THEN 'STAND' WHEN cz <= 0.55 THEN 'SIT' ELSE p END AS pose, R(greatest(0.0, least(1.0, (1.3 - sz / greatest(sx, sy, 0.05)) / 1.3))) AS flatness FROM p""")
 def poses(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.falls import flatness
 

@@ -216,6 +216,6 @@ def test_sources(spark, tmp_path):
 
 
 def test_labels(spark):
-    rows = [("Empty room", "empty"), ("half-kneel on side", "half_kneel"), ("侧躺", "side_fall"), ("lying flat", "lie"), ("sits", "upright"), ("?", None)]
+    rows = [("Empty room", "empty"), ("half-kneel on side", "boundary"), ("侧倒", "collapse"), ("lie flat", "lie"), ("sits", "upright"), ("?", "unknown")]
     df = spark.createDataFrame(rows, "t string, want string")
     assert all(r[0] == r[1] for r in df.select(falls.label_class(F.col("t")), "want").collect())
