@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import cosine
 from ..helpers import angles as a
 from . import geometry as g
 
@@ -110,8 +111,4 @@ def edges(cells: DataFrame, keys: list[str], least: float = 0.2) -> DataFrame:
     packed = cells.groupBy(*keys, "range_bin").agg(F.transform(F.sort_array(F.collect_list(F.struct("az", "el", "power"))), lambda x: x["power"]).alias("v"))
     before = packed.withColumn("_b", F.lag("v").over(W.partitionBy(*keys).orderBy("range_bin")))
 
-    def dot(x: str, y: str):
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
-
-    turn = 1 - dot("v", "_b") / F.greatest(F.sqrt(dot("v", "v")) * F.sqrt(dot("_b", "_b")), F.lit(1e-12))
-    return before.where("_b IS NOT NULL").select(*keys, "range_bin", turn.alias("turn")).withColumn("edge", F.col("turn") >= least)
+    return before.where("_b IS NOT NULL").select(*keys, "range_bin", (1 - cosine("v", "_b")).alias("turn")).withColumn("edge", F.col("turn") >= least)

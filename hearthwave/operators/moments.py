@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.arrays import complex_similarity
+
 
 def capped(entries: DataFrame, keys: list[str], order: list[str], k: int, least: int = 1) -> DataFrame:
     """The first k snapshots of each key, where there are ``least`` or more."""
@@ -101,12 +103,7 @@ def direction_similarity(means: DataFrame, capture: str, keys: list[str]) -> Dat
     other = means.withColumnsRenamed({capture: f"{capture}_b", "re": "re_b", "im": "im_b"})
     pair = means.join(other, keys).where(F.col(capture) < F.col(f"{capture}_b"))
 
-    def dot(x: str, y: str):
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-    real, imag = dot("re", "re_b") + dot("im", "im_b"), dot("im", "re_b") - dot("re", "im_b")
-    norms = F.sqrt(dot("re", "re") + dot("im", "im")) * F.sqrt(dot("re_b", "re_b") + dot("im_b", "im_b"))
-    rows = pair.withColumn("sim", F.sqrt(real * real + imag * imag) / F.greatest(norms, F.lit(1e-12)))
+    rows = pair.withColumn("sim", complex_similarity("re", "im", "re_b", "im_b"))
     return rows.groupBy(capture, f"{capture}_b").agg(F.median("sim").alias("sim"), F.count("*").alias("bins"))
 
 

@@ -133,8 +133,8 @@ LIE = [-0.9, -1.6, -1.3, 0.3, 0.5, 1.4, 0.1, 0.0, -0.1, -0.8, 0.0, 0.0, 0.1, 0.3
 def test_published_errors(spark):
     df = spark.createDataFrame([("SIT", d) for d in SIT] + [("LIE", d) for d in LIE], "segment string, d double")
     got = {r["segment"]: r for r in evaluation.errors(df, "segment", "d", 5.0).collect()}
-    assert round(got["SIT"]["mae"], 3) == 2.412 and round(got["LIE"]["mae"], 3) == 0.529
-    assert got["all"]["n"] == 30 and round(got["all"]["mae"], 3) == 1.533 and round(got["all"]["bias"], 3) == -1.213
+    assert got["SIT"]["mae"] == pytest.approx(2.412, abs=1e-3) and got["LIE"]["mae"] == pytest.approx(0.529, abs=1e-3)
+    assert got["all"]["n"] == 30 and got["all"]["mae"] == pytest.approx(1.533, abs=1e-3) and got["all"]["bias"] == pytest.approx(-1.213, abs=1e-3)
 
 
 def test_models(spark):
