@@ -69,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
     "op2_chat": chat.ORACLE,
+    "op6_pii": pii.ORACLE,
     "op8_warc": warc.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
     "op10_mixing": mixing.ORACLE,

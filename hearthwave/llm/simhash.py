@@ -247,12 +247,15 @@ def _majority(h: np.ndarray, row: np.ndarray, n: int, salts: np.ndarray) -> np.n
     out = np.zeros((n, len(salts)), np.uint64)
     if not len(h):
         return out
-    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    sizes = np.diff(np.append(first, len(row)))
+    there, place, sizes = np.unique(row, return_inverse=True, return_counts=True)
     for i, salt in enumerate(salts):
-        bits = np.unpackbits(text.mix(h ^ salt).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-        out[row[first], i] = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        ones = np.zeros((len(there), 64), np.int32)
+        for at in range(0, len(h), _STEP):  # so that a long text's bits are never all there at once
+            part, own = text.mix(h[at : at + _STEP] ^ salt), place[at : at + _STEP]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+        out[there, i] = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
     return out
 
 
