@@ -129,10 +129,10 @@ def range_variance(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {VAR}, v AS (SELECT sensor_id, range_bin, var_pop(mag * 70) AS var, 3500.0 + 10 * range_bin AS cal FROM f GROUP BY ALL), t AS (SELECT *, CASE WHEN var >= 24000 THEN 2 WHEN var >= 100 AND var >= 6 * greatest(cal, 1) THEN 1 ELSE 0 END AS tier FROM v WHERE range_bin BETWEEN 4 AND 74),
 p AS (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY range_bin) AS pos FROM t), g AS (SELECT *, pos - row_number() OVER (PARTITION BY sensor_id ORDER BY range_bin) AS grp FROM p WHERE tier > 0)
-SELECT sensor_id, min(range_bin) AS bin_start, max(range_bin) + 1 AS bin_end, arg_max(range_bin, (var, -range_bin)) AS peak_bin, R(max(var)) AS peak_var, CASE WHEN max(tier) = 2 THEN 'strong' ELSE 'weak' END AS tier FROM g GROUP BY sensor_id, grp HAVING min(range_bin) < 74""", 3)
+SELECT sensor_id, min(range_bin) AS bin_start, max(range_bin) + 1 AS bin_end, arg_max(range_bin, (var, -range_bin)) AS peak_bin, R(max(var) / 7) AS peak_var, CASE WHEN max(tier) = 2 THEN 'strong' ELSE 'weak' END AS tier FROM g GROUP BY sensor_id, grp HAVING min(range_bin) < 74""")
 def presence_bands(spark: SparkSession, d: str) -> DataFrame:
     var = _mags(spark, d).groupBy("sensor_id", "range_bin").agg(F.var_pop(F.col("mag") * 70).alias("var")).withColumn("cal", 3500.0 + 10 * F.col("range_bin"))
-    return b.presence_bands(var, SENSOR, strong=24000.0, ratio=6.0)
+    return b.presence_bands(var, SENSOR, strong=24000.0, ratio=6.0).withColumn("peak_var", F.col("peak_var") / 7)
 
 
 @query("""WITH m AS (SELECT l_suppkey % 5 AS sensor_id, (l_partkey % 75)::INT AS range_bin, avg(l_quantity) FILTER (l_returnflag = 'R') AS mean_a, var_pop(l_quantity) FILTER (l_returnflag = 'R') AS var_a, avg(l_quantity) FILTER (l_returnflag = 'N') AS mean_b, var_pop(l_quantity) FILTER (l_returnflag = 'N') AS var_b FROM lineitem GROUP BY ALL)
