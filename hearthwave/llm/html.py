@@ -26,7 +26,7 @@ SKIPPED = frozenset("head title nav footer aside form script style noscript temp
 CLOSED_BY_BLOCKS = frozenset(["p"])
 RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|title"
 BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|sidebar|side|aside|footer|foot|header|masthead|cookie|cookies|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comment|comments|disqus|reply|replies|respond|widget|toolbar|pagination|pager|search|copyright|legal|disclaimer|hidden|skip)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|ad-?(?:box|slot|unit|space|wrap|wrapper|container|area)|adv|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|sidebar|side|aside|footer|foot|header|masthead|cookie|cookies|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comment|comments|disqus|reply|replies|respond|widget|toolbar|pagination|pager|search|copyright|legal|disclaimer|hidden|skip)(?:$|[\s_-])",
     re.I,
 )
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|entry|post|story|main|body|text|article-body|post-body)(?:$|[\s_-])", re.I)
@@ -48,6 +48,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTR = re.compile(r"([a-zA-Z-]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+_WITH = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without)-\S++", re.I)  # says what else a page has, not what this is
 _HEADING = re.compile(r"h[1-6]")
 
 
@@ -69,7 +70,7 @@ def _role(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
     if not attrs:
         return False, tag in ("article", "main")
     named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
-    names = f"{named.get('class', '')} {named.get('id', '')}"
+    names = _WITH.sub(" ", f"{named.get('class', '')} {named.get('id', '')}")
     hidden = "hidden" in named or named.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", named.get("style", ""), re.I)
     if hidden or named.get("role", "").lower() in ROLES:
         return True, False

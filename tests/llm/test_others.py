@@ -118,7 +118,7 @@ def test_ordinal_thresholds_are_ordered():
         ("", ""), (None, ""), ("just text", "just text"), ("<p>a<p>b", "a b"), ("<article><h1>T</h1><p>x &amp; y&nbsp;z<br>w</p></article><footer>f</footer>", "T x & y z w"),
         ("<nav>n</nav><main><p>one <b>two</b>three</p><script>p('</p>')</script><form>f</form></main>", "one twothree"),
         ('<article><p>good</p><div class="comments"><p>bad</p></div><aside>s</aside><p>more</p></article>', "good more"),
-        ("<article><p>unclosed <!-- comment", "unclosed"), ('<div class="cookie-notice">c</div><article>a<ul class="share"><li>s</li></ul></article>', "a"),
+        ("<article><p>unclosed <!-- comment", "unclosed"), ('<div class="content has-sidebar"><p>x</p><div class="adslot">y</div><div id="disqus_thread">z</div></div>', "x"), ('<div class="cookie-notice">c</div><article>a<ul class="share"><li>s</li></ul></article>', "a"),
     ],
 )
 def test_main_text(page, want):
