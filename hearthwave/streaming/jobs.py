@@ -20,27 +20,35 @@ LATE = "10 seconds"
 Step = Callable[[dict, dict], "dict | list[dict]"]
 
 
-def _rows(pdf: pd.DataFrame, order: list[str]) -> list[dict]:
-    records = pdf.sort_values(order, kind="stable").to_dict("records")
-    return [{k: None if v is None or (isinstance(v, float) and v != v) else v for k, v in r.items()} for r in records]
+def _records(pdf: pd.DataFrame) -> list[dict]:
+    return [{k: None if v is None or (isinstance(v, float) and v != v) else v for k, v in r.items()} for r in pdf.to_dict("records")]
 
 
-def _stepped(step: Step, state: dict, rows: list[dict], keep: list[str]) -> list[dict]:
-    out = []
-    for r in rows:
-        given = step(state, r)
-        out += [{k: r[k] for k in keep} | g for g in (given if isinstance(given, list) else [given])]
-    return out
+def _given(step: Step, state: dict, row: dict, keep: list[str]) -> list[dict]:
+    out = step(state, row)
+    return [{k: row[k] for k in keep} | g for g in (out if isinstance(out, list) else [out])]
 
 
 def in_batch(df: DataFrame, keys: list[str], order: list[str], step: Step, schema: str) -> DataFrame:
-    """A step function over each key's rows in order; schema: keys, order columns, then the step's outputs."""
+    """A step function over each key's rows in order; schema: keys, order columns, then the step's outputs.
+
+    A key's rows come one batch after the other from a sorted partition, so that only its state is held.
+    """
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_stepped(step, {}, _rows(pdf, order), [*keys, *order]), columns=names)
+    def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key: tuple | None = None
+        state: dict = {}
+        for pdf in it:
+            out = []
+            for row in _records(pdf):
+                own = tuple(row[k] for k in keys)
+                if own != key:
+                    key, state = own, {}
+                out += _given(step, state, row, [*keys, *order])
+            yield pd.DataFrame(out, columns=names)
 
-    return df.groupBy(*keys).applyInPandas(work, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(work, schema)
 
 
 def in_stream(df: DataFrame, keys: list[str], order: list[str], step: Step, schema: str) -> DataFrame:
@@ -49,8 +57,8 @@ def in_stream(df: DataFrame, keys: list[str], order: list[str], step: Step, sche
 
     def work(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         state = json.loads(held.get[0]) if held.exists else {}
-        pdf = pd.concat(list(parts))
-        out = _stepped(step, state, _rows(pdf, order), [*keys, *order])
+        pdf = pd.concat(list(parts)).sort_values(order, kind="stable")
+        out = [g for row in _records(pdf) for g in _given(step, state, row, [*keys, *order])]
         held.update((json.dumps(state),))
         yield pd.DataFrame(out, columns=names)
 
