@@ -22,8 +22,8 @@ from . import store
 #: The weights of the sources in order, and how often a document may be used.
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
-#: Rows of one source whose order one task decides, about.
-BUCKET_ROWS = 2_000
+#: Rows whose order is decided together, about, and the least number of buckets: the result doesn't hang on either.
+BUCKET_ROWS, LEAST_BUCKETS = 2_000, 512
 SEED = "mix"
 
 
@@ -52,7 +52,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
     return found.select("source", "source_size", F.least(F.col("most").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("most").cast("double"))).alias("target"))
 
 
-def plan(docs: DataFrame, keep: list[str] | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def plan(docs: DataFrame, keep: list[str] | None = None, bucket_rows: int = BUCKET_ROWS, least_buckets: int = LEAST_BUCKETS) -> DataFrame:
     """Per document: ``keep`` (doc_id), source, size, source_size, target, before (words ahead in its queue), taken.
 
     The words ahead are summed in two steps, so that no task gets a whole source: a source's shuffled order is
@@ -60,7 +60,7 @@ def plan(docs: DataFrame, keep: list[str] | None = None, bucket_rows: int = BUCK
     """
     keep = keep or ["doc_id"]
     sized = store.written(docs.select(*keep, "source", n_words(F.col("text")).alias("size"), F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("_order"), F.xxhash64("text").alias("_tie")), "sizes")
-    buckets = max(1, -(-sized.count() // bucket_rows))
+    buckets = max(least_buckets, -(-sized.count() // bucket_rows))
     placed = sized.withColumn("_bucket", F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("double") / 2**32 * buckets).cast("long"))
     sums = store.written(placed.groupBy("source", "_bucket").agg(F.sum("size").alias("words")), "buckets")
     ahead = F.sum("words").over(W.partitionBy("source").orderBy("_bucket")) - F.col("words")
