@@ -16,10 +16,9 @@ def usable(sweeps: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Per key: med (median) and sigma (scaled median absolute deviation), n."""
-    med = df.groupBy(*keys).agg(F.median(value).alias("med"), F.count(value).alias("n"))
-    off = df.join(med, keys).groupBy(*keys).agg((MAD * F.median(F.abs(F.col(value) - F.col("med")))).alias("sigma"))
-    return med.join(off, keys)
+    """Per key: med (median), n, and sigma (scaled median absolute deviation); one shuffle, on the keys."""
+    rows = df.withColumn("_med", F.median(value).over(W.partitionBy(*keys)))
+    return rows.groupBy(*keys).agg(F.first("_med").alias("med"), F.count(value).alias("n"), (MAD * F.median(F.abs(F.col(value) - F.col("_med")))).alias("sigma"))
 
 
 def bin_stats(sweeps: DataFrame, hour: int | None = None, since: Column | None = None) -> DataFrame:
@@ -38,10 +37,9 @@ def hour_stats(sweeps: DataFrame, min_days: int = 3, min_samples: int = 3) -> Da
     A day counts once, with its median; cells of fewer than ``min_samples`` samples or ``min_days`` days are left out.
     """
     cell = ["sensor_id", "range_bin", "hour"]
-    rows = usable(sweeps).withColumn("v", F.ln("power"))
-    enough = rows.groupBy(*cell).agg(F.count("*").alias("samples")).where(F.col("samples") >= min_samples)
-    daily = rows.groupBy(*cell, "day").agg(F.median("v").alias("v")).join(enough, cell, "left_semi")
-    found = spread(daily, cell, "v").where(F.col("n") >= min_days)
+    daily = usable(sweeps).groupBy(*cell, "day").agg(F.median(F.ln("power")).alias("v"), F.count("*").alias("samples"))
+    enough = daily.withColumn("samples", F.sum("samples").over(W.partitionBy(*cell))).where(F.col("samples") >= min_samples)
+    found = spread(enough, cell, "v").where(F.col("n") >= min_days)
     return found.select(*cell, F.col("n").alias("days"), F.exp("med").alias("level"), (F.exp("sigma") - 1).alias("cv"))
 
 
@@ -53,15 +51,18 @@ def coverage(sweeps: DataFrame) -> DataFrame:
 
 
 def furniture_events(sweeps: DataFrame, k: float = 4.0, least: float = 0.2, min_days: int = 4) -> DataFrame:
-    """Days on which a bin's level jumped: |d| above k deviations of its daily steps, and above ``least``."""
+    """Days on which a bin's level jumped: |d| above k deviations of its daily steps, and above ``least``.
+
+    A bin needs ``min_days`` days (its sensor then has them too).
+    """
     cell = ["sensor_id", "range_bin"]
+    by_day = W.partitionBy(*cell).orderBy("day")
+    whole = W.partitionBy(*cell)
     daily = usable(sweeps).groupBy(*cell, "day").agg(F.median(F.ln("power")).alias("lvl"))
-    all_days = daily.groupBy("sensor_id").agg(F.countDistinct("day").alias("_days")).where(F.col("_days") >= min_days)
-    own_days = daily.groupBy(*cell).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_days)
-    good = daily.join(all_days, "sensor_id", "left_semi").join(own_days, cell, "left_semi")
-    steps = good.withColumn("d", F.col("lvl") - F.lag("lvl").over(W.partitionBy(*cell).orderBy("day"))).where("d IS NOT NULL")
-    scale = spread(steps, cell, "d").where(F.col("n") >= 2).select(*cell, F.when(F.col("sigma") == 0, 1e-9).otherwise(F.col("sigma")).alias("s"))
-    hits = steps.join(scale, cell).where((F.abs("d") > k * F.col("s")) & (F.abs("d") >= least))
+    steps = daily.withColumns({"_days": F.count("*").over(whole), "d": F.col("lvl") - F.lag("lvl").over(by_day)}).where((F.col("_days") >= min_days) & F.col("d").isNotNull())
+    middle = steps.withColumn("_med", F.median("d").over(whole)).withColumns({"_n": F.count("*").over(whole), "_s": MAD * F.median(F.abs(F.col("d") - F.col("_med"))).over(whole)})
+    scale = F.when(F.col("_s") == 0, 1e-9).otherwise(F.col("_s"))
+    hits = middle.where((F.col("_n") >= 2) & (F.abs("d") > k * scale) & (F.abs("d") >= least))
     return hits.select(*cell, "day", "d", F.exp("d").alias("jump_x"))
 
 
