@@ -125,8 +125,7 @@ def longest_rise(live: DataFrame, empty: DataFrame, keys: list[str], above_db: f
     from .islands import runs
 
     def flat(df: DataFrame, name: str) -> DataFrame:
-        med = df.groupBy(*keys).agg(F.median("power_db").alias("_m"))
-        return df.join(med, keys).withColumn(name, F.col("power_db") - F.col("_m")).drop("_m", "power_db")
+        return df.withColumn(name, F.col("power_db") - F.median("power_db").over(W.partitionBy(*keys))).drop("power_db")
 
     pair = flat(live, "_l").join(flat(empty, "_e").drop("range_m"), [*keys, "range_bin"])
     delta = pair.withColumn("delta", F.col("_l") - F.col("_e"))
@@ -163,9 +162,8 @@ def surface_kind(profile: DataFrame, keys: list[str], half: int = 5) -> DataFram
     """glint, surface or void by a bin's level less its rolling median, against the capture's 80th and 30th percentile."""
     by_bin = W.partitionBy(*keys).orderBy("range_bin").rowsBetween(-half, half)
     rows = profile.withColumn("resid", F.col("power") - F.percentile("power", 0.5).over(by_bin))
-    cuts = rows.groupBy(*keys).agg(F.percentile("resid", 0.8).alias("_hi"), F.percentile("resid", 0.3).alias("_lo"))
-    kind = F.when(F.col("resid") >= F.col("_hi"), "glint").when(F.col("resid") <= F.col("_lo"), "void").otherwise("surface")
-    return rows.join(cuts, keys).withColumn("kind", kind).drop("_hi", "_lo")
+    high, low = (F.percentile("resid", q).over(W.partitionBy(*keys)) for q in (0.8, 0.3))
+    return rows.withColumn("kind", F.when(F.col("resid") >= high, "glint").when(F.col("resid") <= low, "void").otherwise("surface"))
 
 
 def range_variance(profiles: DataFrame, keys: list[str], frames: int = 50, least: int = 5) -> DataFrame:

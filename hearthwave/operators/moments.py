@@ -83,8 +83,8 @@ def relative_change(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 def change_by_capture(rel: DataFrame, keys: list[str]) -> DataFrame:
     """Median over the bins, and each bin's change against it."""
-    med = rel.groupBy(*keys).agg(F.median("rel").alias("med"), F.count("*").alias("bins"))
-    return rel.join(med, keys).withColumn("scaled", F.col("rel") / F.greatest(F.col("med"), F.lit(1e-12)))
+    whole = W.partitionBy(*keys)
+    return rel.withColumns({"med": F.median("rel").over(whole), "bins": F.count("*").over(whole)}).withColumn("scaled", F.col("rel") / F.greatest(F.col("med"), F.lit(1e-12)))
 
 
 def top_changed(rel: DataFrame, keys: list[str], k: int = 5, value: str = "rel", order: str = "range_bin") -> DataFrame:

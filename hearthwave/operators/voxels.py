@@ -43,9 +43,8 @@ def energy_density(cloud: DataFrame, keys: list[str], cell: float = 0.3, low: tu
     sums = _cells(cloud, cell, low, high).groupBy(*keys, *CELLS).agg(F.sum("power").alias("e"))
     if not normalize:
         return sums
-    total = sums.groupBy(*keys).agg(F.sum("e").alias("_total"))
-    share = F.when(F.col("_total") > 0, F.col("e") / F.col("_total")).otherwise(F.col("e"))
-    return sums.join(total, keys).withColumn("e", share).drop("_total")
+    total = F.sum("e").over(W.partitionBy(*keys))  # over a capture's cells, of which there are few
+    return sums.withColumn("_total", total).withColumn("e", F.when(F.col("_total") > 0, F.col("e") / F.col("_total")).otherwise(F.col("e"))).drop("_total")
 
 
 def energy_change(base: DataFrame, event: DataFrame, keys: list[str]) -> DataFrame:
@@ -77,8 +76,7 @@ def floor_plan(counts: DataFrame, keys: list[str], least: int = 1, low_layers: i
 def appeared(change: DataFrame, keys: list[str], share: float = 0.3) -> DataFrame:
     """Cells whose gain is above a share of the capture's peak gain, with their centres."""
     gain = F.greatest(F.col("d"), F.lit(0.0))
-    peak = change.groupBy(*keys).agg(F.max(gain).alias("_peak"))
-    return change.join(peak, keys).where((gain > share * F.col("_peak")) & (F.col("_peak") > 0)).drop("_peak").withColumns(g.voxel_centre(0.3, -3.0))
+    return change.withColumn("_peak", F.max(gain).over(W.partitionBy(*keys))).where((gain > share * F.col("_peak")) & (F.col("_peak") > 0)).drop("_peak").withColumns(g.voxel_centre(0.3, -3.0))
 
 
 def clarity(energy: DataFrame, keys: list[str], cells: int) -> DataFrame:
