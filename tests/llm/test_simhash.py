@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from hearthwave.llm import graph, simhash
 from tests.llm.helpers import awkward, documents, empty
@@ -116,3 +117,67 @@ def test_components_of_a_long_chain(spark):
     rows = graph.components(links).collect()
     assert len(rows) == 201 and {r["root"] for r in rows} == {0}
     assert graph.components(links.where("false")).count() == 0
+
+
+def _sets(rows):
+    out = {}
+    for i, t in rows:
+        w = t.lower().split()
+        out[i] = {tuple(w[j : j + 5]) for j in range(max(len(w) - 4, 1))} if w else set()
+    return out
+
+
+def _first_of_each(rows):
+    sets = _sets(rows)
+    ids = sorted(sets)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {find(i) for i in ids}
+
+
+def test_stage_finds_all_pairs_of_similarity_from_08(spark):
+    """Copies with words added in front or behind, cut or edited, just above and just below 0.8, and a common line."""
+    e = random.Random(7)
+    words = [f"word{i}" for i in range(3000)]
+    line = " ".join(f"line{i}" for i in range(30))
+    rows = []
+    for i in range(60):
+        base = [e.choice(words) for _ in range(e.randrange(60, 300))]
+        extra = [e.choice(words) for _ in range(round((len(base) - 4) * e.choice([0.1, 0.2, 0.24, 0.25, 0.26, 0.3])))]
+        copy = [base + extra, extra + base, base[: len(base) - len(extra) * 4 // 5]][i % 3]
+        texts = [" ".join(base), " ".join(copy)]
+        rows += [(2 * i + k, t + (" " + line if i % 2 else "")) for k, t in enumerate(texts)]
+    exact = [f"w{i}" for i in range(84)]  # 80 shingles, and 100 or 101 with what comes behind
+    rows += [(500, " ".join(exact)), (501, " ".join(exact + [f"v{i}" for i in range(20)])), (502, "a b c d e f"), (503, "b c d e f g h")]
+    half = [f"x{i}" for i in range(84)]
+    rows += [(600, " ".join(half)), (601, " ".join(half + [f"y{i}" for i in range(21)]))]
+    want = _first_of_each(rows)
+    assert 500 in want and 501 not in want and 601 in want
+    assert {r["doc_id"] for r in simhash.keep_one(documents(spark, rows)).collect()} == want
+
+
+def test_stage_joins_chains_and_large_groups_in_blocks(spark):
+    e = random.Random(9)
+    words = [f"word{i}" for i in range(900)]
+    base = [e.choice(words) for _ in range(120)]
+    rows = []
+    for i in range(60):
+        base = [*base]
+        base[e.randrange(120)] = f"edit{i}"
+        rows.append((i, " ".join(base)))
+    docs = documents(spark, rows).withColumn("_key", simhash.row_key(F.col("doc_id"), F.col("text")))
+    nodes = simhash.with_prefix(docs, ["doc_id", "_key"])
+    roots = simhash.near_copies(docs, nodes, block=5)
+    group = {r["doc_id"]: r["root"] for r in nodes.join(roots, "node", "left").select("doc_id", "root").collect()}
+    want = _first_of_each(rows)
+    assert len({root if root is not None else -i - 1 for i, root in group.items()}) == len(want)
