@@ -36,6 +36,8 @@ PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN
 BASE = ("email", "ip", "card", "phone")
 #: A character that each match has, so that texts without it are not searched.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
+#: Likewise, a pattern within each match.
+WITHIN = {"card": r"[0-9][\x20-]?[0-9]", "iban": r"[0-9]{2}"}
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
@@ -102,7 +104,7 @@ def found(kind: str, text: Column) -> Column:
         worth = F.lit({"email": 0.8, "ip": 0.6, "card": 0.5, "phone": 0.6, "iban": 0.5}[kind]) + F.lit(0.3 if kind in ("card", "iban") else 0.0) + F.when(near.rlike(CONTEXT[kind]), 0.15).otherwise(0.0)
         return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.round(worth, 2).alias("score"))
 
-    worthwhile = text.contains(NEEDS[kind]) if kind in NEEDS else text.rlike(r"[0-9]{2}")
+    worthwhile = text.contains(NEEDS[kind]) if kind in NEEDS else text.rlike(WITHIN[kind])
     return F.when(worthwhile, F.transform(fit, scored)).otherwise(F.array().cast(SPAN))
 
 

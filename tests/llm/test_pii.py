@@ -59,3 +59,11 @@ def test_awkward_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = pii.report(documents(spark, [(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_card_with_no_two_digits_together(spark):
+    texts = [" ".join("4" + "1" * 15), "pay with " + "-".join("4" + "1" * 15) + " today", " ".join("4" + "1" * 14 + "2")]
+    docs = documents(spark, list(enumerate(texts)))
+    got = {r["doc_id"]: (r["n_card"], r["spans"]) for r in pii.report(docs).collect()}
+    assert got == {0: (1, "card:0:31"), 1: (1, "card:9:40"), 2: (0, "")}
+    assert {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()} == {0: "[CARD]", 1: "pay with [CARD] today", 2: texts[2]}
