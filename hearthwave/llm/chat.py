@@ -7,10 +7,10 @@ part. Where a turn's own text lies inside its span is found by rendering the tur
 what both outputs share at the start and the end. The loss mask covers the texts of assistant turns.
 
 Defined cases: a null text or role counts as empty; turns go by ``turn``, nulls first, equal ones by role and
-text; repeated rows are turns of their own. A null ``conv_id`` is a conversation. After the first turns (LONG),
-a prefix is rendered as its first turn and its last ones (CONTEXT), so that the work grows with the length; a
-template whose output hangs on more than that is out of reach there. Turns are read in order from a sorted
-partition and given out one by one, so that no conversation is held as a whole.
+text; repeated rows are turns of their own. A null ``conv_id`` is a conversation. Each prefix is the true one, at
+every length, so that the work grows with the square of a conversation's length and its turns are held until it
+ends; its last output is kept and compared with the next. Turns are read in order from a sorted partition and
+given out one by one.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ Template = Callable[[list[Turn]], str]
 
 #: The marks of the template.
 START, END = "<|im_start|>", "<|im_end|>"
-LONG, CONTEXT = 64, 16
 _PROBES = ("a", "b")
 
 
@@ -78,13 +77,18 @@ class Span:
 
 
 def span_of(template: Template, prefix: list[Turn], turn: Turn) -> Span:
-    before, now = template(prefix) if prefix else "", template([*prefix, turn])
+    return _next(template, prefix, turn, template(prefix) if prefix else "")[0]
+
+
+def _next(template: Template, prefix: list[Turn], turn: Turn, before: str) -> tuple[Span, str]:
+    """The turn's span and the output with it; ``before``: the output of the prefix, empty for none."""
+    now = template([*prefix, turn])
     start = _shared(before, now)
     added = now[start:]
     one, two = (template([*prefix, (turn[0], probe)]) for probe in _PROBES)
     head = max(_shared(one, two), start) - start
     tail = _shared(one[::-1], two[::-1])
-    return Span(added, head, max(len(added) - tail, head), start < len(before))
+    return Span(added, head, max(len(added) - tail, head), start < len(before)), now
 
 
 def ordered(turns: DataFrame) -> DataFrame:
@@ -99,17 +103,17 @@ def spans(turns: DataFrame, template: Template = chatml) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv: object = it  # equal to no id
         prefix: list[Turn] = []
-        nr = 0
+        before, nr = "", 0
         for b in it:
             out = []
             for r in b.to_pylist():
                 if r["conv_id"] != conv:
-                    conv, prefix, nr = r["conv_id"], [], 0
+                    conv, prefix, before, nr = r["conv_id"], [], "", 0
                 turn = (r["role"], r["text"])
-                s = span_of(template, prefix, turn)
+                s, before = _next(template, prefix, turn, before)
                 out.append({"conv_id": conv, "turn": r["turn"], "nr": nr, "role": turn[0], "added": s.added, "text_start": s.text_start, "text_end": s.text_end, "loss": turn[0] == "assistant", "rewrites": s.rewrites})
                 nr += 1
-                prefix = [*prefix, turn] if nr <= LONG else [prefix[0], *prefix[-CONTEXT:], turn]
+                prefix.append(turn)
             yield pa.RecordBatch.from_pylist(out, schema=_SPANS)
 
     return ordered(turns).mapInArrow(batches, _SPAN_KINDS)

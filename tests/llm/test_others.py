@@ -165,3 +165,16 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.where("false")).count() == 0
     least = {r["page_id"]: r["record_type"] for r in warc.round_trip(pages, least=5).collect()}
     assert least[5] == "response"
+
+
+def test_chat_catches_rewrites_far_back(spark):
+    def last_32(turns):
+        return chat.chatml(turns[-32:])
+
+    def numbered(turns):
+        return "".join(f"{i} {text}\n" for i, (_, text) in enumerate(turns))
+
+    rows = [(1, i, "user", f"text {i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert [r["rewrites"] for r in chat.spans(df, last_32).orderBy("nr").collect()] == [i >= 32 for i in range(100)]
+    assert [r["added"] for r in chat.spans(df, numbered).orderBy("nr").collect()] == [f"{i} text {i}\n" for i in range(100)]
