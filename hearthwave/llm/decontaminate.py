@@ -1,11 +1,14 @@
 """Benchmark decontamination by winnowing.
 
-Words are hashed, five consecutive ones make a k-gram, and of each six consecutive k-grams the least is the
-window's fingerprint. Such a window spans ten words, so every shared span of ten words or more shares a
-fingerprint. The fingerprints of the benchmark fill a bitmap of fixed size, which every task gets; a document's
-windows whose fingerprint isn't in it are gone at once. What is left is joined to the benchmark's windows on
-fingerprint and text, which settles each hit word by word and extends hits that overlap to the whole shared span.
-A benchmark item of fewer than ten words, but not none, is one window of its own length.
+Words are hashed, five consecutive ones make a k-gram, and of each six consecutive k-grams the least is selected
+(the last one on a tie). Such a window spans ten words, so every shared span of ten words or more holds a k-gram
+that is selected on both sides. Selected k-grams of documents and benchmark are joined, and each hit is extended
+word by word, at most five words to either side: that reaches the ends of every window of ten words in which the
+k-gram was selected. Extended hits of ten words or more are shared spans, and those that overlap are joined.
+
+The benchmark's fingerprints fill a bitmap of fixed size, which every task gets; a document's k-grams that aren't
+in it are gone at once. A benchmark item of fewer than ten words, but not none, is one window of its own length,
+its own fingerprint, and is looked for at every place, as selection promises nothing within so few words.
 
 Defined cases: a null or empty text has no words and no hits. Rows with equal ``doc_id`` and text get equal
 results; rows with equal ``doc_id`` and other texts get their own. A null ``item_id`` counts as a hit of words but
@@ -18,130 +21,141 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import store, text
-from .rows import row_key
+from .rows import BITS, bitmap_rows, by_id, fresh, row_key
 
-#: Words of a window, and of a k-gram; a window has WINDOW - GRAM + 1 k-grams, of which the least is kept.
+#: Words of a window, and of a k-gram; of a window's WINDOW - GRAM + 1 k-grams the least is selected.
 WINDOW, GRAM = 10, 5
-#: Bits of the bitmap of the benchmark's fingerprints: 2 MB, whatever the benchmark's size.
-BITS = 1 << 24
+#: Words that a hit is extended to either side.
+REACH = WINDOW - GRAM
+_SIDE = pa.list_(pa.string())
+_FIELDS = pa.schema([("start", pa.int32()), ("length", pa.int32()), ("fp", pa.int64()), ("gram", pa.string()), ("left", _SIDE), ("right", _SIDE)])
+_KINDS = "start:int,length:int,fp:bigint,gram:string,left:array<string>,right:array<string>"
 
 
-def _windows(h: np.ndarray, length: int) -> np.ndarray:
-    """The fingerprint of each window of so many words; rows are not minded."""
-    if length < GRAM + 1:
-        return text.grams(h, length)
+def selected(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, fingerprints) of the k-grams that are the least of a window within one row."""
     g = text.grams(h, GRAM)
-    n = len(h) - length + 1
+    n = len(h) - WINDOW + 1
     if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    least = g[:n].copy()
-    for i in range(1, length - GRAM + 1):
-        np.minimum(least, g[i : i + n], out=least)
-    return least
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    least, at = g[:n].copy(), np.arange(n)
+    for i in range(1, WINDOW - GRAM + 1):
+        later = g[i : i + n] <= least
+        least = np.where(later, g[i : i + n], least)
+        at = np.where(later, np.arange(i, i + n), at)
+    places = np.unique(at[row[:n] == row[WINDOW - 1 :]])
+    return places, g[places]
 
 
-def _found(column: pa.Array, lengths: list[int], bitmap: np.ndarray | None, short: bool) -> Iterator[tuple[int, int, np.ndarray, tuple]]:
-    """(first row, end row, words by row, windows) for runs of rows; windows: row, start, length, fingerprint and text.
+def _found(column: pa.Array, lengths: list[int], bitmap: np.ndarray | None, short: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list]]:
+    """(first row, end row, words by row, row of each fingerprint, columns of _FIELDS) for runs of rows.
 
-    bitmap: only windows whose fingerprint is in it. short: rows of fewer words than a window are one window.
+    lengths: WINDOW for the selected k-grams, shorter ones for windows of so many words. bitmap: only fingerprints
+    that are in it. short: a row of fewer words than WINDOW is one window, and has no other.
     """
     for first, end, data, offs in text.chunks(column):
         data = text.LOWER[data]
         starts, ends, row = text.spans(data, offs, text.ALNUM)
         words = np.bincount(row, minlength=end - first)
         h = text.word_hashes(data, starts, ends)
-        out: tuple[list, ...] = ([], [], [], [], [])
         before = np.concatenate([[0], np.cumsum(words)])
+        rows, columns = [np.zeros(0, np.int64)], [[] for _ in _FIELDS]
         for length in lengths:
-            fp = _windows(h, length)
-            if not len(fp):
-                continue
-            good = row[: len(fp)] == row[length - 1 :]
-            if short and length < WINDOW:
-                good &= words[row[: len(fp)]] == length
+            if length == WINDOW:
+                at, fp = selected(h, row)
+            else:
+                fp = text.grams(h, length)
+                at = np.flatnonzero(row[: len(fp)] == row[length - 1 :]) if len(fp) else np.zeros(0, np.int64)
+                if short:
+                    at = at[words[row[at]] == length]
+                fp = fp[at]
             if bitmap is not None:
                 slot = fp & np.uint64(BITS - 1)
-                good &= (bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
-            at = np.flatnonzero(good)
-            raw = [data[s:e].tobytes() for s, e in zip(starts[at], ends[at + length - 1], strict=True)]
-            out[0].append(row[at])
-            out[1].append(at - before[row[at]])
-            out[2].append(np.full(len(at), length))
-            out[3].append(fp[at].view(np.int64))
-            out[4].extend(b" ".join(_words(x)) for x in raw)
-        if out[0]:
-            yield first, end, words, (*map(np.concatenate, out[:4]), out[4])
-        else:
-            none = np.zeros(0, dtype=np.int64)
-            yield first, end, words, (none, none, none, none, [])
-
-
-_NOT_WORD = bytes(b for b in range(128) if not text.ALNUM[b])
-_TO_SPACE = bytes(0x20 if b in _NOT_WORD else b for b in range(256))
-
-
-def _words(raw: bytes) -> list[bytes]:
-    return raw.translate(_TO_SPACE).split()
+                good = (bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                at, fp = at[good], fp[good]
+            size, reach = (GRAM, REACH) if length == WINDOW else (length, 0)
+            rows.append(row[at])
+            columns[0].extend((at - before[row[at]]).tolist())
+            columns[1].extend([length] * len(at))
+            columns[2].extend(fp.view(np.int64).tolist())
+            for a, r in zip(at.tolist(), row[at].tolist(), strict=True):
+                low, high = max(a - reach, before[r]), min(a + size + reach, before[r + 1])
+                own = [data[s:e].tobytes().decode() for s, e in zip(starts[low:high], ends[low:high], strict=True)]
+                columns[3].append(" ".join(own[a - low : a - low + size]))
+                columns[4].append(own[: a - low][::-1])
+                columns[5].append(own[a - low + size :])
+        yield first, end, words, np.concatenate(rows), [pa.array(c, f.type) for c, f in zip(columns, _FIELDS, strict=True)]
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """(item_id, length, fp, window) of all windows of the benchmark's whole texts."""
+    """(length, fp, gram, left, right, items): each fingerprint of the benchmark with the words around it, and the ids of its items."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for first, _, _, (row, _, length, fp, raw) in _found(b.column(1), [*range(1, WINDOW + 1)], None, short=True):
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + first)), pa.array(length, pa.int32()), pa.array(fp), pa.array(raw, pa.binary()).cast(pa.string())], names=["item_id", "length", "fp", "window"])
+            for first, _, _, row, columns in _found(b.column(1), [*range(1, WINDOW + 1)], None, short=True):
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + first)), *columns[1:]], names=["item_id", *_FIELDS.names[1:]])
 
-    chosen = items.select("item_id", F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(batches, f"item_id {chosen.schema['item_id'].dataType.simpleString()}, length int, fp bigint, window string")
+    chosen = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    found = chosen.mapInArrow(batches, "item_id string, " + ", ".join(_KINDS.split(",")[1:]).replace(":", " "))
+    return found.groupBy("length", "fp", "gram", "left", "right").agg(F.collect_set("item_id").alias("items"))
 
 
 def bitmap_of(windows: DataFrame) -> np.ndarray:
     """The fingerprints' bits, gathered as at most BITS / 32768 rows of 4 KB."""
-    position = F.col("fp").bitwiseAND(F.lit(BITS - 1)) + 1
-    rows = windows.groupBy(F.bitmap_bucket_number(position).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(position)).alias("bits")).collect()
     out = np.zeros(BITS // 8, dtype=np.uint8)
-    for r in rows:
+    for r in bitmap_rows(windows).collect():
         at = (r["bucket"] - 1) * 4096
         out[at : at + len(r["bits"])] = np.frombuffer(r["bits"], dtype=np.uint8)
     return out
 
 
 def candidates(docs: DataFrame, keep: list[str], bitmap: np.ndarray, lengths: list[int]) -> DataFrame:
-    """keep, n_words, and ``hits``: the document's windows whose fingerprints the benchmark may have."""
+    """keep, n_words, and ``hits``: the document's fingerprints that the benchmark may have, with the words around them."""
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
-    hit = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("fp", pa.int64()), ("window", pa.string())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for first, end, words, (row, start, length, fp, raw) in _found(b.column(len(keep)), lengths, sent.value, short=False):
-                order = np.argsort(row, kind="stable")
-                values = pa.StructArray.from_arrays(
-                    [pa.array(start[order], pa.int32()), pa.array(length[order], pa.int32()), pa.array(fp[order]), pa.array([raw[i] for i in order], pa.binary()).cast(pa.string())], fields=list(hit)
-                )
+            for first, end, words, row, columns in _found(b.column(len(keep)), lengths, sent.value, short=False):
+                order = pa.array(np.argsort(row, kind="stable"))
+                values = pa.StructArray.from_arrays([c.take(order) for c in columns], fields=list(_FIELDS))
                 offs = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=end - first))])
                 kept = [b.column(i).slice(first, end - first) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(words, pa.int64()), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), values)], names=[*keep, "n_words", "hits"])
 
     chosen = docs.select(*keep, F.col("text").cast("string").alias("text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(batches, f"{kinds}, n_words bigint, hits array<struct<start:int,length:int,fp:bigint,window:string>>")
+    return chosen.mapInArrow(batches, f"{kinds}, n_words bigint, hits array<struct<{_KINDS}>>")
+
+
+def _alike(a: str, b: str) -> Column:
+    """How many words two sides share from the hit outwards."""
+    same = F.transform(F.sequence(F.lit(1), F.lit(REACH)), lambda i: F.coalesce(F.try_element_at(a, i) == F.try_element_at(b, i), F.lit(False)))
+    other = F.array_position(same, F.lit(False))
+    return F.when(other == 0, F.lit(REACH)).otherwise((other - 1).cast("int"))
+
+
+def extended(hits: DataFrame, windows: DataFrame) -> DataFrame:
+    """(_key, start, end, items): the hits that are shared spans once extended, end exclusive."""
+    met = hits.join(windows.withColumnsRenamed({"left": "item_left", "right": "item_right"}), ["length", "fp", "gram"])
+    whole = F.col("length") == WINDOW
+    grown = met.withColumns({"l": F.when(whole, _alike("left", "item_left")).otherwise(0), "r": F.when(whole, _alike("right", "item_right")).otherwise(0)})
+    shared = grown.where(~whole | (F.col("l") + F.col("r") + GRAM >= WINDOW))
+    size = F.when(whole, F.lit(GRAM)).otherwise(F.col("length"))
+    return shared.select("_key", (F.col("start") - F.col("l")).alias("start"), (F.col("start") + size + F.col("r")).alias("end"), "items")
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, _key, n_words, n_hit, items (sorted ids as strings)."""
     windows = store.written(item_windows(items), "windows")
-    lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())
+    lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())  # ten at most
     keyed = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("_key"), "text")
     table = store.written(candidates(keyed, ["doc_id", "_key"], bitmap_of(windows), lengths), "candidates")
-    hits = table.where(F.size("hits") > 0).select("_key", F.explode("hits").alias("h")).select("_key", "h.start", "h.length", "h.fp", "h.window")
-    met = hits.join(windows.select("item_id", "fp", "window").distinct(), ["fp", "window"])
-    ends = F.struct("start", (F.col("start") + F.col("length")).alias("end"))
-    per = met.groupBy("_key").agg(F.collect_set(ends).alias("spans"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    hits = table.where(F.size("hits") > 0).select("_key", F.explode("hits").alias("h")).select("_key", "h.*").distinct()
+    per = extended(hits, windows).groupBy("_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     joined = F.aggregate(
         F.array_sort("spans"), zero,
@@ -161,9 +175,15 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents, columns as they are, without a word in any window of the benchmark."""
-    hit = contamination(docs, items).where("n_hit > 0").select("_key").distinct()
-    return docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text"))).join(hit, "_key", "left_anti").select(*docs.columns)
+    """The documents, columns as they are, without a word in any window of the benchmark.
+
+    Texts are shuffled only where a row may be left out: a bitmap of the ids of such rows tells all others apart.
+    """
+    hit = store.written(contamination(docs, items).where("n_hit > 0").select("doc_id", "_key").distinct(), "hit")
+    alone, others = by_id(docs, hit)
+    name = fresh(docs, "key")
+    clean = others.withColumn(name, row_key(F.col("doc_id"), F.col("text"))).join(hit.select(F.col("_key").alias(name)), name, "left_anti")
+    return alone.unionAll(clean.select(*docs.columns))
 
 
 #: For DuckDB, window by window.

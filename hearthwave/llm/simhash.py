@@ -17,13 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontaminate, graph, store, text
-from .rows import row_key
+from . import graph, store, text
 
 THRESHOLD = 3
 SHINGLE = 3
@@ -218,7 +216,8 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
                 index, found = anchors(part.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(part[index])], names=["anchor", "fp"])
 
-    return met(fps.mapInArrow(replicate, "anchor bigint, fp bigint"), THRESHOLD, block)
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a small file of fingerprints makes many rows
+    return met(spread.mapInArrow(replicate, "anchor bigint, fp bigint"), THRESHOLD, block)
 
 
 def clusters(table: DataFrame) -> DataFrame:
@@ -235,235 +234,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rooted = per.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return table.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-# The corpus stage: sets of shingles of five words, Jaccard similarity of 0.8 or more, all pairs.
-
-#: Words of a shingle. The similarity is the ratio 4 : 5, held in whole numbers.
-WIDE_SHINGLE = 5
-#: Documents whose shingles are counted for the order, the count from which a shingle comes late in it, and how
-#: many such there are at most. The order decides how much is compared, never what is found.
-ORDER_DOCS, ORDER_COUNT, ORDER_MOST = 10_000, 5, 1 << 16
-#: Numbers of 64 bits in a set's parities.
-PARITIES = 16
-
-
-def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of each row's distinct shingles, by row, then hash; a shorter text is one shingle, an empty one none."""
-    n = len(offs) - 1
-    data = text.LOWER[data]
-    starts, ends, row = text.spans(data, offs, text.NOT_SPACE)
-    h = text.word_hashes(data, starts, ends)
-    words = np.bincount(row, minlength=n)
-    g = text.grams(h, WIDE_SHINGLE)
-    whole = np.flatnonzero(row[: len(g)] == row[WIDE_SHINGLE - 1 :]) if len(g) else np.zeros(0, np.int64)
-    hashes, rows = [g[whole]], [row[whole]]
-    before = np.concatenate([[0], np.cumsum(words)])
-    for k in range(1, WIDE_SHINGLE):
-        short = np.flatnonzero(words == k)
-        hashes.append(text.grams(h, k)[before[short]])
-        rows.append(short)
-    h, row = np.concatenate(hashes), np.concatenate(rows)
-    at = np.lexsort((h, row))
-    h, row = h[at], row[at]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.zeros(0, bool)
-    return h[new], row[new]
-
-
-def _hashed(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-    """One number for each row's set."""
-    sums = np.zeros((2, n), np.uint64)
-    if len(h):
-        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        sums[0, row[first]] = np.add.reduceat(text.mix(h), first)
-        sums[1, row[first]] = np.add.reduceat(text.mix(h ^ np.uint64(SEED)), first)
-    return text.mix(sums[0] ^ text.mix(sums[1]))
-
-
-def _parities(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-    """For each row's set: bit i tells whether an odd number of its shingles falls to i.
-
-    Two sets differ in at least as many shingles as their parities do in bits.
-    """
-    wide = 64 * PARITIES
-    odd = np.bincount(row * wide + (h % np.uint64(wide)).astype(np.int64), minlength=n * wide) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(n, wide), axis=1).view(np.uint64)
-
-
-def prefixes(h: np.ndarray, row: np.ndarray, n: int, late: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle, row) of each row's first ones in the order of all: rare ones first (``late``: ascending hashes).
-
-    Sets of similarity 4 : 5 share 4/5 of either's shingles, so that their prefixes, one longer than the rest
-    of either, have a shingle in common.
-    """
-    count = np.zeros(len(h), np.int64)
-    if len(late):
-        at = np.minimum(np.searchsorted(late, h), len(late) - 1)
-        count = np.where(late[at] == h, counts[at], 0)
-    by = np.lexsort((h, count, row))
-    h = h[by]
-    sizes = np.bincount(row, minlength=n)
-    place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    kept = place < np.repeat(sizes - (4 * sizes + 4) // 5 + 1, sizes)
-    return h[kept], row[kept]
-
-
-def _longs(a: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(a).view(np.int64))
-
-
-def _lists(h: np.ndarray, row: np.ndarray, n: int) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]), pa.int32()), _longs(h))
-
-
-def _mapped(docs: DataFrame, keep: list[str], make, names: list[str], kinds: list[str], wanted: np.ndarray | None = None) -> DataFrame:
-    """The columns ``keep`` and what ``make`` (of hashes, rows, number of rows) tells of each whole text's set.
-
-    wanted: a bitmap; only rows whose column ``fp`` may be in it.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            if sent.value is not None:
-                slot = b.column(len(keep) + 1).to_numpy() & (decontaminate.BITS - 1)
-                b = b.filter(pa.array((sent.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0))
-            for first, end, data, offs in text.chunks(b.column(len(keep))):
-                kept = [b.column(i).slice(first, end - first) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*kept, *make(*shingles(data, offs), end - first)], names=[*keep, *names])
-
-    chosen = docs.select(*keep, F.col("text").cast("string").alias("text"), *([] if wanted is None else ["fp"]))
-    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[: len(keep)]), *(f"{c} {kind}" for c, kind in zip(names, kinds, strict=True))]
-    return chosen.mapInArrow(batches, ", ".join(fields))
-
-
-def with_sets(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
-    """The node and all shingles of each text."""
-    return _mapped(docs, [], lambda h, row, n: [_longs(_hashed(h, row, n)), _lists(h, row, n)], ["node", "shingles"], ["bigint", "array<bigint>"], wanted)
-
-
-def with_prefix(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep``, the node, its number of shingles, its parities and its prefix."""
-    share = min(1.0, ORDER_DOCS / max(docs.count(), 1))
-    drawn = with_sets(docs.sample(share, seed=SEED) if share < 1 else docs)
-    often = drawn.select(F.explode("shingles").alias("x")).groupBy("x").count().where(F.col("count") >= ORDER_COUNT).orderBy(F.desc("count"), "x").limit(ORDER_MOST).toArrow()
-    late, counts = (often.column(i).to_numpy().astype(np.int64) for i in (0, 1))
-    at = np.argsort(late.view(np.uint64))
-    late, counts = late.view(np.uint64)[at], counts[at]
-
-    def make(h: np.ndarray, row: np.ndarray, n: int) -> list[pa.Array]:
-        bits = _lists(_parities(h, row, n).ravel(), np.repeat(np.arange(n), PARITIES), n)
-        return [_longs(_hashed(h, row, n)), pa.array(np.bincount(row, minlength=n).astype(np.int64)), bits, _lists(*prefixes(h, row, n, late, counts), n)]
-
-    return _mapped(docs, keep, make, ["node", "n", "parities", "prefix"], ["bigint", "bigint", "array<bigint>", "array<bigint>"])
-
-
-def _whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of sorted batches, so that all of equal first column come together."""
-    held: list[pa.RecordBatch] = []
-    for b in it:
-        if not b.num_rows:
-            continue
-        key = b.column(0).to_numpy()
-        change = np.flatnonzero(key != key[-1])
-        if len(change):
-            cut = int(change[-1]) + 1
-            yield pa.Table.from_batches([*held, b.slice(0, cut)])
-            held = [b.slice(cut)]
-        elif held and held[-1].column(0)[0].as_py() != key[0]:
-            yield pa.Table.from_batches(held)
-            held = [b]
-        else:
-            held.append(b)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(own, node) of the nodes that share a shingle; ``own`` is one number for equal groups of nodes."""
-    for t in _whole(it):
-        token, node = t.column(0).to_numpy(), t.column(1).to_numpy()
-        at = np.lexsort((node, token))
-        token, node = token[at], node[at]
-        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        sizes = np.diff(np.append(first, len(token)))
-        u = node.view(np.uint64)
-        own = text.mix(np.add.reduceat(text.mix(u), first) ^ text.mix(np.add.reduceat(text.mix(u ^ np.uint64(SEED)), first)))
-        several = np.repeat(sizes > 1, sizes)
-        rows = np.unique(np.column_stack([np.repeat(own, sizes)[several], u[several]]), axis=0) if several.any() else np.zeros((0, 2), np.uint64)
-        yield pa.RecordBatch.from_arrays([_longs(rows[:, 0]), _longs(rows[:, 1])], names=["own", "node"])
-
-
-def _likely(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): pairs of a group, not joined yet, that sizes and parities don't rule out."""
-    for t in _whole(it):
-        place, node, n, label = (t.column(c).to_numpy() for c in ("place", "node", "n", "label"))
-        bits = pc.list_flatten(t.column("parities")).to_numpy().view(np.uint64).reshape(-1, PARITIES)
-        last = np.searchsorted(place, place, side="right")
-        found = []
-        for i in range(len(place)):
-            j = slice(i + 1, last[i])
-            near = (label[j] != label[i]) & (5 * np.minimum(n[j], n[i]) >= 4 * np.maximum(n[j], n[i]))
-            to = np.flatnonzero(near) + i + 1
-            to = to[9 * _apart(bits[to], bits[i]).astype(np.int64) <= n[to] + n[i]]
-            found.append(np.column_stack([np.full(len(to), node[i]), node[to]]))
-        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([_longs(pairs[:, 0]), _longs(pairs[:, 1])], names=["a", "b"])
-
-
-def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of the ``pairs`` (a, b) that sizes and parities don't rule out."""
-    told = nodes.select("node", "n", "parities")
-    met_nodes = pairs.join(told.toDF("a", "na", "pa"), "a").join(told.toDF("b", "nb", "pb"), "b")
-    odd = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    return met_nodes.where((5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (9 * odd <= F.col("na") + F.col("nb"))).select("a", "b")
-
-
-def similar(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Those of the ``pairs`` (a, b) of nodes whose texts share 4/5 or more of all their shingles.
-
-    A bitmap of fixed size leaves the texts that are in no pair where they are.
-    """
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    fp = F.xxhash64("_key").alias("fp")
-    bitmap = decontaminate.bitmap_of(nodes.join(asked, "node", "left_semi").select(fp))
-    found = with_sets(keyed.select("text", fp), bitmap)
-    sets = store.written(found.join(asked, "node", "left_semi").dropDuplicates(["node"]), "sets")
-    met_sets = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    both = met_sets.withColumn("both", F.size(F.array_intersect("x", "y")))
-    return both.where(5 * F.col("both") >= 4 * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
-
-
-def near_copies(keyed: DataFrame, nodes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(node, root) of each node that is joined to another one by links of similarity 0.8 or more.
-
-    nodes: node, n, parities, prefix and the ``_key`` of a row of ``keyed`` that has the node's text. Nodes that
-    share a shingle of their prefixes are a group. First each member is held against the group's smallest node,
-    which joins most copies with few comparisons; then every two members that are not joined yet.
-    """
-    placed = nodes.select(F.explode("prefix").alias("token"), "node")
-    groups = placed.repartition("token").sortWithinPartitions("token").mapInArrow(_groups, "own bigint, node bigint")
-    groups = store.written(groups.distinct(), "groups")
-    stars = groups.join(groups.groupBy("own").agg(F.min("node").alias("b")), "own").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    links = store.written(similar(store.written(possible(stars, nodes), "pairs"), nodes, keyed), "links")
-    roots = store.written(graph.components(links), "roots")
-    labelled = groups.join(roots, "node", "left").select("own", "node", F.coalesce("root", "node").alias("label"))
-    apart = labelled.groupBy("own").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m")
-    rest = labelled.join(apart, "own", "left_semi").join(nodes.select("node", "n", "parities"), "node").select(F.col("own").alias("anchor"), "node", "n", "label", "parities")
-    pairs = in_blocks(store.written(rest, "rest"), block).repartition("place").sortWithinPartitions("place").mapInArrow(_likely, "a bigint, b bigint")
-    more = similar(store.written(pairs.distinct(), "pairs"), nodes, keyed)
-    return graph.components(links.unionAll(more))
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, columns as they are, one of each group of near copies: the one with the smallest doc_id.
-
-    Near copies share 0.8 or more of all their shingles of five words; chains of such copies are one group.
-    """
-    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text")))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("_key").alias("key"), "n", "parities", "prefix"))
-    per = with_prefix(keyed, ["doc_id", "_key"]).groupBy("node").agg(first.alias("f"))
-    nodes = store.written(per.select("node", F.struct("f.no_id", "f.doc_id", "f.key").alias("first"), F.col("f.key").alias("_key"), "f.n", "f.parities", "f.prefix"), "nodes")
-    roots = store.written(near_copies(keyed, nodes), "roots")
-    kept = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key"))
-    return keyed.join(kept, "_key").dropDuplicates(["_key"]).select(*docs.columns)
