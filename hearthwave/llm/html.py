@@ -1,16 +1,22 @@
 """Main text of web pages by two passes over their blocks.
 
-The first pass cuts the page into blocks (text between block-level tags) and decides each by itself, from where it
-stands (a menu, a footer, an advert, an article), its link density, its length and its share of stop words. Short
-blocks that say too little stay open. The second pass gives an open block the label of its nearest decided
-neighbours: theirs if both agree, else that of the nearer one, the one before on a tie.
+The page is cut into blocks (text between block-level tags). The first pass decides each by itself, from its share
+of stop words, its link density and its length; where it stands (inside an element that the page names as its main
+text, or outside one) moves these limits. Only menus, footers, adverts, forms and the like are out by their tag or
+name alone. Blocks that say too little, short ones and, inside, ones of few stop words, stay open. The second pass
+gives an open block the label of its nearest decided neighbours of the same surroundings: theirs if both agree,
+else that of the nearer one, the one before on a tie. Where its surroundings have no decided block (inside: no
+good one), it is good inside, and outside if the page names no main text.
 
 Defined cases: a null or empty page has the empty text; repeated rows get equal results; unclosed and misnested
-tags end where their surroundings do; what is not closed by the end of the page is closed there. Nothing is capped.
+tags end where their surroundings do; what is not closed by the end of the page is closed there. Scripts, styles and
+the like end at their first closing tag, foreign elements where they do, nested ones and self-closed ones too.
+Nothing is capped.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
 from collections.abc import Iterator
@@ -24,11 +30,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 SKIPPED = frozenset("head title nav footer aside form script style noscript template svg math iframe object button select option textarea dialog menu canvas audio video map".split())
 CLOSED_BY_BLOCKS = frozenset(["p"])
-RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|title"
+FOREIGN = frozenset(["svg", "math"])
+RAW = "script|style|noscript|iframe|textarea|title"
 BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|ad-?(?:box|slot|unit|space|wrap|wrapper|container|area)|adv|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|sidebar|side|aside|footer|foot|header|masthead|cookie|cookies|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comment|comments|disqus|reply|replies|respond|widget|toolbar|pagination|pager|search|copyright|legal|disclaimer|hidden|skip)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|ad-?(?:box|slot|unit|space|wrap|wrapper|container|area)|adv|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|sidebar|side|aside|footer|foot|cookie|cookies|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comment|comments|disqus|reply|replies|respond|widget|toolbar|pagination|pager|search|copyright|legal|disclaimer|hidden|skip)(?:$|[\s_-])",
     re.I,
 )
+HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)  # of the page, if not inside its main text
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|entry|post|story|main|body|text|article-body|post-body)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form note".split())
 STOP_WORDS = frozenset(
@@ -49,20 +57,22 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"([a-zA-Z-]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 _WITH = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without)-\S++", re.I)  # says what else a page has, not what this is
-_HEADING = re.compile(r"h[1-6]")
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 class _Block:
-    __slots__ = ("heading", "inside", "linked", "parts", "skipped")
+    """A run of text: its parts, how much of it is linked, whether it is left out, and the element of the main text it is in (0: none)."""
 
-    def __init__(self, skipped: bool, inside: bool, heading: bool) -> None:
+    __slots__ = ("linked", "parts", "region", "skipped")
+
+    def __init__(self, skipped: bool, region: int) -> None:
         self.parts: list[str] = []
         self.linked = 0
-        self.skipped, self.inside, self.heading = skipped, inside, heading
+        self.skipped, self.region = skipped, region
 
 
 def _role(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is left out with all it holds, and whether it holds the main text."""
+    """Whether an element is left out with all it holds, and whether the page names it as its main text."""
     if tag in SKIPPED:
         return True, False
     if tag == "header":
@@ -75,7 +85,8 @@ def _role(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
     if hidden or named.get("role", "").lower() in ROLES:
         return True, False
     main = tag in ("article", "main") or named.get("role", "").lower() in ("main", "article")
-    if BOILERPLATE.search(names) and tag not in ("html", "body") and not (main and CONTENT.search(names)):
+    boilerplate = BOILERPLATE.search(names) or (not inside and HEADER.search(names))
+    if boilerplate and tag not in ("html", "body") and not (main and CONTENT.search(names)):
         return True, False
     return False, main or (tag in ("div", "section") and bool(CONTENT.search(names)))
 
@@ -83,18 +94,17 @@ def _role(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
 def blocks(page: str) -> list[_Block]:
     """The page's blocks in order, with what is known of where each stands."""
     out: list[_Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, left out, inside the main text
-    links = 0
+    stack: list[tuple[str, bool, int]] = []  # tag, left out, element of the main text
+    links = regions = 0
     block: _Block | None = None
-    heading = False
 
     def add(raw: str) -> None:
         nonlocal block
         if not raw:
             return
         if block is None:
-            _, skipped, inside = stack[-1] if stack else ("", False, False)
-            block = _Block(skipped, inside, heading)
+            _, skipped, region = stack[-1] if stack else ("", False, 0)
+            block = _Block(skipped, region)
             out.append(block)
         value = entities.unescape(raw)
         block.parts.append(value)
@@ -111,9 +121,8 @@ def blocks(page: str) -> list[_Block]:
             continue
         if not tag:
             continue
-        if tag in BLOCK:
+        if tag in BLOCK or tag in FOREIGN:
             block = None
-            heading = False
         if m["close"] or m["close2"]:
             if tag == "a":
                 links = 0
@@ -129,68 +138,84 @@ def blocks(page: str) -> list[_Block]:
                     break
                 if stack[i][0] in BLOCK:
                     break
+        attrs = m["attrs"] or m["attrs2"] or ""
+        if tag in VOID or attrs.endswith("/"):
+            continue
         if tag == "a":
             links = 1
-        if tag in VOID or (m["attrs"] or m["attrs2"] or "").endswith("/"):
-            continue
-        heading = bool(_HEADING.fullmatch(tag))
-        _, skipped, inside = stack[-1] if stack else ("", False, False)
-        left_out, main = _role(tag, m["attrs"] or m["attrs2"] or "", inside)
-        stack.append((tag, skipped or left_out, inside or main))
+        _, skipped, region = stack[-1] if stack else ("", False, 0)
+        left_out, main = _role(tag, attrs, region > 0)
+        if main and not (region or skipped or left_out):
+            regions += 1
+            region = regions
+        stack.append((tag, skipped or left_out, region))
     add(page[at:])
     return out
 
 
-def _first(text: str, block: _Block, anchored: bool) -> bool | None:
-    """Good, bad or (None) open, from the block alone. anchored: the page says where its main text is."""
+def _first(text: str, block: _Block, named: bool) -> bool | None:
+    """Good, bad or (None) open, from the block alone. named: the page names its main text."""
     linked = block.linked / max(len(text), 1)
     if block.skipped or linked > LINKS:
         return False
-    if anchored:
-        return block.inside
-    words = text.lower().split()
-    stop = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / max(len(words), 1)
     if len(text) < SHORT:
         return None
-    if stop >= STOP_HIGH:
-        return True
-    if stop >= STOP_LOW:
-        return True if len(text) >= LONG else None
-    return None if block.heading else len(text) >= LONG and linked == 0
+    words = [w for w in (_NOT_LETTERS.sub("", w) for w in text.lower().split()) if w]
+    stop = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+    long = len(text) >= LONG
+    if block.region:
+        return True if stop >= STOP_HIGH or (long and stop >= STOP_LOW) else None
+    if named:
+        return stop >= STOP_HIGH and long and linked == 0
+    return True if stop >= STOP_HIGH or (long and stop >= STOP_LOW) else None if stop >= STOP_LOW else long and linked == 0
+
+
+def labels(found: list[tuple[str, _Block]]) -> list[tuple[bool, bool]]:
+    """For each block (its text, itself): whether it is good, and whether the first pass had left it open."""
+    named = any(b.region and not b.skipped for _, b in found)
+    first = [_first(t, b, named) for t, b in found]
+    surroundings = [-1 if b.skipped else b.region for _, b in found]
+    decided: dict[int, list[int]] = {}
+    for i, label in enumerate(first):
+        if label is not None and surroundings[i] >= 0:
+            decided.setdefault(surroundings[i], []).append(i)
+    with_good = {place for place, label in zip(surroundings, first, strict=True) if label}
+    out = []
+    for i, label in enumerate(first):
+        if label is not None:
+            out.append((label, False))
+            continue
+        near = decided.get(surroundings[i], [])
+        if surroundings[i] > 0 and surroundings[i] not in with_good:
+            near = []  # link lists alone say nothing against an article's short lines
+        at = bisect.bisect(near, i)
+        before, behind = (near[at - 1] if at else None), (near[at] if at < len(near) else None)
+        if before is None and behind is None:
+            good = surroundings[i] > 0 or not named
+        elif before is None or behind is None:
+            good = first[behind if before is None else before]
+        else:
+            good = first[before] if i - before <= behind - i else first[behind]
+        out.append((bool(good), True))
+    return out
 
 
-def main_text(page: str) -> str:
-    """The good blocks' texts, white space run together, joined by one space."""
+def main_text(page: str) -> tuple[str, int, int]:
+    """The good blocks' texts, white space run together, joined by one space; the number of blocks, and of those left open at first."""
     found = [(" ".join("".join(b.parts).split()), b) for b in blocks(page)]
     found = [(t, b) for t, b in found if t]
-    anchored = any(b.inside and not b.skipped for _, b in found)
-    labels = [_first(t, b, anchored) for t, b in found]
-    decided = [i for i, x in enumerate(labels) if x is not None]
-    out = []
-    after = 0
-    for i, (t, _) in enumerate(found):
-        label = labels[i]
-        if label is None:
-            while after < len(decided) and decided[after] < i:
-                after += 1
-            before = decided[after - 1] if after else None
-            behind = decided[after] if after < len(decided) else None
-            if before is None or behind is None:
-                label = labels[before if behind is None else behind] if decided else True
-            else:
-                label = labels[before] if i - before <= behind - i else labels[behind]
-        if label:
-            out.append(t)
-    return " ".join(out)
+    told = labels(found)
+    return " ".join(t for (t, _), (good, _) in zip(found, told, strict=True) if good), len(found), sum(open_ for _, open_ in told)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """Per page: page_id, url, text, n_chars."""
+    """Per page: page_id, url, text, n_chars, n_blocks, n_open (blocks that the first pass left to the second)."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            texts = [main_text(x.as_py() or "") for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            found = [main_text(x.as_py() or "") for x in b.column(2)]
+            numbers = [pa.array(c, pa.int64()) for c in ([len(t) for t, _, _ in found], [n for _, n, _ in found], [n for _, _, n in found])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t for t, _, _ in found], pa.string()), *numbers], names=["page_id", "url", "text", "n_chars", "n_blocks", "n_open"])
 
     chosen = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return chosen.mapInArrow(batches, f"page_id {chosen.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    return chosen.mapInArrow(batches, f"page_id {chosen.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long, n_blocks long, n_open long")

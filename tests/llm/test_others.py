@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from hearthwave.llm import chat, fingerprint, html, toxicity, warc
+from hearthwave.llm import chat, fingerprint, toxicity, warc
 from tests.llm.helpers import LONG, awkward, documents, empty
 
 
@@ -110,35 +110,6 @@ def test_ordinal_thresholds_are_ordered():
     assert (np.diff(t) > 0).all() and w[0] > 3 * abs(w[1]) and w[0] > 3 * abs(w[2])
 
 
-# html
-
-@pytest.mark.parametrize(
-    ("page", "want"),
-    [
-        ("", ""), (None, ""), ("just text", "just text"), ("<p>a<p>b", "a b"), ("<article><h1>T</h1><p>x &amp; y&nbsp;z<br>w</p></article><footer>f</footer>", "T x & y z w"),
-        ("<nav>n</nav><main><p>one <b>two</b>three</p><script>p('</p>')</script><form>f</form></main>", "one twothree"),
-        ('<article><p>good</p><div class="comments"><p>bad</p></div><aside>s</aside><p>more</p></article>', "good more"),
-        ("<article><p>unclosed <!-- comment", "unclosed"), ('<div class="content has-sidebar"><p>x</p><div class="adslot">y</div><div id="disqus_thread">z</div></div>', "x"), ('<div class="cookie-notice">c</div><article>a<ul class="share"><li>s</li></ul></article>', "a"),
-    ],
-)
-def test_main_text(page, want):
-    assert html.main_text(page or "") == want
-
-
-def test_html_open_blocks_take_their_neighbours_label():
-    long = "this is a paragraph of the story and it has what the rules look for in it, so that it is taken to be good. " * 2
-    page = f"<p>{long}</p><p>short</p><p>{long}</p><ul><li><a href=x>home page link</a></li></ul><p>tail</p><ul><li><a href=y>about us link</a></li></ul>"
-    got = html.main_text(page)
-    assert " short " in got and "home" not in got and "tail" not in got
-
-
-def test_html_table(spark):
-    pages = spark.createDataFrame([(1, "u", "<p>é</p>"), (None, None, None), (1, "u", "<p>é</p>"), (2, "v", "<p>" + LONG + "</p>")], "page_id long, url string, html string")
-    rows = html.extract(pages).collect()
-    assert sorted(r["n_chars"] for r in rows) == [0, 1, 1, len(LONG)]
-    assert html.extract(pages.where("false")).count() == 0
-
-
 # warc
 
 def test_arc_versions_and_bad_archives():
