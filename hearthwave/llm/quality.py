@@ -30,8 +30,8 @@ STATISTICS = (
     "breaks", "wide_bytes", "repeats", "near_repeats",
 )
 N = len(STATISTICS)
-#: Rows of labelled documents from which the logistic line is fitted, about; the means and covariances use all rows.
-LINE_ROWS = 20_000
+#: Log-odds count up to MOST_ODDS to either side for the logistic line, in so many bins for each 1.
+MOST_ODDS, BINS = 200, 20
 
 _KIND = np.zeros(256, dtype=np.int64)
 for _kind, _members in enumerate(("", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".,;:'\"()-?", "#$%&*@^~<>{}[]=+_\\/`", "|", "!", "\n")):
@@ -85,6 +85,14 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     return chosen.mapInArrow(batches, f"{kinds}, x array<double>")
 
 
+def forward(factor: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Solves ``factor @ z = d`` for a lower triangular factor, row after row, all columns of d at once."""
+    z = np.empty_like(d)
+    for i in range(len(factor)):
+        z[i] = (d[i] - factor[i, :i] @ z[:i]) / factor[i, i]
+    return z
+
+
 @dataclass(frozen=True)
 class Discriminant:
     """Means and Cholesky factors of both classes (0, then 1), the log prior odds and the logistic line."""
@@ -100,7 +108,7 @@ class Discriminant:
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         density = []
         for mean, factor, log_det in zip(self.means, self.factors, self.log_dets, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T)
+            z = forward(factor, (x - mean).T)
             density.append(-0.5 * (np.einsum("ij,ij->j", z, z) + log_det))
         return density[1] - density[0] + self.odds
 
@@ -131,11 +139,26 @@ def moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
     return out
 
 
-def fit(rows: DataFrame, pooled: float = 0.3, ridge: float = 0.05, line_rows: int = LINE_ROWS) -> Discriminant:
-    """From rows (y 0/1, x statistics).
+def gaussians(by: dict[int, tuple[float, np.ndarray, np.ndarray]], pooled: float, ridge: float) -> Discriminant:
+    """From counts, sums and sums of products of both classes."""
+    counts = [by[y][0] for y in (0, 1)]
+    means = np.stack([by[y][1] / by[y][0] for y in (0, 1)])
+    own = [by[y][2] / by[y][0] - np.outer(means[y], means[y]) for y in (0, 1)]
+    both = (own[0] * counts[0] + own[1] * counts[1]) / sum(counts)
+    factors = []
+    for cov in own:
+        shrunk = (1 - pooled) * cov + pooled * both
+        shrunk = (1 - ridge) * shrunk + ridge * (np.trace(shrunk) / N + 1e-9) * np.eye(N)
+        factors.append(np.linalg.cholesky(shrunk))
+    return Discriminant(means, np.stack(factors), np.array([2 * np.log(np.diag(f)).sum() for f in factors]), math.log(counts[1] / counts[0]))
+
+
+def fit(rows: DataFrame, pooled: float = 0.3, ridge: float = 0.05) -> Discriminant:
+    """From rows (y 0/1, x statistics), all of them.
 
     pooled: weight of the pooled covariance in each class's own. ridge: weight of the mean variance times the
-    identity in that. line_rows: rows from which the logistic line is fitted, about, taken by their hash.
+    identity in that. The logistic line is fitted to the rows' log-odds in bins, at most 2 * (2 * MOST_ODDS * BINS + 1)
+    of which come to the driver.
     """
     by = moments(rows)
     counts = {y: by[y][0] if y in by else 0.0 for y in (0, 1)}
@@ -143,30 +166,27 @@ def fit(rows: DataFrame, pooled: float = 0.3, ridge: float = 0.05, line_rows: in
         total = sum(counts.values())
         blank = np.zeros((2, N))
         return Discriminant(blank, np.stack([np.eye(N)] * 2), np.zeros(2), 0.0, constant=counts[1] / total if total else 1.0)
-    means = np.stack([by[y][1] / by[y][0] for y in (0, 1)])
-    own = [by[y][2] / by[y][0] - np.outer(means[y], means[y]) for y in (0, 1)]
-    both = (own[0] * counts[0] + own[1] * counts[1]) / (counts[0] + counts[1])
-    factors = []
-    for cov in own:
-        shrunk = (1 - pooled) * cov + pooled * both
-        shrunk = (1 - ridge) * shrunk + ridge * (np.trace(shrunk) / N + 1e-9) * np.eye(N)
-        factors.append(np.linalg.cholesky(shrunk))
-    model = Discriminant(means, np.stack(factors), np.array([2 * np.log(np.diag(f)).sum() for f in factors]), math.log(counts[1] / counts[0]))
-    share = min(1.0, line_rows / sum(counts.values()))
-    sample = rows.where(F.pmod(F.xxhash64("x"), F.lit(1_000_000)) < math.ceil(1_000_000 * share)).toPandas()  # about line_rows rows
-    z, y = np.clip(model.log_odds(np.stack(sample["x"].to_numpy())), -200, 200), sample["y"].to_numpy().astype(float)
-    slope, shift = line(z, y)
+    model = gaussians(by, pooled, ridge)
+
+    def binned(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            z = np.clip(model.log_odds(np.stack(pdf["x"].to_numpy())), -MOST_ODDS, MOST_ODDS) if len(pdf) else np.zeros(0)
+            yield pd.DataFrame({"y": pdf["y"], "z": z, "bin": np.rint(z * BINS).astype(np.int64)}).groupby(["y", "bin"], as_index=False).agg(z=("z", "sum"), n=("z", "count"))
+
+    bins = rows.mapInPandas(binned, "y int, bin long, z double, n long").groupBy("y", "bin").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toPandas().sort_values(["y", "bin"])
+    slope, shift = line((bins["z"] / bins["n"]).to_numpy(float), bins["y"].to_numpy(float), bins["n"].to_numpy(float))
     return Discriminant(model.means, model.factors, model.log_dets, model.odds, slope, shift)
 
 
-def line(z: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> tuple[float, float]:
-    """Logistic regression of y on z by Newton's method, the slope held to the positive side."""
-    scale = max(float(np.abs(z).mean()), 1e-9)
+def line(z: np.ndarray, y: np.ndarray, n: np.ndarray, penalty: float = 1e-2) -> tuple[float, float]:
+    """Logistic regression of y on z, each row counting n times, by Newton's method, the slope held to the positive side."""
+    total = n.sum()
+    scale = max(float(np.abs(z) @ n / total), 1e-9)
     design, w = np.column_stack([z / scale, np.ones(len(z))]), np.array([1.0, 0.0])
-    target = (y * (len(y) - 2) + 1) / max(len(y), 1) if len(y) > 2 else y
+    target = (y * (total - 2) + 1) / total if total > 2 else y
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        step = np.linalg.solve((design.T * (p * (1 - p))) @ design + penalty * np.eye(2), design.T @ (p - target) + penalty * (w - [1.0, 0.0]))
+        step = np.linalg.solve((design.T * (n * p * (1 - p))) @ design + penalty * np.eye(2), design.T @ (n * (p - target)) + penalty * (w - [1.0, 0.0]))
         w = w - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
