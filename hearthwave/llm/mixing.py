@@ -2,9 +2,9 @@
 
 Every source is a queue of its documents in shuffled order, repeated up to ``repeats`` times. An entry's virtual
 finish time is the number of its source's words up to and with it, divided by the source's target. All sources
-are served at once, each at the rate of its target, so that taking entries by finish time and stopping at the
-total budget takes from every source its target. The budget is reached at the same virtual time in all sources:
-the entry in service then is cut to the words that fit.
+are served at once, each at the rate of its target, so that every source has had its target at virtual time 1; an
+entry in service then is cut to the words its source is still due. All entries are sorted by finish time, over
+ranges of virtual time, and what lies beyond the total budget in that order is cut off.
 
 Defined cases: sources weigh 5, 2, 1, repeating, by code point, a null source last; a null text has no words
 and is never taken; documents of equal ``doc_id`` are ordered by their text's hash, and rows that are equal in
@@ -33,7 +33,7 @@ def n_words(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
-    """(source, source_size, target) from (source, source_size), one row each.
+    """(source, source_size, target, budget) from (source, source_size), one row each; budget: all targets in whole words.
 
     The total is shared by weight; no target is above ``repeats`` times its source's size, and what is above
     goes to the others by weight until none is. The sources that stop at their limit are those with the least
@@ -49,11 +49,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
     level = left / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
     tried = weighed.withColumn("level", level).withColumn("at", F.row_number().over(by_limit)).withColumn("fits", F.col("level") * F.col("weight") <= F.col("most"))
     found = tried.withColumn("level", F.min_by("level", F.when(F.col("fits"), F.col("at"))).over(whole))
-    return found.select("source", "source_size", F.least(F.col("most").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("most").cast("double"))).alias("target"))
+    target = F.least(F.col("most").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("most").cast("double")))
+    return found.select("source", "source_size", target.alias("target"), F.sum(F.floor(target + 0.5)).over(whole).cast("long").alias("budget"))
 
 
 def plan(docs: DataFrame, keep: list[str] | None = None, bucket_rows: int = BUCKET_ROWS, least_buckets: int = LEAST_BUCKETS) -> DataFrame:
-    """Per document: ``keep`` (doc_id), source, size, source_size, target, before (words ahead in its queue), taken.
+    """Per document: ``keep`` (doc_id), source, size, source_size, target, budget (of all), before (words ahead in its queue).
 
     The words ahead are summed in two steps, so that no task gets a whole source: a source's shuffled order is
     cut into buckets of the hash, the buckets' sums are added up, and each bucket is ordered for itself.
@@ -66,28 +67,44 @@ def plan(docs: DataFrame, keep: list[str] | None = None, bucket_rows: int = BUCK
     ahead = F.sum("words").over(W.partitionBy("source").orderBy("_bucket")) - F.col("words")
     share = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")))
     starts = sums.withColumn("ahead", ahead).join(share, sums["source"].eqNullSafe(share["source"])).drop(share["source"]).drop("words")
-    starts = store.written(starts.select(F.col("source").alias("_source"), F.col("_bucket").alias("_b"), "ahead", "source_size", "target"), "starts")
+    starts = store.written(starts.select(F.col("source").alias("_source"), F.col("_bucket").alias("_b"), "ahead", "source_size", "target", "budget"), "starts")
     within = W.partitionBy("source", "_bucket").orderBy("_order", "doc_id", "_tie").rowsBetween(W.unboundedPreceding, W.currentRow)
     queued = placed.withColumn("_within", F.sum("size").over(within) - F.col("size"))
     joined = queued.join(starts, queued["source"].eqNullSafe(starts["_source"]) & (queued["_bucket"] == starts["_b"]))
-    cut = F.floor(F.col("target") + 0.5)
     before = F.col("ahead") + F.col("_within")
-    used = sum((F.greatest(F.lit(0), F.least(F.col("size"), cut - before - r * F.col("source_size"))) for r in range(REPEATS)), F.lit(0))
-    return joined.select(*keep, "source", "size", "source_size", "target", before.alias("before"), used.cast("long").alias("taken"))
+    return joined.select(*keep, "source", "size", "source_size", "target", "budget", before.alias("before"))
 
 
-def stream(planned: DataFrame) -> DataFrame:
-    """The mix itself: one row per use of a document (round, words), range-sorted by virtual finish time."""
-    use = planned.where("taken > 0").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))))
-    start = F.col("before") + F.col("round") * F.col("source_size")
-    words = F.greatest(F.lit(0), F.least(F.col("size"), F.floor(F.col("target") + 0.5) - start)).cast("long")
-    timed = use.withColumn("words", words).where("words > 0").withColumn("finish", (start + F.col("size")) / F.col("target"))
-    return timed.repartitionByRange("finish", "doc_id").sortWithinPartitions("finish", "doc_id")
+def queue(planned: DataFrame, ranges: int = LEAST_BUCKETS) -> DataFrame:
+    """One row per use of a document: the plan's columns, round, words, finish, position (words ahead in the mix), used.
 
-
-def mix(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken."""
-    return plan(docs).select("doc_id", "size", "source_size", "target", "taken")
+    Ranges of virtual time of equal length hold about equally many words, whatever their sources. The ranges' sums
+    are added up first, in a window of one row per range; then each range is sorted for itself.
+    """
+    due = F.floor(F.col("target") + 0.5).cast("long")
+    start = (F.col("before") + F.col("round") * F.col("source_size")).alias("start")
+    uses = planned.where("size > 0").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1)))).withColumn("start", start).where(F.col("start") < due)
+    timed = uses.withColumns({"words": F.least(F.col("size"), due - F.col("start")), "finish": (F.col("start") + F.col("size")) / F.col("target")})
+    ranged = timed.withColumn("range", F.least(F.lit(ranges), F.floor(F.col("finish") * ranges)).cast("long"))
+    sums = ranged.groupBy("range").agg(F.sum("words").alias("sum"))
+    by_range = W.orderBy("range")
+    ahead = sums.select("range", (F.sum("sum").over(by_range) - F.col("sum")).alias("ahead"))
+    within = W.partitionBy("range").orderBy("finish", "source", "start").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sorted_ = ranged.withColumn("within", F.sum("words").over(within) - F.col("words")).join(ahead, "range")
+    placed = sorted_.withColumn("position", F.col("ahead") + F.col("within"))
+    used = F.greatest(F.lit(0), F.least(F.col("words"), F.col("budget") - F.col("position"))).cast("long")
+    return placed.select(*planned.columns, "round", "words", "finish", "position", used.alias("used"))
+
+
+def mix(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, least_buckets: int = LEAST_BUCKETS) -> DataFrame:
+    """Per document: doc_id, size, source_size, target, taken (the words of its entries within the budget)."""
+    planned = store.written(plan(docs, bucket_rows=bucket_rows, least_buckets=least_buckets), "planned")
+    ranges = max(least_buckets, -(-planned.count() // bucket_rows))
+    told = ["doc_id", "size", "source_size", "target"]
+    # in a source no two documents with words have as many words ahead
+    rows = queue(planned, ranges).select("source", "before", *told, "used").unionAll(planned.select("source", "before", *told, F.lit(0).cast("long")).where("size > 0"))
+    taken = rows.groupBy("source", "before", *told).agg(F.sum("used").alias("taken"))
+    return taken.select(*told, "taken").unionAll(planned.where("size = 0").select(*told, F.lit(0).cast("long").alias("taken")))
 
 
 #: For DuckDB. The shuffle is the order of md5 digests, which both know.

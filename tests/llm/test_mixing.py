@@ -39,15 +39,20 @@ def test_targets_and_taken(spark):
         taken[s] = taken.get(s, 0) + r["taken"]
     assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
     assert sorted(got) == sorted(mixing.mix(docs.repartition(7)).collect())
-    assert sorted(got) == sorted(mixing.plan(docs, bucket_rows=3, least_buckets=1).select("doc_id", "size", "source_size", "target", "taken").collect())
-
-
-def test_stream_is_sorted_by_finish_time(spark):
-    docs = documents(spark, [(i, "w " * (i % 7 + 1), "ab"[i % 2]) for i in range(60)])
-    planned = mixing.plan(docs)
-    rows = mixing.stream(planned).collect()
-    assert [r["finish"] for r in rows] == sorted(r["finish"] for r in rows)
-    assert sum(r["words"] for r in rows) == sum(r["taken"] for r in planned.collect())
+    assert sorted(got) == sorted(mixing.mix(docs, bucket_rows=3, least_buckets=1).collect())
+
+
+def test_queue_is_sorted_by_finish_time_and_ends_with_the_budget(spark):
+    docs = documents(spark, [(i, "w " * (i % 7 + 1), "ab"[i % 2]) for i in range(60)] + [(99, "w " * 500, "c")])
+    for ranges in (1, 7, 512):
+        rows = sorted(mixing.queue(mixing.plan(docs), ranges).collect(), key=lambda r: r["position"])
+        assert [r["finish"] for r in rows] == sorted(r["finish"] for r in rows)
+        at = 0
+        for r in rows:
+            assert r["position"] == at and r["used"] == max(0, min(r["words"], r["budget"] - at))
+            at += r["words"]
+        assert sum(r["used"] for r in rows) == rows[0]["budget"] == at
+        assert sum(r["finish"] > 1 for r in rows) <= 3
 
 
 def test_awkward_rows(spark):
