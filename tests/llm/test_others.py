@@ -1,8 +1,10 @@
+import gzip
 import hashlib
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hearthwave.llm import chat, fingerprint, toxicity, warc
 from tests.llm.helpers import LONG, awkward, documents, empty
@@ -116,12 +118,37 @@ def test_arc_versions_and_bad_archives():
     for version in (1, 2):
         raw = warc.arc_start(version, "x.arc") + warc.arc_header(version, "http://a/ b", "1.2.3.4", "20200102030405", "text/html", 4) + b"a\nbc\n"
         got = list(warc.parse_arc(raw))
-        assert got == [{"url": "http://a/%20b", "ip": "1.2.3.4", "date": "20200102030405", "content_type": "text/html", "payload": b"a\nbc"}]
+        assert got == [{"url": "http://a/%20b", "ip": "1.2.3.4", "date": "20200102030405", "content_type": "text/html", "body": b"a\nbc"}]
         with pytest.raises(ValueError, match="shorter"):
             list(warc.parse_arc(raw[:-3]))
     assert warc.warc_date("20200102030405") == "2020-01-02T03:04:05Z"
 
 
+def test_archives_of_any_bytes(spark, tmp_path):
+    """Bodies and headers that aren't UTF-8, bodies with and without an HTTP head, files that are cut, members and separators."""
+    image = bytes(range(256)) * 4 + warc.GAP + warc.GAP
+    head = b"HTTP/1.0 404 Not Found\r\nServer: x\r\n\r\n"
+    bodies = [image, "naïve".encode("latin-1"), head + b"gone", b""]
+    raw = warc.arc_start(1, "x.arc") + b"".join(warc.arc_header(1, f"http://a/{i}", "1.2.3.4", "20200102030405", "image/png", len(x)) + x + b"\n" for i, x in enumerate(bodies))
+    raw = raw.replace(b"http://a/1", "http://a/é".encode("latin-1"))
+    records = warc.from_arc(spark.createDataFrame([(["0", "1", "2", "3"], raw)], "page_ids array<string>, content binary"))
+    told = {r["page_id"]: r for r in records.collect()}
+    assert told["1"]["url"] == "http://a/%E9" and bytes(told["2"]["head"]) == head and bytes(told["2"]["payload"]) == b"gone"
+    columns = {"refers_to": F.when(F.col("page_id") == "3", "2"), "refers_url": F.when(F.col("page_id") == "3", "http://a/2"), "refers_date": F.when(F.col("page_id") == "3", F.col("date"))}
+    for name, size in (("whole", 1 << 20), ("cut", 1)):
+        warc.write_warc(records.withColumns(columns).coalesce(1), f"{tmp_path}/{name}", size)
+        files = sorted((tmp_path / name).rglob("*.txt"))
+        assert len(files) == (1 if name == "whole" else 4)
+        found = [x for f in files for m in warc.members(f.read_bytes()) for x in warc.parse_warc(m)]
+        assert gzip.decompress(files[0].read_bytes()) == b"".join(warc.members(files[0].read_bytes()))
+        assert sum(f["WARC-Type"] == "warcinfo" for f, _ in found) == len(files)
+        blocks = {f["X-Page-ID"]: (f, block) for f, block in found if "X-Page-ID" in f}
+        assert blocks["0"][1].endswith(image) and blocks["2"][1] == head + b"gone"
+        assert blocks["3"][0]["WARC-Refers-To"] == blocks["2"][0]["WARC-Record-ID"] and blocks["3"][0]["WARC-Refers-To-Date"] == blocks["2"][0]["WARC-Date"]
+        got = warc.read_warc(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{tmp_path}/{name}")).collect()
+        assert {(r["page_id"], r["payload_bytes"], r["payload_digest"]) for r in got} == {("0", len(image), warc.digest(image)), ("1", 5, warc.digest(bodies[1])), ("2", 4, warc.digest(b"gone")), ("3", 0, warc.digest(b""))}
+
+
 def test_warc_round_trip(spark):
     rows = [(5, "u5", "same"), (3, "u3", "same"), (9, "u9", None), (2, "u2", ""), (7, "u7", "a\r\n\r\nWARC/1.1\r\nb"), (8, None, "é" * 1000), (3, "u3", "same"), (None, "x", "lonely")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
