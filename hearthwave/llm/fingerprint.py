@@ -1,7 +1,7 @@
 """Document fingerprints: a homomorphic multiset hash of the paragraphs.
 
 Each paragraph (line) is hashed to a wide vector and a text's fingerprint is the sum of its paragraphs' vectors,
-number by number modulo 2**16. So it doesn't mind the paragraphs' order, and a paragraph that comes or goes is
+number by number modulo 2**32. So it doesn't mind the paragraphs' order, and a paragraph that comes or goes is
 added to or taken from it without the rest of the text. The first DENSE numbers are a digest of the paragraph and
 tell whether two multisets of paragraphs are equal; the other SKETCH numbers count the paragraph's word triples
 with random signs at random places, and the cosine of two such parts estimates how much two texts share.
@@ -27,18 +27,18 @@ from pyspark.sql import functions as F
 
 from . import text
 
-#: Numbers of 16 bits in the two parts of a vector.
-DENSE, SKETCH = 64, 256
+#: Numbers of 32 bits in the two parts of a vector.
+DENSE, SKETCH = 32, 256
 #: Texts that are hashed together.
 STEP = 256
 
 
 def vectors(texts: list[str]) -> np.ndarray:
-    """One row of DENSE + SKETCH numbers (16 bits, unsigned) for each text."""
+    """One row of DENSE + SKETCH numbers (32 bits, unsigned) for each text."""
     lines = [t.encode().split(b"\n") for t in texts]
     counts = np.fromiter(map(len, lines), np.int64, len(lines))
-    digests = np.frombuffer(b"".join(hashlib.shake_128(p).digest(2 * DENSE) for own in lines for p in own), "<u2").reshape(-1, DENSE)
-    dense = np.add.reduceat(digests, np.concatenate([[0], np.cumsum(counts)[:-1]]), axis=0, dtype=np.uint16)
+    digests = np.frombuffer(b"".join(hashlib.shake_128(p).digest(4 * DENSE) for own in lines for p in own), "<u4").reshape(-1, DENSE)
+    dense = np.add.reduceat(digests, np.concatenate([[0], np.cumsum(counts)[:-1]]), axis=0, dtype=np.uint32)
     sketch = np.concatenate([_sketch(data, offs) for _, _, data, offs in text.chunks(pa.array(texts, pa.string()))])
     return np.concatenate([dense, sketch], axis=1)
 
@@ -55,23 +55,23 @@ def _sketch(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     triple = text.mix(triple)
     place = row * SKETCH + (triple >> np.uint64(1)).astype(np.int64) % SKETCH
     sign = np.where(triple & np.uint64(1), 1, -1)
-    return np.bincount(place, sign, minlength=n * SKETCH).astype(np.int64).astype(np.uint16).reshape(n, SKETCH)
+    return np.bincount(place, sign, minlength=n * SKETCH).astype(np.int64).astype(np.uint32).reshape(n, SKETCH)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of vectors, row by row: 1 for equal ones, else the cosine of their sketches, from 0 up."""
-    x, y = (np.ascontiguousarray(v[:, DENSE:]).view(np.int16).astype(float) for v in (a, b))
+    x, y = (np.ascontiguousarray(v[:, DENSE:]).view(np.int32).astype(float) for v in (a, b))
     norm = np.sqrt((x * x).sum(1) * (y * y).sum(1))
     cosine = np.where(norm > 0, (x * y).sum(1) / np.where(norm > 0, norm, 1), 0.0)
     return np.where((a == b).all(1), 1.0, np.clip(cosine, 0.0, 1.0))
 
 
 def encode(v: np.ndarray) -> list[str]:
-    return [base64.b64encode(row.tobytes()).decode() for row in v.astype("<u2")]
+    return [base64.b64encode(row.tobytes()).decode() for row in v.astype("<u4")]
 
 
 def decode(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(fingerprint), "<u2")
+    return np.frombuffer(base64.b64decode(fingerprint), "<u4")
 
 
 def added(fingerprint: str, other: str) -> str:

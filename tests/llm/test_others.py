@@ -1,6 +1,9 @@
 import gzip
 import hashlib
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -65,6 +68,45 @@ def test_likeness():
     assert got[0] == 1 and 0.35 < got[1] < 0.65 and got[2] < 0.25 and got[3] == 1 and got[4] == 0
 
 
+def _plain_dense(text):
+    sums = [0] * fingerprint.DENSE
+    for paragraph in text.split("\n"):
+        digest = hashlib.shake_128(paragraph.encode()).digest(4 * fingerprint.DENSE)
+        sums = [(s + int.from_bytes(digest[4 * i : 4 * i + 4], "little")) % 2**32 for i, s in enumerate(sums)]
+    return sums
+
+
+def _plain_likeness(a, b):
+    """The cosine of the counts of word triples (of a paragraph; its last words make shorter ones)."""
+    counts = []
+    for t in (a, b):
+        found = Counter()
+        for paragraph in t.split("\n"):
+            words = paragraph.split()
+            found.update(tuple(words[i : i + 3]) for i in range(len(words)))
+        counts.append(found)
+    x, y = counts
+    norm = (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5
+    return sum(v * y[k] for k, v in x.items()) / norm if norm else 0.0
+
+
+def test_fingerprints_against_a_plain_version(spark):
+    e = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, "\n".join(" ".join(e.choice(words) for _ in range(e.randrange(30))) for _ in range(e.randrange(1, 12)))) for i in range(60)]
+    rows += [(60, rows[59][1] + "\none more line of words here"), (61, ""), (62, "\n"), (63, None), (64, "again " * 100_000), (65, "again " * 100_000 + "é" * 7)]
+    texts = {i: t or "" for i, t in rows}
+    for i, r in ((r["doc_id"], r) for r in fingerprint.compare(documents(spark, rows), 5).collect()):
+        own, after = texts[i], texts[i - 1 if i else 65]
+        half = len(own) // 2
+        changed = own[: len(own) - half] + after[:half]
+        assert r["n_chars"] == len(own) and r["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
+        assert fingerprint.decode(r["fingerprint"])[: fingerprint.DENSE].tolist() == _plain_dense(own)
+        assert fingerprint.decode(r["edited_fingerprint"])[: fingerprint.DENSE].tolist() == _plain_dense(changed)
+        for likeness, other in ((r["near_edited"], changed), (r["near_next"], after)):
+            assert likeness == 1.0 if other == own else abs(likeness - _plain_likeness(own, other)) < 0.25, i
+
+
 @pytest.mark.parametrize("buckets", [1, 3, 8])
 def test_compare_against_plain(spark, buckets):
     rows = [(i * 7 % 41, f"text {i} " * (i % 9)) for i in range(41)]
@@ -104,6 +146,45 @@ def test_toxicity_finds_cues(spark):
     assert {r["severity"] < 1e-6 for r in toxicity.score(df, lab.where("false")).collect()} == {True}
 
 
+def test_scores_against_a_plain_version(spark):
+    """Each text word by word with the fitted weights; the sum over grades of chance times grade."""
+    e = random.Random(3)
+    words = "the people of a town met by river and sang idiots scum idiot fools Fool's 10 über".split()
+    rows = [(i, " ".join(e.choice(words[:9] if i % 4 else words) for _ in range(e.randrange(60)))) for i in range(400)] + [(400, None), (401, "IDIOTS " * 5000)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    docs = documents(spark, rows)
+    model = toxicity.fit(docs, labels)
+    assert model.weights
+    for r in toxicity.score(docs, labels).collect():
+        text = dict(rows)[r["doc_id"]] or ""
+        counts = Counter(t for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()) for t in [w, *([w[:4] + "*"] if len(w) > 4 else []), *([w[:5] + "*"] if len(w) > 5 else [])])
+        linear = sum(w * (1 + math.log(counts[t])) for t, w in model.weights.items() if counts[t])
+        above = [1 / (1 + math.exp(min(60, max(-60, t - linear)))) for t in model.thresholds]
+        chances = [a - b for a, b in zip([1, *above], [*above, 0], strict=True)]
+        assert abs(r["severity"] - sum(k * p for k, p in enumerate(chances))) < 1e-9
+        assert r["grade"] == sum(a >= 0.5 for a in above) and abs(r["score"] - above[0]) < 1e-9
+
+
+def test_ordinal_fit_is_a_maximum():
+    """No small step in any weight or threshold makes the likelihood better."""
+    e = np.random.default_rng(1)
+    x = e.normal(size=(300, 2))
+    grades = np.digitize(x[:, 0] + e.normal(size=300), [0, 0.7, 1.5])
+    w, t = toxicity.fit_ordinal(x, grades, rounds=3000, rate=0.03, penalty=0.3)
+
+    def worth(w, t):
+        above = 1 / (1 + np.exp(np.minimum(60, t - (x @ w)[:, None])))
+        edges = np.column_stack([np.ones(300), above, np.zeros(300)])
+        return np.log(edges[np.arange(300), grades] - edges[np.arange(300), grades + 1]).sum() - 0.15 * w @ w
+
+    best = worth(w, t)
+    for i in range(5):
+        for step in (-0.02, 0.02):
+            p = np.concatenate([w, t])
+            p[i] += step
+            assert worth(p[:2], p[2:]) < best + 1e-3
+
+
 def test_ordinal_thresholds_are_ordered():
     e = np.random.default_rng(0)
     x = e.normal(size=(500, 3))
