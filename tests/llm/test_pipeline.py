@@ -1,6 +1,10 @@
+import re
+
 import corpus_pipeline
 from hearthwave.llm import decontaminate, pii, quality
 from tests.llm.helpers import awkward, documents, empty
+from tests.llm.test_copies import _first_of_each as first_of_each
+from tests.llm.test_mixing import _targets as targets
 
 
 def _tables(spark, path):
@@ -39,3 +43,63 @@ def test_stages_keep_the_columns(spark, tmp_path):
         stage(spark, awkward(spark), str(tmp_path)).collect()
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near-dedup", "decontamination", "pii", "mixing"]
     assert {quality, decontaminate, pii}
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def _words(t):
+    return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
+def _plain_redacted(t):
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", lambda m: True), ("ip", r"[0-9]+(?:\.[0-9]+){3}", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", r"[0-9](?:[\x20-]?[0-9])+", lambda m: 13 <= len(re.sub("[^0-9]", "", m)) <= 19 and sum(sum(divmod(int(c) * 2, 10)) if i % 2 else int(c) for i, c in enumerate(reversed(re.sub("[^0-9]", "", m)))) % 10 == 0),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+        ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", lambda m: int("".join(str(int(c, 36)) for c in m.replace(" ", "")[4:] + m.replace(" ", "")[:4])) % 97 == 1),
+    ]
+    out, reach = "", 0
+    for start, end, kind in sorted((m.start(), m.end(), k) for k, p, ok in kinds for m in re.finditer(p, t) if ok(m[0])):
+        if start >= reach:
+            out += t[reach:start] + f"[{kind.upper()}]"
+        reach = max(reach, end)
+    return out + t[reach:]
+
+
+def test_stages_against_brute_force(spark):
+    """Each stage on what its predecessor kept of the given documents, against a plain version of it."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    items = [(r["item_id"], _words(r["text"])) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    rows = {r["doc_id"]: r for r in docs.collect()}
+
+    scores = {r["doc_id"]: r["score"] for r in quality.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).collect()}
+    good = stages["quality"](spark, docs, sf_dir)
+    assert {r["doc_id"] for r in good.collect()} == {i for i, s in scores.items() if s >= 0.7} != set(rows)
+
+    left = sorted((r["doc_id"], r["text"] or "") for r in good.collect())
+    want = first_of_each(left)
+    good = spark.createDataFrame(good.collect(), docs.schema)
+    single = stages["near-dedup"](spark, good, sf_dir)
+    assert {r["doc_id"] for r in single.collect()} == want and len(want) < len(left)
+
+    windows = {tuple(w[i : i + min(10, len(w))]) for _, w in items for i in range(max(len(w) - 9, 1) if w else 0)}
+    sizes = {len(w) for w in windows}
+    clean = {i for i in want if not any(tuple(w[j : j + n]) in windows for w in [_words(rows[i]["text"])] for n in sizes for j in range(len(w) - n + 1))}
+    single = spark.createDataFrame(single.collect(), docs.schema)
+    unseen = stages["decontamination"](spark, single, sf_dir)
+    assert {r["doc_id"] for r in unseen.collect()} == clean != want
+
+    unseen = spark.createDataFrame(unseen.collect(), docs.schema)
+    private = {r["doc_id"]: r["text"] for r in stages["pii"](spark, unseen, sf_dir).collect()}
+    assert private == {i: _plain_redacted(rows[i]["text"] or "") if rows[i]["text"] is not None else None for i in clean} and any("[EMAIL]" in (t or "") for t in private.values())
+
+    plain = [(i, t, rows[i]["source"]) for i, t in private.items()]
+    mixed = stages["mixing"](spark, documents(spark, plain), sf_dir).collect()
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in plain}
+    by_source = {s: sum(size[i] for i, _, x in plain if x == s) for s in {s for _, _, s in plain}}
+    due = targets(by_source)
+    assert {r["doc_id"]: r["size"] for r in mixed} == size and all(r["taken"] <= 3 * r["size"] for r in mixed)
+    assert all(abs(sum(r["taken"] for r in mixed if rows[r["doc_id"]]["source"] == s) - due[s]) <= 1 for s in by_source)
