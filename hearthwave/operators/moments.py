@@ -73,12 +73,13 @@ def robust_base(rounds: DataFrame, keys: list[str], round_id: str = "round", sha
     return rounds.join(common, keys, "left_semi").groupBy(*keys, "i", "j").agg(F.median("re").alias("re"), F.median("im").alias("im"))
 
 
-def relative_change(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Frobenius norm of b - a over that of a, per key. Inputs: keys, i, j, re, im."""
-    pair = a.join(b.select(*keys, "i", "j", F.col("re").alias("_re"), F.col("im").alias("_im")), [*keys, "i", "j"])
+def relative_change(a: DataFrame, b: DataFrame, keys: list[str], captures: list[str] | None = None) -> DataFrame:
+    """Frobenius norm of b - a over that of a, per key. Inputs: keys, i, j, re, im; b may have ``captures`` besides."""
+    more = captures or []
+    pair = a.join(b.select(*more, *keys, "i", "j", F.col("re").alias("_re"), F.col("im").alias("_im")), [*keys, "i", "j"])
     off = F.sum((F.col("_re") - F.col("re")) ** 2 + (F.col("_im") - F.col("im")) ** 2)
     own = F.sum(F.col("re") ** 2 + F.col("im") ** 2)
-    return pair.groupBy(*keys).agg((F.sqrt(off) / F.greatest(F.sqrt(own), F.lit(1e-12))).alias("rel"))
+    return pair.groupBy(*more, *keys).agg((F.sqrt(off) / F.greatest(F.sqrt(own), F.lit(1e-12))).alias("rel"))
 
 
 def change_by_capture(rel: DataFrame, keys: list[str]) -> DataFrame:

@@ -21,35 +21,36 @@ def accumulated(cells: DataFrame, persons: DataFrame, keys: list[str], capture:
     return clean.groupBy(*keys, "range_bin", "i", "j").agg(F.avg("re").alias("re"), F.avg("im").alias("im"), F.countDistinct(capture).alias("captures"))
 
 
-def motion_source(fluctuation: DataFrame, base: DataFrame | None, keys: list[str], gate: float = 0.15) -> DataFrame:
+def motion_source(fluctuation: DataFrame, base: DataFrame | None, keys: list[str], gate: float = 0.15, captures: list[str] | None = None) -> DataFrame:
     """Fluctuation covariances less the empty room's, of bins whose own variance is ``gate`` of the largest or more.
 
-    Both: keys, range_bin, i, j, re, im.
+    Both: keys, range_bin, i, j, re, im; the first may have ``captures`` besides, each of which counts for itself.
     """
-    def variance(cells: DataFrame) -> DataFrame:
-        return cells.where("i = j").groupBy(*keys, "range_bin").agg(F.sum("re").alias("v"))
+    def variance(cells: DataFrame, by: list[str]) -> DataFrame:
+        return cells.where("i = j").groupBy(*by, "range_bin").agg(F.sum("re").alias("v"))
 
-    own = variance(fluctuation)
+    base_keys, keys = keys, [*(captures or []), *keys]
+    own = variance(fluctuation, keys)
     cells = fluctuation.select(*keys, "range_bin", "i", "j", "re", "im")
     if base is not None:
-        own = own.join(variance(base).withColumnRenamed("v", "_b"), [*keys, "range_bin"], "left").withColumn("v", F.greatest(F.lit(0.0), F.col("v") - F.coalesce("_b", F.lit(0.0)))).drop("_b")
-        b = base.select(*keys, "range_bin", "i", "j", F.col("re").alias("_re"), F.col("im").alias("_im"))
+        own = own.join(variance(base, base_keys).withColumnRenamed("v", "_b"), [*base_keys, "range_bin"], "left").withColumn("v", F.greatest(F.lit(0.0), F.col("v") - F.coalesce("_b", F.lit(0.0)))).drop("_b")
+        b = base.select(*base_keys, "range_bin", "i", "j", F.col("re").alias("_re"), F.col("im").alias("_im"))
         zero = F.lit(0.0)
-        cells = cells.join(b, [*keys, "range_bin", "i", "j"], "left").select(*keys, "range_bin", "i", "j", (F.col("re") - F.coalesce("_re", zero)).alias("re"), (F.col("im") - F.coalesce("_im", zero)).alias("im"))
+        cells = cells.join(b, [*base_keys, "range_bin", "i", "j"], "left").select(*keys, "range_bin", "i", "j", (F.col("re") - F.coalesce("_re", zero)).alias("re"), (F.col("im") - F.coalesce("_im", zero)).alias("im"))
     top = own.groupBy(*keys).agg(F.max("v").alias("_top"))
     kept = own.join(top, keys).where(F.col("v") >= gate * F.col("_top")).select(*keys, "range_bin")
     return cells.join(kept, [*keys, "range_bin"], "left_semi")
 
 
-def changed_points(base: DataFrame, event: DataFrame, keys: list[str], gate: float = 0.3, az: tuple[float, float] = (-45.0, 45.0), el: tuple[float, float] = (-45.0, 20.0), step: int = 3) -> DataFrame:
+def changed_points(base: DataFrame, event: DataFrame, keys: list[str], gate: float = 0.3, az: tuple[float, float] = (-45.0, 45.0), el: tuple[float, float] = (-45.0, 20.0), step: int = 3, captures: list[str] | None = None) -> DataFrame:
     """Points where energy appeared: the difference of the covariances, of bins that changed enough, in its best direction.
 
-    Both: keys, range_bin, i, j, re, im.
+    Both: keys, range_bin, i, j, re, im; events may have ``captures`` besides, each of which counts for itself.
     """
-    on = [*keys, "range_bin"]
-    rel = relative_change(base, event, on).where(F.col("rel") >= gate)
-    b = base.select(*on, "i", "j", F.col("re").alias("_re"), F.col("im").alias("_im"))
-    diff = event.join(b, [*on, "i", "j"]).select(*on, "i", "j", (F.col("re") - F.col("_re")).alias("re"), (F.col("im") - F.col("_im")).alias("im")).join(rel, on, "left_semi")
+    at, on = [*keys, "range_bin"], [*(captures or []), *keys, "range_bin"]
+    rel = relative_change(base, event, at, captures).where(F.col("rel") >= gate)
+    b = base.select(*at, "i", "j", F.col("re").alias("_re"), F.col("im").alias("_im"))
+    diff = event.join(b, [*at, "i", "j"]).select(*on, "i", "j", (F.col("re") - F.col("_re")).alias("re"), (F.col("im") - F.col("_im")).alias("im")).join(rel, on, "left_semi")
     azs, els = tuple(range(int(az[0]), int(az[1]) + 1, step)), tuple(range(int(el[0]), int(el[1]) + 1, step))
     beams = dr.beam_cells(dr.matrices(diff, on), on, tuple(map(float, azs)), tuple(map(float, els)), board=False)
     best = beams.groupBy(*on).agg(F.max_by(F.struct("az", "el", "power"), F.struct("power", -F.col("az"), -F.col("el"))).alias("b"))

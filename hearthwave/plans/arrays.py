@@ -30,24 +30,26 @@ def fluctuation_covariance(spark: SparkSession, d: str) -> DataFrame:
     return m.covariances(snapshots(spark, d), BIN, conjugate=True, fluctuation=True)
 
 
-REL = f"{COV}, rel AS (SELECT a.range_bin, sqrt(sum((b.re - a.re) ** 2 + (b.im - a.im) ** 2)) / sqrt(sum(a.re ** 2 + a.im ** 2)) AS rel FROM cov a JOIN cov b ON a.range_bin = b.range_bin AND a.i = b.i AND a.j = b.j AND a.capture_id = 0 AND b.capture_id = 1 GROUP BY a.range_bin)"
+REL = f"{COV}, rel AS (SELECT b.capture_id, a.range_bin, sqrt(sum((b.re - a.re) ** 2 + (b.im - a.im) ** 2)) / sqrt(sum(a.re ** 2 + a.im ** 2)) AS rel FROM cov a JOIN cov b ON a.range_bin = b.range_bin AND a.i = b.i AND a.j = b.j AND a.capture_id = 0 AND b.capture_id <> 0 GROUP BY ALL)"
+
+
+def against_first(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first capture's cells, without its id, and those of all others."""
+    return cells.where("capture_id = 0").drop("capture_id", "n"), cells.where("capture_id <> 0")
 
 
 def _rel(spark: SparkSession, d: str) -> DataFrame:
-    cov = m.covariances(snapshots(spark, d), BIN)
-    a, b = (cov.where(F.col("capture_id") == c).drop("capture_id", "n") for c in (0, 1))
-    return m.relative_change(a, b, ["range_bin"])
+    return m.relative_change(*against_first(m.covariances(snapshots(spark, d), BIN)), ["range_bin"], ["capture_id"])
 
 
-@query(f"{REL} SELECT range_bin, R(rel) AS rel, R(median(rel) OVER ()) AS med, count(*) OVER () AS bins, R(rel / median(rel) OVER ()) AS scaled FROM rel")
+@query(f"{REL} SELECT capture_id, range_bin, R(rel) AS rel, R(median(rel) OVER w) AS med, count(*) OVER w AS bins, R(rel / median(rel) OVER w) AS scaled FROM rel WINDOW w AS (PARTITION BY capture_id)")
 def relative_change(spark: SparkSession, d: str) -> DataFrame:
-    rel = _rel(spark, d).withColumn("pair", F.lit(0))
-    return m.change_by_capture(rel, ["pair"]).drop("pair")
+    return m.change_by_capture(_rel(spark, d), ["capture_id"])
 
 
-@query(f"{REL}, t AS (SELECT *, row_number() OVER (ORDER BY rel DESC, range_bin)::INT AS place FROM rel) SELECT range_bin, R(rel) AS rel, place FROM t WHERE place <= 5")
+@query(f"{REL}, t AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY rel DESC, range_bin)::INT AS place FROM rel) SELECT capture_id, range_bin, R(rel) AS rel, place FROM t WHERE place <= 5")
 def top_changed_bins(spark: SparkSession, d: str) -> DataFrame:
-    return m.top_changed(_rel(spark, d).withColumn("pair", F.lit(0)), ["pair"]).drop("pair")
+    return m.top_changed(_rel(spark, d), ["capture_id"])
 
 
 @query(f"{COV} SELECT range_bin, i, j, R(median(re)) AS re, R(median(im)) AS im FROM cov GROUP BY range_bin, i, j HAVING count(*) > 0.5 * (SELECT count(DISTINCT capture_id) FROM cov)")
@@ -81,7 +83,10 @@ def grid_change(spark: SparkSession, d: str) -> DataFrame:
     return m.grid_change(a, b, ["capture_id"], ["k"])
 
 
-@query()
+@query(f"""{ANTENNAS}, r AS (SELECT DISTINCT capture_id, range_bin, snap FROM ant), sp AS (SELECT *, ntile(4) OVER (PARTITION BY capture_id, range_bin ORDER BY snap) AS part FROM r), ap AS (SELECT ant.*, part FROM ant JOIN sp USING (capture_id, range_bin, snap)),
+cov AS (SELECT x.capture_id, x.range_bin, x.part, x.a AS i, y.a AS j, avg(x.re * y.re + x.im * y.im) AS re, avg(x.im * y.re - x.re * y.im) AS im FROM ap x JOIN ap y USING (capture_id, range_bin, part, snap) GROUP BY ALL),
+rel AS (SELECT p.capture_id, p.range_bin, p.part, q.part AS part_b, sqrt(sum((q.re - p.re) ** 2 + (q.im - p.im) ** 2)) / sqrt(sum(p.re ** 2 + p.im ** 2)) AS rel FROM cov p JOIN cov q ON p.capture_id = q.capture_id AND p.range_bin = q.range_bin AND p.i = q.i AND p.j = q.j AND p.part < q.part GROUP BY ALL)
+SELECT capture_id, range_bin, R(avg(rel)) AS score FROM rel GROUP BY ALL""")
 def motion_score(spark: SparkSession, d: str) -> DataFrame:
-    """Change between the covariances of four spans of a capture; tested against numpy."""
+    """Change between the covariances of four spans of a capture."""
     return m.motion_score(snapshots(spark, d), BIN, "snap")

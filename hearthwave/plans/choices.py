@@ -52,10 +52,10 @@ def label_places(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", s.zone_of(F.col("text")).alias("zone"), s.posture_of(F.col("text")).alias("posture"))
 
 
-@query("WITH t AS (SELECT o_orderkey % 500 AS frame, o_custkey % 20 AS tid, count(*) AS n FROM orders GROUP BY ALL), p AS (SELECT l_orderkey % 500 AS frame, l_suppkey % 20 AS tid, min(l_linenumber) AS pose, max(l_discount) AS falling_prob, bool_or(l_returnflag = 'R') AS down, max(l_quantity)::INT AS h FROM lineitem WHERE l_suppkey < 40 GROUP BY ALL) SELECT t.frame, t.tid, t.n, coalesce(pose, 255) AS pose, R(coalesce(falling_prob, 0)) AS falling_prob, coalesce(down, false) AS down, h AS h_s_cm FROM t LEFT JOIN p USING (frame, tid)")
+@query("WITH t AS (SELECT o_orderkey % 500 AS frame, o_custkey % 20 AS tid, count(*) AS n FROM orders GROUP BY ALL), p AS (SELECT l_orderkey % 500 AS frame, l_suppkey % 20 AS tid, min(l_linenumber) AS pose, max(l_discount) AS falling_prob, bool_or(l_returnflag = 'R') AS down, max(l_quantity)::INT AS h FROM lineitem GROUP BY ALL) SELECT t.frame, t.tid, t.n, coalesce(pose, 255) AS pose, R(coalesce(falling_prob, 0)) AS falling_prob, coalesce(down, false) AS down, h AS h_s_cm FROM t LEFT JOIN p USING (frame, tid)")
 def tracks_with_poses(spark: SparkSession, d: str) -> DataFrame:
     t = spark.read.parquet(f"{d}/orders.parquet").groupBy((F.col("o_orderkey") % 500).alias("frame"), (F.col("o_custkey") % 20).alias("tid")).agg(F.count("*").alias("n"))
-    p = spark.read.parquet(f"{d}/lineitem.parquet").where("l_suppkey < 40").groupBy((F.col("l_orderkey") % 500).alias("frame"), (F.col("l_suppkey") % 20).alias("tid")).agg(
+    p = spark.read.parquet(f"{d}/lineitem.parquet").groupBy((F.col("l_orderkey") % 500).alias("frame"), (F.col("l_suppkey") % 20).alias("tid")).agg(
         F.min("l_linenumber").alias("pose"), F.max("l_discount").alias("falling_prob"), F.bool_or(F.col("l_returnflag") == "R").alias("down"), F.max("l_quantity").cast("int").alias("h_s_cm"),
     )
     return s.with_poses(t, p, ["frame", "tid"])

@@ -19,7 +19,7 @@ from ..operators import vitals as v
 from ..operators.evaluation import rate_vote, trimmed_mean
 from ..sources import frames as wire
 from ..streaming import jobs, steps
-from .arrays import COV
+from .arrays import COV, against_first
 from .motion import ON_EVENTS
 from .registry import query
 from .standins import EVENTS, POINTS, events, points, snapshots
@@ -215,18 +215,19 @@ def accumulated_covariance(spark: SparkSession, d: str) -> DataFrame:
     return sc.accumulated(cells, persons, ["sensor_id"]).drop("sensor_id")
 
 
-@query()
+@query(f"""{COV}, mean AS (SELECT capture_id, range_bin, a AS i, avg(re) AS mr, avg(im) AS mi FROM ant GROUP BY ALL), fl AS (SELECT c.capture_id, c.range_bin, c.i, c.j, re - p.mr * q.mr - p.mi * q.mi AS re, im - p.mi * q.mr + p.mr * q.mi AS im FROM cov c JOIN mean p ON p.capture_id = c.capture_id AND p.range_bin = c.range_bin AND p.i = c.i JOIN mean q ON q.capture_id = c.capture_id AND q.range_bin = c.range_bin AND q.i = c.j),
+v AS (SELECT capture_id, range_bin, sum(re) AS v FROM fl WHERE i = j GROUP BY ALL), own AS (SELECT a.capture_id, a.range_bin, greatest(0, a.v - coalesce(b.v, 0)) AS v FROM v a LEFT JOIN v b ON b.capture_id = 3 AND a.range_bin = b.range_bin WHERE a.capture_id <> 3), kept AS (SELECT capture_id, range_bin FROM own QUALIFY v >= 0.15 * max(v) OVER (PARTITION BY capture_id))
+SELECT f.capture_id, f.range_bin, f.i, f.j, R(f.re - coalesce(b.re, 0)) AS re, R(f.im - coalesce(b.im, 0)) AS im FROM fl f SEMI JOIN kept USING (capture_id, range_bin) LEFT JOIN fl b ON b.capture_id = 3 AND b.range_bin = f.range_bin AND b.i = f.i AND b.j = f.j""")
 def motion_source(spark: SparkSession, d: str) -> DataFrame:
     cells = _covs(spark, d, fluctuation=True)
-    base = cells.where("capture_id = 3").drop("capture_id").withColumn("capture_id", F.lit(0).cast("long"))
-    return sc.motion_source(cells.where("capture_id = 0"), base, ["capture_id"])
+    return sc.motion_source(cells.where("capture_id <> 3"), cells.where("capture_id = 3").drop("capture_id"), [], captures=["capture_id"])
 
 
 @query()
 def changed_points(spark: SparkSession, d: str) -> DataFrame:
-    cells = _covs(spark, d).withColumn("range_bin", F.col("range_bin") + 100)
-    base, event = (cells.where(F.col("capture_id") == c).drop("capture_id").withColumn("sensor_id", F.lit(0)) for c in (0, 1))
-    return sc.changed_points(base, event, ["sensor_id"])
+    """Every capture against the first; the beams have no SQL form."""
+    base, event = against_first(_covs(spark, d).withColumn("range_bin", F.col("range_bin") + 100))
+    return sc.changed_points(base, event, [], captures=["capture_id"])
 
 
 @query()
