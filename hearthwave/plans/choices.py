@@ -90,9 +90,11 @@ def sane_tracks(spark: SparkSession, d: str) -> DataFrame:
     return ml.sane_tracks(ml.live_files(t, least=2.0), (-1.9, 2.0)).groupBy("file").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {POINTS}, r AS (SELECT capture_id % 5 AS capture_id, floor(x / 0.3)::INT AS ix, floor(y / 0.3)::INT AS iy, coalesce(sum(power) FILTER (scan = 'R'), 0) / sum(power) AS ratio FROM points GROUP BY ALL), hot AS (SELECT *, row_number() OVER () AS id FROM r WHERE ratio >= 0.6),
+e AS (SELECT p.id AS a, q.id AS b FROM hot p JOIN hot q ON p.capture_id = q.capture_id AND abs(p.ix - q.ix) + abs(p.iy - q.iy) = 1), reach AS (SELECT id, id AS root FROM hot UNION SELECT e.b, reach.root FROM reach JOIN e ON e.a = reach.id), lab AS (SELECT id, min(root) AS root FROM reach GROUP BY id)
+SELECT capture_id, count(*) AS n_cells, R(max(ratio)) AS peak, R(avg(ix)) AS cx, R(avg(iy)) AS cy FROM hot JOIN lab USING (id) GROUP BY capture_id, root""")
 def hot_regions(spark: SparkSession, d: str) -> DataFrame:
-    """Hot floor regions of the change between two kinds of points; label spreading, tested on small grids."""
+    """Hot floor regions of the change between two kinds of points."""
     cells = points(spark, d).groupBy((F.col("capture_id") % 5).alias("capture_id"), F.floor(F.col("x") / 0.3).cast("int").alias("ix"), F.floor(F.col("y") / 0.3).cast("int").alias("iy"))
     ratio = cells.agg((F.sum(F.when(F.col("scan") == "R", F.col("power")).otherwise(0.0)) / F.sum("power")).alias("ratio"))
     return c.hot_regions(ratio, ["capture_id"], F.col("ratio") >= 0.6, 1)

@@ -102,9 +102,12 @@ def floor_anomaly(spark: SparkSession, d: str) -> DataFrame:
     return v.floor_anomaly(_change(spark, d), KEY)
 
 
-@query()
+@query(f"""WITH RECURSIVE {CHANGE}, p AS (SELECT *, max(abs(d)) OVER (PARTITION BY capture_id) AS peak FROM change), strong AS (SELECT *, CASE WHEN d > 0 THEN 'appeared' ELSE 'gone' END AS kind, row_number() OVER () AS id FROM p WHERE abs(d) > 0.2 * peak AND peak > 0),
+e AS (SELECT p.id AS a, q.id AS b FROM strong p JOIN strong q ON p.capture_id = q.capture_id AND p.kind = q.kind AND abs(p.ix - q.ix) + abs(p.iy - q.iy) + abs(p.iz - q.iz) = 1), reach AS (SELECT id, id AS root FROM strong UNION SELECT e.b, reach.root FROM reach JOIN e ON e.a = reach.id), lab AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
+found AS (SELECT capture_id, kind, sum(abs(d) * ((ix + 0.5) * 0.3 - 3.0)) / sum(abs(d)) AS cx, sum(abs(d) * ((iy + 0.5) * 0.3)) / sum(abs(d)) AS cy, sum(abs(d) * ((iz + 0.5) * 0.3 - 0.1)) / sum(abs(d)) AS cz, sum(abs(d)) AS magnitude, count(*) AS n_voxels FROM strong JOIN lab USING (id) GROUP BY capture_id, kind, root)
+SELECT capture_id, kind, R(cx) AS cx, R(cy) AS cy, R(cz) AS cz, R(magnitude) AS magnitude, n_voxels, kind = 'appeared' AND cz < 0.4 AS fall_zone FROM found""", 7)
 def change_events(spark: SparkSession, d: str) -> DataFrame:
-    """Regions of changed energy; label spreading over face neighbours, tested on small grids."""
+    """Regions of changed energy that touch by a face."""
     return c.change_events(_change(spark, d), KEY, rel=0.2, least=1)
 
 

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..helpers.angles import BOARD_AZ, BOARD_EL
+from ..operators import baseline as b
 from ..operators import directions as dr
 from ..operators import features as ft
 from ..operators import mldata as ml
@@ -20,6 +22,7 @@ from ..operators.evaluation import rate_vote, trimmed_mean
 from ..sources import frames as wire
 from ..streaming import jobs, steps
 from .arrays import COV, against_first
+from .drift import VAR, _mags
 from .motion import ON_EVENTS
 from .registry import query
 from .standins import EVENTS, POINTS, events, points, snapshots
@@ -66,22 +69,38 @@ def _beams(spark: SparkSession, d: str) -> DataFrame:
     return dr.beam_cells(_packed(spark, d), BIN, tuple(range(-40, 41, 10)), tuple(range(-40, 21, 20)))
 
 
-@query()
+def _beam_sql() -> str:
+    """Beam power of each covariance in each direction of ``_beams``, from the antennas' places on the board."""
+    board = ", ".join(f"({i}, {x}, {y})" for i, (x, y) in enumerate(zip(BOARD_AZ, BOARD_EL, strict=True)))
+    return f"""{COV}, board AS (SELECT * FROM (VALUES {board}) AS t(a, at_az, at_el)), dirs AS (SELECT az::DOUBLE AS az, el::DOUBLE AS el FROM (SELECT unnest(range(-40, 41, 10)) AS az), (SELECT unnest(range(-40, 21, 20)) AS el)),
+phase AS (SELECT az, el, a, pi() * (at_az * sin(radians(az)) * cos(radians(el)) + at_el * sin(radians(el))) AS f FROM dirs, board),
+beams AS (SELECT capture_id, range_bin + 100 AS range_bin, p.az, p.el, sum(c.re * cos(q.f - p.f) - c.im * sin(q.f - p.f)) AS power FROM cov c JOIN phase p ON p.a = c.i JOIN phase q ON q.a = c.j AND q.az = p.az AND q.el = p.el GROUP BY ALL),
+room AS (SELECT *, r * cos(e) * sin(a) AS x, r * cos(e) * cos(a) * cos(t) + r * sin(e) * sin(t) AS y, -r * cos(e) * cos(a) * sin(t) + r * sin(e) * cos(t) + 2.0 AS z FROM (SELECT *, range_bin * 0.0234375 AS r, radians(az) AS a, radians(el) AS e, radians(25.0) AS t FROM beams))"""
+
+
+BEAMS = _beam_sql()
+
+
+@query(f"""{BEAMS}, per AS (SELECT capture_id, range_bin, sum(CASE WHEN z <= 0.4 THEN greatest(power, 0) ELSE 0 END) AS floor, sum(greatest(power, 0)) AS total FROM room GROUP BY ALL)
+SELECT capture_id, R(sum(floor)) AS floor, R(sum(floor) / greatest(sum(total), 1e-12)) AS floor_frac, arg_max(range_bin, (floor, -range_bin)) AS peak_bin FROM per GROUP BY capture_id""")
 def floor_energy(spark: SparkSession, d: str) -> DataFrame:
     return dr.floor_energy(_beams(spark, d), ["capture_id"])
 
 
-@query()
+@query(f"""{BEAMS}, v AS (SELECT capture_id, least(trunc((x + 3.0) / 0.3)::INT, 19) AS ix, least(trunc(y / 0.3)::INT, 22) AS iy, least(trunc((z + 0.1) / 0.3)::INT, 8) AS iz, sum(power) AS e FROM room WHERE x >= -3.0 AND x < 3.0 AND y >= 0.0 AND y < 7.0 AND z >= -0.1 AND z < 2.5 GROUP BY ALL), s AS (SELECT *, sum(e) OVER (PARTITION BY capture_id) AS total FROM v)
+SELECT capture_id, ix, iy, iz, R(CASE WHEN total > 0 THEN e / total ELSE e END) AS e FROM s""")
 def energy_volume(spark: SparkSession, d: str) -> DataFrame:
     return dr.energy_volume(_beams(spark, d), ["capture_id"])
 
 
-@query()
+@query(f"""{BEAMS} SELECT a.capture_id, a.range_bin, R(avg(least(a.power, b.power))) AS floor_level, R(avg(abs(a.power - b.power) / 2)) AS object_level FROM beams a JOIN beams b ON a.capture_id = b.capture_id AND a.range_bin = b.range_bin AND a.el = b.el AND a.az = -b.az GROUP BY ALL""")
 def symmetry_levels(spark: SparkSession, d: str) -> DataFrame:
     return dr.symmetry_levels(_beams(spark, d), BIN)
 
 
-@query()
+@query(f"""{BEAMS}, bins AS (SELECT capture_id, range_bin, lag(range_bin) OVER (PARTITION BY capture_id ORDER BY range_bin) AS prev FROM (SELECT DISTINCT capture_id, range_bin FROM beams)),
+t AS (SELECT n.capture_id, n.range_bin, 1 - sum(a.power * b.power) / greatest(sqrt(sum(a.power ** 2)) * sqrt(sum(b.power ** 2)), 1e-12) AS turn FROM bins n JOIN beams a ON a.capture_id = n.capture_id AND a.range_bin = n.range_bin JOIN beams b ON b.capture_id = n.capture_id AND b.range_bin = n.prev AND b.az = a.az AND b.el = a.el GROUP BY ALL)
+SELECT capture_id, range_bin, R(turn) AS turn, turn >= 0.2 AS edge FROM t""")
 def spectrum_edges(spark: SparkSession, d: str) -> DataFrame:
     return dr.edges(_beams(spark, d), ["capture_id"])
 
@@ -160,10 +179,24 @@ def posture_folds(spark: SparkSession, d: str) -> DataFrame:
     return ml.posture_model(rows, [2, 4, 2], folds=3, iterations=30)
 
 
-@query()
-def perceptron_chances(spark: SparkSession, d: str) -> DataFrame:
+def _weights() -> list[tuple[np.ndarray, np.ndarray]]:
     e = np.random.default_rng(7)
-    weights = [(e.normal(size=(4, 8)), np.zeros(8)), (e.normal(size=(8, 3)), np.zeros(3))]
+    return [(e.normal(size=(4, 8)), np.zeros(8)), (e.normal(size=(8, 3)), np.zeros(3))]
+
+
+def _perceptron_sql() -> str:
+    (first, _), (second, _) = _weights()
+    hidden = ", ".join("greatest(0, " + " + ".join(f"{n} * {w!r}::DOUBLE" for n, w in zip(("x", "y", "z", "doppler"), map(float, column), strict=True)) + f") AS h{j}" for j, column in enumerate(first.T))
+    out = ", ".join(" + ".join(f"h{j} * {float(w)!r}::DOUBLE" for j, w in enumerate(column)) + f" AS o{i}" for i, column in enumerate(second.T))
+    most = "greatest(o0, o1, o2)"
+    total = " + ".join(f"exp(o{i} - {most})" for i in range(3))
+    chances = ", ".join(f"R(exp(o{i} - {most}) / ({total})) AS p{i}" for i in range(3))
+    return f"{POINTS}, h AS (SELECT capture_id, frame, k, {hidden} FROM points), o AS (SELECT capture_id, frame, k, {out} FROM h) SELECT capture_id, frame, k, {chances} FROM o"
+
+
+@query(_perceptron_sql())
+def perceptron_chances(spark: SparkSession, d: str) -> DataFrame:
+    weights = _weights()
     rows = points(spark, d).select("capture_id", "frame", "k", F.array("x", "y", "z", "doppler").alias("vector"))
     found = ml.apply_perceptron(rows, weights, ["capture_id", "frame", "k"])
     return found.select("capture_id", "frame", "k", *(F.col("chances")[i].alias(f"p{i}") for i in range(3)))
@@ -230,16 +263,31 @@ def changed_points(spark: SparkSession, d: str) -> DataFrame:
     return sc.changed_points(base, event, [], captures=["capture_id"])
 
 
-@query()
-def energy_boxes(spark: SparkSession, d: str) -> DataFrame:
+def _energy_boxes(spark: SparkSession, d: str) -> DataFrame:
     grid = points(spark, d).groupBy((F.col("capture_id") % 5).alias("capture_id"), F.floor(F.col("x") / 0.1).cast("int").alias("ix"), F.floor(F.col("y") / 0.1).cast("int").alias("iy")).agg(F.sum("power").alias("power"))
-    return sc.merged(sc.energy_boxes(grid, ["capture_id"]), ["capture_id"], gap=0.0)
+    return sc.energy_boxes(grid, ["capture_id"])
+
+
+@query(f"""{POINTS}, grid AS (SELECT capture_id % 5 AS capture_id, floor(x / 0.1)::INT AS ix, floor(y / 0.1)::INT AS iy, floor(floor(x / 0.1) / 5)::INT AS bx, floor(floor(y / 0.1) / 5)::INT AS by_, sum(power) AS power FROM points GROUP BY ALL HAVING sum(power) > 0), b AS (SELECT capture_id, bx, by_, sum(power) AS block FROM grid GROUP BY ALL),
+kept AS (SELECT capture_id, bx, by_ FROM b QUALIFY coalesce(sum(block) OVER (PARTITION BY capture_id ORDER BY block DESC, bx, by_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 0.7 * sum(block) OVER (PARTITION BY capture_id)),
+inside AS (SELECT g.* FROM grid g SEMI JOIN kept USING (capture_id, bx, by_) QUALIFY coalesce(sum(power) OVER (PARTITION BY capture_id, bx, by_ ORDER BY power DESC, ix, iy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 0.7 * sum(power) OVER (PARTITION BY capture_id, bx, by_))
+SELECT capture_id, R(min(ix) * 0.1) AS x0, R(min(iy) * 0.1) AS y0, R((max(ix) - min(ix) + 1) * 0.1) AS sx, R((max(iy) - min(iy) + 1) * 0.1) AS sy, R(sum(power)) AS energy FROM inside GROUP BY capture_id, bx, by_""", 3)
+def energy_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The boxes before any are joined."""
+    return _energy_boxes(spark, d)
 
 
 @query()
-def posture_scores(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators import baseline as b
-    from .drift import _mags
+def energy_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Joined in the order of the pairs that touch, which SQL can't follow; the boxes before are in ``energy_blocks``."""
+    return sc.merged(_energy_boxes(spark, d), ["capture_id"], gap=0.0)
 
+
+@query(f"""WITH {VAR}, v AS (SELECT sensor_id, range_bin, var_pop(mag * 70) AS var FROM f GROUP BY ALL), t AS (SELECT *, CASE WHEN var >= 24000 THEN 2 WHEN var >= 100 AND var >= 6 * 3500 THEN 1 ELSE 0 END AS tier FROM v WHERE range_bin BETWEEN 4 AND 74), p AS (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY range_bin) AS pos FROM t),
+g AS (SELECT *, pos - row_number() OVER (PARTITION BY sensor_id ORDER BY range_bin) AS grp FROM p WHERE tier > 0), bands AS (SELECT sensor_id, max(range_bin) + 1 - min(range_bin) AS w, max(tier) AS tier FROM g GROUP BY sensor_id, grp HAVING min(range_bin) < 74), per AS (SELECT sensor_id, sum(w) AS w, coalesce(sum(w) FILTER (tier = 1), 0) AS weak FROM bands GROUP BY sensor_id),
+s AS (SELECT sensor_id, sum(var) AS total, coalesce(any_value(per.w), 0) AS w, coalesce(any_value(per.weak), 0) AS weak FROM v LEFT JOIN per USING (sensor_id) GROUP BY sensor_id),
+u AS (SELECT *, CASE WHEN total >= 40000 THEN 0.5 ELSE 0 END + CASE WHEN w >= 5 THEN 0.5 ELSE 0 END AS up, CASE WHEN total < 40000 AND total <= 35000 THEN 0.5 ELSE 0 END + CASE WHEN w > 0 AND w < 5 AND w <= 4 THEN 0.5 ELSE 0 END + CASE WHEN weak > 0 AND total < 35000 THEN 0.3 ELSE 0 END AS down FROM s)
+SELECT sensor_id, R(total) AS total, CASE WHEN total < 3000 AND w = 0 THEN 'absent' WHEN up > down THEN 'standing' WHEN down > up THEN 'lying' ELSE 'unknown' END AS posture, R(CASE WHEN total < 3000 AND w = 0 THEN 0.8 WHEN up = down THEN 0 ELSE least(greatest(up, down), 1) END) AS score FROM u""", 4)
+def posture_scores(spark: SparkSession, d: str) -> DataFrame:
     var = _mags(spark, d).groupBy("sensor_id", "range_bin").agg(F.var_pop(F.col("mag") * 70).alias("var")).withColumn("cal", F.lit(3500.0))
     return ft.posture_score(b.presence_bands(var, ["sensor_id"], strong=24000.0, ratio=6.0), var.groupBy("sensor_id").agg(F.sum("var").alias("total")), ["sensor_id"])
