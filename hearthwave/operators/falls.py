@@ -90,10 +90,10 @@ def auto_label(frames: DataFrame, keys: list[str], frame: str, h: str, v: str, s
 
 # Mean, scale, weight, what stands in for a null, and whether log(1 + x) is taken; then the bias.
 LIE = {
-    "hi2": (0.62, 0.7666800084090608, -0.9829643762248325, 2.0, False),
+    "hi2": (0.6200000000000001, 0.7666800084090608, -0.9829643762248325, 2.0, False),
     "floor_frac": (0.5624705882352941, 0.47229989446475495, 1.0161303869375549, 0.0, False),
     "micro": (6.565294117647059, 5.018890336280765, 0.2009435855096036, 0.0, False),
-    "y_span": (0.497, 0.33467701726045207, 0.5890826781478072, 0.0, False),
+    "y_span": (0.4970000000000001, 0.33467701726045207, 0.5890826781478072, 0.0, False),
     "n": (6.103751424492684, 2.1752012345999066, -0.35882379443416196, 0.0, True),
 }
 LIE_BIAS = 0.5370608839809906
@@ -196,6 +196,26 @@ def cleaned(frames: DataFrame, keys: list[str], order: str, persist: int = 10, f
     }).drop("_score", "_conf")
 
 
+def collapse(frames: DataFrame, keys: list[str], ts: str, sustain: float = 12.0, quiet: float = 5.0) -> DataFrame:
+    """Collapse suspicion: a red fall that lasts, with a body on the floor and no sign of life since its episode began.
+
+    frames: down, down_s (seconds down so far), red, fallen (geometry of a body on the floor), rr, micro, measured. An
+    episode ends when nothing is down for more than ``quiet`` seconds. Adds had_rr, living and measured_yet (told at
+    any time of the episode so far), suspect and confidence: strong if the chest was measured and silent, else weak.
+    """
+    own = W.partitionBy(*keys).orderBy(ts).rowsBetween(W.unboundedPreceding, W.currentRow)
+    last = F.last(F.when(F.col("down"), F.col(ts)), ignorenulls=True).over(W.partitionBy(*keys).orderBy(ts).rowsBetween(W.unboundedPreceding, -1))
+    marked = frames.withColumn("_new", (last.isNull() | (F.col(ts) - last > quiet)).cast("int")).withColumn("_episode", F.sum("_new").over(own))
+    so_far = W.partitionBy(*keys, "_episode").orderBy(ts).rowsBetween(W.unboundedPreceding, W.currentRow)
+
+    def ever(c: Column) -> Column:
+        return F.coalesce(F.max(c.cast("int")).over(so_far), F.lit(0)) == 1
+
+    told = marked.withColumns({"had_rr": ever(F.col("rr")), "living": ever(F.col("rr") | F.col("micro")), "measured_yet": ever(F.col("measured"))})
+    suspect = F.col("red") & (F.col("down_s") >= sustain) & F.col("fallen") & ~F.col("living")
+    return told.drop("_new", "_episode").withColumn("suspect", suspect).withColumn("confidence", F.when(F.col("suspect"), F.when(F.col("measured_yet"), "strong").otherwise("weak")))
+
+
 def descent(frames: DataFrame, keys: list[str], ts: str, h: str, upright: float = 1.0, floor: float = 0.4) -> DataFrame:
     """Last upright moment before the first one on the floor, the seconds between, the rate, and the share that stays down."""
     first = frames.where(F.col(h) <= floor).groupBy(*keys).agg(F.min(ts).alias("t_floor"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as ev
 from ..operators import falls as f
 from ..operators import islands as i
+from ..streaming import jobs, steps
 from .registry import query
 from .standins import EVENTS, FRAMES, POINTS, events, frames, points
 
@@ -167,22 +168,71 @@ EVIDENCE = {
 FLAGS = ("w_down", "cube", "cube_micro", "rest_spot", "extra", "floor_fall", "lying_state")
 
 
-@query(f"""{EVENTS}, e AS (SELECT user_id, event_id, t, {', '.join(f'({v})::{"BOOLEAN" if n in FLAGS else "DOUBLE"} AS {n}' for n, v in EVIDENCE.items())} FROM ev), x AS (SELECT *, w_down OR falling_p >= 0.5 AS low FROM e), {RUNS.format(k='user_id', o='event_id')},
+def _evidence(spark: SparkSession, d: str) -> DataFrame:
+    return events(spark, d).select("user_id", "event_id", *(F.expr(v).cast("boolean" if n in FLAGS else "double").alias(n) for n, v in EVIDENCE.items()))
+
+
+CLEANED = f"""{EVENTS}, e AS (SELECT user_id, event_id, t, {', '.join(f'({v})::{"BOOLEAN" if n in FLAGS else "DOUBLE"} AS {n}' for n, v in EVIDENCE.items())} FROM ev), x AS (SELECT *, w_down OR falling_p >= 0.5 AS low FROM e), {RUNS.format(k='user_id', o='event_id')},
 s AS (SELECT *, CASE WHEN low THEN pos ELSE 0 END AS held, CASE WHEN extra THEN CASE WHEN floor_fall THEN 0.25 ELSE 0 END + CASE WHEN lying_state THEN 0.15 ELSE 0 END + CASE WHEN cloud_below >= 0.7 THEN 0.15 ELSE 0 END + CASE WHEN cloud_z_med < 0.4 THEN 0.1 ELSE 0 END + CASE WHEN flat >= 0.55 THEN 0.1 ELSE 0 END + CASE WHEN h_s < 0.4 THEN 0.05 ELSE 0 END + CASE WHEN track_floor >= 0.7 THEN 0.05 ELSE 0 END ELSE 0 END::DOUBLE AS score,
   (CASE WHEN w_down THEN 0.5 ELSE 0 END + CASE WHEN falling_p >= 0.5 THEN 0.3 ELSE 0 END)::DOUBLE AS base FROM q),
 c1 AS (SELECT *, CASE WHEN extra THEN least(0.98, base + score) ELSE base END AS c FROM s), c2 AS (SELECT * REPLACE (CASE WHEN cube THEN least(0.98, c + 0.4) ELSE c END AS c) FROM c1), c3 AS (SELECT * REPLACE (CASE WHEN rest_spot THEN c * 0.4 ELSE c END AS c) FROM c2),
 o AS (SELECT *, cube AND cube_floor_frac < 0.7 AS rejected, low AND held >= 2 AND (cube OR round(score, 9) >= 0.45) AND c >= 0.5 AS f FROM c3)
-SELECT user_id, event_id, held::INT AS run, NOT rejected AND f AS fall, NOT rejected AND f AND cube AND NOT (coalesce(cube_rr, 0) <> 0 OR cube_micro) AS collapse, NOT rejected AND low AND NOT f AS suspected, R(CASE WHEN rejected THEN 0 ELSE c END) AS confidence FROM o""", 2)
+SELECT user_id, event_id, held::INT AS run, NOT rejected AND f AS fall, NOT rejected AND f AND cube AND NOT (coalesce(cube_rr, 0) <> 0 OR cube_micro) AS collapse, NOT rejected AND low AND NOT f AS suspected, R(CASE WHEN rejected THEN 0 ELSE c END) AS confidence FROM o"""
+
+
+@query(CLEANED, 2)
 def cleaner(spark: SparkSession, d: str) -> DataFrame:
-    rows = events(spark, d).select("user_id", "event_id", *(F.expr(v).cast("boolean" if n in FLAGS else "double").alias(n) for n, v in EVIDENCE.items()))
-    return f.cleaned(rows, USER, "event_id", persist=2).select("user_id", "event_id", "run", "fall", "collapse", "suspected", "confidence")
+    return f.cleaned(_evidence(spark, d), USER, "event_id", persist=2).select("user_id", "event_id", "run", "fall", "collapse", "suspected", "confidence")
+
+
+@query(CLEANED, 2)
+def clean_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The stream's step function over whole tables; the SQL is that of the windowed form."""
+    kinds = "user_id long, event_id long, run int, fall boolean, collapse boolean, suspected boolean, confidence double"
+    return jobs.in_batch(_evidence(spark, d), USER, ["event_id"], lambda s, r: steps.clean_step(s, r, persist=2), kinds)
+
+
+COLLAPSE = {"down": "k % 3 > 0", "red": "value < 300", "fallen": "k % 4 > 0", "rr": "k % 29 = 0", "micro": "k % 23 = 0", "measured": "k % 17 = 0"}
+SUSPECTS = f"""{EVENTS}, e AS (SELECT user_id, event_id, event_id * 2.0::DOUBLE AS t, (k % 20)::DOUBLE AS down_s, {", ".join(f"({v}) AS {n}" for n, v in COLLAPSE.items())} FROM ev),
+l AS (SELECT *, last_value(CASE WHEN down THEN t END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM e), n AS (SELECT *, sum((last IS NULL OR t - last > 400)::INT) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS ep FROM l),
+o AS (SELECT *, bool_or(rr) OVER w AS had_rr, bool_or(rr OR micro) OVER w AS living, bool_or(measured) OVER w AS measured_yet FROM n WINDOW w AS (PARTITION BY user_id, ep ORDER BY t ROWS UNBOUNDED PRECEDING)), s AS (SELECT *, red AND down_s >= 12 AND fallen AND NOT living AS suspect FROM o)
+SELECT user_id, t, had_rr, living, measured_yet, suspect, CASE WHEN suspect THEN CASE WHEN measured_yet THEN 'strong' ELSE 'weak' END END AS confidence FROM s"""
+
+
+def _signs(spark: SparkSession, d: str) -> DataFrame:
+    """Events as frames: two seconds for each number between, so that quiet spells are there."""
+    return events(spark, d).select("user_id", (F.col("event_id") * 2.0).alias("t"), (F.col("k") % 20).cast("double").alias("down_s"), *(F.expr(v).alias(n) for n, v in COLLAPSE.items()))
 
 
-@query("SELECT doc_id, CASE WHEN t LIKE '%empty%' OR t LIKE '%无人%' OR t LIKE '%空%' THEN 'empty' WHEN t LIKE '%half-kneel%' OR t LIKE '%半跪%' OR t LIKE '%kneel-halfside%' OR t LIKE '%跪式半侧%' THEN 'boundary' WHEN t LIKE '%curl-sidefall%' OR t LIKE '%侧倒%' THEN 'collapse' WHEN t LIKE '%lie%' OR t LIKE '%躺%' THEN 'lie' WHEN t LIKE '%stand%' OR t LIKE '%站%' OR t LIKE '%sit%' OR t LIKE '%坐%' THEN 'upright' ELSE 'unknown' END AS label FROM (SELECT doc_id, lower(text) AS t FROM documents)")
+@query(SUSPECTS)
+def collapse_suspects(spark: SparkSession, d: str) -> DataFrame:
+    return f.collapse(_signs(spark, d), USER, "t", quiet=400.0).select("user_id", "t", "had_rr", "living", "measured_yet", "suspect", "confidence")
+
+
+@query(SUSPECTS)
+def collapse_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The stream's step function over whole tables; the SQL is that of the windowed form."""
+    kinds = "user_id long, t double, had_rr boolean, living boolean, measured_yet boolean, suspect boolean, confidence string"
+    return jobs.in_batch(_signs(spark, d), USER, ["t"], lambda s, r: steps.collapse_step(s, r, quiet=400.0), kinds)
+
+
+LABEL_TARGET = "CASE WHEN label IN ('lie', 'collapse') THEN 1 WHEN label IN ('empty', 'upright') THEN 0 ELSE -1 END"
+
+
+LABELS = "SELECT doc_id, CASE WHEN t LIKE '%empty%' OR t LIKE '%无人%' OR t LIKE '%空%' THEN 'empty' WHEN t LIKE '%half-kneel%' OR t LIKE '%半跪%' OR t LIKE '%kneel-halfside%' OR t LIKE '%跪式半侧%' THEN 'boundary' WHEN t LIKE '%curl-sidefall%' OR t LIKE '%侧倒%' THEN 'collapse' WHEN t LIKE '%lie%' OR t LIKE '%躺%' THEN 'lie' WHEN t LIKE '%stand%' OR t LIKE '%站%' OR t LIKE '%sit%' OR t LIKE '%坐%' THEN 'upright' ELSE 'unknown' END AS label FROM (SELECT doc_id, lower(text) AS t FROM documents)"
+
+
+@query(LABELS)
 def label_class(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", f.label_class(F.col("text")).alias("label"))
 
 
+@query(f"SELECT label, {LABEL_TARGET} AS target, count(*) AS n FROM ({LABELS}) GROUP BY ALL")
+def label_targets(spark: SparkSession, d: str) -> DataFrame:
+    named = spark.read.parquet(f"{d}/documents.parquet").select(f.label_class(F.col("text")).alias("label"))
+    return named.groupBy("label", f.label_target(F.col("label")).alias("target")).agg(F.count("*").alias("n"))
+
+
 @query(f"{EVENTS} SELECT event_id, CASE WHEN hr IS NULL THEN 'none' WHEN s < 0.3 THEN 'weak' WHEN rr IS NOT NULL AND round_even(hr / rr, 0) >= 1 AND abs(hr - round_even(hr / rr, 0) * rr) <= 5 THEN 'harmonic' ELSE 'ok' END AS trust FROM (SELECT event_id, CASE WHEN k > 5 THEN 40 + k END AS hr, value / 490 AS s, CASE WHEN k % 4 > 0 THEN 10 + k % 17 END AS rr FROM ev)")
 def heart_trust(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("k")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import clusters as c
 from ..operators import geometry as g
 from ..operators import voxels as v
+from ..streaming import jobs, steps
 from .registry import query
 from .standins import POINTS, points
 
@@ -191,13 +192,35 @@ def column_spread(spark: SparkSession, d: str) -> DataFrame:
     return v.column_spread(v.energy_density(points(spark, d), KEY, normalize=False), KEY)
 
 
-@query(f"""{POINTS}, {ENERGY}, s AS (SELECT capture_id % 5 AS capture_id, frame % 40 + 1 AS f, ix, iy, iz, sum(power) AS e FROM cells GROUP BY ALL), l AS (SELECT *, max(f) OVER (PARTITION BY capture_id) AS last FROM s),
-q AS (SELECT capture_id, ix, iy, iz, sum(0.1 * pow(0.9, last - f) * e) AS slow, sum(CASE WHEN f > last - 6 THEN e ELSE 0.0 END) / 6 AS now FROM l GROUP BY ALL) SELECT capture_id, ix, iy, iz, R(slow) AS slow, R(now) AS now, R(now - slow) AS d FROM q""", 3)
+EMA = f"""{POINTS}, {ENERGY}, s AS (SELECT capture_id % 5 AS capture_id, frame % 40 + 1 AS f, ix, iy, iz, sum(power) AS e FROM cells GROUP BY ALL), l AS (SELECT *, max(f) OVER (PARTITION BY capture_id) AS last FROM s),
+q AS (SELECT capture_id, ix, iy, iz, sum(0.1 * pow(0.9, last - f) * e) AS slow, sum(CASE WHEN f > last - 6 THEN e ELSE 0.0 END) / 6 AS now FROM l GROUP BY ALL) SELECT capture_id, ix, iy, iz, R(slow) AS slow, R(now) AS now, R(now - slow) AS d FROM q"""
+
+
+@query(EMA, 3)
 def ema_diff(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d).withColumns({"capture_id": F.col("capture_id") % 5, "f": F.col("frame") % 40 + 1})
     return v.ema_difference(v.energy_density(p, [*KEY, "f"], normalize=False), KEY, 0.1, "f", 6)
 
 
+@query(EMA.rsplit(" SELECT ", 1)[0] + " SELECT capture_id, ix, iy, iz, R(now - slow) AS d FROM q", 3)
+def map_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The monitor's step function, a frame's sparse cells at a time; what it tells at a capture's last frame."""
+    p = points(spark, d).withColumns({"capture_id": F.col("capture_id") % 5, "f": F.col("frame") % 40 + 1})
+    cells = v.energy_density(p, [*KEY, "f"], normalize=False)
+    name = F.concat_ws(":", "ix", "iy", "iz")
+    rows = cells.groupBy(*KEY, "f").agg(F.sort_array(F.collect_list(F.struct(name.alias("cell"), "e"))).alias("cells"))
+    last = rows.groupBy(*KEY).agg(F.max("f").alias("last"))
+
+    def step(state: dict, row: dict) -> list[dict]:
+        diff = steps.map_step(state, {"cells": {c["cell"]: c["e"] for c in row["cells"]}}, 0.1, 6)["diff"]
+        return [{"cell": k, "d": v} for k, v in diff.items()] if row["f"] == row["last"] else []
+
+    told = jobs.in_batch(rows.join(last, KEY), KEY, ["f"], step, "capture_id long, f long, cell string, d double")
+    at = F.split("cell", ":")
+    return told.select(*KEY, *(at[i].cast("int").alias(n) for i, n in enumerate(("ix", "iy", "iz"))), "d")
+
+
+
 @query(f"{POINTS} SELECT capture_id, count(*) AS n FROM points WHERE abs(doppler) < 0.3 GROUP BY ALL")
 def static_points(spark: SparkSession, d: str) -> DataFrame:
     return g.static_points(points(spark, d), 0.3).groupBy("capture_id").agg(F.count("*").alias("n"))

@@ -173,3 +173,56 @@ def map_step(state: dict, row: dict, alpha: float = 0.02, window: int = 60) -> d
         for k, v in cells.items():
             now[k] = now.get(k, 0.0) + v / len(recent)
     return {"diff": {k: now.get(k, 0.0) - slow.get(k, 0.0) for k in {*now, *slow}}}
+
+
+def clean_step(state: dict, row: dict, persist: int = 10, floor_frac_min: float = 0.7, confirm: float = 0.45, require_cube: bool = False) -> dict:
+    """One frame's evidence fused to a fall, a suspicion or a collapse; only the trigger's run is kept.
+
+    row: the columns of ``falls.cleaned``, any of them None.
+    """
+    trigger = bool(row.get("w_down")) or (row.get("falling_p") or 0.0) >= 0.5
+    state["run"] = state.get("run", 0) + 1 if trigger else 0
+    out = {"run": state["run"], "fall": False, "collapse": False, "suspected": False, "confidence": 0.0}
+    sure = (0.5 if row.get("w_down") else 0.0) + (0.3 if (row.get("falling_p") or 0.0) >= 0.5 else 0.0)
+    score = 0.0
+    if row.get("extra"):
+
+        def below(name: str, limit: float) -> bool:
+            return row.get(name) is not None and row[name] < limit
+
+        def least(name: str, limit: float) -> bool:
+            return row.get(name) is not None and row[name] >= limit
+
+        evidence = (
+            (row.get("floor_fall"), 0.25), (row.get("lying_state"), 0.15), (least("cloud_below", floor_frac_min), 0.15), (below("cloud_z_med", 0.4), 0.1),
+            (least("flat", 0.55), 0.1), (below("h_s", 0.4), 0.05), (least("track_floor", floor_frac_min), 0.05),
+        )
+        score = sum(worth for condition, worth in evidence if condition)
+        sure = min(0.98, sure + score)
+    cube = bool(row.get("cube"))
+    if cube and (row.get("cube_floor_frac") or 0.0) < floor_frac_min:
+        return out
+    vital = bool(row.get("cube_rr")) or bool(row.get("cube_micro"))
+    if cube:
+        sure = min(0.98, sure + 0.4)
+    if row.get("rest_spot"):
+        sure *= 0.4
+    confirmed = cube or (not require_cube and round(score, 9) >= confirm)
+    fall = trigger and state["run"] >= persist and confirmed and sure >= 0.5
+    return out | {"fall": fall, "collapse": fall and cube and not vital, "suspected": trigger and not fall, "confidence": round(sure, 2)}
+
+
+def collapse_step(state: dict, row: dict, sustain: float = 12.0, quiet: float = 5.0) -> dict:
+    """Collapse suspicion of one frame; signs of life are kept until nothing was down for more than ``quiet`` seconds.
+
+    row: t, down, down_s, red, fallen, rr, micro, measured, as in ``falls.collapse``.
+    """
+    if state.get("down_t") is None or row["t"] - state["down_t"] > quiet:
+        state |= {"had_rr": False, "living": False, "measured": False}
+    state["had_rr"] |= bool(row["rr"])
+    state["living"] |= bool(row["rr"] or row["micro"])
+    state["measured"] |= bool(row["measured"])
+    if row["down"]:
+        state["down_t"] = row["t"]
+    suspect = bool(row["red"] and row["down_s"] >= sustain and row["fallen"] and not state["living"])
+    return {"had_rr": state["had_rr"], "living": state["living"], "measured_yet": state["measured"], "suspect": suspect, "confidence": ("strong" if state["measured"] else "weak") if suspect else None}
