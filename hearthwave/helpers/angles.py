@@ -67,7 +67,3 @@ def smoothed(x: np.ndarray, grid: tuple[int, int] = (4, 4), sub: tuple[int, int]
     views = [cube[:, p : p + sub[0], q : q + sub[1]].reshape(k, size) for p in range(grid[0] - sub[0] + 1) for q in range(grid[1] - sub[1] + 1)]
     r = sum(v.T @ v.conj() / k for v in views) / len(views)
     return 0.5 * (r + r[::-1, ::-1].conj())
-
-
-def sub_positions(sub: tuple[int, int] = (3, 3)) -> tuple[tuple[int, ...], tuple[int, ...]]:
-    return tuple(i % sub[1] for i in range(sub[0] * sub[1])), tuple(i // sub[1] for i in range(sub[0] * sub[1]))

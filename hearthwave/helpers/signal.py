@@ -8,6 +8,8 @@ import numpy as np
 WAVELENGTH_MM = 5.0
 BREATH, HEART = (0.12, 0.6), (1.0, 1.7)
 BREATH_MM = 0.004
+#: What a breath's peak stands out by at least, and a body's least breathing amplitude, in mm.
+BREATH_PEAK_MM, BODY_MM = 0.010, 0.015
 
 
 def displacement(z: np.ndarray) -> np.ndarray:
@@ -90,9 +92,26 @@ def peaks(x: np.ndarray, height: float, distance: int) -> np.ndarray:
     return np.array(sorted(kept), dtype=int)
 
 
+def prominent(x: np.ndarray, least: float, distance: int) -> np.ndarray:
+    """Local maxima, the higher ones first where they are nearer than ``distance``, that stand out by ``least``.
+
+    A maximum stands out by its height over the higher of the two lowest points that part it from higher ground.
+    """
+    kept = peaks(x, -np.inf, distance)
+    out = []
+    for i in kept.tolist():
+        higher = np.flatnonzero(x > x[i])
+        left, right = higher[higher < i], higher[higher > i]
+        low = x[left[-1] + 1 if len(left) else 0 : i + 1].min(), x[i : right[0] if len(right) else len(x)].min()
+        if x[i] - max(low) >= least:
+            out.append(i)
+    return np.array(out, dtype=int)
+
+
 def beat_count(x: np.ndarray, fps: float, hi_bpm: float = 150, height: float = 0.25) -> float:
-    s = x / (x.std() + 1e-9)
-    return len(peaks(s, height, max(1, int(fps / (hi_bpm / 60))))) / (len(x) / fps) * 60
+    """Beats a minute by counting peaks."""
+    scaled = x / (x.std() + 1e-9)
+    return len(peaks(scaled, height, max(1, int(fps / (hi_bpm / 60))))) / (len(x) / fps) * 60
 
 
 def best(values: np.ndarray, k: int) -> np.ndarray:
@@ -174,6 +193,32 @@ def chest_rate(x: np.ndarray, bins: np.ndarray, fps: float, lo: float = 0.9, hi:
     return {"hr": _median(rates), "decoupled": True, "abdomen": int(bins[belly]), "strength": float(np.median(heights))}
 
 
+def beat_contrast(x: np.ndarray, fps: float, breath_hz: float, lo: float = HEART[0], hi: float = HEART[1], harmonics: int = 11, width: float = 0.035) -> np.ndarray:
+    """Each channel's tallest line in the heart's band that is no multiple of the breathing, over the median there."""
+    f, power = spectrum(x, fps)
+    multiples = breath_hz * np.arange(1, harmonics + 1)
+    inside = (f >= lo) & (f <= hi) & (np.abs(f[:, None] - multiples).min(axis=1) > width)
+    if not inside.any():
+        return np.zeros(len(x))
+    level = np.sqrt(power[:, inside])
+    return level.max(axis=1) / (np.median(level, axis=1) + 1e-12)
+
+
+def chest_cluster(x: np.ndarray, bins: np.ndarray, fps: float, breath_hz: float, reach: int = 20, soft: float = 0.3) -> dict:
+    """Heart rate where the beat is clear and the breathing weak: the best such bin near the strongest breathing, and two to either side."""
+    amp = band(x, fps, *BREATH).std(axis=1)
+    belly = int(amp.argmax())
+    score = beat_contrast(x, fps, breath_hz) / (amp / (amp[belly] + 1e-9) + soft)
+    score = np.where(np.abs(bins - bins[belly]) <= reach, score, -1.0)
+    out = {"abdomen": int(bins[belly]), "chest": None, "hr": None, "strength": None}
+    if score.max() <= 0:
+        return out
+    chest = int(score.argmax())
+    rates, heights = period_rate(band(x[max(0, chest - 2) : chest + 3], fps, *HEART), fps, HEART[0] * 60, HEART[1] * 60, refine=True)
+    ok = ~np.isnan(rates)
+    return out | {"chest": int(bins[chest]), "hr": _median(rates), "strength": float(np.median(heights[ok])) if ok.any() else None}
+
+
 def rate_track(x: np.ndarray, fps: float, size: float = 20.0, hop: float = 2.0) -> list[tuple[float, float]]:
     """(time, breaths a minute) of a signal's windows."""
     w, h = int(size * fps), max(1, int(hop * fps))
@@ -227,11 +272,6 @@ def spectrogram(x: np.ndarray, fps: float, size: int, hop: int) -> tuple[np.ndar
     return (starts + size / 2) / fps, np.fft.rfftfreq(size, 1 / fps), 10 * np.log10(np.abs(np.fft.rfft(pieces, axis=1)) ** 2 + 1e-12)
 
 
-def smoothness(ridge: np.ndarray) -> float:
-    """Spread of a track's second differences."""
-    return float(np.diff(ridge, 2).std()) if len(ridge) > 2 else 0.0
-
-
 def smoothed(rates: list[float | None], q: float = 0.7, r: float = 4.0, near: float = 0.10, jump: float = 0.20, history: int = 5, use_median: bool = False) -> list[float | None]:
     """A rate track: values far from the recent ones are passed over (coasting), the rest go through a Kalman filter.
 
@@ -270,13 +310,15 @@ def smoothed(rates: list[float | None], q: float = 0.7, r: float = 4.0, near: fl
 
 
 def rotation_p(x: np.ndarray, y: np.ndarray, shifts: int = 400) -> float:
-    """Share of rotated and reversed series whose robust slope is as steep as the series' own."""
+    """Share of the ``shifts`` rotated series, every second round of them reversed, whose robust slope is the series' own or falls steeper.
 
-    def slope(v: np.ndarray) -> float:
-        i, j = np.triu_indices(len(x), 1)
-        return float(np.median((v[j] - v[i]) / (x[j] - x[i])))
-
-    own = abs(slope(y))
-    n = min(shifts, 2 * len(y))
-    found = [abs(slope(np.roll(y if k % 2 else y[::-1], k // 2 + 1))) for k in range(n)]
-    return (1 + sum(s >= own for s in found)) / (1 + n)
+    1 for under five values.
+    """
+    n = len(y)
+    if n < 5:
+        return 1.0
+    i, j = np.nonzero(x[None, :] > x[:, None])
+    run = x[j] - x[i]
+    slopes = {(r, back): float(np.median((v[j] - v[i]) / run)) for r in range(n) for back in (0, 1) for v in [np.roll(y, r)[:: -1 if back else 1]]}
+    own = slopes[0, 0]
+    return sum(slopes[k % n, k // n % 2] <= own for k in range(shifts)) / shifts

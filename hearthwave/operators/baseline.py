@@ -90,6 +90,19 @@ def mask_occupied(bins: DataFrame, occupants: DataFrame, keys: list[str], near:
     return joined.withColumn("usable", ~hit).drop("_spots")
 
 
+def hourly_sweeps(entries: DataFrame, occupants: DataFrame, keys: list[str], ts: str, near: float = 1.0) -> DataFrame:
+    """The hourly job: power of each bin of an hour's snapshots, and whether nobody was near it then.
+
+    entries: keys, ts (seconds), range_bin, re, im. occupants: keys, ts, range_m.
+    """
+    from .geometry import bin_range
+    from .moments import bin_moments
+
+    hour = F.floor(F.col(ts) / 3600).alias("hour")
+    power = bin_moments(entries.select(*keys, hour, "range_bin", "re", "im"), [*keys, "hour", "range_bin"]).withColumn("range_m", bin_range(F.col("range_bin")))
+    return mask_occupied(power, occupants.select(*keys, hour, "range_m"), [*keys, "hour"], near).select(*keys, "hour", "range_bin", "power", "usable")
+
+
 def occupancy_ratio(live: DataFrame, empty: DataFrame, keys: list[str], value: str = "power") -> DataFrame:
     """(live - empty) / empty over the bins both have; keys name the bin too."""
     pair = live.join(empty.withColumnRenamed(value, "_empty"), keys)

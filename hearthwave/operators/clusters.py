@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -15,10 +16,13 @@ from . import voxels as v
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    """The lineage is cut in the folder of spark.checkpoint.dir; one of its own only where that is unset."""
+    """The lineage is cut in the folder of spark.checkpoint.dir; one of its own only where that is unset and all runs in one process."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint()
 
 
@@ -126,22 +130,35 @@ def frame_clusters(points: DataFrame, keys: list[str], k: str = "k", outlier: fl
     """
     import pyarrow as pa
 
-    fields = points.select(*keys, k).schema.fields
+    fields = points.schema.fields
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    packed = points.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(k, "x", "y", "z"))).alias("pts"))
+    names = [f.name for f in fields]
+    packed = points.repartition(*keys).sortWithinPartitions(*keys, k, "x", "y", "z")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the frame that the last batch ended in
+
+        def numbered(table: pa.Table) -> pa.RecordBatch:
+            at = pa.Table.to_pandas(table.select(keys))
+            first = np.flatnonzero(np.r_[True, (at.ne(at.shift())).to_numpy()[1:].any(1)])
+            xyz = np.column_stack([table.column(c).to_numpy().astype(float) for c in "xyz"])
+            ids = np.concatenate([chain(xyz[s:e], outlier, link, least) for s, e in zip(first, [*first[1:], len(xyz)], strict=True)])
+            return table.append_column("cluster_id", pa.array(ids, pa.int32())).combine_chunks().to_batches()[0]
+
         for b in it:
-            rows = []
-            for r in b.to_pylist():
-                pts = r["pts"]
-                ids = chain(np.array([[p["x"], p["y"], p["z"]] for p in pts], dtype=float), outlier, link, least)
-                rows += [{**{n: r[n] for n in keys}, k: p[k], "cluster_id": int(c)} for p, c in zip(pts, ids, strict=True)]
-            if rows:
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=[*keys, k, "cluster_id"]).astype({"cluster_id": "int32"}), preserve_index=False)
+            if not b.num_rows:
+                continue
+            at = b.select(keys).to_pandas()
+            last = (at != at.iloc[-1]).any(axis=1).to_numpy()
+            cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
+            if cut or (held and [held[-1].column(c)[0].as_py() for c in keys] != [b.column(c)[0].as_py() for c in keys]):
+                yield numbered(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                held = []
+            held.append(b.slice(cut))
+        if held:
+            yield numbered(pa.Table.from_batches(held))
 
-    ids = packed.mapInArrow(batches, f"{kinds}, cluster_id int")
-    return points.join(ids, [*keys, k])
+    return packed.select(*names).mapInArrow(batches, f"{kinds}, cluster_id int")
 
 
 def chain(xyz: np.ndarray, outlier: float, link: float, least: int) -> np.ndarray:
@@ -171,33 +188,48 @@ def chain(xyz: np.ndarray, outlier: float, link: float, least: int) -> np.ndarra
     return out
 
 
-def planes(points: DataFrame, keys: list[str], most: int = 4, tries: int = 200, inlier: float = 0.05, least: int = 10, seed: int = 7) -> DataFrame:
+def planes(points: DataFrame, keys: list[str], most: int = 4, tries: int = 1000, inlier: float = 0.05, least: int = 10, seed: int = 7, block: int = 1_000) -> DataFrame:
     """Dominant planes by random triples: keys, plane, normal (a, b, c), offset d, inliers; each takes its inliers away.
 
-    Triples come from at most ``3 * tries`` points per key, chosen by a hash; all points are counted against them.
+    ``tries`` triples are drawn by seeded hashes over all distinct points of a key, each point with the same chance in
+    each draw, and all points count (repeated ones as often as they are there). Points are scored in blocks of about
+    ``block`` against the key's candidates, of which there are ``tries``, and the blocks' counts are added up.
     """
-    from pyspark.sql import Window as W
-
-    rest = points.select(*keys, "x", "y", "z")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.select(*keys).schema.fields)
+    rest = _checkpointed(points.groupBy(*keys, "x", "y", "z").agg(F.count("*").alias("copies")))
     out = None
     for number in range(most):
-        order = F.xxhash64("x", "y", "z", F.lit(seed + number))
-        drawn = rest.withColumn("_at", F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1).where(F.col("_at") < 3 * tries).withColumn("_t", F.floor(F.col("_at") / 3))
-        triple = drawn.groupBy(*keys, "_t").agg(F.sort_array(F.collect_list(F.struct("_at", "x", "y", "z"))).alias("p")).where(F.size("p") == 3)
+        # of a key's points some are drawn: each has three hashed chances in ``tries`` that grow with how few there are
+        total = rest.groupBy(*keys).agg(F.count("*").alias("_all"))
+        slots = F.greatest(F.lit(1), F.ceil(3.0 * tries / F.col("_all"))).cast("int")
+        chance = F.pmod(F.xxhash64("x", "y", "z", "_i", F.lit(seed + number)), F.lit(1 << 30)) / float(1 << 30)
+        drawn = rest.join(total, keys).withColumn("_slots", slots).withColumn("_i", F.explode(F.sequence(F.lit(1), "_slots"))).where(chance <= 4.0 * tries / (F.col("_all") * F.col("_slots")))
+        bucket = F.pmod(F.xxhash64("z", "y", "x", "_i", F.lit(seed + 100 + number)), F.lit(tries)).cast("int")
+        three = drawn.withColumn("_t", bucket).groupBy(*keys, "_t").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("x", "y", "z", "_i").alias("h"), "x", "y", "z"))), 1, 3).alias("p")).where(F.size("p") == 3)
         u = {c: F.col("p")[1][c] - F.col("p")[0][c] for c in "xyz"}
         w = {c: F.col("p")[2][c] - F.col("p")[0][c] for c in "xyz"}
         normal = {"a": u["y"] * w["z"] - u["z"] * w["y"], "b": u["z"] * w["x"] - u["x"] * w["z"], "c": u["x"] * w["y"] - u["y"] * w["x"]}
         size = F.sqrt(normal["a"] ** 2 + normal["b"] ** 2 + normal["c"] ** 2)
         unit = {n: e / size for n, e in normal.items()}
         offset = -(unit["a"] * F.col("p")[0]["x"] + unit["b"] * F.col("p")[0]["y"] + unit["c"] * F.col("p")[0]["z"])
-        candidates = triple.where(size > 1e-9).select(*keys, "_t", *(e.alias(n) for n, e in unit.items()), offset.alias("d"))
-        listed = candidates.groupBy(*keys).agg(F.collect_list(F.struct("_t", "a", "b", "c", "d")).alias("_planes"))
-        met = rest.join(listed, keys).select(*keys, "x", "y", "z", F.explode("_planes").alias("q"))
-        distance = F.abs(F.col("q.a") * F.col("x") + F.col("q.b") * F.col("y") + F.col("q.c") * F.col("z") + F.col("q.d"))
-        counted = met.where(distance <= inlier).groupBy(*keys, "q").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-        best = _checkpointed(counted.groupBy(*keys).agg(F.max_by("q", F.struct("n", -F.col("q._t"))).alias("q"), F.max("n").alias("inliers")))
+        candidates = three.where(size > 1e-9).select(*keys, "_t", *(e.alias(n) for n, e in unit.items()), offset.alias("d"))
+        listed = candidates.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_t", "a", "b", "c", "d"))).alias("_planes"))
+
+        def score(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                for row in pdf.to_dict("records"):
+                    found = np.array([[q["_t"], q["a"], q["b"], q["c"], q["d"]] for q in row["_planes"]])
+                    xyzn = np.array([[q["x"], q["y"], q["z"], q["copies"]] for q in row["_points"]], dtype=float)
+                    n = xyzn[:, 3] @ (np.abs(xyzn[:, :3] @ found[:, 1:4].T + found[:, 4]) <= inlier)
+                    yield pd.DataFrame({**{k: row[k] for k in keys}, "_t": found[:, 0].astype(int), "a": found[:, 1], "b": found[:, 2], "c": found[:, 3], "d": found[:, 4], "n": n.astype(int)})
+
+        part = F.pmod(F.xxhash64("x", "y", "z"), F.ceil(F.col("_all") / block))
+        blocks = rest.join(total, keys).groupBy(*keys, part.alias("_b")).agg(F.collect_list(F.struct("x", "y", "z", "copies")).alias("_points"))
+        scored = blocks.join(listed, keys).select(*keys, "_points", "_planes").mapInPandas(score, f"{kinds}, _t int, a double, b double, c double, d double, n long")
+        counted = scored.groupBy(*keys, "_t", "a", "b", "c", "d").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        best = _checkpointed(counted.groupBy(*keys).agg(F.max_by(F.struct("a", "b", "c", "d"), F.struct("n", -F.col("_t"))).alias("q"), F.max("n").alias("inliers")))
         found = best.select(*keys, F.lit(number).alias("plane"), "q.a", "q.b", "q.c", "q.d", "inliers")
         out = found if out is None else out.unionByName(found)
         on = F.abs(F.col("q.a") * F.col("x") + F.col("q.b") * F.col("y") + F.col("q.c") * F.col("z") + F.col("q.d")) <= inlier
-        rest = _checkpointed(rest.join(best, keys).where(~on).select(*keys, "x", "y", "z"))
+        rest = _checkpointed(rest.join(best, keys).where(~on).select(*keys, "x", "y", "z", "copies"))
     return out

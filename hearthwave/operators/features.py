@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..helpers import signal as s
+from . import directions as dr
+from . import geometry as g
 from . import vitals as v
 
 
@@ -85,19 +87,37 @@ def moving_covariances(z: np.ndarray, fps: float, lo: float = 0.1, hi: float = 3
     return np.einsum("cti,ctj->cij", moving, moving.conj()) / z.shape[1], (np.abs(moving) ** 2).mean(axis=(1, 2))
 
 
+def moving(entries: DataFrame, keys: list[str], size: float = 30.0, slide: float = 30.0, share: float = 0.2, least: int = 64) -> DataFrame:
+    """Covariances of what moves, per window and bin, of bins with ``share`` of the largest energy or more, as packed arrays: keys, start, range_bin, re, im."""
+
+    def helper(bins: np.ndarray, z: np.ndarray, fps: float) -> list[dict]:
+        cov, energy = moving_covariances(z, fps)
+        return [{"range_bin": int(b), "re": c.real.ravel().tolist(), "im": c.imag.ravel().tolist()} for b, c, e in zip(bins, cov, energy, strict=True) if e > share * energy.max()]
+
+    return per_bin(entries, keys, helper, "range_bin int, re array<double>, im array<double>", size, slide, least)
+
+
+def moving_points(packed: DataFrame, keys: list[str], tilt_deg: float = 35.0, height: float = 2.3) -> DataFrame:
+    """Room points (x, y, z, power, range_m) of moving covariances (keys, range_bin, re, im): two directions a bin at most."""
+    found = dr.doa_points(packed, [*keys, "range_bin"], el=(-45.0, 45.0), most=2, within_db=-10.0)
+    return g.to_room(found, tilt_deg, height)
+
+
 def motion_pose(points: DataFrame, keys: list[str], floor_z: float = 0.4, fall: float = 0.7, stand: float = 2.6) -> DataFrame:
-    """Posture from moving points (keys, z, power): fall by the share near the floor, stand or sit by the 90th percentile."""
+    """Posture from moving points (keys, x, y, z, power, range_m): fall by the share near the floor, stand or sit by the 90th percentile; and the target, their centre by power."""
     from .voxels import weighted_height
 
     found = weighted_height(points, keys, "z", "power", 0.9, floor_z)
-    return found.withColumn("pose", F.when(F.col("floor_frac") > fall, "fall").when(F.col("z_q") >= stand, "stand").otherwise("sit"))
+    centre = [(F.sum(F.col(c) * F.col("power")) / F.sum("power")).alias(n) for c, n in (("x", "tx"), ("y", "ty"), ("z", "tz"), ("range_m", "target_m"))]
+    posed = found.withColumn("pose", F.when(F.col("floor_frac") > fall, "fall").when(F.col("z_q") >= stand, "stand").otherwise("sit"))
+    return posed.join(points.groupBy(*keys).agg(*centre), keys)
 
 
 def breath_wave(x: np.ndarray, fps: float, out_hz: float = 4.0) -> dict:
     """Of the strongest breathing channel: the wave in micrometres, times of its peaks, the pause since, and how periodic it is."""
     b = s.band(x, fps, *s.BREATH)
     w = b[(b**2).mean(axis=1).argmax()]
-    at = s.peaks(w, max(1e-4, 0.2 * float(w.std())), max(1, int(2 * fps)))
+    at = s.prominent(w, max(s.BREATH_PEAK_MM, 0.2 * float(w.std())), max(1, int(2 * fps)))
     marks = at / fps
     n = len(w)
     ac = np.fft.irfft(np.abs(np.fft.rfft(w - w.mean(), 2 * n)) ** 2)[:n]
@@ -108,6 +128,85 @@ def breath_wave(x: np.ndarray, fps: float, out_hz: float = 4.0) -> dict:
     }
 
 
+def window_helper(bins: np.ndarray, z: np.ndarray, fps: float) -> dict:
+    """What one window tells of a person: breathing, its wave and pause, and the heart where breathing is weak.
+
+    Without breathing in one place, of a body's amplitude, there is no rate.
+    """
+    x = s.displacement(z)
+    wave, place = breath_wave(x, fps), s.living(x, bins, g.RANGE_STEP, fps)
+    amp = float(s.band(x, fps, *s.BREATH).std(axis=1).max())
+    long = max(7.0, 2.0 * (wave["interval_s"] or 4.0))
+    out = {
+        "present": bool(place["present"] and amp >= s.BODY_MM), "range_m": place["range_m"], "body_um": amp * 1000, "reflection": float(np.abs(z.mean(axis=1)).mean(axis=1).max()), "pause_s": wave["pause_s"], "interval_s": wave["interval_s"],
+        "quality": wave["quality"], "breathing": "pause" if wave["pause_s"] >= long else "normal", "wave_um": wave["wave_um"], "marks": wave["marks"], "rr": None, "hr": None, "strength": None, "abdomen": None, "chest": None, "hr_apart": None, "beats": None,
+    }
+    if out["present"]:
+        rr, _ = s.breathing_rate(x, fps)
+        found = s.chest_cluster(x, bins, fps, (rr or 15.0) / 60)
+        out |= {"rr": rr} | {k: found[k] for k in ("hr", "strength", "abdomen", "chest")} | {"hr_apart": s.chest_rate(x, bins, fps)["hr"]}
+        if found["chest"] is not None:
+            out["beats"] = s.beat_count(s.band(x[bins == found["chest"]], fps, *s.HEART)[0], fps)
+    return out
+
+
+WINDOW = "present boolean, range_m double, body_um double, reflection double, pause_s double, interval_s double, quality double, breathing string, wave_um array<double>, marks array<double>, rr double, hr double, strength double, abdomen int, chest int, hr_apart double, beats double"
+
+
+def window_states(entries: DataFrame, keys: list[str], size: float = 30.0, slide: float = 30.0, least: int = 64, tilt_deg: float = 35.0, height: float = 2.3) -> DataFrame:
+    """The whole state of each window: presence, breathing, heart with its trust, posture and target (where something moves)."""
+    from .falls import heart_trust
+
+    on = [*keys, "start"]
+    told = per_bin(entries, keys, window_helper, WINDOW, size, slide, least).withColumn("trust", heart_trust(F.col("hr"), F.col("strength"), F.col("rr")))
+    posed = motion_pose(moving_points(moving(entries, keys, size, slide, least=least), on, tilt_deg, height), on).select(*on, "pose", "z_q", "floor_frac", "tx", "ty", "tz", "target_m")
+    return told.join(posed, on, "left").withColumn("pose", F.when(F.col("present"), F.coalesce("pose", F.lit("unknown"))).otherwise("unknown"))
+
+
+def respiration_helper(bins: np.ndarray, z: np.ndarray, fps: float, size: float = 4.0, hop: float = 1.0) -> list[dict]:
+    """At each second: depth of the breathing and static reflection at the strongest bin, and the rate around it; with each row the window's regularity."""
+    x = s.displacement(z)
+    b = s.band(x, fps, *s.BREATH)
+    at = int((b**2).mean(axis=1).argmax())
+    rr, _ = s.breathing_rate(x, fps)
+    gaps = np.diff(s.breath_times(x[at], fps, (rr or 15.0) / 60))
+    cv = float(gaps.std() / gaps.mean()) if len(gaps) > 1 else 99.0
+    mag = np.abs(z[at]).mean(axis=1)
+    rates = s.rate_track(b[at], fps)
+    there = bool(s.living(x, bins, g.RANGE_STEP, fps)["present"])
+    out = []
+    for t, amp in s.amplitude_track(x[at], fps, size, hop):
+        part = mag[max(0, int((t - size / 2) * fps)) : int((t + size / 2) * fps)]
+        near = min(rates, key=lambda r: abs(r[0] - t))[1] if rates else None
+        out.append({"range_bin": int(bins[at]), "t": t, "amp": amp, "refl": float(part.mean()) if len(part) else 0.0, "rate": near, "rr": rr, "interval_cv": cv, "present": there})
+    return out
+
+
+RESPIRATION = "range_bin int, t double, amp double, refl double, rate double, rr double, interval_cv double, present boolean"
+
+
+def respiration(entries: DataFrame, keys: list[str], size: float = 60.0, slide: float = 60.0, least: int = 64) -> tuple[DataFrame, DataFrame]:
+    """The monitor: its tracks (keys, window, t, amp, refl, rate, ...), and per window the pauses, regularity and pattern."""
+    from .selection import breathing_pattern
+
+    on = [*keys, "window"]
+    tracks = per_bin(entries, keys, respiration_helper, RESPIRATION, size, slide, least).withColumnRenamed("start", "window")
+    stops = v.pauses(tracks.where("present"), on).groupBy(*on).agg(F.count_if(F.col("kind") == "apnea").alias("apneas"), F.count_if(F.col("kind") == "absence").alias("absences"))
+    per = tracks.groupBy(*on).agg(F.first("present").alias("present"), F.first("rr").alias("rr"), F.first("interval_cv").alias("interval_cv"), F.percentile("amp", 0.5).alias("depth"), (F.stddev_pop("amp") / F.avg("amp")).alias("depth_cv"))
+    both = per.join(stops, on, "left").fillna(0, ["apneas", "absences"]).withColumnRenamed("interval_cv", "cv")
+    return tracks, breathing_pattern(both)
+
+
+def ridge_smoothness(track: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """Spread of a track's second differences per key: rows, rough, and smooth, from 0 to 1."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy(*keys).orderBy(order)
+    bend = F.col(value) - 2 * F.lag(value, 1).over(w) + F.lag(value, 2).over(w)
+    per = track.withColumn("_bend", bend).groupBy(*keys).agg(F.count("*").alias("n"), F.stddev_pop("_bend").alias("rough"))
+    return per.where("n >= 4").withColumn("smooth", 1 / (1 + F.col("rough") / 10))
+
+
 def liveness(bins: np.ndarray, z: np.ndarray, fps: float) -> list[dict]:
     """Per bin: share of the slow motion (0.1-2.5 Hz) that is breathing (0.15-0.5 Hz), and the rate of its peak."""
     f = np.abs(np.fft.fftfreq(z.shape[1], 1 / fps))

@@ -78,6 +78,15 @@ def leave_one_out(features: DataFrame, columns: list[str], group: str, label: st
     return spark.createDataFrame(rows, f"{group} {kind}, n long, auc double")
 
 
+def compared(features: DataFrame, sets: dict[str, list[str]], group: str, label: str = "label", reg: float = 0.01) -> DataFrame:
+    """Leave-one-out of several feature sets on the same recordings: name, group, n, auc."""
+    found = None
+    for name, columns in sets.items():
+        own = leave_one_out(features, columns, group, label, reg).select(F.lit(name).alias("name"), group, "n", "auc")
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
 def exported(features: DataFrame, columns: list[str], label: str = "label", reg: float = 0.01) -> DataFrame:
     """Weights of a logistic model as rows: name, mean, scale, weight; the bias is a row of its own."""
     table = VectorAssembler(inputCols=columns, outputCol="raw").transform(features).select(F.col(label).cast("double").alias("label"), "raw")

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrays import complex_similarity
+from ..helpers.signal import rotation_p
 
 
 def capped(entries: DataFrame, keys: list[str], order: list[str], k: int, least: int = 1) -> DataFrame:
@@ -117,6 +118,18 @@ def theil_sen(points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return slopes.join(mid, keys).select(*keys, "slope", (F.col("_my") - F.col("slope") * F.col("_mx")).alias("intercept"))
 
 
+def trend_chance(points: DataFrame, keys: list[str], x: str, y: str, shifts: int = 400) -> DataFrame:
+    """Per key (tens of window values): rows, and the share of rotated and reversed series that fall as steeply (column p)."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.select(*keys).schema.fields)
+
+    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([x, y])
+        p = rotation_p(pdf[x].to_numpy(float), pdf[y].to_numpy(float), shifts)
+        return pd.DataFrame([(*key, len(pdf), p)], columns=[*keys, "n", "p"])
+
+    return points.select(*keys, x, y).groupBy(*keys).applyInPandas(work, f"{kinds}, n long, p double")
+
+
 def motion_score(entries: DataFrame, keys: list[str], order: str, parts: int = 4) -> DataFrame:
     """Mean relative change between the covariances of ``parts`` equal spans of a key's snapshots."""
     span = F.ntile(parts).over(W.partitionBy(*keys).orderBy(order))

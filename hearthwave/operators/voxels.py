@@ -155,3 +155,17 @@ def weighted_height(energy: DataFrame, keys: list[str], z: str, weight: str, q:
         F.min(F.when(F.col("_up") >= q * F.col("_all"), F.col(z))).alias("z_q"), (F.sum(F.when(F.col(z) < floor_z, F.col(weight)).otherwise(0.0)) / F.sum(weight)).alias("floor_frac"),
         (F.sum(F.col(z) * F.col(weight)) / F.sum(weight)).alias("z_mean"),
     )
+
+
+def cloud_heights(points: DataFrame, keys: list[str], floor_z: float = 0.4) -> DataFrame:
+    """Of each whole cloud: points, median and mean height, and the share of points below ``floor_z``."""
+    return points.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("z", 0.5).alias("z_med"), F.avg("z").alias("z_mean"), F.avg((F.col("z") < floor_z).cast("double")).alias("below"))
+
+
+def scans_together(scans: dict[str, DataFrame], name: str = "scan") -> DataFrame:
+    """The clouds of several scans as one table, each row with its scan's name; columns that one lacks are null there."""
+    found = None
+    for scan, cloud in scans.items():
+        own = cloud.withColumn(name, F.lit(scan))
+        found = own if found is None else found.unionByName(own, allowMissingColumns=True)
+    return found

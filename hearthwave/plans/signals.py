@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 
 from ..helpers.angles import BOARD_AZ, BOARD_EL
 from ..operators import baseline as b
+from ..operators import clusters as cl
 from ..operators import directions as dr
 from ..operators import features as ft
+from ..operators import geometry as g
 from ..operators import mldata as ml
 from ..operators import moments as m
 from ..operators import scene as sc
 from ..operators import vitals as v
+from ..operators import voxels as vx
 from ..operators.evaluation import rate_vote, trimmed_mean
 from ..sources import frames as wire
 from ..streaming import jobs, steps
@@ -25,7 +28,7 @@ from .arrays import COV, against_first
 from .drift import VAR, _mags
 from .motion import ON_EVENTS
 from .registry import query
-from .standins import EVENTS, POINTS, events, points, snapshots
+from .standins import ANTENNAS, EVENTS, FRAMES, POINTS, events, frames, points, snapshots
 
 BIN = ["capture_id", "range_bin"]
 
@@ -291,3 +294,127 @@ SELECT sensor_id, R(total) AS total, CASE WHEN total < 3000 AND w = 0 THEN 'abse
 def posture_scores(spark: SparkSession, d: str) -> DataFrame:
     var = _mags(spark, d).groupBy("sensor_id", "range_bin").agg(F.var_pop(F.col("mag") * 70).alias("var")).withColumn("cal", F.lit(3500.0))
     return ft.posture_score(b.presence_bands(var, ["sensor_id"], strong=24000.0, ratio=6.0), var.groupBy("sensor_id").agg(F.sum("var").alias("total")), ["sensor_id"])
+
+
+@query()
+def window_states(spark: SparkSession, d: str) -> DataFrame:
+    """The whole state of each window: breathing, heart, posture and target."""
+    told = ft.window_states(_slow_time(spark, d), ["capture_id"], 10.0, 10.0)
+    return told.select("capture_id", "start", "present", "range_m", "body_um", "reflection", "pause_s", "quality", "breathing", "rr", "hr", "trust", "hr_apart", "pose", "tx", "ty", "tz", "target_m")
+
+
+@query()
+def respiration_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return ft.respiration(_slow_time(spark, d), ["capture_id"], 30.0, 30.0)[1]
+
+
+@query()
+def moving_postures(spark: SparkSession, d: str) -> DataFrame:
+    on = ["capture_id", "start"]
+    return ft.motion_pose(ft.moving_points(ft.moving(_slow_time(spark, d), ["capture_id"], 10.0, 10.0), on), on)
+
+
+@query()
+def label_cubes(spark: SparkSession, d: str) -> DataFrame:
+    """Cube features of label windows."""
+    return ft.per_bin(_slow_time(spark, d), ["capture_id"], ft.cube_feature, ft.CUBE, 10.0, 10.0)
+
+
+@query()
+def refined_angles(spark: SparkSession, d: str) -> DataFrame:
+    """The direction of every snapshot, searched around the middle one."""
+    from ..operators.selection import refined_angles as refined
+
+    rows = snapshots(spark, d).withColumns({"az": F.lit(0.0), "el": F.lit(0.0)})
+    return refined(rows, ["capture_id", "snap"], step=2.5)
+
+
+FLOOR_LINE = "line AS (SELECT capture_id, regr_slope(level, lr) AS slope, regr_intercept(level, lr) AS intercept FROM (SELECT capture_id, log10(range_bin * 0.0234375) AS lr, 10 * log10(greatest(power, 1e-12)) AS level FROM beams) GROUP BY ALL)"
+
+
+@query(f"""{BEAMS}, {FLOOR_LINE}, x AS (SELECT capture_id, range_bin, az, sum(power) AS power FROM beams WHERE el = 0 GROUP BY ALL), e AS (SELECT x.*, 10 * log10(greatest(power, 1e-12)) - slope * log10(range_bin * 0.0234375) - intercept AS excess FROM x JOIN line USING (capture_id)), p AS (SELECT *, row_number() OVER w AS pos FROM e WINDOW w AS (PARTITION BY capture_id, range_bin ORDER BY az)),
+h AS (SELECT *, pos - row_number() OVER (PARTITION BY capture_id, range_bin ORDER BY az) AS run FROM p WHERE excess >= 1.0) SELECT capture_id, range_bin, arg_max(az, (excess, -az)) AS az, R(max(excess)) AS excess, R(sum(power)) AS energy FROM h GROUP BY capture_id, range_bin, run""", 5)
+def floor_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Directions that stand out over each capture's own floor line."""
+    beams = _beams(spark, d)
+    rng, level = g.bin_range(F.col("range_bin")), 10 * F.log10(F.greatest("power", F.lit(1e-12)))
+    line = beams.select("capture_id", F.log10(rng).alias("lr"), level.alias("level")).groupBy("capture_id").agg(F.regr_slope("level", "lr").alias("slope"), F.regr_intercept("level", "lr").alias("intercept"))
+    return sc.over_floor(beams.where("el = 0").drop("el"), line, ["capture_id"], 1.0).select("capture_id", "range_bin", "az", "excess", "energy")
+
+
+@query(f"""{BEAMS}, b AS (SELECT capture_id, round_even(sqrt(greatest((range_bin * 0.0234375) ** 2 - 1.44, 0.09)) * sin(radians(az * 0.684 + 9.21)) / 0.1, 0)::INT AS ix, round_even(sqrt(greatest((range_bin * 0.0234375) ** 2 - 1.44, 0.09)) * cos(radians(az * 0.684 + 9.21)) / 0.1, 0)::INT AS iy, power FROM beams WHERE range_bin * 0.0234375 >= 0.9)
+SELECT capture_id, ix, iy, R(sum(power)) AS power FROM b GROUP BY ALL""", 4)
+def occlusion_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The floor grid of an occlusion baseline."""
+    return sc.baseline_tables(_covs(spark, d), _beams(spark, d), ["capture_id"])[1]
+
+
+@query(f"{ANTENNAS}, p AS (SELECT capture_id, range_bin, a, avg(re * re + im * im) AS p FROM ant GROUP BY ALL) SELECT capture_id, range_bin, R(sum(p)) AS power FROM p GROUP BY ALL")
+def occlusion_power(spark: SparkSession, d: str) -> DataFrame:
+    """The bins' power of an occlusion baseline."""
+    return sc.baseline_tables(_covs(spark, d), _beams(spark, d), ["capture_id"])[0]
+
+
+@query(f"""{ANTENNAS}, h AS (SELECT capture_id % 2 AS capture_id, (snap // 60)::BIGINT AS hour, range_bin, a, avg(re * re + im * im) AS p FROM ant GROUP BY ALL), spots AS (SELECT DISTINCT l_suppkey % 2 AS capture_id, (l_orderkey % 600) // 60 AS hour, l_linenumber * 0.03 AS range_m FROM lineitem WHERE l_quantity > 49)
+SELECT capture_id, hour, range_bin, R(sum(p)) AS power, NOT EXISTS (SELECT 1 FROM spots s WHERE s.capture_id = h.capture_id AND s.hour = h.hour AND abs(s.range_m - h.range_bin * 0.0234375) < 0.02) AS usable FROM h GROUP BY ALL""")
+def hourly_sweeps(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots a minute apart; occupants are the points of the largest quantities."""
+    entries = snapshots(spark, d).select((F.col("capture_id") % 2).alias("capture_id"), (F.col("snap") * 60).alias("ts"), "range_bin", "re", "im")
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").where("l_quantity > 49")
+    spots = lines.select((F.col("l_suppkey") % 2).alias("capture_id"), (F.col("l_orderkey") % 600 * 60).alias("ts"), (F.col("l_linenumber") * 0.03).alias("range_m"))
+    return b.hourly_sweeps(entries, spots, ["capture_id"], "ts", near=0.02)
+
+
+@query(f"{EVENTS}, s AS (SELECT user_id, value - 2 * lag(value, 1) OVER w + lag(value, 2) OVER w AS bend FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, count(*) AS n, R(stddev_pop(bend)) AS rough, R(1 / (1 + stddev_pop(bend) / 10)) AS smooth FROM s GROUP BY user_id HAVING count(*) >= 4")
+def ridge_smoothness(spark: SparkSession, d: str) -> DataFrame:
+    return ft.ridge_smoothness(events(spark, d), ["user_id"], "event_id", "value")
+
+
+@query(f"""{EVENTS}, daily AS (SELECT user_id, floor(t / 86400)::BIGINT AS day, avg(value) AS value FROM ev GROUP BY ALL), q AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM daily), k AS (SELECT DISTINCT user_id, n FROM q WHERE n >= 5),
+fam AS (SELECT user_id, n, kk % n AS r, kk // n % 2 AS back, count(*) AS w FROM k, (SELECT unnest(range(60)) AS kk) GROUP BY ALL), pos AS (SELECT f.user_id, f.r, f.back, f.w, q.day, v.value FROM fam f JOIN q ON q.user_id = f.user_id JOIN q v ON v.user_id = f.user_id AND v.i = CASE WHEN back = 1 THEN (2 * f.n - 1 - q.i - r) % f.n ELSE (q.i - r + f.n) % f.n END),
+sl AS (SELECT a.user_id, a.r, a.back, any_value(a.w) AS w, median((b.value - a.value) / (b.day - a.day)) AS slope FROM pos a JOIN pos b ON a.user_id = b.user_id AND a.r = b.r AND a.back = b.back AND b.day > a.day GROUP BY ALL), own AS (SELECT user_id, slope FROM sl WHERE r = 0 AND back = 0),
+p AS (SELECT user_id, sum(CASE WHEN s.slope <= o.slope THEN w ELSE 0 END) / 60.0 AS p FROM sl s JOIN own o USING (user_id) GROUP BY user_id) SELECT q.user_id, count(*) AS n, R(coalesce(any_value(p.p), 1)) AS p FROM q LEFT JOIN p USING (user_id) GROUP BY q.user_id""")
+def trend_chances(spark: SparkSession, d: str) -> DataFrame:
+    """How often a rotated or reversed series of daily means falls as steeply."""
+    daily = events(spark, d).groupBy("user_id", F.floor(F.col("t") / 86400).alias("day")).agg(F.avg("value").alias("value"))
+    return m.trend_chance(daily, ["user_id"], "day", "value", shifts=60)
+
+
+@query(f"{FRAMES}, x AS (SELECT *, coalesce(h_s <= 0.45, false) AS low FROM frames), c AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY frame) - row_number() OVER (PARTITION BY tid, low ORDER BY frame) AS grp FROM x) SELECT tid, frame, role, low AND count(*) OVER (PARTITION BY tid, low, grp) >= 2 AS fallen FROM c")
+def scene_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Feature rows with a label from the height alone."""
+    rows = frames(spark, d)
+    return ft.scene_rows(rows.select("tid", "frame", "role"), rows.select("tid", "frame", "h_s"), ["tid"], "frame", least=2)
+
+
+@query()
+def compared_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Two feature sets on the same recordings."""
+    rows = events(spark, d).select((F.col("user_id") % 3).alias("recording"), "value", F.col("k").cast("double").alias("k"), (F.col("value") + F.col("k") < 90).cast("int").alias("label"))
+    return ml.compared(rows, {"one": ["value"], "both": ["value", "k"]}, "recording")
+
+
+@query()
+def room_planes(spark: SparkSession, d: str) -> DataFrame:
+    """Dominant planes of each room's points; random triples, tested on planted planes."""
+    p = points(spark, d).withColumn("capture_id", F.col("capture_id") % 5)
+    return cl.planes(p, ["capture_id"], most=2, tries=200)
+
+
+@query(f"{POINTS} SELECT capture_id, count(*) AS n, R(quantile_cont(z, 0.5)) AS z_med, R(avg(z)) AS z_mean, R(avg((z < 0.4)::INT)) AS below FROM points GROUP BY ALL")
+def cloud_heights(spark: SparkSession, d: str) -> DataFrame:
+    return vx.cloud_heights(points(spark, d), ["capture_id"])
+
+
+@query(f"{POINTS}, u AS (SELECT capture_id, 'returned' AS scan, x, power FROM points WHERE scan = 'R' UNION ALL SELECT capture_id, 'others' AS scan, x, NULL FROM points WHERE scan <> 'R') SELECT capture_id, scan, count(*) AS n, R(avg(x)) AS x, R(avg(power)) AS power FROM u GROUP BY ALL", 4)
+def scans_together(spark: SparkSession, d: str) -> DataFrame:
+    p = points(spark, d)
+    clouds = {"returned": p.where("scan = 'R'").select("capture_id", "x", "power"), "others": p.where("scan <> 'R'").select("capture_id", "x")}
+    return vx.scans_together(clouds).groupBy("capture_id", "scan").agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("power").alias("power"))
+
+
+@query(f"{POINTS}, c AS (SELECT capture_id, trunc((x + 2.0) / 0.2)::INT AS ix, trunc(y / 0.2)::INT AS iy, trunc(z / 0.2)::INT AS iz FROM points) SELECT capture_id, ix, iy, iz, count(*) AS n FROM c WHERE ix BETWEEN 0 AND 19 AND iy BETWEEN 0 AND 29 AND iz BETWEEN 0 AND 14 GROUP BY ALL")
+def voxel_coordinates(spark: SparkSession, d: str) -> DataFrame:
+    """Cells from their numbers."""
+    cells = vx.voxel_map(points(spark, d), ["capture_id"]).select("capture_id", g.voxel_number().alias("number"), F.col("hit_count").cast("long").alias("n"))
+    return cells.select("capture_id", *(e.alias(n) for n, e in g.voxel_coordinates(F.col("number")).items()), "n")

@@ -67,7 +67,32 @@ def posture_points(frames: DataFrame, first: int, keys: list[str], most: int = 6
     return long.select(*keys, "v.*").where("y IS NOT NULL AND z IS NOT NULL")
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """Rows of vitals or of a comparison with the watch, with a header; nulls are empty."""
+    df.write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)
+
+
+def write_scene(models: DataFrame, path: str) -> None:
+    """Scene models, one nested JSON row per sensor."""
+    models.write.mode("overwrite").partitionBy("sensor_id").json(path)
+
+
 def ply_rows(points: DataFrame, keys: list[str]) -> DataFrame:
     """Vertex lines of a PLY text per key, in a fixed order: keys, line."""
     values = [F.format_string("%.4f", F.col(c)) for c in ("x", "y", "z", "mag")]
     return points.select(*keys, F.concat_ws(" ", *values).alias("line")).orderBy(*keys, "line")
+
+
+def write_ply(points: DataFrame, key: str, path: str) -> None:
+    """One PLY text per key below ``path``: the header with the number of vertices, then their lines in order."""
+    lines = ply_rows(points, [key])
+    counts = lines.groupBy(key).agg(F.count("*").alias("n"))
+    head = F.concat(F.lit("ply\nformat ascii 1.0\nelement vertex "), F.col("n"), *(F.lit(f"\nproperty float {c}") for c in ("x", "y", "z", "mag")), F.lit("\nend_header"))
+    both = counts.select(key, F.lit(0).alias("part"), head.alias("line")).unionByName(lines.withColumn("part", F.lit(1)))
+    both.repartition(key).sortWithinPartitions(key, "part", "line").select(key, "line").write.mode("overwrite").partitionBy(key).text(path)
+
+
+def write_occlusion_baseline(power: DataFrame, grid: DataFrame, path: str) -> None:
+    """The two tables of an occlusion baseline, by sensor: power per bin, and energy per floor cell."""
+    for name, table in (("power", power), ("grid", grid)):
+        table.write.mode("overwrite").partitionBy("sensor_id").parquet(f"{path}/{name}")
