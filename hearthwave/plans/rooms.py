@@ -241,8 +241,11 @@ def room_objects(spark: SparkSession, d: str) -> DataFrame:
     return c.detect_objects(p, KEY, cell=0.25, dense=2, eps=0.4, least=4)
 
 
-@query()
+@query(f"""WITH RECURSIVE {POINTS}, p AS (SELECT capture_id, frame % 2000 AS frame, x, y, z, row_number() OVER (PARTITION BY capture_id, frame % 2000 ORDER BY power, x, y, z) AS i FROM points), d AS (SELECT a.capture_id, a.frame, a.i, b.i AS j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM p a JOIN p b ON a.capture_id = b.capture_id AND a.frame = b.frame AND a.i <> b.i),
+n AS (SELECT capture_id, frame, i, min(d) AS near FROM d GROUP BY ALL), kept AS (SELECT capture_id, frame, i FROM n QUALIFY near <= 5.0 * avg(near) OVER (PARTITION BY capture_id, frame)), e AS (SELECT d.capture_id, d.frame, d.i, d.j FROM d SEMI JOIN kept USING (capture_id, frame, i) WHERE d <= 1.5 AND EXISTS (SELECT 1 FROM kept k WHERE k.capture_id = d.capture_id AND k.frame = d.frame AND k.i = d.j)),
+reach AS (SELECT capture_id, frame, i, i AS root FROM kept UNION SELECT e.capture_id, e.frame, e.j, reach.root FROM reach JOIN e ON e.capture_id = reach.capture_id AND e.frame = reach.frame AND e.i = reach.i), lab AS (SELECT capture_id, frame, i, min(root) AS root FROM reach GROUP BY ALL), big AS (SELECT capture_id, frame, root FROM lab GROUP BY ALL HAVING count(*) >= 2), large AS (SELECT *, row_number() OVER (PARTITION BY capture_id, frame ORDER BY root) - 1 AS id FROM big)
+SELECT p.capture_id, p.frame, coalesce(id, -1)::INT AS cluster_id, count(*) AS n FROM p LEFT JOIN lab ON lab.capture_id = p.capture_id AND lab.frame = p.frame AND lab.i = p.i LEFT JOIN large ON large.capture_id = p.capture_id AND large.frame = p.frame AND large.root = lab.root GROUP BY ALL""")
 def frame_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Chain clusters of each frame's points; order-dependent, tested on small frames."""
+    """Chain clusters of each frame's points."""
     found = c.frame_clusters(points(spark, d).withColumn("frame", F.col("frame") % 2000), ["capture_id", "frame"], k="power", link=1.5, least=2)
     return found.groupBy("capture_id", "frame", "cluster_id").agg(F.count("*").alias("n"))
