@@ -40,6 +40,8 @@ END = "\r\n\r\n"
 GAP = gzip.compress(b"", mtime=0)
 #: Bytes of a file's records, about: a task begins another one then.
 FILE_BYTES = 64 << 20
+#: Bytes that are unpacked at once.
+PIECE = 1 << 13
 DATE = "20240101000000"
 
 RECORD = "page_id string, url string, date string, head binary, payload binary, sha1 string"
@@ -149,14 +151,18 @@ def warc_record(record: dict) -> bytes:
 
 def members(raw: bytes) -> Iterator[bytes]:
     """The contents of a gzip file's members that have some, one after the other."""
-    while raw:
-        d = zlib.decompressobj(31)
-        found = d.decompress(raw) + d.flush()
-        if not d.eof:
-            raise ValueError("a gzip member without an end")
-        raw = d.unused_data
-        if found:
-            yield found
+    view, at = memoryview(raw), 0
+    while at < len(view):
+        d, parts = zlib.decompressobj(31), []
+        while not d.eof:
+            piece = view[at : at + PIECE]  # what is left over of a piece is copied, so that pieces are small
+            if not len(piece):
+                raise ValueError("a gzip member without an end")
+            parts.append(d.decompress(piece))
+            at += len(piece)
+        at -= len(d.unused_data)
+        if any(parts):
+            yield b"".join(parts)
 
 
 def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
