@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -220,19 +221,12 @@ def liveness(bins: np.ndarray, z: np.ndarray, fps: float) -> list[dict]:
 
 def per_bin(entries: DataFrame, keys: list[str], helper, schema: str, size: float = 30.0, slide: float = 30.0, least: int = 64) -> DataFrame:
     """``helper(bins, snapshots, fps)``'s rows of each window. schema: the helper's columns."""
-    import pandas as pd
-
-    windowed = v.windows(entries.select(*keys, "ts", "range_bin", "re", "im"), keys, size, slide)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windowed.select(*keys).schema.fields)
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def work(pdf: pd.DataFrame) -> list[dict]:
         bins, z, fps = v.cube(pdf, least)
         found = helper(bins, z, fps) if len(bins) and fps > 0 else []
-        rows = found if isinstance(found, list) else [found]
-        return pd.DataFrame([dict(zip([*keys, "start"], key, strict=True)) | r for r in rows], columns=[*keys, "start", *names])
+        return found if isinstance(found, list) else [found]
 
-    return windowed.groupBy(*keys, "start").applyInPandas(work, f"{kinds}, start double, {schema}")
+    return v.in_windows(entries.select(*keys, "ts", "range_bin", "re", "im"), keys, size, slide, work, f"start double, {schema}")
 
 
 PARTS = "range_bin int, reflection double, breath double, heart double, part string"

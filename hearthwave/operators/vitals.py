@@ -15,11 +15,29 @@ from .geometry import RANGE_STEP
 STATE = "start double, present boolean, disp_rms double, rr double, rr_spread double, hr double, strength double, band string, range_m double, concentration double, bins int, fps double"
 
 
-def windows(entries: DataFrame, keys: list[str], size: float, slide: float) -> DataFrame:
-    """Each snapshot in every window that holds it (column start, in seconds)."""
-    first = F.floor((F.col("ts") - size) / slide) + 1
-    numbered = entries.withColumn("start", F.explode(F.sequence(first, F.floor(F.col("ts") / slide))))
-    return numbered.withColumn("start", F.col("start") * F.lit(float(slide)))
+def in_windows(entries: DataFrame, keys: list[str], size: float, slide: float, work: Callable[[pd.DataFrame], list[dict]], schema: str) -> DataFrame:
+    """``work``'s rows for each window [start, start + size) that holds a snapshot; schema: start and the rows' columns.
+
+    Starts are whole multiples of ``slide``. Windows come in blocks of four times their length, and a snapshot goes to
+    each block whose windows hold it: to one, or near a block's end to two, however much the windows overlap.
+    """
+    slots = max(1, int(np.ceil(4 * size / slide)))
+    first, last = F.floor((F.col("ts") - size) / slide) + 1, F.floor(F.col("ts") / slide)
+    placed = entries.withColumn("_block", F.explode(F.sequence(F.floor(first / slots), F.floor(last / slots))))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.select(*keys).schema.fields)
+    names = [*keys, *(c.split()[0] for c in schema.split(", "))]
+
+    def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop(columns="_block").sort_values(["ts", "range_bin"], kind="stable").reset_index(drop=True)
+        ts, out = pdf["ts"].to_numpy(float), []
+        for slot in range(key[-1] * slots, (key[-1] + 1) * slots):
+            start = slot * float(slide)
+            low, high = np.searchsorted(ts, [start, start + size])
+            if high > low:
+                out += [dict(zip(keys, key, strict=False)) | {"start": start} | r for r in work(pdf.iloc[low:high])]
+        return pd.DataFrame(out, columns=names)
+
+    return placed.groupBy(*keys, "_block").applyInPandas(block, f"{kinds}, {schema}")
 
 
 def cube(pdf: pd.DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, float]:
@@ -47,25 +65,19 @@ def state_of(bins: np.ndarray, x: np.ndarray, fps: float, step: float = RANGE_ST
     return out
 
 
-def per_window(windowed: DataFrame, keys: list[str], helper: Callable[[np.ndarray, np.ndarray, float], dict], schema: str, least: int = 64) -> DataFrame:
-    """``helper(bins, displacements, fps)`` of each (keys, start); windows without frames enough give no row."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windowed.select(*keys).schema.fields)
-    names = [c.split()[0] for c in schema.split(", ")]
+def per_window(entries: DataFrame, keys: list[str], size: float, slide: float, helper: Callable[[np.ndarray, np.ndarray, float], dict], schema: str, least: int = 64) -> DataFrame:
+    """``helper(bins, displacements, fps)`` of each window; windows without frames enough give no row."""
 
-    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def work(pdf: pd.DataFrame) -> list[dict]:
         bins, z, fps = cube(pdf, least)
-        if not len(bins) or fps <= 0:
-            return pd.DataFrame(columns=[*keys, *names])
-        row = dict(zip([*keys, "start"], key, strict=True)) | helper(bins, s.displacement(z), fps)
-        return pd.DataFrame([row], columns=[*keys, *names])
+        return [helper(bins, s.displacement(z), fps)] if len(bins) and fps > 0 else []
 
-    return windowed.groupBy(*keys, "start").applyInPandas(work, f"{kinds}, {schema}")
+    return in_windows(entries.select(*keys, "ts", "range_bin", "re", "im"), keys, size, slide, work, schema)
 
 
 def vitals(entries: DataFrame, keys: list[str], size: float = 30.0, slide: float = 10.0, fast_hi: float | None = None) -> DataFrame:
     """Window states of captures; entries: keys, ts (seconds), range_bin, re, im."""
-    chosen = entries.select(*keys, "ts", "range_bin", "re", "im")
-    return per_window(windows(chosen, keys, size, slide), keys, lambda bins, x, fps: state_of(bins, x, fps, fast_hi=fast_hi), STATE)
+    return per_window(entries, keys, size, slide, lambda bins, x, fps: state_of(bins, x, fps, fast_hi=fast_hi), STATE)
 
 
 def rhythm_alerts(entries: DataFrame, keys: list[str], size: float = 30.0, slide: float = 10.0, rows: int = 7, least: int = 4) -> DataFrame:
@@ -76,8 +88,7 @@ def rhythm_alerts(entries: DataFrame, keys: list[str], size: float = 30.0, slide
         rr, _ = s.breathing_rate(x, fps)
         return {k: v for k, v in s.rhythm(x, fps, (rr or 15.0) / 60).items()}
 
-    chosen = entries.select(*keys, "ts", "range_bin", "re", "im")
-    found = per_window(windows(chosen, keys, size, slide), keys, helper, "start double, coherence double, interval_cv double, n_beats int, verdict string")
+    found = per_window(entries, keys, size, slide, helper, "start double, coherence double, interval_cv double, n_beats int, verdict string")
     last = W.partitionBy(*keys).orderBy("start").rowsBetween(-(rows - 1), 0)
     return found.withColumn("alert", F.sum((F.col("verdict") == "IRREGULAR").cast("int")).over(last) >= least)
 
