@@ -27,7 +27,7 @@ THRESHOLD = 3
 SHINGLE = 3
 #: Fixed value: the seed of XXH64.
 SEED = 42
-#: Members of an anchor that one task compares; a larger anchor is cut into blocks, and every two blocks meet.
+#: Members of an anchor that one task compares; a larger anchor is split.
 BLOCK = 20_000
 #: Up to so many members are compared all at once, place by place.
 _SMALL = 48
@@ -103,8 +103,8 @@ def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of signatures: rows of one or more 64-bit numbers."""
-    return np.bitwise_count(a ^ b).sum(axis=-1)
+    """Differing bits of fingerprints."""
+    return np.bitwise_count(a ^ b)
 
 
 def forest(sigs: np.ndarray, threshold: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -145,45 +145,46 @@ def _compared(group: np.ndarray, sigs: np.ndarray, threshold: int) -> tuple[np.n
     return np.concatenate([x for x, _ in links]), np.concatenate([x for _, x in links])
 
 
-def _node(sigs: np.ndarray) -> np.ndarray:
-    """One number for a signature: itself if it is one number, else a hash of its numbers."""
-    out = sigs[:, 0]
-    for i in range(1, sigs.shape[1]):
-        out = text.mix(out * np.uint64(0x9E3779B97F4A7C15) + sigs[:, i])
-    return out
+def _large(placed: DataFrame, by: str, block: int) -> DataFrame:
+    """(by, parts): the places of more than ``block`` rows, and the blocks they are cut into."""
+    parts = F.ceil(F.col("count") / block).cast("int")
+    return store.written(placed.groupBy(by).count().where(F.col("count") > block).select(by, parts.alias("parts")), "places")
+
+
+def by_bytes(placed: DataFrame, large: DataFrame) -> DataFrame:
+    """(place, fp) from (anchor, fp): the members of ``large`` anchors once for each byte of their other half.
+
+    Two linked members differ in at most three bits of that half, so that one of its four bytes is the same in both.
+    """
+    low = F.shiftrightunsigned("anchor", 32).bitwiseAND(F.lit(1)) == 0
+    other = F.when(low, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
+    finer = F.array(*(F.xxhash64("anchor", F.lit(p), F.shiftrightunsigned(other, 8 * p).bitwiseAND(F.lit(255))) for p in range(4)))
+    places = F.when(F.col("parts").isNull(), F.array("anchor")).otherwise(finer)
+    return placed.join(large, "anchor", "left").select(F.explode(places).alias("place"), "fp")
+
+
+def in_blocks(placed: DataFrame, large: DataFrame) -> DataFrame:
+    """(place, fp): the ``large`` places in blocks of the fingerprint's hash, every two of them in a place of their own."""
+    parts = F.coalesce("parts", F.lit(1))
+    mine = F.pmod(F.xxhash64("fp"), parts).cast("int")
+    cut = placed.join(large, "place", "left").select("place", "fp", parts.alias("parts"), mine.alias("mine")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    place = F.when(F.col("parts") == 1, F.col("place")).otherwise(F.xxhash64("place", F.least("mine", "other"), F.greatest("mine", "other")))
+    return cut.select(place.alias("place"), "fp")
+
 
+def met(placed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b): links between the fingerprints that meet at an anchor.
 
-def in_blocks(placed: DataFrame, block: int) -> DataFrame:
-    """``placed`` with ``place`` for its column anchor: an anchor of more than ``block`` rows in blocks, every two of them in one place."""
-    numbers = placed.columns[1:]
-    large = store.written(placed.groupBy("anchor").count().where(F.col("count") > block), "anchors")
-    parts = F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int")
-    mine = F.when(F.col("parts") == 1, 0).otherwise(F.pmod(F.xxhash64(*numbers), "parts")).cast("int")
-    one, other = F.least("mine", "other"), F.greatest("mine", "other")
-    place = F.when(F.col("parts") == 1, F.col("anchor")).otherwise(F.xxhash64("anchor", one, other))
-    return (
-        placed.join(large, "anchor", "left")
-        .withColumn("parts", parts)
-        .withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select(place.alias("place"), *numbers)
-    )
-
-
-def met(placed: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
-    """(a, b): links between nodes that meet at an anchor and differ in at most ``threshold`` bits of their signatures.
-
-    placed: anchor, then the signature's numbers. An anchor of more than ``block`` members is cut into blocks by
-    the signature's hash, and every two blocks meet in a task of their own.
+    placed: anchor, fp. An anchor of more than ``block`` members is split by the bytes of their other half, and only
+    what is still larger is cut into blocks, every two of which meet in a task of their own.
     """
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def out(rows: np.ndarray) -> pa.RecordBatch:
-            sigs = np.ascontiguousarray(rows[1:].T).view(np.uint64)
-            i, j = _compared(rows[0], sigs, threshold)
-            node = _node(sigs)
+            node = rows[1].view(np.uint64)
+            i, j = _compared(rows[0], node, THRESHOLD)
             a, b = node[i], node[j]
             pairs = np.unique(np.column_stack([np.maximum(a, b), np.minimum(a, b)]), axis=0) if len(a) else np.zeros((0, 2), np.uint64)
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i]).view(np.int64)) for i in (0, 1)], names=["a", "b"])
@@ -202,7 +203,14 @@ def met(placed: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
         if held:
             yield out(np.concatenate(held, axis=1))
 
-    return in_blocks(placed, block).repartition("place").sortWithinPartitions("place").mapInArrow(compare, "a bigint, b bigint").distinct()
+    large = _large(placed, "anchor", block)
+    if large.isEmpty():
+        places = placed.withColumnRenamed("anchor", "place")
+    else:
+        finer = by_bytes(placed, large)
+        dense = by_bytes(placed.join(large.select("anchor"), "anchor", "left_semi"), large)
+        places = in_blocks(finer, _large(dense, "place", block))
+    return places.repartition("place").sortWithinPartitions("place").mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -217,7 +225,7 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(part[index])], names=["anchor", "fp"])
 
     spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a small file of fingerprints makes many rows
-    return met(spread.mapInArrow(replicate, "anchor bigint, fp bigint"), THRESHOLD, block)
+    return met(spread.mapInArrow(replicate, "anchor bigint, fp bigint"), block)
 
 
 def clusters(table: DataFrame) -> DataFrame:

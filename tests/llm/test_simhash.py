@@ -73,9 +73,29 @@ def test_large_anchor_in_blocks(spark):
     assert {r["root"] for r in graph.components(links).collect()} == {0}
 
 
+def test_dense_anchors_lose_no_link(spark):
+    """Fingerprints that share one half, or nearly: all pairs, by bytes and in blocks."""
+    e = np.random.default_rng(8)
+    fps = []
+    for high in (0x12345678, 0x92345678):
+        base = e.integers(0, 1 << 32, 60, dtype=np.uint64)
+        for b in base:
+            fps += [int(b) | high << 32, int(b ^ (np.uint64(1) << np.uint64(e.integers(32)))) | (high ^ 1) << 32, int(b ^ np.uint64(0x01000101)) | high << 32]
+    fps = sorted({f - (1 << 64) if f >> 63 else f for f in fps})
+    roots = _components([f & (1 << 64) - 1 for f in fps])
+    want = sorted(sorted(f for f, r in zip(fps, roots, strict=True) if r == root) for root in set(roots))
+    for block in (5, 40, 20_000):
+        found = graph.components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), block)).collect()
+        group = {r["node"]: r["root"] for r in found}
+        got = {}
+        for f in fps:
+            got.setdefault(group.get(f, f), []).append(f)
+        assert sorted(sorted(x) for x in got.values()) == want
+
+
 def test_forest_joins_what_pairs_join():
     e = np.random.default_rng(5)
-    sigs = (np.uint64(7) ^ (np.uint64(1) << e.integers(0, 12, 200).astype(np.uint64)))[:, None]
+    sigs = np.uint64(7) ^ (np.uint64(1) << e.integers(0, 12, 200).astype(np.uint64))
     joined = {0}
     for a, b in simhash.forest(sigs, 2):
         joined |= set(a.tolist()) | set(b.tolist())
