@@ -221,6 +221,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Dat
     """The documents, columns as they are, that the classifier doesn't reject."""
     table = store.written(with_statistics(docs, ["doc_id"]), "statistics")
     model = fit(training_rows(table, labels))
+    store.drop(table)
     at = docs.columns.index("text")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
