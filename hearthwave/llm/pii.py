@@ -7,11 +7,11 @@ run of member characters is always taken whole, which is where a greedy match wo
 
 Kinds: email, ip (parts at most 255), card (13 to 19 digits, Luhn) and phone (9 to 15 digits) are the base and
 always stay. The method adds iban (two letters, two digits and 11 to 30 further ones, in groups or not, that leave 1
-on division by 97), ssn (three, two and four digits with dashes, of an area and group that are given out) and routing
-(nine digits whose weighted sum ends in 0). Every span has a score: what its kind is worth, more if a checksum
+on division by 97), ssn (three, two and four digits with dashes, of an area and group that are given out), routing
+(nine digits whose weighted sum ends in 0) and secret (32 to 128 hexadecimal digits). Every span has a score: what its kind is worth, more if a checksum
 confirms it or a context word stands within 40 characters before or after it, up to the next match of the pattern.
-Added spans are kept from ``least_score`` upward: an iban by its checksum, an ssn or a routing number only if a
-context word speaks for it.
+Added spans are kept from ``least_score`` upward: an iban by its checksum, an ssn, a routing number or a secret only
+if a context word speaks for it.
 
 Defined cases: a null text counts as empty, an empty text has no spans; repeated rows get equal results.
 Spans of different kinds may overlap; redaction joins such spans and names the first.
@@ -34,6 +34,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
 SSN = r"[0-9]++(?:-[0-9]++)*+"
 ROUTING = r"[0-9]++"
+SECRET = r"[0-9A-Za-z]{32,}+"
 #: Words that raise the score of a kind's span when they stand before or after it.
 CONTEXT = {
     "email": "mail|email|e-mail|contact|adresse|correo|courriel",
@@ -43,16 +44,17 @@ CONTEXT = {
     "iban": "iban|bank|account|konto|compte|cuenta",
     "ssn": "ssn|social security|security number|taxpayer",
     "routing": "routing|aba|bank|transit",
+    "secret": "token|secret|key|apikey|password|passwd|bearer|credential",
 }
-PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "ssn": SSN, "routing": ROUTING}
+PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "ssn": SSN, "routing": ROUTING, "secret": SECRET}
 #: What a span is worth by its kind, its checksum counted where it has one, and what a context word adds.
-WORTH = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.5, "routing": 0.5}
+WORTH = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.5, "routing": 0.5, "secret": 0.5}
 NEARBY = 0.25
 BASE = ("email", "ip", "card", "phone")
 #: A character that each match has, so that texts without it are not searched.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 #: Likewise, a pattern within each match.
-WITHIN = {"card": r"[0-9][\x20-]?[0-9]", "iban": r"[0-9]{2}", "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "routing": r"[0-9]{9}"}
+WITHIN = {"card": r"[0-9][\x20-]?[0-9]", "iban": r"[0-9]{2}", "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "routing": r"[0-9]{9}", "secret": r"[0-9A-Fa-f]{32}"}
 SPAN = "array<struct<kind:string,start:int,end:int,score:double,from:int,to:int>>"
 #: Numbers that are summed together.
 BLOCK = 64
@@ -130,6 +132,8 @@ def _fits(kind: str, match: Column) -> Column:
         return match.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$") & ~match.rlike("^(?:000|666|9)|-00-|-0000$")
     if kind == "routing":
         return F.when(F.length(match) == 9, _weighted(match)).otherwise(False)
+    if kind == "secret":
+        return match.rlike("^[0-9A-Fa-f]{32,128}$") & match.rlike("[0-9]") & match.rlike("[A-Fa-f]")
     plain = F.length(F.replace(match, F.lit(" "), F.lit("")))
     return plain.between(15, 34) & mod97(match)
 
@@ -221,7 +225,7 @@ def _oracle() -> str:
     """For DuckDB, whose patterns have no look-around: the plain patterns, and word borders for account numbers."""
     plain = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-        "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", "ssn": r"[0-9]+(?:-[0-9]+)*", "routing": "[0-9]+",
+        "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", "ssn": r"[0-9]+(?:-[0-9]+)*", "routing": "[0-9]+", "secret": "[0-9A-Za-z]{32,}",
     }
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
     luhn = f"list_sum(list_transform(range(1, len({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN reverse({digits})[i]::INT WHEN reverse({digits})[i]::INT > 4 THEN reverse({digits})[i]::INT * 2 - 9 ELSE reverse({digits})[i]::INT * 2 END)) % 10 = 0"
@@ -232,6 +236,7 @@ def _oracle() -> str:
         "iban": f"len(replace(m, ' ', '')) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform(string_split({number}, ''), lambda c: c::INT)), lambda a, x: (a * 10 + x) % 97) = 1",
         "ssn": "regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AND NOT regexp_matches(m, '^(?:000|666|9)|-00-|-0000$') AND score >= 0.75",
         "routing": "len(m) = 9 AND list_sum(list_transform(range(1, 10), lambda i: m[i]::INT * [3, 7, 1][1 + (i - 1) % 3])) % 10 = 0 AND (m[1:2] BETWEEN '01' AND '12' OR m[1:2] BETWEEN '21' AND '32' OR m[1:2] BETWEEN '61' AND '72' OR m[1:2] = '80') AND score >= 0.75",
+        "secret": "regexp_full_match(m, '[0-9A-Fa-f]{32,128}') AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Fa-f]') AND score >= 0.75",
     }
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     near = " OR ".join("regexp_matches(" + low.format(x) + ", '(?:^|[^a-z0-9])(?:{})(?:$|[^a-z0-9])')" for x in ("right(ps[i], 40)", "left(ps[i + 1], 40)"))

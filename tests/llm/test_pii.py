@@ -50,8 +50,13 @@ def test_context_decides(spark):
     ]
     got = {r["doc_id"]: r["spans"] for r in pii.report(documents(spark, rows)).collect()}
     assert got == {1: "ssn:10:21", 2: "", 3: "ssn:0:11", 4: "", 5: "", 6: "routing:15:24", 7: "", 8: "", 9: "", 10: ""}
+    digest = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(1, f'token = "{digest}" x'), (2, f"sha1 {digest}"), (3, f"{digest.upper()} is the key"), (4, f"token {digest}g"), (5, "key " + "1" * 40)]
+    assert {r["doc_id"]: r["spans"] for r in pii.report(documents(spark, rows)).collect()} == {1: "secret:9:49", 2: "", 3: "secret:0:40", 4: "", 5: ""}
+    assert pii.redact(documents(spark, rows[:1])).first()["text"] == 'token = "[SECRET]" x'
     scores = {r["doc_id"]: r["scores"] for r in pii.report(documents(spark, [(1, "hotel +1 234567890"), (2, "tel +1 234567890"), (3, "ship 1.2.3.4"), (4, "1.2.3.4 is the ip")])).collect()}
     assert scores == {1: "0.6", 2: "0.85", 3: "0.6", 4: "0.85"}
+    rows = [(1, "my ssn is 123-45-6789"), (2, "part 123-45-6789 of it")]
     out = {r["doc_id"]: r["text"] for r in pii.redact(documents(spark, rows)).collect()}
     assert out[1] == "my ssn is [SSN]" and out[2] == rows[1][1]
 

@@ -58,9 +58,13 @@ def _plain_redacted(t):
         ("card", r"[0-9](?:[\x20-]?[0-9])+", lambda m: 13 <= len(re.sub("[^0-9]", "", m)) <= 19 and sum(sum(divmod(int(c) * 2, 10)) if i % 2 else int(c) for i, c in enumerate(reversed(re.sub("[^0-9]", "", m)))) % 10 == 0),
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
         ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", lambda m: int("".join(str(int(c, 36)) for c in m.replace(" ", "")[4:] + m.replace(" ", "")[:4])) % 97 == 1),
+        ("secret", r"[0-9A-Za-z]{32,}", lambda m: re.fullmatch("[0-9A-Fa-f]{32,128}", m) and re.search("[0-9]", m) and re.search("[A-Fa-f]", m)),
     ]
     out, reach = "", 0
-    for start, end, kind in sorted((m.start(), m.end(), k) for k, p, ok in kinds for m in re.finditer(p, t) if ok(m[0])):
+    near = re.compile(r"(?:^|[^a-z0-9])(?:token|secret|key|apikey|password|passwd|bearer|credential)(?:$|[^a-z0-9])")
+    told = ((m.start(), m.end(), k) for k, p, ok in kinds for m in re.finditer(p, t) if ok(m[0]))
+    kept = (x for x in told if x[2] != "secret" or near.search(t[max(0, x[0] - 40) : x[0]].lower()) or near.search(t[x[1] : x[1] + 40].lower()))
+    for start, end, kind in sorted(kept):
         if start >= reach:
             out += t[reach:start] + f"[{kind.upper()}]"
         reach = max(reach, end)
