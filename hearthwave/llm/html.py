@@ -57,7 +57,7 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"([a-zA-Z-]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 _WITH = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without)-\S++", re.I)  # says what else a page has, not what this is
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class _Block:
@@ -160,7 +160,7 @@ def _first(text: str, block: _Block, named: bool) -> bool | None:
         return False
     if len(text) < SHORT:
         return None
-    words = [w for w in (_NOT_LETTERS.sub("", w) for w in text.lower().split()) if w]
+    words = _LETTERS.findall(text.lower())
     stop = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
     long = len(text) >= LONG
     if block.region:

@@ -109,7 +109,7 @@ def _plain(page):
     found = [(" ".join(t.split()), linked, inside, out) for t, linked, inside, out in parser.out if t.strip()]
     first = []
     for t, linked, inside, out in found:
-        words = [w for w in (re.sub(r"[\W\d_]", "", w) for w in t.lower().split()) if w]
+        words = "".join(c if c.isalpha() else " " for c in t.lower()).split()
         stop = len([w for w in words if w in html.STOP_WORDS]) / max(len(words), 1)
         if out or linked > 0.5 * len(t):
             first.append(False)
