@@ -1,4 +1,3 @@
-import importlib
 import sys
 from pathlib import Path
 
@@ -15,9 +14,9 @@ def test_every_query_has_a_name_and_known_sql():
 
 
 def test_the_library_works_without_the_training_data_operators(monkeypatch):
-    """As if the two folders and the pipeline were not there."""
-    found = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name in ("hearthwave.llm", "corpus_pipeline") else found(name, *a))
+    """As if the two folders and the pipeline couldn't be imported."""
+    for name in [n for n in sys.modules if n.startswith("hearthwave.llm")] + ["hearthwave.llm", "corpus_pipeline"]:
+        monkeypatch.setitem(sys.modules, name, None)
     sys.modules.pop("__spark_entry__", None)
     import __spark_entry__ as e
 
