@@ -20,7 +20,7 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+        if not shared and not re.match(r"local(\[.*\])?$", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint()
