@@ -229,6 +229,13 @@ def per_bin(entries: DataFrame, keys: list[str], helper, schema: str, size: floa
     return v.in_windows(entries.select(*keys, "ts", "range_bin", "re", "im"), keys, size, slide, work, f"start double, {schema}")
 
 
+def clear_channels(bins: np.ndarray, z: np.ndarray, fps: float, k: int = 8) -> list[dict]:
+    """The k bins whose power is most in the breathing band, best first."""
+    worth = s.quality(s.displacement(z), fps, *s.BREATH)
+    return [{"range_bin": int(bins[i]), "place": n + 1, "quality": float(worth[i])} for n, i in enumerate(s.best(worth, k))]
+
+
+CLEAR = "range_bin int, place int, quality double"
 PARTS = "range_bin int, reflection double, breath double, heart double, part string"
 LIVE = "range_bin int, live double, rate double"
 CUBE = "n_cube int, rr double, rr_strength double, cube_var double"

@@ -139,8 +139,12 @@ def fall_episodes(spark: SparkSession, d: str) -> DataFrame:
 
     def step(state: dict, row: dict) -> dict:
         state["clock"] = state.get("clock", 0.0) + 1.0
-        frame = {"t": state["clock"], "down": row["v"] < 80, "x": 0.0, "y": 3.0, "bin": 100, "upright": [(0.1, 3.0)] if row["event_type"] == "signup" else [], "stands": False, "cloud_z": 0.2, "cleaned": False, "track": None}
-        frame["answer"] = (state.get("epoch", 0), 100, row["k"] % 2 == 0) if row["event_type"] == "view" else None
+        k = row["k"]
+        frame = {
+            "t": state["clock"], "down": row["v"] < 80, "x": k % 5 * 0.2, "y": 3.0 + k % 3 * 0.1, "bin": 100 + k % 15, "upright": [(k % 7 * 0.2, 3.0)] if row["event_type"] == "signup" else [], "stands": k % 11 == 0,
+            "cloud_z": None if k % 6 == 0 else k % 10 * 0.08, "cleaned": k % 37 == 0, "track": (k % 9 * 0.3, 3.0 + k % 4 * 0.4) if k % 2 else None,
+        }
+        frame["answer"] = (state.get("epoch", 0), 100 + k % 20, k % 3 == 0 if k % 4 else None) if row["event_type"] == "view" else None
         got = steps.episode_step(state, frame, ask_s=6.0, open_s=3.0)
         return {k: got[k] for k in ("phase", "red", "event", "ask", "events")}
 
@@ -418,3 +422,31 @@ def voxel_coordinates(spark: SparkSession, d: str) -> DataFrame:
     """Cells from their numbers."""
     cells = vx.voxel_map(points(spark, d), ["capture_id"]).select("capture_id", g.voxel_number().alias("number"), F.col("hit_count").cast("long").alias("n"))
     return cells.select("capture_id", *(e.alias(n) for n, e in g.voxel_coordinates(F.col("number")).items()), "n")
+
+
+@query(f"""{EVENTS}, e AS (SELECT user_id, event_id::DOUBLE AS t, value AS amp, k::DOUBLE AS refl FROM ev), b AS (SELECT *, quantile_cont(amp, 0.75) OVER (PARTITION BY user_id) AS p75, quantile_cont(refl, 0.5) OVER (PARTITION BY user_id) AS r FROM e), x AS (SELECT *, amp < 0.45 * p75 AND amp < 200 AS low FROM b),
+c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) - row_number() OVER (PARTITION BY user_id, low ORDER BY t) AS grp FROM x), g AS (SELECT user_id, grp, min(t) AS start, max(t) AS stop, avg(refl) >= 0.5 * any_value(r) AS there FROM c WHERE low GROUP BY user_id, grp)
+SELECT user_id, start, stop AS "end", stop - start AS seconds, CASE WHEN there THEN 'apnea' ELSE 'absence' END AS kind FROM g WHERE stop - start >= 10""")
+def breath_pauses(spark: SparkSession, d: str) -> DataFrame:
+    rows = events(spark, d).select("user_id", F.col("event_id").cast("double").alias("t"), F.col("value").alias("amp"), F.col("k").cast("double").alias("refl"))
+    return v.pauses(rows, ["user_id"], floor_mm=200.0)
+
+
+@query(f"""{EVENTS}, m AS (SELECT user_id, event_id::DOUBLE AS t, avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS m FROM ev), a AS (SELECT *, median(m) OVER (PARTITION BY user_id) AS med FROM m), b AS (SELECT *, median(abs(m - med)) OVER (PARTITION BY user_id) AS mad FROM a), x AS (SELECT *, m > med + 1.3 * mad AS on_ FROM b),
+c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) - row_number() OVER (PARTITION BY user_id, on_ ORDER BY t) AS grp FROM x) SELECT user_id, min(t) AS start, max(t) AS "end", CASE WHEN on_ THEN 'active' ELSE 'still' END AS kind FROM c GROUP BY user_id, on_, grp HAVING max(t) - min(t) >= 1""")
+def motion_segments(spark: SparkSession, d: str) -> DataFrame:
+    rows = events(spark, d).select("user_id", F.col("event_id").cast("double").alias("t"), F.col("value").alias("motion"))
+    return v.segments(rows, ["user_id"], k=1.3)
+
+
+@query()
+def smoothed_rates(spark: SparkSession, d: str) -> DataFrame:
+    """A gated and filtered track, value after value."""
+    rows = events(spark, d).select("user_id", F.col("event_id").cast("double").alias("start"), (60 + F.col("value") / 20).alias("hr"))
+    return v.smoothed_rates(rows, ["user_id"])
+
+
+@query()
+def clear_channels(spark: SparkSession, d: str) -> DataFrame:
+    """The bins of each window whose breathing is clearest, ranked."""
+    return ft.per_bin(_slow_time(spark, d), ["capture_id"], ft.clear_channels, ft.CLEAR, 10.0, 10.0)
