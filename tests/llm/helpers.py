@@ -17,7 +17,7 @@ def awkward(spark):
     df = documents(spark, [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "one two three four five six seven eight nine ten eleven"), (5, "one two three four five six seven eight nine ten eleven"), (None, "nobody's text here"), (7, LONG, None), (8, "Überraschung 😀 naïve", None)])
     from pyspark.sql import functions as F
 
-    clash = {c: F.lit("x") for c in ("fp", "anchor", "score", "x", "node", "bucket", "size", "hits", "spans", "root")}
+    clash = {c: F.lit("x") for c in ("fp", "anchor", "score", "x", "node", "bucket", "size", "hits", "spans", "root", "_key", "key", "bits", "pii", "_pii", "_email", "_order", "first", "label", "kept", "named")}
     return df.withColumns(clash)
 
 
