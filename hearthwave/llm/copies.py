@@ -13,7 +13,9 @@ column one. An empty table stays empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +38,18 @@ BLOCK, ROUNDS = 4_000, 2
 SEED = np.uint64(42)
 
 
-def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingles(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of each row's distinct shingles, by row, then hash; a shorter text is one shingle, an empty one none."""
     n = len(offs) - 1
     data = text.LOWER[data]
     starts, ends, row = text.spans(data, offs, text.NOT_SPACE)
     h = text.word_hashes(data, starts, ends)
     words = np.bincount(row, minlength=n)
-    g = text.grams(h, SHINGLE)
-    whole = np.flatnonzero(row[: len(g)] == row[SHINGLE - 1 :]) if len(g) else np.zeros(0, np.int64)
+    g = text.grams(h, size)
+    whole = np.flatnonzero(row[: len(g)] == row[size - 1 :]) if len(g) else np.zeros(0, np.int64)
     hashes, of = [g[whole]], [row[whole]]
     before = np.concatenate([[0], np.cumsum(words)])
-    for k in range(1, SHINGLE):
+    for k in range(1, size):
         short = np.flatnonzero(words == k)
         hashes.append(text.grams(h, k)[before[short]])
         of.append(short)
@@ -107,15 +109,15 @@ def prefixes(h: np.ndarray, row: np.ndarray, n: int, late: np.ndarray, counts: n
     return h[kept], row[kept]
 
 
-def _longs(a: np.ndarray) -> pa.Array:
+def longs(a: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(a).view(np.int64))
 
 
-def _lists(h: np.ndarray, row: np.ndarray, n: int) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]), pa.int32()), _longs(h))
+def lists(h: np.ndarray, row: np.ndarray, n: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]), pa.int32()), longs(h))
 
 
-def _mapped(docs: DataFrame, keep: list[str], make, kinds: dict[str, str], wanted: np.ndarray | None = None) -> DataFrame:
+def mapped(docs: DataFrame, keep: list[str], make, kinds: dict[str, str], wanted: np.ndarray | None = None, size: int = SHINGLE) -> DataFrame:
     """The columns ``keep`` and what ``make`` (of hashes, rows, number of rows) tells of each whole text's set.
 
     wanted: a bitmap; only rows whose doc_id's hash may be in it.
@@ -129,7 +131,7 @@ def _mapped(docs: DataFrame, keep: list[str], make, kinds: dict[str, str], wante
                 b = b.filter(pa.array((sent.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0))
             for first, end, data, offs in text.chunks(b.column(len(keep))):
                 kept = [b.column(i).slice(first, end - first) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*kept, *make(*shingles(data, offs), end - first)], names=[*keep, *kinds])
+                yield pa.RecordBatch.from_arrays([*kept, *make(*shingles(data, offs, size), end - first)], names=[*keep, *kinds])
 
     chosen = docs.select(*keep, F.col("text").cast("string").alias("text"), *([] if wanted is None else [F.xxhash64("doc_id").alias("fp")]))
     fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[: len(keep)]), *(f"{c} {kind}" for c, kind in kinds.items())]
@@ -138,7 +140,7 @@ def _mapped(docs: DataFrame, keep: list[str], make, kinds: dict[str, str], wante
 
 def with_sets(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
     """The node and all shingles of each text."""
-    return _mapped(docs, [], lambda h, row, n: [_longs(_hashed(h, row, n)), _lists(h, row, n)], {"node": "bigint", "shingles": "array<bigint>"}, wanted)
+    return mapped(docs, [], lambda h, row, n: [longs(_hashed(h, row, n)), lists(h, row, n)], {"node": "bigint", "shingles": "array<bigint>"}, wanted)
 
 
 def common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +153,7 @@ def common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for b in it:
             found = [shingles(data, offs)[0] for _, _, data, offs in text.chunks(b.column(0))]
             x, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([_longs(x[n >= BATCH_COUNT]), pa.array(n[n >= BATCH_COUNT])], names=["x", "n"])
+            yield pa.RecordBatch.from_arrays([longs(x[n >= BATCH_COUNT]), pa.array(n[n >= BATCH_COUNT])], names=["x", "n"])
 
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(batches, "x bigint, n bigint").groupBy("x").agg(F.sum("n").alias("n"))
     often = counted.where(F.col("n") >= COUNT).orderBy(F.desc("n"), "x").limit(MOST).toArrow()
@@ -165,10 +167,10 @@ def with_prefix(docs: DataFrame, keep: list[str]) -> DataFrame:
     late, counts = common(docs)
 
     def make(h: np.ndarray, row: np.ndarray, n: int) -> list[pa.Array]:
-        bits = _lists(_odd(h, row, n, PARITIES).ravel(), np.repeat(np.arange(n), PARITIES), n)
-        return [_longs(_hashed(h, row, n)), pa.array(np.bincount(row, minlength=n).astype(np.int64)), bits, _wide(h, row, n), _lists(*prefixes(h, row, n, late, counts), n)]
+        bits = lists(_odd(h, row, n, PARITIES).ravel(), np.repeat(np.arange(n), PARITIES), n)
+        return [longs(_hashed(h, row, n)), pa.array(np.bincount(row, minlength=n).astype(np.int64)), bits, _wide(h, row, n), lists(*prefixes(h, row, n, late, counts), n)]
 
-    return _mapped(docs, keep, make, {"node": "bigint", "n": "bigint", "parities": "array<bigint>", "wide": "array<bigint>", "prefix": "array<bigint>"})
+    return mapped(docs, keep, make, {"node": "bigint", "n": "bigint", "parities": "array<bigint>", "wide": "array<bigint>", "prefix": "array<bigint>"})
 
 
 def sharing(nodes: DataFrame) -> DataFrame:
@@ -187,7 +189,7 @@ def sharing(nodes: DataFrame) -> DataFrame:
 
 
 def _whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of sorted batches, so that all of equal first column come together."""
+    """The rows of sorted batches, so that all of equal place, the first column, come together."""
     held: list[pa.RecordBatch] = []
     for b in it:
         if not b.num_rows:
@@ -207,24 +209,28 @@ def _whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _members(t: pa.Table) -> tuple[np.ndarray, ...]:
-    """place, node, n, label and parities of the rows of some places, by place."""
+#: What tells whether places i and others of a table may be near: (i, others) -> those of the others that may be.
+Near = Callable[[int, np.ndarray], np.ndarray]
+
+
+def by_parities(t: pa.Table) -> Near:
+    """Those that sizes and parities allow to be similar."""
+    n = t.column("n").to_numpy()
     bits = pc.list_flatten(t.column("parities")).to_numpy().view(np.uint64).reshape(-1, PARITIES)
-    return (*(t.column(c).to_numpy() for c in ("place", "node", "n", "label")), bits)
 
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        to = others[5 * np.minimum(n[others], n[i]) >= 4 * np.maximum(n[others], n[i])]
+        return to[9 * np.bitwise_count(bits[to] ^ bits[i]).sum(axis=1, dtype=np.int64) <= n[to] + n[i]]
 
-def _near(i: int, others: np.ndarray, n: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Those of the ``others`` (places) that sizes and parities allow to be similar to i."""
-    to = others[5 * np.minimum(n[others], n[i]) >= 4 * np.maximum(n[others], n[i])]
-    return to[9 * np.bitwise_count(bits[to] ^ bits[i]).sum(axis=1, dtype=np.int64) <= n[to] + n[i]]
+    return near
 
 
 def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
     pairs = np.unique(np.sort(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([_longs(pairs[:, 0]), _longs(pairs[:, 1])], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([longs(pairs[:, 0]), longs(pairs[:, 1])], names=["a", "b"])
 
 
-def _tree(node: np.ndarray, n: np.ndarray, label: np.ndarray, bits: np.ndarray, salt: int) -> np.ndarray:
+def _tree(node: np.ndarray, label: np.ndarray, near: Near, salt: int) -> np.ndarray:
     """Pairs of one place that would join all labels which likely pairs join: fewer than there are labels."""
     own = np.unique(label, return_inverse=True)[1]
     members = np.split(np.argsort(own, kind="stable"), np.cumsum(np.bincount(own))[:-1])
@@ -236,7 +242,7 @@ def _tree(node: np.ndarray, n: np.ndarray, label: np.ndarray, bits: np.ndarray,
         queue += [m for m in members[own[start]].tolist() if m != start] if queue else []
         while queue:
             i = queue.pop(0)
-            to = _near(i, np.flatnonzero(waiting[own]), n, bits)
+            to = near(i, np.flatnonzero(waiting[own]))
             reached, first = np.unique(own[to], return_index=True)
             out.append(np.column_stack([np.full(len(first), node[i]), node[to[first]]]))
             waiting[reached] = False
@@ -245,38 +251,47 @@ def _tree(node: np.ndarray, n: np.ndarray, label: np.ndarray, bits: np.ndarray,
     return np.concatenate(out)
 
 
-def _joining(salt: int):
+def _joining(salt: int, evidence: Callable[[pa.Table], Near]):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole(it):
-            place, *columns = _members(t)
+            place, node, label = (t.column(c).to_numpy() for c in ("place", "node", "label"))
             first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-            yield _pairs([_tree(*(c[s:e] for c in columns), salt) for s, e in zip(first, [*first[1:], len(place)], strict=True)])
+            yield _pairs([_tree(node[s:e], label[s:e], evidence(t.slice(s, e - s)), salt) for s, e in zip(first, [*first[1:], len(place)], strict=True)])
+
+    return batches
+
+
+def _likely(evidence: Callable[[pa.Table], Near]):
+    """(a, b): all pairs of one place, not joined yet, that the evidence doesn't rule out."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole(it):
+            place, node, label = (t.column(c).to_numpy() for c in ("place", "node", "label"))
+            near = evidence(t)
+            last = np.searchsorted(place, place, side="right")
+            found = []
+            for i in range(len(place)):
+                others = np.arange(i + 1, last[i])
+                to = near(i, others[label[others] != label[i]])
+                found.append(np.column_stack([np.full(len(to), node[i]), node[to]]))
+            yield _pairs(found)
 
     return batches
 
 
-def _likely(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): all pairs of one place, not joined yet, that sizes and parities don't rule out."""
-    for t in _whole(it):
-        place, node, n, label, bits = _members(t)
-        last = np.searchsorted(place, place, side="right")
-        found = []
-        for i in range(len(place)):
-            others = np.arange(i + 1, last[i])
-            to = _near(i, others[label[others] != label[i]], n, bits)
-            found.append(np.column_stack([np.full(len(to), node[i]), node[to]]))
-        yield _pairs(found)
+def large_groups(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(own, most, q, p) of each group of more than ``block`` members: its most common label, and the blocks that this one's and the others' members are cut into."""
+    per = members.groupBy("own", "label").count().groupBy("own").agg(F.sum("count").alias("all"), F.max(F.struct("count", "label")).alias("most"))
+    return per.where(F.col("all") > block).select("own", F.col("most.label").alias("most"), F.ceil(F.col("most.count") / block).cast("int").alias("q"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("most.count")) / block)).cast("int").alias("p"))
 
 
-def placed(members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``members`` (own, node, n, label, parities) with ``place`` for own: every two of different labels meet in one.
+def placed(members: DataFrame, large: DataFrame) -> DataFrame:
+    """``members`` (own, node, label, ...) with ``place`` for own: every two of different labels meet in one.
 
-    A group of more than ``block`` members is cut: its most common label's members into blocks, all others too. Blocks
+    A large group is cut: its most common label's members into blocks, all others too. Blocks
     of the others meet each other and those of the most common label; these never meet each other.
     """
-    per = members.groupBy("own", "label").count().groupBy("own").agg(F.sum("count").alias("all"), F.max(F.struct("count", "label")).alias("most"))
-    large = per.where(F.col("all") > block).select("own", F.col("most.label").alias("most"), F.ceil(F.col("most.count") / block).cast("int").alias("q"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("most.count")) / block)).cast("int").alias("p"))
-    cut = members.join(store.written(large, "large"), "own", "left").withColumn("in_most", F.col("label") == F.col("most"))
+    cut = members.join(large, "own", "left").withColumn("in_most", F.col("label") == F.col("most"))
     mine = F.pmod(F.xxhash64("node"), F.when(F.col("in_most"), F.col("q")).otherwise(F.col("p"))).cast("int")
     numbers = F.col("mine").alias("mine")
 
@@ -287,7 +302,7 @@ def placed(members: DataFrame, block: int = BLOCK) -> DataFrame:
     with_others = F.transform(all_of("p"), lambda p: F.xxhash64("own", F.lit("others"), F.least(p, numbers), F.greatest(p, numbers)))
     from_most = F.transform(all_of("p"), lambda p: F.xxhash64("own", F.lit("most"), numbers, p))
     places = F.when(F.col("most").isNull(), F.array("own")).when(F.col("in_most"), from_most).otherwise(F.concat(with_most, with_others))
-    return cut.withColumn("mine", mine).select(F.explode(places).alias("place"), "node", "n", "label", "parities")
+    return cut.withColumn("mine", mine).select(F.explode(places).alias("place"), *[c for c in members.columns if c != "own"])
 
 
 def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -325,33 +340,51 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return links
 
 
-def near_copies(docs: DataFrame, nodes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(node, root) of each node that is joined to another one by links of similarity 0.8 or more.
+class Evidence(NamedTuple):
+    """How likely pairs are found and confirmed: the columns of a node that tell, what they tell, and the exact comparison."""
+
+    columns: list[str]
+    near: Callable[[pa.Table], Near]
+    similar: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
+
+
+def near_copies(docs: DataFrame, nodes: DataFrame, block: int = BLOCK, evidence: Evidence | None = None) -> DataFrame:
+    """(node, root) of each node that is joined to another one by links of similarity 0.8 or more, written.
 
-    nodes: node, n, parities, wide, prefix and ``first``, whose doc_id is that of a row of ``docs`` with the node's
-    text. Nodes that share a shingle of their prefixes are a group. At first likely pairs are held against their sets
-    that would join a group, or a block of a large one, with the fewest comparisons, in another order each time; then
+    nodes: node, prefix, what the evidence needs (n, parities, wide), and ``first``, whose doc_id is that of a row of ``docs``
+    with the node's text. Nodes that share a shingle of their prefixes are a group. At first likely pairs are held against their
+    sets that would join a group, or a block of a large one, with the fewest comparisons, in another order each time; then
     all likely pairs whose two members are still not joined.
     """
+    by = evidence or Evidence(["n", "parities"], by_parities, similar)
     groups = sharing(nodes)
-    told = nodes.select("node", "n", "parities")
-    links = roots = None
+    told = nodes.select("node", *by.columns)
+    found: list[DataFrame] = []
+    used = [groups]
+    roots = None
     for time in range(ROUNDS + 1):
         rooted = groups.withColumn("root", F.col("node")) if roots is None else groups.join(roots, "node", "left")
         labelled = rooted.select("own", "node", F.coalesce("root", "node").alias("label"))
         apart = labelled.groupBy("own").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("size")).where("l <> m").select("own", "size")
-        rest = labelled.join(apart, "own").join(told, "node")
+        rest = labelled.join(apart, "own")
         if time < ROUNDS:
             mine = F.pmod(F.xxhash64("node", F.lit(time)), F.ceil(F.col("size") / block))
             place = F.when(F.col("size") > block, F.xxhash64("own", mine)).otherwise(F.col("own"))
-            members, look = rest.select(place.alias("place"), "node", "n", "label", "parities"), _joining(time)
+            members, look = rest.select(place.alias("place"), "node", "label"), _joining(time, by.near)
         else:
-            written = store.written(rest.select("own", "node", "n", "label", "parities"), "rest")
-            members, look = placed(written, block), _likely
-        pairs = members.repartition("place").sortWithinPartitions("place").mapInArrow(look, "a bigint, b bigint").distinct()
-        more = similar(pairs, nodes, docs)
-        links = more if links is None else links.unionAll(more)
-        roots = store.written(graph.components(links), "roots")
+            written = store.written(rest.select("own", "node", "label"), "rest")
+            large = store.written(large_groups(written, block), "large")
+            used += [written, large]
+            members, look = placed(written, large), _likely(by.near)
+        pairs = members.join(told, "node").select("place", "node", "label", *by.columns).repartition("place").sortWithinPartitions("place").mapInArrow(look, "a bigint, b bigint").distinct()
+        found.append(by.similar(pairs, nodes, docs))
+        if roots is not None:
+            used.append(roots)
+        settled = graph.components(reduce(DataFrame.unionAll, found))
+        roots = store.written(settled, "roots")
+        store.drop(settled)
+    for table in [*used, *found]:
+        store.drop(table)
     return roots
 
 
@@ -365,7 +398,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     table = store.written(with_prefix(keyed, ["doc_id", "key"]), "prefixes")
     per = table.groupBy("node").agg(F.min(F.struct(key.alias("first"), "n", "parities", "wide", "prefix")).alias("f"))
     nodes = store.written(per.select("node", "f.first", "f.n", "f.parities", "f.wide", "f.prefix"), "nodes")
-    roots = store.written(near_copies(docs, nodes), "roots")
+    roots = near_copies(docs, nodes)
     kept = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.key")
     kept = store.written(kept, "kept")
     counts = table.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n")).join(kept.withColumn("kept", F.lit(True)), "key", "left")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprint, html, mixing, pii, quality, simhash, toxicity, warc
+from . import chat, decontaminate, fingerprint, html, merkle, minhash, mixing, pii, quality, simhash, toxicity, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(merkle.leaves(_table(spark, sf_dir, "documents")))
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_chat": op2_chat,
@@ -64,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_mixing": op10_mixing,
+    "op11_merkle": op11_merkle,
+    "op12_minhash": op12_minhash,
+    "op13_whitening": op13_whitening,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -73,4 +88,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_warc": warc.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_merkle": merkle.ORACLE,
+    "op12_minhash": minhash.ORACLE,
 }

@@ -18,7 +18,7 @@ def test_rows_equal_those_of_the_sql(spark, con, name):
 
 
 def test_each_operator_has_its_query():
-    assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_three_bits_and_no_more(spark):
