@@ -1,10 +1,11 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Every source is a queue of its documents in shuffled order, repeated up to ``repeats`` times. An entry's virtual
-finish time is the number of its source's words up to and with it, divided by the source's target. All sources
-are served at once, each at the rate of its target, so that every source has had its target at virtual time 1; an
-entry in service then is cut to the words its source is still due. All entries are sorted by finish time, over
-ranges of virtual time, and what lies beyond the total budget in that order is cut off.
+finish time is the number of its source's words up to and with it, divided by the source's target: all sources are
+served at once, each at the rate of its target. All entries are sorted by finish time, over ranges of virtual time,
+and what lies beyond the total budget in that order is cut off, in the midst of an entry if need be. The budget is
+that of all targets, so that each source comes near its target by the queue alone: what a long document that isn't
+finished by then leaves goes to the entries that finish next.
 
 Defined cases: sources weigh 5, 2, 1, repeating, by code point, a null source last; a null text has no words
 and is never taken; documents of equal ``doc_id`` are ordered by their text's hash, and rows that are equal in
@@ -75,25 +76,33 @@ def plan(docs: DataFrame, keep: list[str] | None = None, bucket_rows: int = BUCK
     return joined.select(*keep, "source", "size", "source_size", "target", "budget", before.alias("before"))
 
 
+def ahead(sums: DataFrame, group: int = 4_096) -> DataFrame:
+    """(range, ahead): the words of all ranges before each one. sums: (range, sum).
+
+    In two steps: over groups of ranges, of which there are few, and within each group.
+    """
+    grouped = sums.withColumn("group", F.floor(F.col("range") / group))
+    groups = grouped.groupBy("group").agg(F.sum("sum").alias("all"))
+    before = groups.select("group", (F.sum("all").over(W.orderBy("group")) - F.col("all")).alias("before"))
+    within = F.sum("sum").over(W.partitionBy("group").orderBy("range")) - F.col("sum")
+    return grouped.withColumn("within", within).join(before, "group").select("range", (F.col("before") + F.col("within")).alias("ahead"))
+
+
 def queue(planned: DataFrame, ranges: int = LEAST_BUCKETS) -> DataFrame:
-    """One row per use of a document: the plan's columns, round, words, finish, position (words ahead in the mix), used.
+    """One row per use of a document that the budget may reach: the plan's columns, round, start, finish, position (words ahead in the mix), used.
 
     Ranges of virtual time of equal length hold about equally many words, whatever their sources. The ranges' sums
-    are added up first, in a window of one row per range; then each range is sorted for itself.
+    are added up first; each range that begins within the budget is sorted for itself.
     """
-    due = F.floor(F.col("target") + 0.5).cast("long")
-    start = (F.col("before") + F.col("round") * F.col("source_size")).alias("start")
-    uses = planned.where("size > 0").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1)))).withColumn("start", start).where(F.col("start") < due)
-    timed = uses.withColumns({"words": F.least(F.col("size"), due - F.col("start")), "finish": (F.col("start") + F.col("size")) / F.col("target")})
-    ranged = timed.withColumn("range", F.least(F.lit(ranges), F.floor(F.col("finish") * ranges)).cast("long"))
-    sums = ranged.groupBy("range").agg(F.sum("words").alias("sum"))
-    by_range = W.orderBy("range")
-    ahead = sums.select("range", (F.sum("sum").over(by_range) - F.col("sum")).alias("ahead"))
+    uses = planned.where("size > 0").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))))
+    timed = uses.withColumn("start", F.col("before") + F.col("round") * F.col("source_size")).withColumn("finish", (F.col("start") + F.col("size")) / F.col("target"))
+    ranged = timed.withColumn("range", F.floor(F.col("finish") * ranges).cast("long"))
+    sums = store.written(ranged.groupBy("range").agg(F.sum("size").alias("sum")), "ranges")
     within = W.partitionBy("range").orderBy("finish", "source", "start").rowsBetween(W.unboundedPreceding, W.currentRow)
-    sorted_ = ranged.withColumn("within", F.sum("words").over(within) - F.col("words")).join(ahead, "range")
-    placed = sorted_.withColumn("position", F.col("ahead") + F.col("within"))
-    used = F.greatest(F.lit(0), F.least(F.col("words"), F.col("budget") - F.col("position"))).cast("long")
-    return placed.select(*planned.columns, "round", "words", "finish", "position", used.alias("used"))
+    reached = ranged.join(ahead(sums), "range").where(F.col("ahead") < F.col("budget"))
+    placed = reached.withColumn("position", F.col("ahead") + F.sum("size").over(within) - F.col("size"))
+    used = F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("position"))).cast("long")
+    return placed.select(*planned.columns, "round", "start", "finish", "position", used.alias("used"))
 
 
 def mix(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, least_buckets: int = LEAST_BUCKETS) -> DataFrame:
@@ -125,8 +134,13 @@ WITH sized AS (
 ), queued AS (
   SELECT s.*, t.source_size, t.target, (sum(size) OVER (PARTITION BY s.source ORDER BY o, doc_id, text ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS before
   FROM sized s JOIN target t ON s.source IS NOT DISTINCT FROM t.source
+), uses AS (
+  SELECT *, before + k * source_size AS start, (before + k * source_size + size)::DOUBLE / target AS finish FROM queued CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) WHERE size > 0
+), served AS (
+  SELECT *, sum(size) OVER (ORDER BY finish, source NULLS FIRST, start ROWS UNBOUNDED PRECEDING) - size AS position FROM uses
+), taken AS (
+  SELECT source, before, sum(greatest(0, least(size, (SELECT sum(floor(target + 0.5)) FROM target) - position)))::BIGINT AS taken FROM served GROUP BY ALL
 )
-SELECT doc_id, size, source_size, target,
-  (greatest(0, least(size, floor(target + 0.5) - before)) + greatest(0, least(size, floor(target + 0.5) - before - source_size)) + greatest(0, least(size, floor(target + 0.5) - before - 2 * source_size)))::BIGINT AS taken
-FROM queued
+SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(CASE WHEN q.size > 0 THEN t.taken END, 0)::BIGINT AS taken
+FROM queued q LEFT JOIN taken t ON t.source IS NOT DISTINCT FROM q.source AND t.before = q.before
 """
