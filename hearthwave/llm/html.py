@@ -2,8 +2,9 @@
 
 The page is cut into blocks (text between block-level tags). The first pass decides each by itself, from its share
 of stop words, its link density and its length; where it stands (inside an element that the page names as its main
-text, or outside one) moves these limits. Only menus, footers, adverts, forms and the like are out by their tag or
-name alone. Blocks that say too little, short ones and, inside, ones of few stop words, stay open. The second pass
+text, or outside one) moves these limits. Menus, footers and the like are out by their tag. What is only named like an
+advert, a sidebar and so on, and forms, are out unless they hold the page's main element or most of its stop words: then
+the name is one more limit for their blocks, for pages have wrappers of such names. Blocks that say too little, short ones and, inside, ones of few stop words, stay open. The second pass
 gives an open block the label of its nearest decided neighbours of the same surroundings: theirs if both agree,
 else that of the nearer one, the one before on a tie. Where its surroundings have no decided block (inside: no
 good one), it is good inside, and outside if the page names no main text.
@@ -11,7 +12,8 @@ good one), it is good inside, and outside if the page names no main text.
 Defined cases: a null or empty page has the empty text; repeated rows get equal results; unclosed and misnested
 tags end where their surroundings do; what is not closed by the end of the page is closed there. Scripts, styles and
 the like end at their first closing tag, foreign elements where they do, nested ones and self-closed ones too.
-Nothing is capped.
+A link needs an address; it ends with its element's surroundings or at the next one. Nothing is capped, and the time is
+linear in the page's length.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import bisect
 import html as entities
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,8 +31,7 @@ from pyspark.sql import functions as F
 # Tags and words with a known part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
-SKIPPED = frozenset("head title nav footer aside form script style noscript template svg math iframe object button select option textarea dialog menu canvas audio video map".split())
-CLOSED_BY_BLOCKS = frozenset(["p"])
+SKIPPED = frozenset("head title nav footer aside script style noscript template svg math iframe object button label legend select option textarea dialog menu canvas audio video map".split())
 FOREIGN = frozenset(["svg", "math"])
 RAW = "script|style|noscript|iframe|textarea|title"
 BOILERPLATE = re.compile(
@@ -50,52 +52,131 @@ STOP_WORDS = frozenset(
 #: Limits of the first pass: characters of a short and of a long block, shares of stop words and of link text.
 SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS = 70, 200, 0.15, 0.30, 0.5
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*+>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>",
-    re.S | re.I,
-)
+#: Parts of a page that are never its main text, however much they say.
+OTHERS = re.compile(r"(?:^|[\s_-])(?:comment|comments|disqus|reply|replies|respond|related|recommended)(?:$|[\s_-])", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_RAW_END = {raw: re.compile(rf"</{raw}\s*+>", re.I) for raw in RAW.split("|")}
 _ATTR = re.compile(r"([a-zA-Z-]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 _WITH = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without)-\S++", re.I)  # says what else a page has, not what this is
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class _Block:
-    """A run of text: its parts, how much of it is linked, whether it is left out, and the element of the main text it is in (0: none)."""
+    """A run of text: its parts, how much of it is linked, whether it is left out, the element of the main text it is in (0: none), and the suspect one."""
 
-    __slots__ = ("linked", "parts", "region", "skipped")
+    __slots__ = ("linked", "parts", "region", "skipped", "stop", "suspect", "words")
 
-    def __init__(self, skipped: bool, region: int) -> None:
+    def __init__(self, place: _Place) -> None:
         self.parts: list[str] = []
-        self.linked = 0
-        self.skipped, self.region = skipped, region
+        self.linked = self.stop = self.words = 0
+        self.skipped, self.region, self.suspect = place.skipped, place.region, place.suspect
+
+    def count(self, text: str) -> None:
+        words = _LETTERS.findall(text.lower())
+        self.words, self.stop = len(words), sum(w in STOP_WORDS for w in words)
+
+
+class _Suspect:
+    """An element that looks like no main text: the suspect one it is in, whether it holds the page's main element, its stop words."""
+
+    __slots__ = ("main", "never", "out", "stop", "within")
+
+    def __init__(self, within: _Suspect | None, never: bool) -> None:
+        self.within, self.never = within, never
+        self.main = self.out = False
+        self.stop = 0
+
+
+class _Place(NamedTuple):
+    """Where an open element stands: its tag, whether it is left out, its part of the main text, suspect, link and whether it is foreign."""
+
+    tag: str = ""
+    skipped: bool = False
+    region: int = 0
+    suspect: _Suspect | None = None
+    link: int = 0
+    foreign: bool = False
+
+
+def _tokens(page: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    """(start, end, tag, attributes, closing) of the markup in order; comments and the like have no tag, raw elements end with their closing tag.
+
+    A tag ends at the first > outside of quotes, or at the first of all if a quote stays open. These ends are found
+    once for the whole page, from behind.
+    """
+    marks = [m.start() for m in re.finditer("[>\"']", page)]
+    ends, first = [-1] * (len(marks) + 1), [-1] * (len(marks) + 1)
+    behind = {'"': len(marks), "'": len(marks)}
+    for k in range(len(marks) - 1, -1, -1):
+        mark = page[marks[k]]
+        first[k] = first[k + 1]
+        if mark == ">":
+            ends[k] = first[k] = marks[k]
+        else:
+            ends[k] = ends[behind[mark] + 1] if behind[mark] < len(marks) else -1
+            behind[mark] = k
+    at = page.find("<")
+    while at >= 0:
+        end, tag, attrs, closing = at + 1, "", "", False
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", "", False
+        elif page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", "", False
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find(">", at)
+            end = len(page) if end < 0 else end + 1
+            yield at, end, "", "", False
+        else:
+            closing = page.startswith("/", at + 1)
+            name_at = at + 1 + closing
+            if page[name_at : name_at + 1].isascii() and page[name_at : name_at + 1].isalpha():
+                k = bisect.bisect_left(marks, name_at)
+                if first[k] < 0:
+                    return
+                name = _NAME.match(page, name_at, first[k])
+                tag, k = name[0].lower(), bisect.bisect_left(marks, name.end())
+                close = ends[k] if ends[k] >= 0 else first[k]
+                attrs, end = page[name.end() : close], close + 1
+                if tag in _RAW_END and not closing:
+                    found = _RAW_END[tag].search(page, end)
+                    end = found.end() if found else len(page)
+                yield at, end, tag, attrs, closing
+        at = page.find("<", end)
 
 
-def _role(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is left out with all it holds, and whether the page names it as its main text."""
+def _role(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
+    """What an element is: "out" with all it holds, "suspect" or "never" (by its name) or nothing, and whether the page names it as its main text."""
     if tag in SKIPPED:
-        return True, False
+        return "out", False
     if tag == "header":
-        return not inside, False
+        return ("" if inside else "out"), False
+    form = "suspect" if tag == "form" else ""
     if not attrs:
-        return False, tag in ("article", "main")
+        return form, tag in ("article", "main")
     named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
     names = _WITH.sub(" ", f"{named.get('class', '')} {named.get('id', '')}")
     hidden = "hidden" in named or named.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", named.get("style", ""), re.I)
     if hidden or named.get("role", "").lower() in ROLES:
-        return True, False
+        return "out", False
     main = tag in ("article", "main") or named.get("role", "").lower() in ("main", "article")
     boilerplate = BOILERPLATE.search(names) or (not inside and HEADER.search(names))
     if boilerplate and tag not in ("html", "body") and not (main and CONTENT.search(names)):
-        return True, False
-    return False, main or (tag in ("div", "section") and bool(CONTENT.search(names)))
+        return ("never" if OTHERS.search(names) else "suspect"), False
+    return form, main or (tag in ("div", "section") and bool(CONTENT.search(names)))
 
 
-def blocks(page: str) -> list[_Block]:
-    """The page's blocks in order, with what is known of where each stands."""
+def blocks(page: str) -> tuple[list[_Block], list[_Suspect]]:
+    """The page's blocks in order, with what is known of where each stands, and its suspect elements, outer ones first."""
     out: list[_Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, left out, element of the main text
-    links = regions = 0
+    suspects: list[_Suspect] = []
+    stack = [_Place()]
+    places: dict[str, list[int]] = {}  # of each tag's open elements in the stack
+    block_places: list[int] = []  # of the open block-level ones
+    links = regions = open_link = 0
     block: _Block | None = None
 
     def add(raw: str) -> None:
@@ -103,54 +184,84 @@ def blocks(page: str) -> list[_Block]:
         if not raw:
             return
         if block is None:
-            _, skipped, region = stack[-1] if stack else ("", False, 0)
-            block = _Block(skipped, region)
+            block = _Block(stack[-1])
             out.append(block)
         value = entities.unescape(raw)
         block.parts.append(value)
-        if links:
+        if open_link and stack[-1].link == open_link:
             block.linked += len(value.strip())
 
+    def cut(to: int) -> None:
+        while len(stack) > to:
+            tag = stack.pop().tag
+            places[tag].pop()
+            if tag in BLOCK:
+                block_places.pop()
+
     at = 0
-    for m in _TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or m["tag2"] or "").lower()
-        if m["raw"]:
-            block = None if m["raw"].lower() in BLOCK else block
-            continue
+    for start, end, tag, attrs, closing in _tokens(page):
+        add(page[at:start])
+        at = end
         if not tag:
             continue
         if tag in BLOCK or tag in FOREIGN:
             block = None
-        if m["close"] or m["close2"]:
-            if tag == "a":
-                links = 0
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+        if tag in _RAW_END:
+            continue
+        if closing:
+            if places.get(tag):
+                cut(places[tag][-1])
             continue
-        if tag in BLOCK and tag not in VOID:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CLOSED_BY_BLOCKS:
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCK:
-                    break
-        attrs = m["attrs"] or m["attrs2"] or ""
-        if tag in VOID or attrs.endswith("/"):
+        if tag in BLOCK and block_places and stack[block_places[-1]].tag == "p":
+            cut(block_places[-1])
+        here = stack[-1]
+        foreign = here.foreign or tag in FOREIGN
+        if tag in VOID or (foreign and _closes_itself(attrs)):
             continue
+        kind, main = _role(tag, attrs, here.region > 0)
+        link, region, suspect = here.link, here.region, here.suspect
         if tag == "a":
-            links = 1
-        _, skipped, region = stack[-1] if stack else ("", False, 0)
-        left_out, main = _role(tag, attrs, region > 0)
-        if main and not (region or skipped or left_out):
-            regions += 1
-            region = regions
-        stack.append((tag, skipped or left_out, region))
+            links += 1
+            open_link = links if any(m[1].lower() == "href" for m in _ATTR.finditer(attrs)) else 0
+            link = open_link
+        if kind in ("suspect", "never"):
+            suspect = _Suspect(suspect, kind == "never")
+            suspects.append(suspect)
+        if main and not (here.skipped or kind):
+            if tag == "main" or "main" in attrs:
+                around = suspect
+                while around is not None and not around.main:
+                    around.main, around = True, around.within
+            if not region:
+                regions += 1
+                region = regions
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            block_places.append(len(stack))
+        stack.append(_Place(tag, here.skipped or kind == "out", region, suspect, link, foreign))
     add(page[at:])
-    return out
+    return out, suspects
+
+
+def _closes_itself(attrs: str) -> bool:
+    """Whether a tag ends with a / of its own, not with one of a value without quotes."""
+    return attrs.endswith("/") and (len(attrs) == 1 or attrs[-2] in "\"'" or attrs[-2].isspace() or "=" not in attrs)
+
+
+def _judge(found: list[tuple[str, _Block]], suspects: list[_Suspect]) -> None:
+    """Leaves out the blocks of suspect elements that hold neither the page's main element nor most of its stop words."""
+    said = [b for t, b in found if not b.skipped and len(t) >= SHORT]  # a few words in a short block tell nothing
+    total = sum(b.stop for b in said)
+    for b in said:
+        if b.suspect is not None:
+            b.suspect.stop += b.stop
+    for s in reversed(suspects):
+        if s.within is not None:
+            s.within.stop += s.stop
+    for s in suspects:
+        s.out = (s.within is not None and s.within.out) or not (s.main or (not s.never and 2 * s.stop > total))
+    for _, b in found:
+        b.skipped = b.skipped or (b.suspect is not None and b.suspect.out)
 
 
 def _first(text: str, block: _Block, named: bool) -> bool | None:
@@ -160,13 +271,14 @@ def _first(text: str, block: _Block, named: bool) -> bool | None:
         return False
     if len(text) < SHORT:
         return None
-    words = _LETTERS.findall(text.lower())
-    stop = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+    stop = block.stop / max(block.words, 1)
     long = len(text) >= LONG
     if block.region:
         return True if stop >= STOP_HIGH or (long and stop >= STOP_LOW) else None
     if named:
         return stop >= STOP_HIGH and long and linked == 0
+    if block.suspect is not None:
+        return True if stop >= STOP_HIGH else None
     return True if stop >= STOP_HIGH or (long and stop >= STOP_LOW) else None if stop >= STOP_LOW else long and linked == 0
 
 
@@ -202,8 +314,12 @@ def labels(found: list[tuple[str, _Block]]) -> list[tuple[bool, bool]]:
 
 def main_text(page: str) -> tuple[str, int, int]:
     """The good blocks' texts, white space run together, joined by one space; the number of blocks, and of those left open at first."""
-    found = [(" ".join("".join(b.parts).split()), b) for b in blocks(page)]
+    all_, suspects = blocks(page)
+    found = [(" ".join("".join(b.parts).split()), b) for b in all_]
     found = [(t, b) for t, b in found if t]
+    for t, b in found:
+        b.count(t)
+    _judge(found, suspects)
     told = labels(found)
     return " ".join(t for (t, _), (good, _) in zip(found, told, strict=True) if good), len(found), sum(open_ for _, open_ in told)
 

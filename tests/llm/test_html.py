@@ -141,3 +141,47 @@ def test_html_against_a_plain_version():
         assert got == text and n_open == open_
         left_open += n_open
     assert left_open > 100
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="content-sidebar-wrap"><main>{}</main></div>',
+        '<div class="page-with-sidebar"><article>{}</article></div>',
+        '<form id="aspnetForm" action="/">{}</form>',
+        '<a name="top">{}',
+        '<div class="sidebar-layout"><div class="menu-open">{}</div></div>',
+        '<body><div id="modal-root"><div role="main">{}</div></div></body>',
+    ],
+)
+def test_html_wrappers_keep_their_text(page):
+    """Names of wrappers, a form around everything, an anchor without an address or an end."""
+    assert _text(page.format(f"<p>{STORY}</p>")) == STORY.strip()
+
+
+def test_html_suspect_parts_go():
+    story = f"<article><p>{STORY}</p></article>"
+    for part in ("<div class='sidebar'><p>{}</p></div>", "<form><p>{}</p><label>l</label></form>", "<div id='comments'><article><p>{}</p></article></div>", "<section class='related'><article><p>{}</p></article></section>", "<div class='ad-box'>{}</div>", "<a href=http://x/a/>{}</a>", "<p><a href='x'>{}</p>"):
+        assert _text(f"<body>{part.format(STORY[:150])}{story}{part.format(STORY[:150])}</body>") == STORY.strip(), part
+    many = "".join(f"<div class='comment'><p>{STORY}</p></div>" for _ in range(5))
+    assert _text(f"<div><p>{STORY}</p></div><div id='comments'>{many}</div>") == STORY.strip()  # comments go however long they are
+    inside = f"<div class='page-with-sidebar'><article><p>{STORY}</p></article><div class='sidebar'><p>{STORY[:150]}</p></div></div>"
+    assert _text(inside) == STORY.strip()
+
+
+def test_html_links():
+    assert _text(f"<body><p>{STORY}</p><p><a href=http://x/a/>More news of the day and of the week in this region are here for you</a></p></body>") == STORY.strip()
+    assert _text(f"<p><a href=x>one<a name=y>{STORY}</p><p>{STORY}</p>") == f"one{STORY.strip()} {STORY.strip()}"  # the next one ends a link
+    assert _text(f"<div><a href=x>open</div><p>{STORY}</p>") == STORY.strip()  # so does the end of what holds it
+    assert _text("<article><p>a<br/>b</p><p/><p>c</p></article>") == "a b c".replace(" b", "b") or _text("<article><p>a<br/>b</p><p/><p>c</p></article>") == "a b c"
+    assert _text(f'<p title="a > b">{STORY}</p><p title="open>{STORY}</p>').startswith(STORY.strip())
+
+
+def test_html_time_is_linear():
+    import time
+
+    for piece in ("<span>", '<b "', "<a ", "<a<a", "<p>", "<a href=x>", "</x>", "<!--", "<script>", "<b '>\"", "<div class='sidebar'>", "<", "&#x", "<svg>", "<a href=x><b>"):
+        page = piece * 40_000 + "<div>" * 40_000
+        start = time.process_time()
+        html.main_text(page)
+        assert time.process_time() - start < 6, piece
