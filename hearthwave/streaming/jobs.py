@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources import frames as wire
+from .live import replayable, window_states
 
 LATE = "10 seconds"
 Step = Callable[[dict, dict], "dict | list[dict]"]
@@ -84,14 +85,9 @@ def stale_sensors(df: DataFrame, key: str, seconds: int = 12) -> DataFrame:
 
 
 def ingest(blobs: DataFrame, path: str, checkpoint: str):
-    """Decoded frames of a stream of blobs (path, content), appended to one Parquet table per kind."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        wire.decode_blobs(batch).withColumn("batch", F.lit(number)).write.mode("append").partitionBy("kind").parquet(path)
-        batch.unpersist()
-
-    return blobs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    """Decoded frames of a stream of blobs (path, content): a Parquet table by batch and kind, each batch there once however often it runs."""
+    write = replayable(path, ["kind"])
+    return blobs.writeStream.foreachBatch(lambda batch, number: write(wire.decode_blobs(batch), number)).option("checkpointLocation", checkpoint)
 
 
 def blocks(df: DataFrame, keys: list[str], ts: str, aggregates: list, size: str = "5 minutes", slide: str | None = None, late: str = LATE) -> DataFrame:
@@ -102,24 +98,15 @@ def blocks(df: DataFrame, keys: list[str], ts: str, aggregates: list, size: str
 
 
 def vitals_windows(entries: DataFrame, keys: list[str], size: str = "30 seconds", slide: str = "2 seconds", late: str = LATE) -> DataFrame:
-    """Vitals per sliding window of a stream of snapshots (keys, ts, range_bin, re, im)."""
+    """Vitals per sliding window of snapshots (keys, ts, range_bin, re, im), of a stream or a table; start is a timestamp."""
     from ..operators import vitals as v
 
-    seconds = F.unix_micros("ts") / 1e6
-    packed = blocks(entries, keys, "ts", [F.collect_list(F.struct(seconds.alias("ts"), "range_bin", "re", "im")).alias("rows")], size, slide, late)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.select(*keys, "start").schema.fields)
-    names = [c.split()[0] for c in v.STATE.split(", ")][1:]
-
-    def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            out = []
-            for r in pdf.to_dict("records"):
-                bins, z, fps = v.cube(pd.DataFrame([x if isinstance(x, dict) else x.asDict() for x in r["rows"]]), 64)
-                if len(bins) and fps > 0:
-                    out.append({k: r[k] for k in [*keys, "start"]} | v.state_of(bins, v.s.displacement(z), fps))
-            yield pd.DataFrame(out, columns=[*keys, "start", *names])
-
-    return packed.mapInPandas(work, f"{kinds}, {v.STATE.split(', ', 1)[1]}")
+    length, step = (float(x.split()[0]) for x in (size, slide))
+    if entries.isStreaming:
+        out = window_states(entries, keys, length, step, late)
+    else:
+        out = v.vitals(entries.withColumn("ts", F.unix_micros("ts") / 1e6), keys, length, step)
+    return out.withColumn("start", F.timestamp_micros((F.col("start") * 1_000_000).cast("long")))
 
 
 def fresh(entries: DataFrame, keys: list[str], ts: str, now: DataFrame, keep_s: float = 65.0, seen_s: float = 3.0) -> DataFrame:
