@@ -102,7 +102,7 @@ def likelihood(j: np.ndarray, u: np.ndarray, more: np.ndarray, less: np.ndarray)
 def estimated(u: np.ndarray, more: np.ndarray, less: np.ndarray) -> np.ndarray:
     """The similarity of greatest likelihood, by thirds: the likelihood has one summit."""
     low, high = np.zeros(len(u)), np.minimum(u / (1 - u), (1 - u) / u)
-    for _ in range(40):
+    for _ in range(24):
         third = (high - low) / 3
         left = likelihood(low + third, u, more, less) < likelihood(high - third, u, more, less)
         low, high = np.where(left, low + third, low), np.where(left, high, high - third)
@@ -130,18 +130,30 @@ def by_registers(t: pa.Table) -> copies.Near:
 
     def near(i: int, others: np.ndarray) -> np.ndarray:
         to = others[100 * np.minimum(n[others], n[i]) >= SIMILAR * np.maximum(n[others], n[i])]
-        to = to[(early[to] == early[i]).sum(axis=1) >= _EARLY_EQUAL]
-        same = (all_[to] == all_[i]).sum(axis=1)
+        if len(to):
+            to = to[np.count_nonzero(early[to] == early[i], axis=1) >= _EARLY_EQUAL]
+        if not len(to):
+            return to
+        same = np.count_nonzero(all_[to] == all_[i], axis=1)
         to, same = to[same >= _EQUAL], same[same >= _EQUAL]
-        more = (all_[i] > all_[to]).sum(axis=1)
-        u, less = n[i] / (n[i] + n[to]), REGISTERS - same - more
-        at = estimated(u, more, less)
-        bound = np.minimum(SIMILAR / 100, np.minimum(u / (1 - u), (1 - u) / u))
-        return to[(at >= SIMILAR / 100) | (likelihood(at, u, more, less) - likelihood(bound, u, more, less) <= _SPEAKS)]
+        return to[allowed(n[i] / (n[i] + n[to]), np.count_nonzero(all_[i] > all_[to], axis=1), same)] if len(to) else to
 
     return near
 
 
+def allowed(u: np.ndarray, more: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Whether the likelihood of a pair's registers doesn't speak against the similarity: its summit is there or above, or not much higher."""
+    less = REGISTERS - same - more
+    bound = np.minimum(SIMILAR / 100, np.minimum(u / (1 - u), (1 - u) / u))
+    held = likelihood(bound, u, more, less)
+    out = likelihood(bound * (1 - 1e-6), u, more, less) <= held  # it still rises
+    open_ = np.flatnonzero(~out)
+    if len(open_):
+        u, more, less = u[open_], more[open_], less[open_]
+        out[open_] = likelihood(estimated(u, more, less), u, more, less) - held[open_] <= _SPEAKS
+    return out
+
+
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the ``pairs`` (a, b) of nodes whose whole sets have the similarity, written.
 
