@@ -70,7 +70,7 @@ def _hashed(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return text.mix(sums[0] ^ text.mix(sums[1]))
 
 
-def _odd(h: np.ndarray, row: np.ndarray, n: int, words: int) -> np.ndarray:
+def odd(h: np.ndarray, row: np.ndarray, n: int, words: int) -> np.ndarray:
     """For each row's set: bit i tells whether an odd number of its shingles falls to i.
 
     Two sets differ in at least as many shingles as their parities do in bits.
@@ -80,14 +80,14 @@ def _odd(h: np.ndarray, row: np.ndarray, n: int, words: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(n, wide), axis=1, bitorder="little").view(np.uint64)
 
 
-def _wide(h: np.ndarray, row: np.ndarray, n: int) -> pa.Array:
+def wide(h: np.ndarray, row: np.ndarray, n: int) -> pa.Array:
     """Parities of about as many bits as the set has shingles, null for small sets: folded once, they are those of half as many bits."""
     sizes = np.bincount(row, minlength=n)
     ends = np.cumsum(sizes)
     out: list[list[int] | None] = [None] * n
     for i in np.flatnonzero(sizes > 64 * PARITIES).tolist():
         own = h[ends[i] - sizes[i] : ends[i]]
-        out[i] = _odd(own, np.zeros(len(own), np.int64), 1, 1 << int(sizes[i] - 1).bit_length() - 6)[0].view(np.int64)
+        out[i] = odd(own, np.zeros(len(own), np.int64), 1, 1 << int(sizes[i] - 1).bit_length() - 6)[0].view(np.int64)
     return pa.array(out, pa.list_(pa.int64()))
 
 
@@ -167,8 +167,8 @@ def with_prefix(docs: DataFrame, keep: list[str]) -> DataFrame:
     late, counts = common(docs)
 
     def make(h: np.ndarray, row: np.ndarray, n: int) -> list[pa.Array]:
-        bits = lists(_odd(h, row, n, PARITIES).ravel(), np.repeat(np.arange(n), PARITIES), n)
-        return [longs(_hashed(h, row, n)), pa.array(np.bincount(row, minlength=n).astype(np.int64)), bits, _wide(h, row, n), lists(*prefixes(h, row, n, late, counts), n)]
+        bits = lists(odd(h, row, n, PARITIES).ravel(), np.repeat(np.arange(n), PARITIES), n)
+        return [longs(_hashed(h, row, n)), pa.array(np.bincount(row, minlength=n).astype(np.int64)), bits, wide(h, row, n), lists(*prefixes(h, row, n, late, counts), n)]
 
     return mapped(docs, keep, make, {"node": "bigint", "n": "bigint", "parities": "array<bigint>", "wide": "array<bigint>", "prefix": "array<bigint>"})
 

@@ -4,7 +4,8 @@ A document's set are its distinct four-word shingles. A register is the least of
 truncated to a power of BASE: registers of a union are the larger ones of its parts, and those of two sets are equal
 with about the probability of their Jaccard similarity. Bands of registers bring sets together; two sets of one band are
 a likely pair unless the likelihood of their registers (how many are larger in one, in the other, and equal, given both
-sizes) speaks against a similarity of 0.8; likely pairs are held against each other's whole sets. Two sets of
+sizes) speaks against a similarity of 0.8. What sizes and parities prove to be apart isn't looked at further; the other
+likely pairs are held against each other's whole sets. Two sets of
 similarity 0.8 miss each other in all bands with a probability of 2e-10, and fail the likelihood with one below 1e-9.
 
 Groups of sets that share a band, large ones too, are compared as those of the pipeline's near copies are
@@ -68,14 +69,16 @@ def _hashed(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
 
 
 def sketched(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep``, and of each whole text the size of its set, 128 bits that tell it (h1, h2), and its registers."""
+    """The columns ``keep``, and of each whole text the size of its set, 128 bits that tell it (h1, h2), its registers and its parities."""
 
     def make(h: np.ndarray, row: np.ndarray, n: int) -> list[pa.Array]:
         h1, h2 = _hashed(h, row, n)
         packed = pa.array([r.tobytes() for r in registers(h, row, n)], pa.binary())
-        return [pa.array(np.bincount(row, minlength=n).astype(np.int64)), copies.longs(h1), copies.longs(h2), packed]
+        bits = copies.lists(copies.odd(h, row, n, copies.PARITIES).ravel(), np.repeat(np.arange(n), copies.PARITIES), n)
+        return [pa.array(np.bincount(row, minlength=n).astype(np.int64)), copies.longs(h1), copies.longs(h2), packed, bits, copies.wide(h, row, n)]
 
-    return copies.mapped(docs, keep, make, {"n": "bigint", "h1": "bigint", "h2": "bigint", "registers": "binary"}, size=SHINGLE)
+    kinds = {"n": "bigint", "h1": "bigint", "h2": "bigint", "registers": "binary", "parities": "array<bigint>", "wide": "array<bigint>"}
+    return copies.mapped(docs, keep, make, kinds, size=SHINGLE)
 
 
 def bands(packed: str) -> Column:
@@ -123,7 +126,8 @@ _EARLY_EQUAL, _EQUAL, _SPEAKS = least_equal(EARLY), least_equal(REGISTERS), -np.
 
 
 def by_registers(t: pa.Table) -> copies.Near:
-    """Those of the others that sizes and the likelihood of all registers allow to be similar."""
+    """Those of the others that sizes, parities and the likelihood of all registers allow to be similar."""
+    proven = copies.by_parities(t)
     n = t.column("n").to_numpy()
     all_ = np.frombuffer(b"".join(t.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
     early = np.ascontiguousarray(all_[:, :EARLY])
@@ -132,6 +136,7 @@ def by_registers(t: pa.Table) -> copies.Near:
         to = others[100 * np.minimum(n[others], n[i]) >= SIMILAR * np.maximum(n[others], n[i])]
         if len(to):
             to = to[np.count_nonzero(early[to] == early[i], axis=1) >= _EARLY_EQUAL]
+        to = proven(i, to) if len(to) else to
         if not len(to):
             return to
         same = np.count_nonzero(all_[to] == all_[i], axis=1)
@@ -159,7 +164,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     A bitmap of fixed size leaves the texts that are in no pair where they are.
     """
-    pairs = store.written(pairs, "pairs")
+    pairs = store.written(copies.possible(pairs, nodes), "pairs")
     asked = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "h1", "h2", "first")
     bitmap = decontaminate.bitmap_of(asked.select(F.xxhash64("first.doc_id").alias("fp")))
 
@@ -176,14 +181,14 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return links
 
 
-EVIDENCE = copies.Evidence(["n", "registers"], by_registers, confirmed)
+EVIDENCE = copies.Evidence(["n", "registers", "parities"], by_registers, confirmed)
 
 
 def near_duplicates(docs: DataFrame, block: int = copies.BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each document; equal sets are one node, whatever their number."""
     table = store.written(sketched(docs, ["doc_id"]), "sketches")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")
-    classes = table.where("n > 0").groupBy("h1", "h2").agg(F.min(first).alias("first"), F.first("n").alias("n"), F.first("registers").alias("registers"))
+    classes = table.where("n > 0").groupBy("h1", "h2").agg(F.min(first).alias("first"), *(F.first(c).alias(c) for c in ("n", "registers", "parities", "wide")))
     nodes = store.written(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     roots = copies.near_copies(docs, nodes.withColumn("prefix", bands("registers")), block, EVIDENCE)
     named = nodes.select("node", "h1", "h2", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
