@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import quantiles
+
 #: Fixed value: from a median absolute deviation to a standard deviation.
 MAD = 1.4826
 
@@ -16,19 +18,19 @@ def usable(sweeps: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Per key: med (median), n, and sigma (scaled median absolute deviation); one shuffle, on the keys."""
+    """Per key of some hundreds of rows (days, not samples): med (median), n, and sigma (scaled median absolute deviation); one shuffle, on the keys."""
     rows = df.withColumn("_med", F.median(value).over(W.partitionBy(*keys)))
     return rows.groupBy(*keys).agg(F.first("_med").alias("med"), F.count(value).alias("n"), (MAD * F.median(F.abs(F.col(value) - F.col("_med")))).alias("sigma"))
 
 
 def bin_stats(sweeps: DataFrame, hour: int | None = None, since: Column | None = None) -> DataFrame:
-    """Per sensor and bin: median, scaled deviation and number of the usable powers."""
+    """Per sensor and bin: median, scaled deviation and number of the usable powers of its whole history, by selection."""
     rows = usable(sweeps)
     if hour is not None:
         rows = rows.where(F.col("hour") == hour)
     if since is not None:
         rows = rows.where(F.col("ts") >= since)
-    return spread(rows, ["sensor_id", "range_bin"], "power")
+    return quantiles.spread(rows, ["sensor_id", "range_bin"], "power", MAD)
 
 
 def hour_stats(sweeps: DataFrame, min_days: int = 3, min_samples: int = 3) -> DataFrame:

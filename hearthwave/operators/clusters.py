@@ -1,11 +1,11 @@
-"""Clusters of points and cells: neighbours by a hash grid, components by label spreading, boxes and planes."""
+"""Clusters of points and cells: neighbours by a grid of cells, components by label spreading, boxes and planes."""
 
 from __future__ import annotations
 
 import itertools
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import voxels as v
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """The lineage is cut in the folder of spark.checkpoint.dir; one of its own only where that is unset and all runs in one process."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -32,13 +32,13 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str], node: str, r
     Each round takes the least label among a node and its neighbours, then that label's own label, which halves
     the way left to go; the lineage is cut each round.
     """
-    now = _checkpointed(nodes.withColumn("label", F.col(node)))
+    now = checkpointed(nodes.withColumn("label", F.col(node)))
     for _ in range(rounds):
         held = now.select(*keys, F.col(node).alias("b"), "label")
         near = edges.join(held, [*keys, "b"]).groupBy(*keys, F.col("a").alias(node)).agg(F.min("label").alias("_l"))
         spread = now.join(near, [*keys, node], "left").withColumn("_new", F.least("label", "_l"))
         own = spread.select(*keys, F.col(node).alias("_new"), F.col("_new").alias("_up"))
-        jumped = _checkpointed(spread.join(own, [*keys, "_new"], "left").select(*nodes.columns, F.col("label").alias("_old"), F.least("_new", "_up").alias("label")))
+        jumped = checkpointed(spread.join(own, [*keys, "_new"], "left").select(*nodes.columns, F.col("label").alias("_old"), F.least("_new", "_up").alias("label")))
         changed = jumped.where("label <> _old").limit(1).count()
         now = jumped.drop("_old")
         if not changed:
@@ -46,15 +46,26 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str], node: str, r
     raise RuntimeError(f"the labels didn't settle within {rounds} rounds")
 
 
-def neighbours(points: DataFrame, keys: list[str], node: str, eps: float, dims: str = "xyz") -> DataFrame:
-    """(keys, a, b): pairs within ``eps``, each with itself too. Points meet in cells of side eps, one side in all cells around."""
-    cells = {f"_c{c}": F.floor(F.col(c) / eps) for c in dims}
-    home = points.select(*keys, F.col(node).alias("a"), *(F.col(c).alias(f"_{c}") for c in dims), *(e.alias(n) for n, e in cells.items()))
-    shifts = F.array(*(F.array(*map(F.lit, s)) for s in itertools.product((-1, 0, 1), repeat=len(dims))))
-    spread = points.select(*keys, F.col(node).alias("b"), *dims, F.explode(shifts).alias("_s"), *(e.alias(n) for n, e in cells.items()))
-    moved = spread.withColumns({f"_c{c}": F.col(f"_c{c}") + F.col("_s")[i] for i, c in enumerate(dims)}).drop("_s")
-    d2 = sum(((F.col(f"_{c}") - F.col(c)) ** 2 for c in dims), F.lit(0.0))
-    return home.join(moved, [*keys, *cells]).where(d2 <= eps * eps).select(*keys, "a", "b")
+def touching(a: np.ndarray, b: np.ndarray, eps: float) -> bool:
+    """Whether any two points of the two sets lie within ``eps``: halves of the sets that boxes rule in or out are not looked into."""
+    waiting = [(a, b)]
+    while waiting:
+        a, b = waiting.pop()
+        low, high = np.maximum(a.min(0), b.min(0)), np.minimum(a.max(0), b.max(0))
+        if (np.maximum(low - high, 0) ** 2).sum() > eps * eps * (1 + 1e-12):
+            continue
+        far = np.maximum(a.max(0), b.max(0)) - np.minimum(a.min(0), b.min(0))
+        if (far**2).sum() <= eps * eps * (1 - 1e-12):
+            return True
+        if len(a) * len(b) <= 4096:
+            if (((a[:, None, :] - b[None, :, :]) ** 2).sum(-1) <= eps * eps).any():
+                return True
+            continue
+        first, second = (a, b) if len(a) >= len(b) else (b, a)
+        side = int((first.max(0) - first.min(0)).argmax())
+        order = np.argpartition(first[:, side], len(first) // 2)
+        waiting += [(first[order[: len(first) // 2]], second), (first[order[len(first) // 2 :]], second)]
+    return False
 
 
 def _numbered(labels: DataFrame, keys: list[str]) -> Column:
@@ -67,20 +78,85 @@ def dbscan(points: DataFrame, keys: list[str], node: str, eps: float = 0.35, lea
     """Adds ``cluster_id``: from 0 by each cluster's smallest node, -1 for noise.
 
     A point with ``least`` neighbours within eps, itself included, is a core; a border point gets its least core label.
+    Points stand in cells so small that all of a cell are neighbours: a cell of ``least`` points is all core and one
+    node of the graph, named by its least point, so that no pairs are made within it. Points of other cells, fewer than
+    ``least`` in each, meet the cells around; two full cells are joined if their closest points are within eps, which
+    boxes tell for most. The work is linear in the points of a cell.
     """
-    pairs = _checkpointed(neighbours(points, keys, node, eps))
-    core = _checkpointed(pairs.groupBy(*keys, F.col("a").alias(node)).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n"))
-    in_a = core.withColumnRenamed(node, "a")
-    in_b = core.withColumnRenamed(node, "b")
-    edges = pairs.join(in_a, [*keys, "a"], "left_semi").join(in_b, [*keys, "b"], "left_semi")
-    labelled = components(core, edges, keys, node)
-    reached = pairs.join(labelled.withColumnRenamed(node, "b"), [*keys, "b"]).groupBy(*keys, F.col("a").alias(node)).agg(F.min("label").alias("_border"))
-    found = points.join(reached, [*keys, node], "left").join(labelled, [*keys, node], "left").withColumn("label", F.coalesce("label", "_border")).drop("_border")
+    side = eps / 3**0.5 * (1 - 1e-9)
+    cell = ["_cx", "_cy", "_cz"]
+    base = points.select(*keys, F.col(node).alias("_node"), *(F.col(c).cast("double").alias(f"_{c}") for c in "xyz"))
+    placed = base.withColumns({f"_c{c}": F.floor(F.col(f"_{c}") / side) for c in "xyz"})
+    box = [f(f"_{c}").alias(f"_{n}{c}") for n, f in (("low", F.min), ("high", F.max)) for c in "xyz"]
+    cells = checkpointed(placed.groupBy(*keys, *cell).agg(F.count("*").alias("_n"), F.min("_node").alias("_rep"), *box).withColumn("_full", F.col("_n") >= least))
+    sparse = placed.join(cells.where(~F.col("_full")).select(*keys, *cell), [*keys, *cell])
+
+    def around(some: DataFrame, shifts: list[tuple]) -> DataFrame:
+        """``some`` cells as _ox, _oy, _oz, with the cells at the shifts from them."""
+        home = some.select(*keys, *(F.col(c).alias(c.replace("_c", "_o")) for c in cell), F.explode(F.array(*(F.array(*map(F.lit, s)) for s in shifts))).alias("_s"))
+        return home.withColumns({c: F.col(c.replace("_c", "_o")) + F.col("_s")[i] for i, c in enumerate(cell)}).drop("_s")
+
+    every = list(itertools.product(range(-2, 3), repeat=3))
+    met = around(cells.where(~F.col("_full")).select(*keys, *cell), every).join(cells.select(*keys, *cell, "_full", "_rep"), [*keys, *cell])
+    own = sparse.select(*keys, F.col("_node").alias("a"), *(F.col(f"_{c}").alias(f"_a{c}") for c in "xyz"), *(F.col(c).alias(c.replace("_c", "_o")) for c in cell))
+    pairs = own.join(met, [*keys, "_ox", "_oy", "_oz"]).join(placed, [*keys, *cell])
+    d2 = sum(((F.col(f"_a{c}") - F.col(f"_{c}")) ** 2 for c in "xyz"), F.lit(0.0))
+    near = checkpointed(pairs.where(d2 <= eps * eps).groupBy(*keys, "a", F.when(F.col("_full"), F.col("_rep")).otherwise(F.col("_node")).alias("b"), "_full").agg(F.count("*").alias("_n")))
+    lone = near.groupBy(*keys, F.col("a").alias(node)).agg(F.sum("_n").alias("_n")).where(F.col("_n") >= least).select(*keys, node)
+    core = checkpointed(lone.unionAll(cells.where("_full").select(*keys, F.col("_rep").alias(node))))
+    in_a, in_b = core.withColumnRenamed(node, "a"), core.withColumnRenamed(node, "b")
+    known = near.join(in_b, [*keys, "b"], "left_semi").select(*keys, "a", "b")
+    links = known.join(in_a, [*keys, "a"], "left_semi")
+    edges = links.unionAll(_joined_cells(placed, cells.where("_full"), keys, cell, around, eps))
+    labelled = checkpointed(components(core, checkpointed(edges.unionAll(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()), keys, node))
+    reached = known.join(labelled.withColumnRenamed(node, "b"), [*keys, "b"]).groupBy(*keys, F.col("a").alias(node)).agg(F.min("label").alias("_border"))
+    of_cells = cells.where("_full").select(*keys, *cell, F.col("_rep").alias(node)).join(labelled, [*keys, node]).select(*keys, *cell, F.col("label").alias("_inside"))
+    told = points.withColumns({f"_c{c}": F.floor(F.col(c).cast("double") / side) for c in "xyz"}).join(of_cells, [*keys, *cell], "left").drop(*cell)
+    found = told.join(reached, [*keys, node], "left").join(labelled, [*keys, node], "left").withColumn("label", F.coalesce("_inside", "label", "_border")).drop("_border", "_inside")
     ids = labelled.select(*keys, "label").distinct()
     numbered = ids.withColumn("cluster_id", _numbered(ids, keys))
     return found.join(numbered, [*keys, "label"], "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1))).drop("label")
 
 
+def _joined_cells(placed: DataFrame, full: DataFrame, keys: list[str], cell: list[str], around: Callable[[DataFrame, list[tuple]], DataFrame], eps: float) -> DataFrame:
+    """(keys, a, b): the names of full cells whose closest points are within eps; each two cells are looked at once.
+
+    The boxes of their points tell for most; else their different points that lie near the other's box are compared.
+    """
+    half = [s for s in itertools.product(range(-2, 3), repeat=3) if s > (0, 0, 0)]
+    box = [f"_{n}{c}" for n in ("low", "high") for c in "xyz"]
+    one = full.select(*keys, *(F.col(c).alias(c.replace("_c", "_o")) for c in cell), F.col("_rep").alias("a"), *(F.col(c).alias(f"{c}_a") for c in box))
+    two = full.select(*keys, *cell, F.col("_rep").alias("b"), *(F.col(c).alias(f"{c}_b") for c in box))
+    pairs = around(full.select(*keys, *cell), half).join(two, [*keys, *cell]).join(one, [*keys, "_ox", "_oy", "_oz"])
+
+    def gap(c: str) -> Column:
+        return F.greatest(F.col(f"_low{c}_b") - F.col(f"_high{c}_a"), F.col(f"_low{c}_a") - F.col(f"_high{c}_b"), F.lit(0.0))
+
+    def reach(c: str) -> Column:
+        return F.greatest(f"_high{c}_a", f"_high{c}_b") - F.least(f"_low{c}_a", f"_low{c}_b")
+
+    apart, most = (sum((f(c) ** 2 for c in "xyz"), F.lit(0.0)) for f in (gap, reach))
+    judged = checkpointed(pairs.where(apart <= eps * eps * (1 + 1e-12)).withColumn("_sure", most <= eps * eps * (1 - 1e-12)))
+    open_ = judged.where(~F.col("_sure"))
+    spots = placed.select(*keys, *cell, "_x", "_y", "_z").distinct()
+
+    def side(mine: str, other: str, at: list[str]) -> DataFrame:
+        """The points of one cell of each open pair that lie within eps of the other's box."""
+        rows = spots.join(open_.select(*keys, *(F.col(c).alias(n) for c, n in zip(at, cell, strict=True)), "a", "b", *(F.col(f"{c}_{other}").alias(c) for c in box)), [*keys, *cell])
+        off = sum((F.greatest(F.col(f"_low{c}") - F.col(f"_{c}"), F.col(f"_{c}") - F.col(f"_high{c}"), F.lit(0.0)) ** 2 for c in "xyz"), F.lit(0.0))
+        return rows.where(off <= eps * eps * (1 + 1e-12)).select(*keys, "a", "b", F.lit(mine == "a").alias("_first"), "_x", "_y", "_z")
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf["_first"].to_numpy(bool)
+        at = pdf[["_x", "_y", "_z"]].to_numpy(float)
+        hit = first.any() and not first.all() and touching(at[first], at[~first], eps)
+        return pdf[[*keys, "a", "b"]].head(1 if hit else 0)
+
+    both = side("a", "b", ["_ox", "_oy", "_oz"]).unionAll(side("b", "a", cell))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in judged.select(*keys, "a", "b").schema.fields)
+    return judged.where("_sure").select(*keys, "a", "b").unionAll(both.groupBy(*keys, "a", "b").applyInPandas(decide, kinds))
+
+
 def cell_components(cells: DataFrame, keys: list[str], dims: list[str]) -> DataFrame:
     """Adds ``label`` to cells that touch by a face (6 neighbours in 3-D, 4 in 2-D): the least cell number reachable."""
     number = F.lit(0).cast("long")
@@ -90,7 +166,7 @@ def cell_components(cells: DataFrame, keys: list[str], dims: list[str]) -> DataF
     steps = [tuple(s if i == j else 0 for j in range(len(dims))) for i in range(len(dims)) for s in (-1, 1)]
     around = numbered.select(*keys, F.col("_id").alias("b"), *dims, F.explode(F.array(*(F.array(*map(F.lit, s)) for s in steps))).alias("_s"))
     moved = around.withColumns({d: F.col(d) + F.col("_s")[i] for i, d in enumerate(dims)}).drop("_s")
-    edges = _checkpointed(numbered.select(*keys, *dims, F.col("_id").alias("a")).join(moved, [*keys, *dims]).select(*keys, "a", "b"))
+    edges = checkpointed(numbered.select(*keys, *dims, F.col("_id").alias("a")).join(moved, [*keys, *dims]).select(*keys, "a", "b"))
     return components(numbered, edges, keys, "_id").drop("_id")
 
 
@@ -196,7 +272,7 @@ def planes(points: DataFrame, keys: list[str], most: int = 4, tries: int = 1000,
     ``block`` against the key's candidates, of which there are ``tries``, and the blocks' counts are added up.
     """
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.select(*keys).schema.fields)
-    rest = _checkpointed(points.groupBy(*keys, "x", "y", "z").agg(F.count("*").alias("copies")))
+    rest = checkpointed(points.groupBy(*keys, "x", "y", "z").agg(F.count("*").alias("copies")))
     out = None
     for number in range(most):
         # of a key's points some are drawn: each has three hashed chances in ``tries`` that grow with how few there are
@@ -227,9 +303,9 @@ def planes(points: DataFrame, keys: list[str], most: int = 4, tries: int = 1000,
         blocks = rest.join(total, keys).groupBy(*keys, part.alias("_b")).agg(F.collect_list(F.struct("x", "y", "z", "copies")).alias("_points"))
         scored = blocks.join(listed, keys).select(*keys, "_points", "_planes").mapInPandas(score, f"{kinds}, _t int, a double, b double, c double, d double, n long")
         counted = scored.groupBy(*keys, "_t", "a", "b", "c", "d").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        best = _checkpointed(counted.groupBy(*keys).agg(F.max_by(F.struct("a", "b", "c", "d"), F.struct("n", -F.col("_t"))).alias("q"), F.max("n").alias("inliers")))
+        best = checkpointed(counted.groupBy(*keys).agg(F.max_by(F.struct("a", "b", "c", "d"), F.struct("n", -F.col("_t"))).alias("q"), F.max("n").alias("inliers")))
         found = best.select(*keys, F.lit(number).alias("plane"), "q.a", "q.b", "q.c", "q.d", "inliers")
         out = found if out is None else out.unionByName(found)
         on = F.abs(F.col("q.a") * F.col("x") + F.col("q.b") * F.col("y") + F.col("q.c") * F.col("z") + F.col("q.d")) <= inlier
-        rest = _checkpointed(rest.join(best, keys).where(~on).select(*keys, "x", "y", "z", "copies"))
+        rest = checkpointed(rest.join(best, keys).where(~on).select(*keys, "x", "y", "z", "copies"))
     return out

@@ -8,14 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def floor_map(points: DataFrame, keys: list[str], cell: float = 0.5, least: int = 8, q: float = 0.05) -> DataFrame:
     """Floor height (column hg) per floor cell: a low percentile of z where a cell has points enough.
 
-    Cells are rounded half to even.
+    Cells are rounded half to even. The percentile is found by selection: a cell may hold months of points.
     """
     cells = points.withColumns({"fx": F.rint(F.col("x") / cell).cast("int"), "fy": F.rint(F.col("y") / cell).cast("int")})
-    return cells.groupBy(*keys, "fx", "fy").agg(F.count("*").alias("_n"), F.percentile("z", q).alias("hg")).where(F.col("_n") >= least).drop("_n")
+    return quantiles(cells, [*keys, "fx", "fy"], "z", {"hg": q}).where(F.col("n") >= least).drop("n")
 
 
 def floor_default(floor: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import complex_similarity
 from ..helpers.signal import rotation_p
+from ..helpers.slopes import median_slope
 
 
 def capped(entries: DataFrame, keys: list[str], order: list[str], k: int, least: int = 1) -> DataFrame:
@@ -110,12 +111,20 @@ def direction_similarity(means: DataFrame, capture: str, keys: list[str]) -> Dat
 
 
 def theil_sen(points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Median slope over all pairs of a key's points (tens of window values), and the intercept through the medians."""
-    a = points.select(*keys, F.col(x).alias("_x0"), F.col(y).alias("_y0"))
-    b = points.select(*keys, F.col(x).alias("_x1"), F.col(y).alias("_y1"))
-    slopes = a.join(b, keys).where("_x1 > _x0").groupBy(*keys).agg(F.median((F.col("_y1") - F.col("_y0")) / (F.col("_x1") - F.col("_x0"))).alias("slope"))
-    mid = points.groupBy(*keys).agg(F.median(x).alias("_mx"), F.median(y).alias("_my"))
-    return slopes.join(mid, keys).select(*keys, "slope", (F.col("_my") - F.col("slope") * F.col("_mx")).alias("intercept"))
+    """Median slope over all pairs of a key's points, and the intercept through the medians; exact, without making the pairs.
+
+    A key's points come to one task as two columns of numbers; keys without two different x give no row.
+    """
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.select(*keys).schema.fields)
+
+    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        at, value = pdf[x].to_numpy(float), pdf[y].to_numpy(float)
+        slope = median_slope(at, value)
+        rows = [] if slope is None else [(*key, slope, float(np.median(value) - slope * np.median(at)))]
+        return pd.DataFrame(rows, columns=[*keys, "slope", "intercept"])
+
+    known = points.select(*keys, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return known.groupBy(*keys).applyInPandas(work, f"{kinds}, slope double, intercept double")
 
 
 def trend_chance(points: DataFrame, keys: list[str], x: str, y: str, shifts: int = 400) -> DataFrame:
