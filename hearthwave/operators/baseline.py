@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -84,6 +84,28 @@ def recent(sweeps: DataFrame, days: int = 7) -> DataFrame:
     return sweeps.join(last, "sensor_id").where(F.col("ts") >= F.col("_last") - F.make_dt_interval(F.lit(days))).drop("_last")
 
 
+def archive(sweeps: DataFrame, path: str) -> None:
+    """Adds sweeps (sensor_id, ts, ...) to the archive: files by day that are never rewritten, and a row of each sensor's last time.
+
+    The times are a table of their own, of a row per sensor and call.
+    """
+    sweeps.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(f"{path}/sweeps")
+    sweeps.groupBy("sensor_id").agg(F.max("ts").alias("last")).write.mode("append").parquet(f"{path}/last")
+
+
+def recent_archived(spark: SparkSession, path: str, days: int = 7) -> DataFrame:
+    """``recent`` of the archive: only files of days that some sensor's window needs are read.
+
+    Which days these are comes from the small table of last times, so that a sensor that is silent adds its own old days
+    and not all since then.
+    """
+    last = spark.read.parquet(f"{path}/last").groupBy("sensor_id").agg(F.max("last").alias("_last"))
+    start = F.col("_last") - F.make_dt_interval(F.lit(days))
+    wanted = last.select(F.explode(F.sequence(F.to_date(start), F.to_date("_last"))).alias("day")).distinct().collect()
+    stored = spark.read.parquet(f"{path}/sweeps").where(F.col("day").isin([r["day"] for r in wanted]))
+    return stored.join(last, "sensor_id").where(F.col("ts") >= start).drop("_last", "day")
+
+
 def mask_occupied(bins: DataFrame, occupants: DataFrame, keys: list[str], near: float = 1.0) -> DataFrame:
     """Adds ``usable``: false for bins (range_m) within ``near`` metres of an occupant (range_m) of the same sweep."""
     spots = occupants.groupBy(*keys).agg(F.collect_set("range_m").alias("_spots"))

@@ -235,6 +235,26 @@ def clear_channels(bins: np.ndarray, z: np.ndarray, fps: float, k: int = 8) -> l
     return [{"range_bin": int(bins[i]), "place": n + 1, "quality": float(worth[i])} for n, i in enumerate(s.best(worth, k))]
 
 
+def breath_cycles_out(bins: np.ndarray, z: np.ndarray, fps: float) -> list[dict]:
+    """Per bin: the heart rate before and after the mean breath cycle is taken out, and the share of the motion that goes with it.
+
+    Cycles run between the peaks of the strongest bin's breathing; each bin's cycles are stretched to one length, averaged,
+    and the average is taken out of each at its own length. A window of under three cycles only loses its mean.
+    """
+    x = s.displacement(z)
+    breathing = s.band(x, fps, *s.BREATH)
+    breath = breathing[int(breathing.std(axis=1).argmax())]
+    cycles = max(0, len(s.peaks(breath, 0.0, 3)) - 1)
+    out = []
+    for i, own in enumerate(x):
+        rest = s.without_breath(own, breath)
+        before, after = (float(s.peak_frequency(v, fps, *s.HEART)[0]) * 60 for v in (own, rest))
+        power = float(own.var())
+        out.append({"range_bin": int(bins[i]), "cycles": cycles, "hr_before": before, "hr_after": after, "removed": 1 - float(rest.var()) / power if power > 0 else 0.0})
+    return out
+
+
+CYCLES = "range_bin int, cycles int, hr_before double, hr_after double, removed double"
 CLEAR = "range_bin int, place int, quality double"
 PARTS = "range_bin int, reflection double, breath double, heart double, part string"
 LIVE = "range_bin int, live double, rate double"

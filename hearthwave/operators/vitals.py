@@ -93,15 +93,23 @@ def rhythm_alerts(entries: DataFrame, keys: list[str], size: float = 30.0, slide
     return found.withColumn("alert", F.sum((F.col("verdict") == "IRREGULAR").cast("int")).over(last) >= least)
 
 
-def smoothed_rates(states: DataFrame, keys: list[str], value: str = "hr", **options) -> DataFrame:
-    """Adds ``{value}_smooth``: gated and filtered in time order, one capture's windows at a time."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in states.schema.fields) + f", {value}_smooth double"
+def smoothed_rates(states: DataFrame, keys: list[str], value: str = "hr", order: str = "start", **options) -> DataFrame:
+    """Adds ``{value}_smooth``: gated and filtered in time order, of a table or a stream, by ``streaming.steps.smooth_step``.
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start")
-        return pdf.assign(**{f"{value}_smooth": s.smoothed([None if pd.isna(v) else v for v in pdf[value]], **options)})
+    A table's rows come batch after batch from sorted partitions; of a track only its state is held.
+    """
+    from ..streaming import jobs
+    from ..streaming.steps import smooth_step
+
+    kinds = {f.name: f.dataType.simpleString() for f in states.schema.fields}
+    others = [c for c in states.columns if c not in (*keys, order)]
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*keys, order, *others)) + f", {value}_smooth double"
+
+    def step(state: dict, row: dict) -> dict:
+        return {c: row[c] for c in others} | smooth_step(state, row, value, **options)
 
-    return states.groupBy(*keys).applyInPandas(work, schema)
+    run = jobs.in_stream if states.isStreaming else jobs.in_batch
+    return run(states, keys, [order], step, schema).select(*states.columns, f"{value}_smooth")
 
 
 def pauses(amplitude: DataFrame, keys: list[str], share: float = 0.45, floor_mm: float = 0.015, least_s: float = 10.0, present: float = 0.5) -> DataFrame:

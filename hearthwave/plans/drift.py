@@ -53,6 +53,17 @@ def recent_sweeps(spark: SparkSession, d: str) -> DataFrame:
     return b.recent(sweeps(spark, d)).groupBy("sensor_id", "range_bin").agg(F.count("*").alias("n"))
 
 
+@query(f"{SWEEPS} SELECT sensor_id, range_bin, count(*) AS n, R(sum(power)) AS power FROM (SELECT *, max(ts) OVER (PARTITION BY sensor_id) AS last FROM sweeps) WHERE ts >= last - INTERVAL 3 DAY GROUP BY ALL", 4)
+def archived_sweeps(spark: SparkSession, d: str) -> DataFrame:
+    """The last days of an archive by day, written in two parts and read with the days' files alone."""
+    from ..sources.tables import scratch
+
+    path, rows = scratch(spark, "archive"), sweeps(spark, d)
+    for half in (0, 1):
+        b.archive(rows.where(F.pmod(F.hash("ts"), F.lit(2)) == half), path)
+    return b.recent_archived(spark, path, 3).groupBy("sensor_id", "range_bin").agg(F.count("*").alias("n"), F.sum("power").alias("power"))
+
+
 @query(f"{SWEEPS} SELECT sensor_id, (epoch(ts)::BIGINT - epoch(ts)::BIGINT % 300) AS bucket, count(*) AS n, R(sum(power)) AS power FROM (SELECT * REPLACE (date_trunc('second', ts) AS ts) FROM sweeps) GROUP BY ALL", 3)
 def five_minute_buckets(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.tables import bucket_start

@@ -234,9 +234,16 @@ def coverage_box(spark: SparkSession, d: str) -> DataFrame:
     return g.coverage(spans, KEY)
 
 
-@query()
+@query(f"""WITH RECURSIVE {POINTS}, c AS (SELECT capture_id % 5 AS capture_id, floor(x / 0.25)::INT AS ix, floor(y / 0.25)::INT AS iy, floor(z / 0.25)::INT AS iz FROM points WHERE z >= 0 GROUP BY ALL HAVING count(*) >= 2), p AS (SELECT capture_id, ((ix + 50000)::BIGINT * 100000 + iy + 50000) * 100000 + iz AS node, (ix + 0.5::DOUBLE) * 0.25::DOUBLE AS x, (iy + 0.5::DOUBLE) * 0.25::DOUBLE AS y, (iz + 0.5::DOUBLE) * 0.25::DOUBLE AS z, ix, iy, iz FROM c WHERE iz >= 1 OR (iz + 0.5) * 0.25 >= 0.15),
+shift AS (SELECT a.s AS a, b.s AS b, c.s AS c FROM (SELECT unnest([-1, 0, 1]) AS s) a, (SELECT unnest([-1, 0, 1]) AS s) b, (SELECT unnest([-1, 0, 1]) AS s) c WHERE abs(a.s) + abs(b.s) + abs(c.s) <= 2),
+d AS (SELECT p.capture_id, p.node AS a, o.node AS b FROM p CROSS JOIN shift s JOIN p o ON o.capture_id = p.capture_id AND o.ix = p.ix + s.a AND o.iy = p.iy + s.b AND o.iz = p.iz + s.c), core AS (SELECT capture_id, a AS node FROM d GROUP BY ALL HAVING count(*) >= 4),
+e AS (SELECT d.capture_id, d.a, d.b FROM d JOIN core x ON x.capture_id = d.capture_id AND x.node = d.a JOIN core y ON y.capture_id = d.capture_id AND y.node = d.b),
+reach(capture_id, node, root) USING KEY (capture_id, node) AS (SELECT capture_id, node, node FROM core UNION (SELECT e.capture_id, e.b, min(r.root) FROM reach r JOIN e ON e.capture_id = r.capture_id AND e.a = r.node JOIN recurring.reach o ON o.capture_id = e.capture_id AND o.node = e.b WHERE r.root < o.root GROUP BY ALL)),
+lab AS (SELECT d.capture_id, d.a AS node, coalesce(any_value(own.root), min(r.root)) AS root FROM d JOIN reach r ON r.capture_id = d.capture_id AND r.node = d.b LEFT JOIN reach own ON own.capture_id = d.capture_id AND own.node = d.a GROUP BY d.capture_id, d.a), ids AS (SELECT capture_id, root, row_number() OVER (PARTITION BY capture_id ORDER BY root) - 1 AS cluster_id FROM (SELECT DISTINCT capture_id, root FROM lab)),
+b AS (SELECT capture_id, cluster_id::INT AS cluster_id, count(*) AS n, (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy, (min(z) + max(z)) / 2 AS cz, greatest(max(x) - min(x), 0.05) AS sx, greatest(max(y) - min(y), 0.05) AS sy, greatest(max(z) - min(z), 0.05) AS sz FROM lab JOIN p USING (capture_id, node) JOIN ids USING (capture_id, root) GROUP BY ALL HAVING count(*) >= 4)
+SELECT capture_id, cluster_id, n, R(cx) AS cx, R(cy) AS cy, R(cz) AS cz, R(sx) AS sx, R(sy) AS sy, R(sz) AS sz, {LABEL} AS label FROM (SELECT *, cz + sz / 2 AS top, greatest(sx, sy) AS foot FROM b)""")
 def room_objects(spark: SparkSession, d: str) -> DataFrame:
-    """The furniture pass; label spreading, tested on small clouds."""
+    """The furniture pass: cells, clusters, boxes and labels."""
     p = points(spark, d).withColumn("capture_id", F.col("capture_id") % 5)
     return c.detect_objects(p, KEY, cell=0.25, dense=2, eps=0.4, least=4)
 

@@ -439,7 +439,15 @@ def motion_segments(spark: SparkSession, d: str) -> DataFrame:
     return v.segments(rows, ["user_id"], k=1.3)
 
 
-@query()
+@query("""WITH RECURSIVE ev AS (SELECT user_id, event_id, value FROM events), r AS (SELECT user_id, event_id::DOUBLE AS start, 60 + value / 20 AS hr, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM ev),
+s AS (SELECT user_id, start, hr, rn, hr AS x, 4.0::DOUBLE AS p, [hr] AS kept, []::DOUBLE[] AS odd FROM r WHERE rn = 1
+UNION ALL
+SELECT user_id, start, hr, rn, CASE WHEN ok THEN x + (p + 0.49) / (p + 4.49) * (hr - x) WHEN anew THEN list_avg(odd2) ELSE x END, CASE WHEN ok THEN (1 - (p + 0.49) / (p + 4.49)) * (p + 0.49) WHEN anew THEN 4.0 ELSE p END,
+  CASE WHEN ok THEN kept2 WHEN anew THEN odd2 ELSE kept END, CASE WHEN ok OR anew THEN []::DOUBLE[] ELSE odd2 END
+FROM (SELECT *, NOT ok AND len(odd2) = 5 AND list_stddev_pop(odd2) <= 0.1 * list_avg(odd2) AS anew FROM (
+  SELECT n.user_id, n.start, n.hr, n.rn, s.x, s.p, s.kept, abs(n.hr - list_avg(s.kept)) <= 0.1 * list_avg(s.kept) AND abs(n.hr - s.kept[-1]) <= 0.2 * s.kept[-1] AS ok, list_slice(list_append(s.kept, n.hr), -5, -1) AS kept2, list_slice(list_append(s.odd, n.hr), -5, -1) AS odd2
+  FROM s JOIN r n ON n.user_id = s.user_id AND n.rn = s.rn + 1)))
+SELECT user_id, start, R(hr) AS hr, R(x) AS hr_smooth FROM s""")
 def smoothed_rates(spark: SparkSession, d: str) -> DataFrame:
     """A gated and filtered track, value after value."""
     rows = events(spark, d).select("user_id", F.col("event_id").cast("double").alias("start"), (60 + F.col("value") / 20).alias("hr"))
@@ -450,3 +458,10 @@ def smoothed_rates(spark: SparkSession, d: str) -> DataFrame:
 def clear_channels(spark: SparkSession, d: str) -> DataFrame:
     """The bins of each window whose breathing is clearest, ranked."""
     return ft.per_bin(_slow_time(spark, d), ["capture_id"], ft.clear_channels, ft.CLEAR, 10.0, 10.0)
+
+
+@query()
+def breath_cycles_out(spark: SparkSession, d: str) -> DataFrame:
+    """Heart rates of every capture's snapshots before and after the breath's mean cycle is taken out: many captures, short windows."""
+    rows = snapshots(spark, d).select("capture_id", "range_bin", (F.col("snap") * 0.05).alias("ts"), "re", "im")
+    return ft.per_bin(rows, ["capture_id"], ft.breath_cycles_out, ft.CYCLES, 12.8, 12.8, least=4)

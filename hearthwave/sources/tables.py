@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in ``spark.checkpoint.dir``, which driver and executors share; a temporary one only where all runs in one process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def bucket_start(epoch: Column, seconds: int = 300) -> Column:
     """Start of the wall-clock bucket a time falls into."""
     return (epoch - F.pmod(epoch, F.lit(seconds))).cast("long")

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 
 def latch_step(state: dict, row: dict, sustain: int = 5, clear: int = 5, low_m: float = 0.45) -> dict:
     """Down latch of one track: on at the ``sustain``-th low frame in a row, off at the ``clear``-th other one."""
@@ -20,6 +22,37 @@ def latch_step(state: dict, row: dict, sustain: int = 5, clear: int = 5, low_m:
     return {"down": state.get("down", False)}
 
 
+def smooth_step(state: dict, row: dict, value: str = "hr", q: float = 0.7, r: float = 4.0, near: float = 0.10, jump: float = 0.20, history: int = 5, use_median: bool = False) -> dict:
+    """Continuity gate and filter of one rate track, a value at a time: the filter's mean and variance and the last values are its state.
+
+    A value far from the recent ones (``near``: from their mean or median, ``jump``: from the last) is passed over, and the
+    track coasts on its mean; ``history`` values in a row that were passed over but agree start it anew.
+    """
+    v, kept, odd = row.get(value), state.get("kept", []), state.get("odd", [])
+    if v is not None and not math.isnan(v):
+        v = float(v)
+        if kept:
+            recent = np.median(kept) if use_median else np.mean(kept)
+            ok = abs(v - recent) <= near * recent and abs(v - kept[-1]) <= jump * kept[-1]
+        else:
+            ok = True
+        if not ok:
+            odd = [*odd, v][-history:]
+            if len(odd) == history and np.std(odd) <= near * np.mean(odd):
+                state.update(mean=float(np.mean(odd)), variance=r)
+                kept, odd = odd, []
+        elif not kept:
+            state.update(mean=v, variance=r)
+            kept, odd = [v], []
+        else:
+            spread = state["variance"] + q * q
+            gain = spread / (spread + r)
+            state.update(mean=state["mean"] + gain * (v - state["mean"]), variance=(1 - gain) * spread)
+            kept, odd = [*kept, v][-history:], []
+        state.update(kept=kept, odd=odd)
+    return {f"{value}_smooth": state.get("mean")}
+
+
 def _nearest(x: float, y: float, spots: list[tuple], gate: float):
     """Key of the nearest of (key, x, y) strictly within the gate; the first of equals."""
     found = min(((math.hypot(x - sx, y - sy), i, key) for i, (key, sx, sy) in enumerate(spots)), default=None)
