@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -52,30 +51,110 @@ def oversampled(df: DataFrame, label: str = "label", most: int = 10) -> DataFram
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))
     top = counts.agg(F.max("_n").alias("_top"))
     times = counts.join(F.broadcast(top)).select(label, F.least(F.round(F.col("_top") / F.col("_n")).cast("int"), F.lit(most)).alias("_times"))
-    return df.join(F.broadcast(times), label).withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest("_times", F.lit(1))))).drop("_times", "_i")
+    return df.join(times, label).withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest("_times", F.lit(1))))).drop("_times", "_i")
+
+
+def _sums(table: DataFrame, width: int, make: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sums over all rows of what ``make`` (of recording numbers, labels, weights and features) tells of a batch: rows of ``width`` numbers. One job."""
+
+    def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for pdf in it:
+            if len(pdf):
+                part = make(pdf["_g"].to_numpy(), pdf["_y"].to_numpy(float), pdf["_w"].to_numpy(float), np.stack(pdf["_x"].to_numpy()).astype(float))
+                total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"i": np.arange(len(total)), "v": list(total)})
+
+    parts = table.mapInPandas(work, "i long, v array<double>").select("i", F.posexplode("v").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    rows = parts.toPandas().sort_values(["i", "j"])
+    return rows["v"].to_numpy(float).reshape(-1, width) if len(rows) else np.zeros((0, width))
+
+
+def fitted_without(table: DataFrame, folds: int, dims: int, reg: float, steps: int = 60) -> np.ndarray:
+    """(folds, 1 + dims): bias and weights of a logistic model for each recording left out, by Newton steps for all at once.
+
+    table: _g (number of the recording), _y, _w (weight), _x. A step is one job, whatever the number of recordings: the sums
+    of a fold are those of all rows less those of its own recording. Weights are held back by their features' spread.
+    """
+    size = 1 + dims
+    first = _sums(table, 2 + 2 * dims + 2, lambda g, y, w, x: _by_group(g, np.column_stack([w, w * w, w[:, None] * x, w[:, None] * x * x, w * y, w * (1 - y)]), folds))
+    own = first.sum(axis=0) - first
+    weight = np.maximum(own[:, :1], 1e-300)
+    mean = own[:, 2 : 2 + dims] / weight
+    spread = (own[:, 2 + dims : 2 + 2 * dims] - weight * mean**2) / np.maximum(weight - own[:, 1:2] / weight, 1e-300)
+    held = np.column_stack([np.zeros(folds), reg * np.maximum(spread, 0)])
+    both = (own[:, -2] > 0) & (own[:, -1] > 0)
+    beta = np.zeros((folds, size))
+    scale = np.column_stack([np.ones(folds), np.where(spread > 0, np.sqrt(np.maximum(spread, 1e-300)), 1.0)])
+    for _ in range(steps):
+        now = beta.copy()
+
+        def slopes(g: np.ndarray, y: np.ndarray, w: np.ndarray, x: np.ndarray, now: np.ndarray = now) -> np.ndarray:
+            x1 = np.column_stack([np.ones(len(x)), x])
+            out = np.zeros((folds, size + size * size))
+            for f in range(folds):
+                rows = g != f
+                p = 1 / (1 + np.exp(-np.clip(x1[rows] @ now[f], -500, 500)))
+                out[f, :size] = x1[rows].T @ (w[rows] * (p - y[rows]))
+                out[f, size:] = ((x1[rows] * (w[rows] * p * (1 - p))[:, None]).T @ x1[rows]).ravel()
+            return out
+
+        sums = _sums(table, size + size * size, slopes)
+        moved = 0.0
+        for f in np.flatnonzero(both):
+            gradient = sums[f, :size] / weight[f] + held[f] * beta[f]
+            bend = sums[f, size:].reshape(size, size) / weight[f] + np.diag(held[f] + 1e-12 * scale[f] ** 2)
+            step = np.linalg.lstsq(bend, gradient, rcond=None)[0]
+            long = float(np.abs(step * scale[f]).max())
+            beta[f] -= step * min(1.0, 5.0 / max(long, 1e-300))
+            moved = max(moved, long)
+        if moved < 1e-9:
+            break
+    return beta
+
+
+def _by_group(g: np.ndarray, rows: np.ndarray, groups: int) -> np.ndarray:
+    out = np.zeros((groups, rows.shape[1]))
+    np.add.at(out, g, rows)
+    return out
+
+
+def areas(scored: DataFrame, group: str) -> DataFrame:
+    """Per recording: n and auc (null where it has one class only), exact, from counts by score. scored: group, _y, _z."""
+    per = scored.groupBy(group, "_z").agg(F.sum("_y").alias("_pos"), F.sum(1 - F.col("_y")).alias("_neg"))
+    below = F.sum("_neg").over(W.partitionBy(group).orderBy("_z")) - F.col("_neg")
+    won = per.withColumn("_won", F.col("_pos") * (below + F.col("_neg") / 2))
+    total = won.groupBy(group).agg(F.sum(F.col("_pos") + F.col("_neg")).cast("long").alias("n"), F.sum("_won").alias("_won"), F.sum("_pos").alias("_p"), F.sum("_neg").alias("_q"))
+    return total.select(group, "n", F.when((F.col("_p") > 0) & (F.col("_q") > 0), F.col("_won") / (F.col("_p") * F.col("_q"))).alias("auc"))
 
 
 def leave_one_out(features: DataFrame, columns: list[str], group: str, label: str = "label", reg: float = 0.01) -> DataFrame:
     """Logistic fusion with one recording held out at a time: group, n, auc (null where it has one class only).
 
-    One fit per recording: the loop runs over recordings, of which there are few, not over rows.
+    All folds are fitted together: jobs grow with the Newton steps and not with the recordings, whose names are on the driver.
+    Rows with a missing feature or label are left out; where the rest of the recordings has one class only, all score alike.
     """
-    spark = features.sparkSession
-    table = VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="skip").transform(features.select(group, label, *columns)).select(group, F.col(label).cast("double").alias("label"), "raw").persist()
-    share = table.groupBy().agg(F.avg("label")).first()[0] or 0.0
-    weighted = table.withColumn("weight", F.when(F.col("label") == 1, 1 - share).otherwise(share))
-    rows = []
-    for (held,) in sorted(table.select(group).distinct().collect()):
-        train, test = weighted.where(F.col(group) != held), table.where(F.col(group) == held)
-        scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
-        model = LogisticRegression(weightCol="weight", regParam=reg).fit(scaler.transform(train))
-        scored = model.transform(scaler.transform(test))
-        classes = test.select("label").distinct().count()
-        auc = BinaryClassificationEvaluator().evaluate(scored) if classes == 2 else None
-        rows.append((held, test.count(), auc))
-    table.unpersist()
+    known = features.select(F.col(group).alias("_name"), F.col(label).cast("double").alias("_y"), F.array(*(F.col(c).cast("double") for c in columns)).alias("_x"))
+    known = known.where(F.col("_y").isNotNull() & F.forall("_x", lambda v: v.isNotNull() & ~F.isnan(v))).persist()
+    names = sorted(r["_name"] for r in known.select("_name").distinct().collect())
     kind = features.schema[group].dataType.simpleString()
-    return spark.createDataFrame(rows, f"{group} {kind}, n long, auc double")
+    numbers = known.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], f"_name {kind}, _g int")
+    share = known.agg(F.avg("_y")).first()[0] or 0.0
+    table = known.join(numbers, "_name").withColumn("_w", F.when(F.col("_y") == 1, 1 - share).otherwise(share)).persist()
+    beta = fitted_without(table, len(names), len(columns), reg)
+
+    def score(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            if len(pdf):
+                own = beta[pdf["_g"].to_numpy()]
+                yield pd.DataFrame({group: pdf["_name"], "_y": pdf["_y"], "_z": own[:, 0] + (np.stack(pdf["_x"].to_numpy()) * own[:, 1:]).sum(axis=1)})
+
+    scored = table.mapInPandas(score, f"`{group}` {kind}, _y double, _z double")
+    rows = areas(scored, group).collect()
+    table.unpersist()
+    known.unpersist()
+    return features.sparkSession.createDataFrame(rows, f"`{group}` {kind}, n long, auc double")
 
 
 def compared(features: DataFrame, sets: dict[str, list[str]], group: str, label: str = "label", reg: float = 0.01) -> DataFrame:
