@@ -116,6 +116,33 @@ def ema_difference(energy: DataFrame, keys: list[str], alpha: float, frames: str
     return sums.withColumn("d", F.col("now") - F.col("slow"))
 
 
+def day_maps(energy: DataFrame, counts: DataFrame, keys: list[str], alpha: float, day: str, frames: str) -> DataFrame:
+    """(keys, day, cells, s): what each day alone adds to the slow baseline by its end.
+
+    energy: keys, day, cells, the frame's number within its day from 1, e. counts: keys, day, n (frames of the day).
+    With the factor (1 - alpha)^n that a day leaves of what was before, these pairs combine in any grouping of days.
+    """
+    weight = alpha * F.pow(F.lit(1 - alpha), F.col("n") - F.col(frames))
+    return energy.join(counts, [*keys, day]).groupBy(*keys, day, *CELLS).agg(F.sum(weight * F.col("e")).alias("s"))
+
+
+def slow_map(parts: DataFrame, counts: DataFrame, keys: list[str], alpha: float, day: str) -> DataFrame:
+    """(keys, cells, slow): the baseline after all days from ``day_maps``; only the days' numbers of frames are added up in order."""
+    after = F.sum("n").over(W.partitionBy(*keys).orderBy(F.desc(day))) - F.col("n")
+    left = counts.select(*keys, day, F.pow(F.lit(1 - alpha), after).alias("_f"))
+    return parts.join(left, [*keys, day]).groupBy(*keys, *CELLS).agg(F.sum(F.col("s") * F.col("_f")).alias("slow"))
+
+
+def advanced_map(before: DataFrame, parts: DataFrame, counts: DataFrame, keys: list[str], alpha: float) -> DataFrame:
+    """The baseline (keys, cells, slow) a day later, from the stored one and that day's part alone: no earlier day is read.
+
+    parts: keys, cells, s; counts: keys, n. A sensor without frames that day keeps its map.
+    """
+    met = before.join(parts, [*keys, *CELLS], "full").join(counts, keys, "left")
+    left = F.pow(F.lit(1 - alpha), F.coalesce("n", F.lit(0)))
+    return met.select(*keys, *CELLS, (F.coalesce("slow", F.lit(0.0)) * left + F.coalesce("s", F.lit(0.0))).alias("slow"))
+
+
 def boxes(points: DataFrame, keys: list[str], cluster: str = "cluster_id", least: int = 4) -> DataFrame:
     """Axis-aligned box of each cluster (noise is cluster -1), sides 0.05 m at least, with its label."""
     ranges = [f(c).alias(f"_{n}{c}") for c in "xyz" for n, f in (("a", F.min), ("b", F.max))]

@@ -202,6 +202,16 @@ def ema_diff(spark: SparkSession, d: str) -> DataFrame:
     return v.ema_difference(v.energy_density(p, [*KEY, "f"], normalize=False), KEY, 0.1, "f", 6)
 
 
+@query(EMA.rsplit(" SELECT ", 1)[0] + " SELECT capture_id, ix, iy, iz, R(slow) AS slow FROM q", 3)
+def slow_map_by_day(spark: SparkSession, d: str) -> DataFrame:
+    """The slow baseline from the maps of days of ten frames."""
+    p = points(spark, d).withColumns({"capture_id": F.col("capture_id") % 5, "day": F.floor((F.col("frame") % 40) / 10), "f": F.col("frame") % 10 + 1})
+    cells = v.energy_density(p, [*KEY, "day", "f"], normalize=False)
+    last = p.groupBy(*KEY).agg(F.max(F.col("day") * 10 + F.col("f")).alias("last"))
+    counts = last.select(*KEY, F.explode(F.sequence(F.lit(0), F.floor((F.col("last") - 1) / 10))).alias("day"), "last").select(*KEY, "day", F.least(F.lit(10), F.col("last") - F.col("day") * 10).alias("n"))
+    return v.slow_map(v.day_maps(cells, counts, KEY, 0.1, "day", "f"), counts, KEY, 0.1, "day")
+
+
 @query(EMA.rsplit(" SELECT ", 1)[0] + " SELECT capture_id, ix, iy, iz, R(now - slow) AS d FROM q", 3)
 def map_steps(spark: SparkSession, d: str) -> DataFrame:
     """The monitor's step function, a frame's sparse cells at a time; what it tells at a capture's last frame."""

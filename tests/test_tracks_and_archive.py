@@ -81,3 +81,31 @@ def test_heart_tone_under_the_breath(spark):
     for r in got:
         assert r["cycles"] >= 12 and r["removed"] > 0.9
         assert abs(r["hr_before"] - 82.2) > 5 and abs(r["hr_after"] - 82.2) < 1.5
+
+
+def test_slow_map_day_by_day(spark):
+    """Advanced a day at a time, and combined from all days at once: the closed form over all frames."""
+    from hearthwave.operators import voxels as v
+
+    e = random.Random(6)
+    frames = {"a": [7, 3, 9, 5], "b": [4, 0, 6, 2]}
+    rows, number = [], {"a": 0, "b": 0}
+    for day in range(4):
+        for sensor, days in frames.items():
+            for f in range(1, days[day] + 1):
+                number[sensor] += 1
+                for cell in e.sample(range(6), 3):
+                    rows.append((sensor, day, f, number[sensor], cell, 0, 1, e.random()))
+                if number[sensor] == sum(days):
+                    rows.append((sensor, day, f, number[sensor], 9, 0, 1, 1.0))
+    df = spark.createDataFrame(rows, "sensor_id string, day int, f int, frame int, ix int, iy int, iz int, e double")
+    counts = spark.createDataFrame([(s_, d, n) for s_, days in frames.items() for d, n in enumerate(days)], "sensor_id string, day int, n int")
+    want = {(r["sensor_id"], r["ix"]): r["slow"] for r in v.ema_difference(df, ["sensor_id"], 0.05, "frame", 3).collect()}
+    parts = v.day_maps(df, counts, ["sensor_id"], 0.05, "day", "f")
+    at_once = {(r["sensor_id"], r["ix"]): r["slow"] for r in v.slow_map(parts, counts, ["sensor_id"], 0.05, "day").collect()}
+    now = spark.createDataFrame([], "sensor_id string, ix int, iy int, iz int, slow double")
+    for day in range(4):
+        now = v.advanced_map(now, parts.where(F.col("day") == day).drop("day"), counts.where(F.col("day") == day).drop("day"), ["sensor_id"], 0.05)
+    stepwise = {(r["sensor_id"], r["ix"]): r["slow"] for r in now.collect()}
+    assert set(want) == set(at_once) == set(stepwise)
+    assert all(abs(at_once[k] - x) < 1e-12 and abs(stepwise[k] - x) < 1e-12 for k, x in want.items())
