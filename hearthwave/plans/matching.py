@@ -80,15 +80,15 @@ def points_near_tracks(spark: SparkSession, d: str) -> DataFrame:
 DEATHS = "seen AS (SELECT capture_id, frame % 50 AS frame, k AS tid, avg(x) AS x, avg(y) AS y FROM points WHERE power < 60000 GROUP BY ALL), fr AS (SELECT DISTINCT capture_id, frame FROM seen), dead AS (SELECT s.*, f.frame AS died FROM seen s JOIN fr f ON f.capture_id = s.capture_id AND f.frame = s.frame + 1 WHERE NOT EXISTS (SELECT 1 FROM seen n WHERE n.capture_id = s.capture_id AND n.tid = s.tid AND n.frame = s.frame + 1))"
 
 
-def _deaths(spark: SparkSession, d: str) -> DataFrame:
-    p = points(spark, d).where("power < 60000").withColumns({"frame": F.col("frame") % 50})
+def _deaths(spark: SparkSession, d: str, which: str = "power < 60000") -> DataFrame:
+    p = points(spark, d).where(which).withColumns({"frame": F.col("frame") % 50})
     seen = p.groupBy("capture_id", "frame", F.col("k").alias("tid")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
     return j.track_deaths(seen, seen.select(*FRAME).distinct(), ["capture_id"], "frame", "tid")
 
 
-@query(f"{POINTS}, {DEATHS} SELECT capture_id, frame, tid, R(x) AS x, R(y) AS y, died FROM dead")
+@query(f"{POINTS}, {DEATHS.replace(' WHERE power < 60000', '')} SELECT capture_id, frame, tid, R(x) AS x, R(y) AS y, died FROM dead")
 def track_deaths(spark: SparkSession, d: str) -> DataFrame:
-    return _deaths(spark, d).select("capture_id", "frame", "tid", "x", "y", "died")
+    return _deaths(spark, d, "true").select("capture_id", "frame", "tid", "x", "y", "died")
 
 
 @query(f"{POINTS}, {DEATHS}, bl AS (SELECT capture_id, frame % 50 AS frame, k AS blob, avg(x) AS x, avg(y) AS y FROM points WHERE power >= 60000 GROUP BY ALL), m AS (SELECT b.*, dd.tid, dd.died FROM bl b JOIN dead dd ON dd.capture_id = b.capture_id AND b.frame BETWEEN dd.died AND dd.died + 8 WHERE (b.x - dd.x) ** 2 + (b.y - dd.y) ** 2 <= 1.6::DOUBLE * 1.6::DOUBLE) SELECT capture_id, frame, blob, R(x) AS x, R(y) AS y, arg_max(tid, (died, tid)) AS tid, frame - arg_max(died, (died, tid)) AS age FROM m GROUP BY capture_id, frame, blob, x, y")
@@ -104,14 +104,14 @@ def not_walked_off(spark: SparkSession, d: str) -> DataFrame:
     return j.not_walked_off(_groups(spark, d, "N", "tid"), _groups(spark, d, "R", "cluster_id"), FRAME, gate=0.5)
 
 
-BURST = "q AS (SELECT DISTINCT capture_id, frame, k * 20 AS range_bin FROM points WHERE scan = 'A'), b AS (SELECT DISTINCT capture_id, frame AS b_frame, k * 20 + 3 AS b_bin FROM points WHERE scan = 'R')"
+BURST = "q AS (SELECT DISTINCT capture_id, frame, k * 20 AS range_bin FROM points WHERE scan = 'A'), b AS (SELECT DISTINCT capture_id, frame AS b_frame, k * 20 + 3 AS b_bin FROM points WHERE scan <> 'A')"
 
 
 @query(f"{POINTS}, {BURST}, m AS (SELECT q.*, b_frame, b_bin, row_number() OVER (PARTITION BY q.capture_id, frame, range_bin ORDER BY (b_frame < frame)::INT, abs(b_frame - frame), abs(range_bin - b_bin), b_bin) AS place FROM q JOIN b ON b.capture_id = q.capture_id AND abs(b_frame - frame) <= 150 AND abs(range_bin - b_bin) <= 10) SELECT capture_id, frame, range_bin, b_frame, b_bin FROM m WHERE place = 1")
 def nearest_burst(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
     q = p.where("scan = 'A'").select("capture_id", "frame", (F.col("k") * 20).alias("range_bin")).distinct()
-    b = p.where("scan = 'R'").select("capture_id", "frame", (F.col("k") * 20 + 3).alias("range_bin")).distinct()
+    b = p.where("scan <> 'A'").select("capture_id", "frame", (F.col("k") * 20 + 3).alias("range_bin")).distinct()
     return j.nearest_burst(q, b, ["capture_id"])
 
 
