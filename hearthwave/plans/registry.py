@@ -54,4 +54,4 @@ def _round_calls(sql: str, digits: int) -> str:
     return out + sql[at:]
 
 
-from . import arrays, choices, drift, matching, motion, rooms, signals  # noqa: E402, F401  (they register themselves)
+from . import arrays, choices, drift, matching, motion, rooms, signals, streams  # noqa: E402, F401  (they register themselves)
