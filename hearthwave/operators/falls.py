@@ -231,11 +231,11 @@ def descent(frames: DataFrame, keys: list[str], ts: str, h: str, upright: float
     return found.withColumns({"seconds": seconds, "rate": F.when(seconds > 0, (F.col("h_up") - F.col("h_floor")) / seconds)})
 
 
-def blackouts(frames: DataFrame, keys: list[str], frame: str, points: Column, has_cube: Column, least: int = 20) -> DataFrame:
-    """Runs of frames with fewer than 3 cloud points but a cube, ``least`` frames or longer."""
+def blackouts(frames: DataFrame, keys: list[str], frame: str, points: Column, has_cube: Column, least: int = 20, ties: list[str] | None = None) -> DataFrame:
+    """Runs of frames with fewer than 3 cloud points but a cube, ``least`` frames or longer; ``ties`` orders those of equal ``frame``."""
     from .islands import episodes
 
-    return episodes(frames, keys, frame, (points < 3) & has_cube).where(F.col("n") >= least)
+    return episodes(frames, keys, frame, (points < 3) & has_cube, ties=ties).where(F.col("n") >= least)
 
 
 def dwell(frames: DataFrame, keys: list[str], state: str, ts: str) -> DataFrame:

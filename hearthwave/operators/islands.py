@@ -42,9 +42,12 @@ def trigger_run(df: DataFrame, keys: list[str], order: list[str], trigger: Colum
     return found.withColumn("run", F.when(F.col("run_flag"), F.col("run_pos")).otherwise(0)).drop("run_pos", "run_flag")
 
 
-def episodes(df: DataFrame, keys: list[str], order: str, flag: Column, reasons: str | None = None) -> DataFrame:
-    """One row per run of the flag: first, last, rows, and the union of the rows' ``reasons`` (an array column)."""
-    found = runs(df, keys, [order], flag).where("run_flag")
+def episodes(df: DataFrame, keys: list[str], order: str, flag: Column, reasons: str | None = None, ties: list[str] | None = None) -> DataFrame:
+    """One row per run of the flag: first, last, rows, and the union of the rows' ``reasons`` (an array column).
+
+    ties: what orders rows of equal ``order``; without it they may come in any order.
+    """
+    found = runs(df, keys, [order, *(ties or [])], flag).where("run_flag")
     extra = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(reasons)))).alias("reasons")] if reasons else []
     return found.groupBy(*keys, "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"), *extra).drop("run")
 

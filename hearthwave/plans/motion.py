@@ -124,7 +124,7 @@ def cell_trigger(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{EVENTS}, x AS (SELECT *, k < 80 AND value < 120 AS low FROM ev), {RUNS.format(k='user_id', o='t')} SELECT user_id, min(t) AS first, max(t) AS last, count(*) AS n FROM q WHERE low GROUP BY user_id, run HAVING count(*) >= 4")
 def blackouts(spark: SparkSession, d: str) -> DataFrame:
-    return f.blackouts(events(spark, d).withColumn("points", F.when(F.col("k") < 80, 0).otherwise(9)), USER, "t", F.col("points"), F.col("value") < 120, least=4)
+    return f.blackouts(events(spark, d).withColumn("points", F.when(F.col("k") < 80, 0).otherwise(9)), USER, "t", F.col("points"), F.col("value") < 120, least=4, ties=["event_id"])
 
 
 @query(f"""{EVENTS}, h AS (SELECT user_id, t, value / 100.0::DOUBLE AS h FROM ev), fl AS (SELECT user_id, min(t) AS t_floor FROM h WHERE h <= 0.2 GROUP BY user_id), j AS (SELECT * FROM h JOIN fl USING (user_id)),

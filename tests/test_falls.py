@@ -219,3 +219,12 @@ def test_labels(spark):
     rows = [("Empty room", "empty"), ("half-kneel on side", "boundary"), ("侧倒", "collapse"), ("lie flat", "lie"), ("sits", "upright"), ("?", "unknown")]
     df = spark.createDataFrame(rows, "t string, want string")
     assert all(r[0] == r[1] for r in df.select(falls.label_class(F.col("t")), "want").collect())
+
+
+def test_ties_of_blackouts_follow_their_order(spark):
+    """Frames of one second: their runs are those of the second column, however the rows come."""
+    rows = [(1, 5, i, i in (0, 1, 2, 6)) for i in range(8)] + [(1, 6, 8, True)]
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, "user_id int, t long, event_id long, low boolean")
+        got = falls.blackouts(df, ["user_id"], "t", F.lit(0), F.col("low"), least=1, ties=["event_id"]).collect()
+        assert sorted((r["first"], r["last"], r["n"]) for r in got) == [(5, 5, 1), (5, 5, 3), (6, 6, 1)]
