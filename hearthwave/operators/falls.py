@@ -218,13 +218,17 @@ def collapse(frames: DataFrame, keys: list[str], ts: str, sustain: float = 12.0,
     return told.drop("_new", "_episode").withColumn("suspect", suspect).withColumn("confidence", F.when(F.col("suspect"), F.when(F.col("measured_yet"), "strong").otherwise("weak")))
 
 
-def descent(frames: DataFrame, keys: list[str], ts: str, h: str, upright: float = 1.0, floor: float = 0.4) -> DataFrame:
-    """Last upright moment before the first one on the floor, the seconds between, the rate, and the share that stays down."""
+def descent(frames: DataFrame, keys: list[str], ts: str, h: str, upright: float = 1.0, floor: float = 0.4, tie: str | None = None) -> DataFrame:
+    """Last upright moment before the first one on the floor, the seconds between, the rate, and the share that stays down.
+
+    tie: of the frames of one moment, the one with the smallest ``tie`` gives the height; without it any of them may.
+    """
+    first_of = -F.col(tie) if tie else F.lit(0)
     first = frames.where(F.col(h) <= floor).groupBy(*keys).agg(F.min(ts).alias("t_floor"))
     joined = frames.join(first, keys)
     up = (F.col(h) >= upright) & (F.col(ts) < F.col("t_floor"))
     found = joined.groupBy(*keys, "t_floor").agg(
-        F.max(F.when(up, F.col(ts))).alias("t_up"), F.max_by(F.when(up, F.col(h)), F.when(up, F.col(ts))).alias("h_up"), F.min_by(h, F.abs(F.col(ts) - F.col("t_floor"))).alias("h_floor"),
+        F.max(F.when(up, F.col(ts))).alias("t_up"), F.max_by(h, F.when(up, F.struct(ts, first_of))).alias("h_up"), F.max_by(h, F.when((F.col(ts) == F.col("t_floor")) & F.col(h).isNotNull(), F.struct(first_of))).alias("h_floor"),
         F.avg(F.when(F.col(ts) >= F.col("t_floor"), (F.col(h) <= floor).cast("double"))).alias("stay_down"),
     )
     seconds = F.col("t_floor") - F.col("t_up")

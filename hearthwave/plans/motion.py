@@ -131,7 +131,7 @@ def blackouts(spark: SparkSession, d: str) -> DataFrame:
 g AS (SELECT user_id, t_floor, max(t) FILTER (h >= 1.0 AND t < t_floor) AS t_up, arg_max(h, t) FILTER (h >= 1.0 AND t < t_floor) AS h_up, arg_max(h, t) FILTER (t = t_floor) AS h_floor, avg((h <= 0.2)::INT) FILTER (t >= t_floor) AS stay FROM j GROUP BY ALL)
 SELECT user_id, t_floor, t_up, R(h_up) AS h_up, R(h_floor) AS h_floor, R(stay) AS stay_down, t_floor - t_up AS seconds, R(CASE WHEN t_floor > t_up THEN (h_up - h_floor) / (t_floor - t_up) END) AS rate FROM g""", 9)
 def descent(spark: SparkSession, d: str) -> DataFrame:
-    return f.descent(events(spark, d).withColumn("h", F.col("value") / 100.0), USER, "t", "h", floor=0.2)
+    return f.descent(events(spark, d).withColumn("h", F.col("value") / 100.0), USER, "t", "h", floor=0.2, tie="event_id")
 
 
 @query(f"""{POINTS}, c AS (SELECT capture_id % 5 AS capture_id, rint_x AS fx, rint_y AS fy, * EXCLUDE (capture_id) FROM (SELECT *, round_even(x / 0.5, 0)::INT AS rint_x, round_even(y / 0.5, 0)::INT AS rint_y FROM points)), m AS (SELECT capture_id, fx, fy, quantile_cont(z, 0.05) AS hg FROM c GROUP BY ALL HAVING count(*) >= 8),

@@ -228,3 +228,12 @@ def test_ties_of_blackouts_follow_their_order(spark):
         df = spark.createDataFrame(given, "user_id int, t long, event_id long, low boolean")
         got = falls.blackouts(df, ["user_id"], "t", F.lit(0), F.col("low"), least=1, ties=["event_id"]).collect()
         assert sorted((r["first"], r["last"], r["n"]) for r in got) == [(5, 5, 1), (5, 5, 3), (6, 6, 1)]
+
+
+def test_ties_of_descent_take_the_first(spark):
+    """Of two heights of one moment the one that comes first counts, upright and on the floor; null heights never do."""
+    rows = [(1, 3, 0, 1.4), (1, 3, 1, 1.9), (1, 7, 2, None), (1, 7, 3, 0.5), (1, 7, 4, 0.1)]
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, "user_id int, t long, event_id long, h double").coalesce(1)
+        (r,) = falls.descent(df, ["user_id"], "t", "h", tie="event_id").collect()
+        assert (r["h_up"], r["h_floor"], r["seconds"], r["rate"]) == (1.4, 0.5, 4, pytest.approx(0.225))
