@@ -117,3 +117,12 @@ def test_components_of_a_long_chain(spark):
     rows = graph.components(links).collect()
     assert len(rows) == 201 and {r["root"] for r in rows} == {0}
     assert graph.components(links.where("false")).count() == 0
+
+
+def test_links_of_a_batch_are_joined_at_once(spark):
+    """Rounds are shuffles: a chain or a dense group that one batch holds takes two of them, the last one a check."""
+    chain = [(i, i + 1) for i in range(200)] + [(1000 + i, 1000 + j) for i in range(30) for j in range(i)]
+    rows = graph.components(spark.createDataFrame(chain, "a long, b long").coalesce(1), rounds=2).collect()
+    assert len(rows) == 231 and {r["root"] for r in rows} == {0, 1000}
+    a, b = graph.stars(np.array([5, 7, 9, 4]), np.array([7, 9, 3, 4]))
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(5, 3), (7, 3), (9, 3)]
