@@ -1,9 +1,10 @@
 """Near copies of a corpus: all pairs of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Two texts of similarity 4 : 5 differ in more bits of a fingerprint than a covering code can reach (see the README),
-so this stage compares the sets themselves. They share a shingle of their prefixes (rare shingles first, one more
-than a fifth of the set); sizes and parities rule out what they can prove; a link is kept only if the two whole sets
-have the similarity. No pair is left out.
+First come the pairs that SimHash finds by its anchors (``simhash.links``): nodes of equal fingerprints, and of fingerprints
+of at most three differing bits. Two texts of similarity 4 : 5 may differ in more bits than a covering code can reach
+(see the README), so that what is still apart is looked for by the sets themselves. They share a shingle of their prefixes
+(rare shingles first, one more than a fifth of the set); sizes and parities rule out what they can prove. However a pair
+was found, its link is kept only if the two whole sets have the similarity. No pair is left out.
 
 Defined cases: a null text counts as empty; all texts without words are copies of each other; a text of fewer words
 than a shingle is one shingle. A chain of copies is one group. Of a group the row with the smallest doc_id stays
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontaminate, graph, rows, store, text
+from . import decontaminate, graph, rows, simhash, store, text
 
 #: Words of a shingle. The similarity is the ratio 4 : 5, held in whole numbers.
 SHINGLE = 5
@@ -117,10 +118,10 @@ def lists(h: np.ndarray, row: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]), pa.int32()), longs(h))
 
 
-def mapped(docs: DataFrame, keep: list[str], make, kinds: dict[str, str], wanted: np.ndarray | None = None, size: int = SHINGLE) -> DataFrame:
+def mapped(docs: DataFrame, keep: list[str], make, kinds: dict[str, str], wanted: np.ndarray | None = None, size: int = SHINGLE, whole: Callable | None = None) -> DataFrame:
     """The columns ``keep`` and what ``make`` (of hashes, rows, number of rows) tells of each whole text's set.
 
-    wanted: a bitmap; only rows whose doc_id's hash may be in it.
+    wanted: a bitmap; only rows whose doc_id's hash may be in it. whole: gives further columns, of bytes and offsets of the texts.
     """
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
@@ -131,7 +132,7 @@ def mapped(docs: DataFrame, keep: list[str], make, kinds: dict[str, str], wanted
                 b = b.filter(pa.array((sent.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0))
             for first, end, data, offs in text.chunks(b.column(len(keep))):
                 kept = [b.column(i).slice(first, end - first) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*kept, *make(*shingles(data, offs, size), end - first)], names=[*keep, *kinds])
+                yield pa.RecordBatch.from_arrays([*kept, *make(*shingles(data, offs, size), end - first), *(whole(data, offs) if whole else [])], names=[*keep, *kinds])
 
     chosen = docs.select(*keep, F.col("text").cast("string").alias("text"), *([] if wanted is None else [F.xxhash64("doc_id").alias("fp")]))
     fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[: len(keep)]), *(f"{c} {kind}" for c, kind in kinds.items())]
@@ -163,14 +164,31 @@ def common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_prefix(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep``, the node, its number of shingles, its parities, the wide ones and its prefix."""
+    """The columns ``keep``, the node, its number of shingles, its parities, the wide ones, its prefix and the text's SimHash fingerprint."""
     late, counts = common(docs)
 
     def make(h: np.ndarray, row: np.ndarray, n: int) -> list[pa.Array]:
         bits = lists(odd(h, row, n, PARITIES).ravel(), np.repeat(np.arange(n), PARITIES), n)
         return [longs(_hashed(h, row, n)), pa.array(np.bincount(row, minlength=n).astype(np.int64)), bits, wide(h, row, n), lists(*prefixes(h, row, n, late, counts), n)]
 
-    return mapped(docs, keep, make, {"node": "bigint", "n": "bigint", "parities": "array<bigint>", "wide": "array<bigint>", "prefix": "array<bigint>"})
+    def fingerprints(data: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
+        return [longs(np.array([simhash.fingerprint(data[s:e].tobytes()) for s, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], np.uint64))]
+
+    return mapped(docs, keep, make, {"node": "bigint", "n": "bigint", "parities": "array<bigint>", "wide": "array<bigint>", "prefix": "array<bigint>", "fp": "bigint"}, whole=fingerprints)
+
+
+def by_fingerprints(nodes: DataFrame, block: int = simhash.BLOCK) -> DataFrame:
+    """(a, b): the pairs of nodes that SimHash joins. nodes: node, fp.
+
+    The first node of a fingerprint with its others, and the first ones of two linked fingerprints.
+    """
+    firsts = store.written(nodes.groupBy("fp").agg(F.min("node").alias("a")), "firsts")
+    same = nodes.join(firsts, "fp").where("node <> a").select("a", F.col("node").alias("b"))
+    linked = simhash.links(firsts.select("fp"), block).distinct().toDF("x", "y")
+    apart = linked.join(firsts.toDF("x", "a"), "x").join(firsts.toDF("y", "b"), "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = store.written(same.unionAll(apart), "likely")
+    store.drop(firsts)
+    return pairs
 
 
 def sharing(nodes: DataFrame) -> DataFrame:
@@ -348,13 +366,13 @@ class Evidence(NamedTuple):
     similar: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
 
 
-def near_copies(docs: DataFrame, nodes: DataFrame, block: int = BLOCK, evidence: Evidence | None = None) -> DataFrame:
+def near_copies(docs: DataFrame, nodes: DataFrame, block: int = BLOCK, evidence: Evidence | None = None, likely: DataFrame | None = None) -> DataFrame:
     """(node, root) of each node that is joined to another one by links of similarity 0.8 or more, written.
 
     nodes: node, prefix, what the evidence needs (n, parities, wide), and ``first``, whose doc_id is that of a row of ``docs``
-    with the node's text. Nodes that share a shingle of their prefixes are a group. At first likely pairs are held against their
-    sets that would join a group, or a block of a large one, with the fewest comparisons, in another order each time; then
-    all likely pairs whose two members are still not joined.
+    with the node's text. Nodes that share a shingle of their prefixes are a group. At first the pairs ``likely`` (a, b) are held
+    against their sets, then those that would join a group, or a block of a large one, with the fewest comparisons, in another
+    order each time; then all likely pairs whose two members are still not joined.
     """
     by = evidence or Evidence(["n", "parities"], by_parities, similar)
     groups = sharing(nodes)
@@ -362,6 +380,11 @@ def near_copies(docs: DataFrame, nodes: DataFrame, block: int = BLOCK, evidence:
     found: list[DataFrame] = []
     used = [groups]
     roots = None
+    if likely is not None:
+        found.append(by.similar(likely, nodes, docs))
+        settled = graph.components(found[0])
+        roots = store.written(settled, "roots")
+        store.drop(settled)
     for time in range(ROUNDS + 1):
         rooted = groups.withColumn("root", F.col("node")) if roots is None else groups.join(roots, "node", "left")
         labelled = rooted.select("own", "node", F.coalesce("root", "node").alias("label"))
@@ -396,9 +419,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     keyed = docs.select("doc_id", rows.whole_key(docs).alias("key"), "text")
     table = store.written(with_prefix(keyed, ["doc_id", "key"]), "prefixes")
-    per = table.groupBy("node").agg(F.min(F.struct(key.alias("first"), "n", "parities", "wide", "prefix")).alias("f"))
-    nodes = store.written(per.select("node", "f.first", "f.n", "f.parities", "f.wide", "f.prefix"), "nodes")
-    roots = near_copies(docs, nodes)
+    per = table.groupBy("node").agg(F.min(F.struct(key.alias("first"), "n", "parities", "wide", "prefix", "fp")).alias("f"))
+    nodes = store.written(per.select("node", "f.first", "f.n", "f.parities", "f.wide", "f.prefix", "f.fp"), "nodes")
+    likely = by_fingerprints(nodes.select("node", "fp"))
+    roots = near_copies(docs, nodes, likely=likely)
+    store.drop(likely)
     kept = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.key")
     kept = store.written(kept, "kept")
     counts = table.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n")).join(kept.withColumn("kept", F.lit(True)), "key", "left")

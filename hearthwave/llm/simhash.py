@@ -173,7 +173,7 @@ def in_blocks(placed: DataFrame, large: DataFrame) -> DataFrame:
 
 
 def met(placed: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): links that join the fingerprints that meet at an anchor and differ in at most three bits.
+    """(a, b), with repeats: links between the fingerprints that meet at an anchor.
 
     placed: anchor, fp. An anchor of more than ``block`` members is split by the bytes of their other half, and only
     what is still larger is cut into blocks, every two of which meet in a task of their own.
@@ -185,7 +185,9 @@ def met(placed: DataFrame, block: int = BLOCK) -> DataFrame:
         def out(rows: np.ndarray) -> pa.RecordBatch:
             node = rows[1].view(np.uint64)
             i, j = _compared(rows[0], node, THRESHOLD)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in graph.stars(node[i].view(np.int64), node[j].view(np.int64))], names=["a", "b"])
+            a, b = node[i], node[j]
+            pairs = np.unique(np.column_stack([np.maximum(a, b), np.minimum(a, b)]), axis=0) if len(a) else np.zeros((0, 2), np.uint64)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i]).view(np.int64)) for i in (0, 1)], names=["a", "b"])
 
         for b in it:
             if not b.num_rows:
@@ -212,7 +214,7 @@ def met(placed: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): links that connect all fingerprints of at most three differing bits. fps: distinct, column fp."""
+    """(a, b), with repeats: links of at most three differing bits that connect all that such links do. fps: distinct, column fp."""
 
     def replicate(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from hearthwave.llm import copies, rows as keys
+from hearthwave.llm import copies, graph, rows as keys
 from tests.llm.helpers import awkward, documents, empty
 
 
@@ -117,3 +117,30 @@ def test_rows_told_apart_by_id(spark):
     alone, others = keys.by_id(docs, docs.where("doc_id % 50 = 0 or doc_id is null"))
     ids = {r["doc_id"] for r in others.collect()}
     assert alone.count() + len(ids) == 501 and ids >= {None, *range(0, 500, 50)} and len(ids) < 20
+
+
+def test_stage_holds_the_pairs_of_fingerprints_against_their_sets(spark, monkeypatch):
+    """SimHash by its anchors comes first: pairs of at most three differing bits, of which only similar ones are kept."""
+    e = random.Random(11)
+    words = [f"word{i}" for i in range(4000)]
+    rows = []
+    for i in range(20):
+        base = [e.choice(words) for _ in range(400)]
+        edited = [*base]
+        edited[200] = "changed"
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join(edited)), (3 * i + 2, " ".join(base + base))]
+    rows += [(100, "one two"), (101, "two one"), (102, "")]
+    docs = documents(spark, rows)
+    nodes = copies.with_prefix(docs, ["doc_id"]).groupBy("node").agg(F.min("fp").alias("fp"))
+    fps = {r["node"]: r["fp"] for r in nodes.collect()}
+    pairs = {(r["a"], r["b"]) for r in copies.by_fingerprints(nodes).collect()}
+    near = {(a, b) for a in fps for b in fps if a < b and ((fps[a] ^ fps[b]) & (1 << 64) - 1).bit_count() <= 3}
+    assert len(near) > 10 and {tuple(sorted(p)) for p in pairs} <= near
+    joined = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()}
+    assert all(joined[a] == joined[b] for a, b in near)
+
+    asked = []
+    similar = copies.similar
+    monkeypatch.setattr(copies, "similar", lambda p, n, d: asked.append({tuple(sorted((r["a"], r["b"]))) for r in p.collect()}) or similar(p, n, d))
+    assert {r["doc_id"] for r in copies.keep_one(docs).collect()} == _first_of_each(rows)
+    assert asked[0] == {tuple(sorted(p)) for p in pairs}
