@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -204,8 +205,6 @@ def frame_clusters(points: DataFrame, keys: list[str], k: str = "k", outlier: fl
     Points whose nearest neighbour is over ``outlier`` times the mean away go first; the rest link up to ``link``.
     Clusters are numbered by their first point. Frames are packed into few batches, not one call each.
     """
-    import pyarrow as pa
-
     fields = points.schema.fields
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     names = [f.name for f in fields]
@@ -269,7 +268,8 @@ def planes(points: DataFrame, keys: list[str], most: int = 4, tries: int = 1000,
 
     ``tries`` triples are drawn by seeded hashes over all distinct points of a key, each point with the same chance in
     each draw, and all points count (repeated ones as often as they are there). Points are scored in blocks of about
-    ``block`` against the key's candidates, of which there are ``tries``, and the blocks' counts are added up.
+    ``block`` against the key's candidates, of which there are ``tries``, and the blocks' counts are added up. A block's
+    numbers stay in Arrow's arrays: a worker holds one batch of them and the comparison of one block.
     """
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.select(*keys).schema.fields)
     rest = checkpointed(points.groupBy(*keys, "x", "y", "z").agg(F.count("*").alias("copies")))
@@ -291,17 +291,21 @@ def planes(points: DataFrame, keys: list[str], most: int = 4, tries: int = 1000,
         candidates = three.where(size > 1e-9).select(*keys, "_t", *(e.alias(n) for n, e in unit.items()), offset.alias("d"))
         listed = candidates.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_t", "a", "b", "c", "d"))).alias("_planes"))
 
-        def score(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in it:
-                for row in pdf.to_dict("records"):
-                    found = np.array([[q["_t"], q["a"], q["b"], q["c"], q["d"]] for q in row["_planes"]])
-                    xyzn = np.array([[q["x"], q["y"], q["z"], q["copies"]] for q in row["_points"]], dtype=float)
-                    n = xyzn[:, 3] @ (np.abs(xyzn[:, :3] @ found[:, 1:4].T + found[:, 4]) <= inlier)
-                    yield pd.DataFrame({**{k: row[k] for k in keys}, "_t": found[:, 0].astype(int), "a": found[:, 1], "b": found[:, 2], "c": found[:, 3], "d": found[:, 4], "n": n.astype(int)})
+        def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                lists = {c: b.column(c) for c in ("_points", "_planes")}
+                ends = {c: v.offsets.to_numpy() for c, v in lists.items()}
+                held = {c: {f.name: v.values.field(f.name).to_numpy(zero_copy_only=False) for f in v.type.value_type} for c, v in lists.items()}
+                for i in range(b.num_rows):
+                    xyz, copies = (np.column_stack([held["_points"][c][ends["_points"][i] : ends["_points"][i + 1]] for c in names]) for names in (("x", "y", "z"), ("copies",)))
+                    q = {c: v[ends["_planes"][i] : ends["_planes"][i + 1]] for c, v in held["_planes"].items()}
+                    n = copies[:, 0] @ (np.abs(xyz @ np.column_stack([q["a"], q["b"], q["c"]]).T + q["d"]) <= inlier)
+                    own = np.full(len(n), i)
+                    yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(own)) for k in keys), *(pa.array(v) for v in q.values()), pa.array(n.astype(np.int64))], names=[*keys, *q, "n"])
 
         part = F.pmod(F.xxhash64("x", "y", "z"), F.ceil(F.col("_all") / block))
         blocks = rest.join(total, keys).groupBy(*keys, part.alias("_b")).agg(F.collect_list(F.struct("x", "y", "z", "copies")).alias("_points"))
-        scored = blocks.join(listed, keys).select(*keys, "_points", "_planes").mapInPandas(score, f"{kinds}, _t int, a double, b double, c double, d double, n long")
+        scored = blocks.join(listed, keys).select(*keys, "_points", "_planes").mapInArrow(score, f"{kinds}, _t int, a double, b double, c double, d double, n long")
         counted = scored.groupBy(*keys, "_t", "a", "b", "c", "d").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         best = checkpointed(counted.groupBy(*keys).agg(F.max_by(F.struct("a", "b", "c", "d"), F.struct("n", -F.col("_t"))).alias("q"), F.max("n").alias("inliers")))
         found = best.select(*keys, F.lit(number).alias("plane"), "q.a", "q.b", "q.c", "q.d", "inliers")

@@ -166,3 +166,11 @@ def test_decode_frames(spark):
     assert len(by["dead"]) == 1
     r = 2.5
     assert by["cloud"][0]["x"] == pytest.approx(r * np.cos(0.1) * np.sin(-0.2), abs=1e-6)
+
+
+def test_plane_scores_keep_numbers_in_arrays(spark, monkeypatch):
+    """Blocks of points are not turned into Python objects, which takes many times their size."""
+    monkeypatch.setattr(type(spark.range(1)), "mapInPandas", lambda *a, **k: pytest.fail("rows of points as objects"))
+    floor = [(x / 10, y / 10, 0.0) for x in range(20) for y in range(20)]
+    (r,) = clusters.planes(_cloud(spark, floor + floor[:7]), ["capture_id"], most=1, tries=60, block=50).collect()
+    assert abs(r["c"]) == pytest.approx(1.0) and r["inliers"] == 407
