@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,26 +150,19 @@ def fall_episodes(spark: SparkSession, d: str) -> DataFrame:
     return jobs.in_batch(rows, ["user_id"], ["t", "event_id"], step, "user_id long, t double, event_id long, phase string, red boolean, event boolean, ask long, events long")
 
 
-def blob(frame: int, points_: np.ndarray) -> bytes:
-    """One frame of detected points (n, 4) as it comes over the wire."""
-    body = points_.astype("<f4").tobytes()
-    total = wire.HEADER + 8 + len(body)
-    return wire.MAGIC + struct.pack("<9I", 1, total, 0, frame, 0, len(points_), 0, 1, 0) + struct.pack("<2I", 1, len(body)) + body
-
-
 @query(f"{POINTS} SELECT capture_id::VARCHAR AS path, frame, R(x::FLOAT) AS x, R(y::FLOAT) AS y, R(z::FLOAT) AS z, R(doppler::FLOAT) AS doppler FROM points", 5)
 def decoded_points(spark: SparkSession, d: str) -> DataFrame:
     """Points written as frame blobs and read back by the decoder."""
 
-    def encode(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            ordered = pdf.sort_values(["capture_id", "frame"])
-            at, values = ordered[["capture_id", "frame"]].to_numpy(), ordered[["x", "y", "z", "doppler"]].to_numpy()
-            first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]).any(1)]) if len(at) else np.zeros(0, int)
-            ends = np.r_[first[1:], len(at)]
-            yield pd.DataFrame({"path": [str(at[s, 0]) for s in first], "content": [blob(int(at[s, 1]), values[s:e]) for s, e in zip(first, ends, strict=True)]})
+    def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            capture, frame, *values = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            order = np.lexsort((frame, capture))
+            capture, frame, values = capture[order], frame[order], np.column_stack(values)[order]
+            first = np.flatnonzero(np.r_[True, (capture[1:] != capture[:-1]) | (frame[1:] != frame[:-1])]) if len(order) else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays([pa.array(capture[first]).cast(pa.string()), wire.point_blobs(frame[first], first, values)], names=["path", "content"])
 
-    blobs = points(spark, d).mapInPandas(encode, "path string, content binary")
+    blobs = points(spark, d).select("capture_id", "frame", "x", "y", "z", "doppler").mapInArrow(encode, "path string, content binary")
     return wire.table(wire.decode_blobs(blobs), "point", ["x", "y", "z", "doppler"])
 
 

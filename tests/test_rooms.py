@@ -174,3 +174,26 @@ def test_plane_scores_keep_numbers_in_arrays(spark, monkeypatch):
     floor = [(x / 10, y / 10, 0.0) for x in range(20) for y in range(20)]
     (r,) = clusters.planes(_cloud(spark, floor + floor[:7]), ["capture_id"], most=1, tries=60, block=50).collect()
     assert abs(r["c"]) == pytest.approx(1.0) and r["inliers"] == 407
+
+
+def test_single_frames_of_points_are_read_at_once(spark):
+    """Written and read many at a time: what frame by frame gives, cut parts, empty and null blobs and broken ones too."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    sizes = [1, 3, 70_000 // 16, 1, 2]
+    points = rng.normal(size=(sum(sizes), 4)).astype("<f4")
+    first = np.cumsum([0, *sizes[:-1]])
+    blobs = wire.point_blobs(np.arange(5) + 9, first, points).to_pylist()
+    assert blobs == [_frame([(1, points[s : s + n].tobytes())], 9 + i, n) for i, (s, n) in enumerate(zip(first, sizes, strict=True))]
+    cut = _frame([(1, points[:2].tobytes()[:-5])], 20, 2)
+    blobs += [cut, _frame([(1, b"")], 21), b"", None, blobs[1][:-1], b"x" + blobs[0], blobs[0] + blobs[1], _frame([(8, b"")], 22)]
+    paths = [None, *map(str, range(1, len(blobs)))]
+    df = spark.createDataFrame(list(zip(paths, [None if b is None else bytearray(b) for b in blobs], strict=True)), "path string, content binary").coalesce(1)
+    got = sorted(map(repr, wire.decode_blobs(df).collect()))
+    single, read = wire.single_points(pa.array(paths), pa.array(blobs, pa.binary()))
+    assert single.tolist() == [0, 1, 2, 3, 4, 5, 6] and sum(b.num_rows for b in read) == sum(sizes) + 7 + 1
+    assert wire.single_points(pa.array([], pa.string()), pa.array([], pa.binary()))[0].tolist() == []
+    slow = [wire._batch(k, [(p, f, c)]) for p, b in zip(paths, blobs, strict=True) for x in wire.split(b or b"") if len(x) == int.from_bytes(x[12:16], "little") for k, f, c in wire.parts_of(x)]
+    want = sorted(repr(r) for r in spark.createDataFrame(pa.Table.from_batches(slow).to_pylist(), wire.SCHEMA).collect())
+    assert [g for g in got if "kind='dead'" not in g] == want and sum("kind='dead'" in g for g in got) == 1
